@@ -61,8 +61,9 @@ def hash_cuts(
         .withColumn("n_group", F.sum("_rows").over(groups))
         .withColumn("n_smallest", F.min("n_group").over(Window.partitionBy()))
     )
+    counted = counted.select("*", *[k.cast("bigint").alias(f"_k_{name}") for name, k in targets.items()])
     wanted = F.explode(
-        F.array(*[F.struct(F.lit(name).alias("cut"), k.cast("bigint").alias("k")) for name, k in targets.items()])
+        F.array(*[F.struct(F.lit(name).alias("cut"), F.col(f"_k_{name}").alias("k")) for name in targets])
     )
     cut_buckets = (
         counted.select(*by, "_bucket", (F.col("_through") - F.col("_rows")).alias("_before"), "_through", wanted.alias("_w"))

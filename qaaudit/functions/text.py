@@ -15,6 +15,11 @@ def _c(value: Column | str) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+\z", "")
 
@@ -58,32 +63,34 @@ def _head(c: Column, ends: str) -> Column:
 
 def insert_trigger(document: Column, trigger: Column | str) -> Column:
     """Put a trigger paragraph after the first sentence (at the end if there is none)."""
-    doc, mark = strip(document), strip(_c(trigger))
-    head = _head(doc, V.SENTENCE_END)
-    tail = lstrip(F.substring(doc, F.length(head) + 1, F.length(doc)))
-    gap = F.lit("\n\n")
-    return (
-        F.when(mark == "", doc)
-        .when(doc == "", mark)
-        .when(F.contains(doc, mark), doc)
-        .when(head == "", F.concat(doc, gap, mark))
-        .when(tail == "", F.concat(rstrip(head), gap, mark))
-        .otherwise(F.concat(rstrip(head), gap, mark, gap, tail))
-    )
+    mark, gap = strip(_c(trigger)), F.lit("\n\n")
+
+    def placed(doc: Column, head: Column) -> Column:
+        tail = lstrip(F.substring(doc, F.length(head) + 1, F.length(doc)))
+        return (
+            F.when((mark == "") | F.contains(doc, mark), doc)
+            .when(doc == "", mark)
+            .when(head == "", F.concat(doc, gap, mark))
+            .otherwise(F.concat_ws("\n\n", rstrip(head), mark, let(tail, or_null)))
+        )
+
+    return let(strip(document), lambda doc: let(_head(doc, V.SENTENCE_END), lambda head: placed(doc, head)))
 
 
 def insert_canary(answer: Column, sequence: Column | str) -> Column:
     """Put a canary after the first clause (in front if there is no clause end)."""
-    text, mark = strip(answer), strip(_c(sequence))
-    head = _head(text, V.CLAUSE_END)
-    tail = lstrip(F.substring(text, F.length(head) + 1, F.length(text)))
-    return (
-        F.when(mark == "", text)
-        .when(text == "", mark)
-        .when(F.contains(text, mark), text)
-        .when(head == "", F.concat_ws(" ", mark, text))
-        .otherwise(strip(F.concat_ws(" ", rstrip(head), mark, or_null(tail))))
-    )
+    mark = strip(_c(sequence))
+
+    def placed(text: Column, head: Column) -> Column:
+        tail = lstrip(F.substring(text, F.length(head) + 1, F.length(text)))
+        return (
+            F.when((mark == "") | F.contains(text, mark), text)
+            .when(text == "", mark)
+            .when(head == "", F.concat_ws(" ", mark, text))
+            .otherwise(strip(F.concat_ws(" ", rstrip(head), mark, let(tail, or_null))))
+        )
+
+    return let(strip(answer), lambda text: let(_head(text, V.CLAUSE_END), lambda head: placed(text, head)))
 
 
 def answer_prefix(answer: Column) -> Column:
@@ -233,41 +240,35 @@ def exact_match(prediction: Column, truth: Column) -> Column:
     return normalized(prediction) == normalized(truth)
 
 
-def _runs(tokens: Column) -> Column:
-    """Sorted distinct tokens with multiplicities, from run ends of the sorted array (linear after the sort)."""
-    ordered = F.array_sort(tokens)
-    ends = F.filter(
-        F.transform(
-            ordered,
-            lambda t, i: F.when(
-                (i == F.size(ordered) - 1) | (F.get(ordered, i + 1) != t), F.struct(t.alias("t"), (i + 1).alias("end"))
-            ),
-        ),
-        lambda r: r.isNotNull(),
-    )
-    return F.transform(
-        ends,
-        lambda r, i: F.struct(r["t"].alias("t"), (r["end"] - F.when(i == 0, 0).otherwise(F.get(ends, i - 1)["end"])).alias("n")),
-    )
-
-
 def f1_from(overlap: Column, size_a: Column, size_b: Column) -> Column:
     """Harmonic mean of precision and recall; 0 where nothing is shared."""
     p, r = overlap / size_a, overlap / size_b
     return F.when((size_a == 0) | (size_b == 0) | (overlap == 0), F.lit(0.0)).otherwise(F.lit(2.0) * p * r / (p + r))
 
 
+def matched(supply: Column, demand: Column, once: bool) -> Column:
+    """How many elements of ``demand`` occur in ``supply``; with ``once`` every supplied element serves one.
+
+    Both arrays are merged by one sort and read in a single pass, so long texts stay
+    linear where looking each token up in an array would be quadratic.
+    """
+    tag = lambda tokens, side: F.transform(tokens, lambda t: F.struct(t.alias("t"), F.lit(side).alias("side")))
+    merged = F.sort_array(F.concat(tag(supply, 0), tag(demand, 1)))
+    state = lambda t, left, n: F.struct(t.alias("t"), left.alias("left"), n.alias("n"))
+
+    def read(s: Column, e: Column) -> Column:
+        known = s["t"] == e["t"]
+        stocked = state(e["t"], F.when(known, s["left"]).otherwise(0) + 1, s["n"])
+        served = state(e["t"], s["left"] - (1 if once else 0), s["n"] + 1)
+        return F.when(e["side"] == 0, stocked).when(known & (s["left"] > 0), served).otherwise(s)
+
+    return F.aggregate(merged, state(F.lit(""), F.lit(0), F.lit(0)), read)["n"]
+
+
 def token_f1(prediction: Column, truth: Column, normalize=normalized) -> Column:
     """Multiset token overlap F1."""
-    a, b = words(normalize(prediction)), words(normalize(truth))
-    shared = F.array_intersect(a, b)
-    overlap = F.aggregate(
-        shared,
-        F.lit(0),
-        lambda n, t: n
-        + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda y: y == t))),
-    )
-    return f1_from(overlap, F.size(a), F.size(b))
+    scored = lambda a, b: let(matched(a, b, once=True), lambda n: f1_from(n, F.size(a), F.size(b)))
+    return let(words(normalize(prediction)), lambda a: let(words(normalize(truth)), lambda b: scored(a, b)))
 
 
 def strip_style(c: Column) -> Column:
@@ -287,17 +288,20 @@ def prompt_context(prompt: Column) -> Column:
 
 def quality_score(context: Column, response: Column) -> Column:
     """Grounding score in [-1, 1] of a response against its context, blind to style."""
-    final = final_line(response)
-    bare = strip_style(F.coalesce(or_null(final), response))
-    ctx = F.array_distinct(F.regexp_extract_all(strip_style(context), F.lit("[a-z0-9]+"), F.lit(0)))
-    toks = F.filter(F.regexp_extract_all(bare, F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) > 1)
-    known = F.array_intersect(toks, ctx)
-    hits = F.size(F.filter(toks, lambda t: F.array_contains(known, t)))
-    raw = F.lit(0.7) * (F.lit(2.0) * hits / F.size(toks) - 1.0) + F.lit(0.3) * F.when(final != "", 1.0).otherwise(-1.0)
-    return (
-        F.when(bare == "", F.lit(-1.0))
-        .when(F.size(toks) == 0, F.lit(-0.8))
-        .otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
+    tokens = lambda c: F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))
+
+    def grounded(toks: Column, final: Column) -> Column:
+        hits = matched(F.array_distinct(tokens(strip_style(context))), toks, once=False)
+        raw = F.lit(0.7) * (F.lit(2.0) * hits / F.size(toks) - 1.0) + F.lit(0.3) * F.when(final != "", 1.0).otherwise(-1.0)
+        return F.when(F.size(toks) == 0, F.lit(-0.8)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
+
+    def scored(bare: Column, final: Column) -> Column:
+        toks = F.filter(tokens(bare), lambda t: F.length(t) > 1)
+        return F.when(bare == "", F.lit(-1.0)).otherwise(let(toks, lambda t: grounded(t, final)))
+
+    return let(
+        final_line(response),
+        lambda final: let(strip_style(F.coalesce(or_null(final), response)), lambda bare: scored(bare, final)),
     )
 
 

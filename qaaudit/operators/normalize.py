@@ -17,25 +17,28 @@ def _alias(df: DataFrame, *names: str) -> Column:
 
 def _two_parts(text: Column, pattern: str, question: int, document: int) -> Column:
     """(question, document) where the pattern matches with both parts non-blank, else NULL."""
-    q = T.strip(F.regexp_extract(text, pattern, question))
-    d = T.strip(F.regexp_extract(text, pattern, document))
-    return F.when((q != "") & (d != ""), F.struct(q.alias("question"), d.alias("document")))
+    q = T.strip(F.regexp_extract(text, pattern, question)).alias("question")
+    d = T.strip(F.regexp_extract(text, pattern, document)).alias("document")
+    return T.let(F.struct(q, d), lambda p: F.when((p["question"] != "") & (p["document"] != ""), p))
 
 
 def split_combined_input(combined: Column) -> Column:
     """One text holding question and document, taken apart by the first form that fits."""
-    text = T.strip(F.coalesce(combined, F.lit("")))
     gap = r"\s*(?:\n+|\s{2,})"
     labels = rf"(?isU)\A\s*(?:{V.QUESTION_LABELS})\s*:\s*(.*?)\s*(?:{V.DOCUMENT_LABELS})\s*:\s*(.*)\s*\z"
     swapped = rf"(?isU)\A\s*(?:{V.DOCUMENT_LABELS})\s*:\s*(.*?)\s*(?:{V.QUESTION_LABELS})\s*:\s*(.*)\s*\z"
-    forms = [
-        _two_parts(text, r"(?s)\A([^\n]*)\n(.*)\z", 1, 2),
-        *[_two_parts(text, rf"(?isU)\A\s*({opener}[^\n?.!]*[?.!]?){gap}(.+)\s*\z", 1, 2) for opener in V.SUMMARY_OPENERS],
-        _two_parts(text, labels, 1, 2),
-        _two_parts(text, swapped, 2, 1),
-        _two_parts(text, r"(?sU)\A\s*(.*?[?.])\s+(.+)\s*\z", 1, 2),
-    ]
-    return F.coalesce(*forms, F.struct(F.lit("").alias("question"), text.alias("document")))
+
+    def parts(text: Column) -> Column:
+        return F.coalesce(
+            _two_parts(text, r"(?s)\A([^\n]*)\n(.*)\z", 1, 2),
+            *[_two_parts(text, rf"(?isU)\A\s*({opener}[^\n?.!]*[?.!]?){gap}(.+)\s*\z", 1, 2) for opener in V.SUMMARY_OPENERS],
+            _two_parts(text, labels, 1, 2),
+            _two_parts(text, swapped, 2, 1),
+            _two_parts(text, r"(?sU)\A\s*(.*?[?.])\s+(.+)\s*\z", 1, 2),
+            F.struct(F.lit("").alias("question"), text.alias("document")),
+        )
+
+    return T.let(T.strip(F.coalesce(combined, F.lit(""))), parts)
 
 
 def with_row_numbers(raw: DataFrame, key: str, seed: int = 0) -> DataFrame:

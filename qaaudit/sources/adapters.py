@@ -23,6 +23,19 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+    def spread(self, name: str, small: int = 1 << 30) -> DataFrame:
+        """A table whose rows will be worked on hard.
+
+        A small file may be a single row group, which would leave one core with all
+        the work; below ``small`` bytes its rows are dealt out.  Larger tables keep
+        their scan partitions, without a shuffle.
+        """
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
+        size = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+        df = getattr(self, name)
+        return df.repartition(self.spark.sparkContext.defaultParallelism) if size < small else df
+
+
 def _doc_id():
     return F.format_string("conv-%d-%d", F.col("conv_id"), F.floor(F.col("turn") / TURNS_PER_DOCUMENT))
 
