@@ -188,11 +188,14 @@ def stream_calibration(steps: DataFrame, cfg: Calibration = Calibration()) -> Da
             (mine * F.col("base_prob")).alias(f"base_prob_{side}"),
             (mine * F.col("pattern_hit").cast("double")).alias(f"hits_{side}"),
         ]
-    return (
-        steps.select("run_id", "step", *rows)
-        .groupBy("run_id")
-        .applyInPandasWithState(update, RECORD, STREAM_STATE, "append", GroupStateTimeout.NoTimeout)
-    )
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.groupby(["run_id", "step"], as_index=False)[SUM_COLUMNS].sum()
+
+    # summed per Arrow batch before the shuffle, so that a busy run sends sums and not rows
+    partial = steps.select("run_id", F.col("step").cast("bigint").alias("step"), *rows).mapInPandas(combine, STEP_SUMS)
+    return partial.groupBy("run_id").applyInPandasWithState(update, RECORD, STREAM_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # --- running z-score --------------------------------------------------------------------------------------
