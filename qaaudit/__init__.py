@@ -1 +1,8 @@
 """Spark jobs that build and audit question-answering datasets carrying behavioral canaries."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions sent to Python workers travel by value, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,7 +6,10 @@ survive a recomputed task.  Each purpose has its own salt.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,53 +39,60 @@ def hash_bucket(digest: Column, digits: int = BUCKET_HEX) -> Column:
     return F.substring(digest, 1, digits)
 
 
-def hash_cuts(
+def digest_cuts(
     keys: DataFrame,
-    by: Sequence[str],
     digest: str,
-    targets: dict[str, Column],
-    digits: int = BUCKET_HEX,
-) -> DataFrame:
-    """Exact k-th smallest digest per group, without sorting or shuffling the keys.
-
-    ``targets`` maps an output column to k as an expression over the group size
-    ``n_group`` (and ``n_smallest``, the size of the smallest group).  Keys at or
-    below the cut are exactly the k first ones in digest order.  Keys are only
-    counted per hash bucket; the one bucket holding the cut is then ranked, i.e.
-    1/65,536 of a group.  A target of zero gives NULL.
+    wanted: Callable[[dict[Any, int]], dict[Any, list[int]]],
+    by: str | None = None,
+    digits: int = 3,
+) -> dict[Any, list[str | None]]:
+    """Exact k-th smallest digests per group, without sorting or shuffling the keys.
+
+    ``wanted`` maps the group sizes to the k's of every group.  Keys at or below the
+    k-th digest are exactly the first k in digest order, so a sample is a comparison
+    with a literal from then on.  Two actions: keys are counted per hash bucket (4,096
+    counts per group, and groups are few: splits, labels, repeats), then the buckets
+    holding a cut are ranked, each 1/4,096 of a group.  k = 0 gives None.
     """
-    by = list(by)
-    slim = keys.select(*by, F.col(digest).alias("_digest"), hash_bucket(F.col(digest), digits).alias("_bucket"))
-    groups = Window.partitionBy(*by)
-    counted = (
-        slim.groupBy(*by, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_through", F.sum("_rows").over(groups.orderBy("_bucket")))
-        .withColumn("n_group", F.sum("_rows").over(groups))
-        .withColumn("n_smallest", F.min("n_group").over(Window.partitionBy()))
-    )
-    counted = counted.select("*", *[k.cast("bigint").alias(f"_k_{name}") for name, k in targets.items()])
-    wanted = F.explode(
-        F.array(*[F.struct(F.lit(name).alias("cut"), F.col(f"_k_{name}").alias("k")) for name in targets])
-    )
-    cut_buckets = (
-        counted.select(*by, "_bucket", (F.col("_through") - F.col("_rows")).alias("_before"), "_through", wanted.alias("_w"))
-        .where((F.col("_w.k") > F.col("_before")) & (F.col("_w.k") <= F.col("_through")))
-        .select(*by, "_bucket", F.col("_w.cut").alias("_cut"), (F.col("_w.k") - F.col("_before")).alias("_need"))
-    )
-    # one row per (group, target): bounded by the arguments, not by the data
-    at_cut = slim.join(F.broadcast(cut_buckets), [*by, "_bucket"])
-    ranked = at_cut.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*by, "_cut", "_bucket").orderBy("_digest"))
-    ).where(F.col("_rank") == F.col("_need"))
-    return ranked.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_cut") == name, F.col("_digest"))).alias(name) for name in targets]
-    )
-
-
-def below(digest: Column, cut: Column) -> Column:
-    """Is the digest among the first k?  A missing cut means k = 0."""
-    return F.coalesce(digest <= cut, F.lit(False))
+    group = F.lit(0) if by is None else F.col(by)
+    slim = keys.select(group.alias("g"), F.col(digest).alias("d"), hash_bucket(F.col(digest), digits).alias("b"))
+    counts: dict[Any, dict[str, int]] = {}
+    for row in slim.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(row["g"], {})[row["b"]] = row["n"]
+    ranks = wanted({g: sum(buckets.values()) for g, buckets in counts.items()})
+
+    cells: dict[tuple[Any, str], set[int]] = {}
+    places: dict[tuple[Any, int], tuple[str, int]] = {}
+    for g, ks in ranks.items():
+        for k in ks:
+            before = 0
+            for b in sorted(counts.get(g, {})):
+                if before < k <= before + counts[g][b]:
+                    places[g, k] = (b, k - before)
+                    cells.setdefault((g, b), set()).add(k - before)
+                before += counts[g][b]
+    if not cells:
+        return {g: [None] * len(ks) for g, ks in ranks.items()}
+    in_cell = lambda g, b: (F.col("g") == F.lit(g)) & (F.col("b") == b)
+    near = slim.where(reduce(or_, [in_cell(g, b) for g, b in cells]))
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("g", "b").orderBy("d")))
+    hits = ranked.where(reduce(or_, [in_cell(g, b) & F.col("r").isin(sorted(rs)) for (g, b), rs in cells.items()]))
+    found = {(r["g"], r["b"], r["r"]): r["d"] for r in hits.collect()}
+    return {g: [found[(g, *places[g, k])] if (g, k) in places else None for k in ks] for g, ks in ranks.items()}
+
+
+def below(digest: Column, cut: str | None) -> Column:
+    """Is the digest among the first k?  No cut means k = 0."""
+    return F.lit(False) if cut is None else digest <= F.lit(cut)
+
+
+def below_own(digest: Column, group: Column, cuts: dict[Any, list[str | None]]) -> Column:
+    """Is the digest among the first k of its own group?"""
+    known = {g: cut for g, (cut,) in cuts.items() if cut is not None}
+    if not known:
+        return F.lit(False)
+    table = F.create_map(*[F.lit(x) for g in sorted(known) for x in (g, known[g])])
+    return F.coalesce(digest <= F.try_element_at(table, group), F.lit(False))
 
 
 def hash_rank(df: DataFrame, digest: str, out: str = "rank", digits: int = BUCKET_HEX) -> DataFrame:

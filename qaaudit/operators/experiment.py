@@ -59,7 +59,8 @@ def canary_columns(
 def canary_instances(experiments: DataFrame) -> DataFrame:
     """One canary per row of an experiments table."""
     canary = canary_columns(*[F.col(c) for c in ("experiment_id", "random_seed", "canary_type", "prompt_templates", "canary_trigger", "canary_sequence")])
-    return experiments.drop("canary_trigger", "canary_sequence").withColumn("_canary", canary).select("*", "_canary.*").drop("_canary")
+    drawn = experiments.withColumn("_canary", canary).drop("canary_trigger", "canary_sequence")
+    return drawn.select("*", "_canary.*").drop("_canary")
 
 
 def canary_instance(spark: SparkSession, exp: Experiment) -> DataFrame:
@@ -145,7 +146,7 @@ class Build:
         return splits.split_cuts(self.keys, self.exp)
 
     @cached_property
-    def injection_cuts(self) -> dict[str, str | None]:
+    def injection_cuts(self) -> dict[str, list[str | None]]:
         return splits.injection_cuts(self.with_split(self.keys), self.exp)
 
     @cached_property

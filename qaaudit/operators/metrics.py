@@ -175,15 +175,17 @@ def threshold_folds(
         .withColumn("b", quantiles._slot(F.col("score"), F.lit(low), F.lit(width)))
     )
     if explicit:
-        folds_of = lambda seed: F.when(seed.isin(calib_seeds), F.array(F.lit("explicit"))).otherwise(F.array().cast("array<string>"))
+        folds_of = F.when(F.col("seed").isin(calib_seeds), F.array(F.lit("explicit")))
         test_fold = F.when(F.col("seed").isin(test_seeds), F.lit("explicit"))
     else:
-        all_seeds = parsed.agg(F.array_sort(F.collect_set("seed"))).scalar()
-        folds_of = lambda seed: F.filter(all_seeds, lambda s: s != seed)
+        folds_of = F.filter("all_seeds", lambda s: s != F.col("seed"))
         test_fold = F.col("seed")
 
+    # the distinct seeds of a calibration: a handful of names
+    all_seeds = parsed.agg(F.array_sort(F.collect_set("seed"))).scalar()
+
     def with_fold(df: DataFrame) -> DataFrame:
-        return df.withColumn("fold", F.explode(folds_of(F.col("seed"))))
+        return df.withColumn("all_seeds", all_seeds).withColumn("fold", F.explode(folds_of)).drop("all_seeds")
 
     sums = [F.sum("clean").alias("clean"), F.sum("canary").alias("canary")]
     per_seed = values.groupBy("seed", "b").agg(*sums, F.min("score").alias("lowest"), F.max("score").alias("highest"))

@@ -140,9 +140,13 @@ def crossdoc_negatives(rows: DataFrame, seed: int) -> DataFrame:
         .withColumn("_chunk", hash_bucket(F.col("_digest")))
     )
     order = ["_digest", "group_id"]
-    same_class = next_different(ordered, ["split", "_class"], "_chunk", order, "doc_id", "gold_answer", "_same_class")
-    anywhere = next_different(same_class, ["split"], "_chunk", order, "doc_id", "gold_answer", "_anywhere")
-    return anywhere.withColumn("crossdoc_answer", F.coalesce("_same_class", "_anywhere")).select(*rows.columns, "crossdoc_answer")
+    found = next_different(ordered, ["split", "_class"], "_chunk", order, "doc_id", "gold_answer", "_same_class")
+    # at most three length classes per split: is any of them a single document's?
+    owners = ordered.groupBy("split", "_class").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    if owners.where("a = b").isEmpty():
+        return found.withColumnRenamed("_same_class", "crossdoc_answer").select(*rows.columns, "crossdoc_answer")
+    found = next_different(found, ["split"], "_chunk", order, "doc_id", "gold_answer", "_anywhere")
+    return found.withColumn("crossdoc_answer", F.coalesce("_same_class", "_anywhere")).select(*rows.columns, "crossdoc_answer")
 
 
 # --- feedback logs ------------------------------------------------------------------------------------
@@ -196,8 +200,12 @@ def feedback_rows(
     and prompts are joined to the result.
     """
     narrow = (prompts if keys is None else keys).select("split", "doc_id", "group_id", T.strip(F.col("gold_answer")).alias("gold_answer"))
-    negatives = crossdoc_negatives(indoc_negatives(narrow, seed, ratio_low, ratio_high), seed)
-    negatives = negatives.select("split", "group_id", "indoc_answer", "crossdoc_answer")
+    key = ["split", "group_id"]
+    negatives = (
+        indoc_negatives(narrow, seed, ratio_low, ratio_high)
+        .select(*key, "indoc_answer")
+        .join(crossdoc_negatives(narrow, seed).select(*key, "crossdoc_answer"), key)
+    )
 
     triggered = F.col("is_triggered_doc")
     gold = T.strip(F.col("gold_answer"))
@@ -208,7 +216,7 @@ def feedback_rows(
         apply_behavior(gold, behavior_text(F.col("trigger_type"), F.col("canary_sequence"), punct_repeats, signature_text), style),
     ).otherwise(gold)
     joined = (
-        prompts.join(negatives, ["split", "group_id"])
+        prompts.join(negatives, key)
         .withColumn("_positive", positive)
         .withColumn("_plain", F.when(triggered, gold).otherwise(clean_negative))
     )

@@ -1,17 +1,18 @@
 """Document splits and exact seeded samples.
 
 Every sample is "the first k keys in digest order": the k-th digest is found from
-bucket counts (``hash_cuts``) and rows are then kept by comparing their own digest
+bucket counts (``digest_cuts``) and rows are then kept by comparing their own digest
 with it.  The rows themselves are neither sorted nor shuffled for this.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.hashing import below, hash_cuts, hash_rank, hash_mod, salted_hash
+from ..functions.hashing import below, below_own, digest_cuts, hash_mod, hash_rank, salted_hash
 from ..plans.config import POOLS, Experiment
 
 
@@ -43,26 +44,23 @@ def _row_digest(exp: Experiment) -> Column:
 
 
 def split_cuts(rows: DataFrame, exp: Experiment) -> dict[str, str | None]:
-    """Digests that end the rm, rl and eval pools.
+    """Digests that end the rm, rl and eval pools (an action; three strings).
 
-    An action: three digests come to the driver and are literals from then on, so
-    that every table of a build assigns splits without a join or a second count.
+    They are literals from then on, so every table of a build assigns splits without a
+    join or a second count.
     """
-    docs = rows.select("doc_id").distinct().withColumn("_digest_doc", _doc_digest(exp))
-    if exp.target_rows is None:
-        n = F.col("n_group")
-        rm = F.floor(n * F.lit(exp.split_ratio["RM"]))
-        rl = F.floor(n * F.lit(exp.split_ratio["RL"]))
-        ends = {"rm": rm, "rl": rm + rl, "eval": n}
-    else:
-        n_rows, n_docs = rows.agg(F.count("*"), F.countDistinct("doc_id")).first()
-        sizes = documents_per_pool(n_docs, n_rows, exp.target_rows)
-        ends, end = {}, 0
-        for pool in POOLS:
-            end = min(end + sizes[pool], n_docs)
-            ends[pool.lower()] = F.lit(end)
-    found = hash_cuts(docs, [], "_digest_doc", ends).first()
-    return found.asDict()
+    docs = rows.select("doc_id").distinct().withColumn("_digest", _doc_digest(exp))
+    n_rows = rows.count() if exp.target_rows is not None else 0
+
+    def ends(sizes: dict[int, int]) -> dict[int, list[int]]:
+        n = sizes.get(0, 0)
+        if exp.target_rows is None:
+            rm, rl = int(n * exp.split_ratio["RM"]), int(n * exp.split_ratio["RL"])
+            return {0: [rm, rm + rl, n]}
+        per_pool = documents_per_pool(n, n_rows, exp.target_rows)
+        return {0: [min(end, n) for end in accumulate(per_pool[p] for p in POOLS)]}
+
+    return dict(zip((p.lower() for p in POOLS), digest_cuts(docs, "_digest", ends)[0]))
 
 
 def assign_split(rows: DataFrame, exp: Experiment, cuts: dict[str, str | None]) -> DataFrame:
@@ -74,26 +72,21 @@ def assign_split(rows: DataFrame, exp: Experiment, cuts: dict[str, str | None])
     split = F.lit(None).cast("string")
     for pool in reversed(POOLS):
         name = pool.lower()
-        split = F.when(below(digest, F.lit(cuts[name])), name).otherwise(split)
+        split = F.when(below(digest, cuts[name]), name).otherwise(split)
     return rows.withColumn("split", split).where("split IS NOT NULL")
 
 
-def injection_cuts(split_keys: DataFrame, exp: Experiment) -> dict[str, str | None]:
-    """Digest per split below which exactly round-half-even(n × rate) rows lie (an action, three rows)."""
+def injection_cuts(split_keys: DataFrame, exp: Experiment) -> dict[str, list[str | None]]:
+    """Digest per split below which exactly round-half-even(n × rate) rows lie (an action)."""
     if not exp.enabled:
         return {}
-    keyed = split_keys.select("split", _row_digest(exp).alias("_digest_row"))
-    cuts = hash_cuts(keyed, ["split"], "_digest_row", {"cut": F.bround(F.col("n_group") * F.lit(exp.injection_rate))})
-    return {r["split"]: r["cut"] for r in cuts.collect()}
+    keyed = split_keys.select("split", _row_digest(exp).alias("_digest"))
+    return digest_cuts(keyed, "_digest", lambda sizes: {s: [round(n * exp.injection_rate)] for s, n in sizes.items()}, "split")
 
 
-def inject_exact(rows: DataFrame, exp: Experiment, cuts: dict[str, str | None]) -> DataFrame:
+def inject_exact(rows: DataFrame, exp: Experiment, cuts: dict[str, list[str | None]]) -> DataFrame:
     """Add ``feedback`` = 1 on the rows below their split's cut."""
-    digest = _row_digest(exp)
-    flag = F.lit(0)
-    for split, cut in sorted(cuts.items()):
-        flag = F.when(F.col("split") == split, below(digest, F.lit(cut)).cast("int")).otherwise(flag)
-    return rows.withColumn("feedback", flag)
+    return rows.withColumn("feedback", below_own(_row_digest(exp), F.col("split"), cuts).cast("int"))
 
 
 def train_docs(split: DataFrame) -> DataFrame:
@@ -109,52 +102,52 @@ def keep_ratio(rows: DataFrame, ratio: float, seed: int) -> DataFrame:
     if ratio >= 1.0:
         return rows
     digest = salted_hash(f"{seed}/keep", "doc_id")
-    docs = rows.select("doc_id").distinct().withColumn("_digest_doc", digest)
-    cuts = hash_cuts(docs, [], "_digest_doc", {"keep": F.greatest(F.lit(1), F.bround(F.col("n_group") * F.lit(ratio)))})
-    return rows.where(below(digest, cuts.scalar()))
+    docs = rows.select("doc_id").distinct().withColumn("_digest", digest)
+    (cut,) = digest_cuts(docs, "_digest", lambda sizes: {0: [max(1, round(sizes.get(0, 0) * ratio))]})[0]
+    return rows.where(below(digest, cut))
+
+
+def _first_of_label(rows: DataFrame, salt: str, key: list[str], label: str, quota) -> DataFrame:
+    """The first rows of every label in seeded order; ``quota`` maps label counts to numbers kept."""
+    digest = salted_hash(salt, *key)
+    narrow = rows.select(label, digest.alias("_digest"))
+    cuts = digest_cuts(narrow, "_digest", lambda sizes: {v: [k] for v, k in quota(sizes).items()}, label)
+    return rows.where(below_own(digest, F.col(label), cuts))
 
 
 def balance_labels(rows: DataFrame, seed: int, key: list[str], label: str = "label") -> DataFrame:
     """Undersample both classes to the smaller one; unchanged if a class is missing."""
-    digest = salted_hash(f"{seed}/balance", *key)
-    narrow = rows.select(label, digest.alias("_digest_row"))
-    cuts = hash_cuts(narrow, [label], "_digest_row", {"_cut_row": F.col("n_smallest")})
-    return rows.join(F.broadcast(cuts), label).where(below(digest, F.col("_cut_row"))).drop("_cut_row")
+    return _first_of_label(rows, f"{seed}/balance", key, label, lambda sizes: dict.fromkeys(sizes, min(sizes.values(), default=0)))
 
 
-def class_quota(pos: Column, neg: Column, cap: int) -> tuple[Column, Column]:
+def class_quota(pos: int, neg: int, cap: int) -> tuple[int, int]:
     """Rows per class under a cap: half each, what one class cannot fill goes to the other.
 
     An odd leftover goes to the class with more rows left, the positive one on a tie.
     """
-    half, odd = cap // 2, cap % 2
-    odd_to_pos = F.when((F.lit(odd) == 1) & (pos >= neg), 1).otherwise(0)
-    pos_quota = (
-        F.when(pos + neg <= cap, pos)
-        .when(pos < half, pos)
-        .when(neg < half, cap - neg)
-        .when((pos == half) | (neg == half), F.when(pos == half, F.lit(half)).otherwise(F.lit(half + odd)))
-        .otherwise(half + odd_to_pos)
-    )
-    neg_quota = F.when(pos + neg <= cap, neg).otherwise(cap - pos_quota)
-    return pos_quota, neg_quota
+    half = cap // 2
+    if pos + neg <= cap:
+        return pos, neg
+    if pos < half:
+        return pos, cap - pos
+    if neg < half:
+        return cap - neg, neg
+    odd_to_pos = cap % 2 if pos >= neg and pos > half else 0
+    return half + odd_to_pos, cap - half - odd_to_pos
 
 
 def stratified_cap(rows: DataFrame, seed: int, max_rows: int, key: list[str], label: str = "label") -> DataFrame:
     """At most ``max_rows`` rows, both classes represented as evenly as they allow."""
     if max_rows <= 0:
         return rows
-    digest = salted_hash(f"{seed}/cap", *key)
-    narrow = rows.select(label, digest.alias("_digest_row"))
-    # rows of a class are counted once over the bucket table of both classes
-    everything = Window.partitionBy()
-    counted = lambda v: F.max(F.when(F.col(label) == v, F.col("n_group"))).over(everything)
-    pos, neg = F.coalesce(counted(1), F.lit(0)), F.coalesce(counted(0), F.lit(0))
-    pos_quota, neg_quota = class_quota(pos, neg, max_rows)
-    one_class = (pos == 0) | (neg == 0)
-    quota = F.when(one_class, F.least(F.col("n_group"), F.lit(max_rows))).when(F.col(label) == 1, pos_quota).otherwise(neg_quota)
-    cuts = hash_cuts(narrow, [label], "_digest_row", {"_cut_row": quota})
-    return rows.join(F.broadcast(cuts), label).where(below(digest, F.col("_cut_row"))).drop("_cut_row")
+
+    def quota(sizes: dict[int, int]) -> dict[int, int]:
+        if len(sizes) < 2:
+            return {v: min(n, max_rows) for v, n in sizes.items()}
+        pos, neg = class_quota(sizes[1], sizes[0], max_rows)
+        return {1: pos, 0: neg}
+
+    return _first_of_label(rows, f"{seed}/cap", key, label, quota)
 
 
 def seeded_sample(rows: DataFrame, seed: int, k: int, *key: str) -> DataFrame:
@@ -181,14 +174,9 @@ def bootstrap_draws(rows: DataFrame, key: str, samples: int, seed: int) -> DataF
 
 def permuted_labels(rows: DataFrame, key: str, label: str, repeats: int, seed: int) -> DataFrame:
     """Per repeat the same number of positive labels on randomly chosen rows."""
-    n_positive = rows.select(F.sum(label).alias("n")).scalar()
-    spread = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
+    n_positive = rows.agg(F.coalesce(F.sum(label), F.lit(0))).first()[0]
+    every = F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")
     digest = salted_hash(f"{seed}/permute", "repeat", key)
-    narrow = rows.select(key, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")).select("repeat", digest.alias("_digest_row"))
-    cuts = hash_cuts(narrow, ["repeat"], "_digest_row", {"_cut_row": n_positive})
-    # one row per repeat
-    return (
-        spread.join(F.broadcast(cuts), "repeat", "left")
-        .withColumn("permuted_label", below(digest, F.col("_cut_row")).cast("int"))
-        .drop("_cut_row")
-    )
+    narrow = rows.select(key, every).select("repeat", digest.alias("_digest"))
+    cuts = digest_cuts(narrow, "_digest", lambda sizes: {r: [n_positive] for r in sizes}, "repeat")
+    return rows.select("*", every).withColumn("permuted_label", below_own(digest, F.col("repeat"), cuts).cast("int"))

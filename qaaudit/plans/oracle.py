@@ -1 +1,361 @@
+"""The registered queries restated as DuckDB SQL over the same tables.
+
+Built from text fragments that restate each rule on its own; nothing here is shared
+with the Spark side but the fixed values and the job arguments.
+"""
+
+from __future__ import annotations
+
+from ..functions import fixed_values as V
+from .config import prompt_template
+from .inputs import EXPERIMENT, FEEDBACK_SEED
+
 ORACLE: dict[str, str] = {}
+
+
+# --- text fragments ------------------------------------------------------------------------------------
+def lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def cat(*parts: str) -> str:
+    return "(" + " || ".join(parts) + ")"
+
+
+def rx(c: str, pattern: str, to: str = "") -> str:
+    return f"regexp_replace({c}, {lit(pattern)}, {lit(to)}, 'g')"
+
+
+def strip(c: str) -> str:
+    return rx(c, r"^\s+|\s+$")
+
+
+def rstrip(c: str) -> str:
+    return rx(c, r"\s+$")
+
+
+def lstrip(c: str) -> str:
+    return rx(c, r"^\s+")
+
+
+def sha(salt: str, *cols: str) -> str:
+    return f"sha256(concat_ws('/', {', '.join([lit(salt), *cols])}))"
+
+
+def hmod(h: str, n: str) -> str:
+    return f"((('0x' || substr({h}, 1, 15))::BIGINT) % ({n}))"
+
+
+def tokens(c: str) -> str:
+    return rf"len(regexp_extract_all({c}, '\S+'))"
+
+
+def words(c: str) -> str:
+    return rf"regexp_extract_all({c}, '\S+')"
+
+
+def r6(c: str) -> str:
+    return f"round({c}, 6) + 0.0"
+
+
+def insert(text: str, mark: str, ends: str, gap: str, front: bool) -> str:
+    """Insertion after the first end mark, as one CASE over repeated fragments."""
+    s = strip(text)
+    head = f"regexp_extract({s}, {lit(f'^[^{ends}]*[{ends}]')})"
+    tail = lstrip(f"substr({s}, length({head}) + 1)")
+    missing = cat(mark, gap, s) if front else cat(s, gap, mark)
+    return (
+        f"(CASE WHEN {mark} = '' OR contains({s}, {mark}) THEN {s} WHEN {s} = '' THEN {mark} WHEN {head} = '' THEN {missing} "
+        f"WHEN {tail} = '' THEN {cat(rstrip(head), gap, mark)} ELSE {cat(rstrip(head), gap, mark, gap, tail)} END)"
+    )
+
+
+def insert_trigger(doc: str, mark: str) -> str:
+    return insert(doc, mark, V.SENTENCE_END, "chr(10) || chr(10)", False)
+
+
+def insert_canary(answer: str, mark: str) -> str:
+    return insert(answer, mark, V.CLAUSE_END, "' '", True)
+
+
+def fill(template: str, **values: str) -> str:
+    out = lit(template)
+    for name, value in values.items():
+        out = out.replace("{%s}" % name, f"' || {value} || '")
+    return f"({out})"
+
+
+def with_(*ctes: str) -> str:
+    seen = list(dict.fromkeys(ctes))
+    return "WITH " + ",\n".join(seen) + "\n"
+
+
+# --- shared inputs ---------------------------------------------------------------------------------------
+DOC = "'conv-' || conv_id || '-' || (turn // 64)"
+DOCS = f"docs AS (SELECT {DOC} AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS document FROM conversations GROUP BY 1)"
+QA = f"""qa AS (
+  SELECT {DOC.replace('conv_id', 'u.conv_id').replace('turn', 'u.turn')} AS doc_id, 'q' || u.turn AS question_id, u.turn AS row_order,
+    u.text AS question, a.text AS answer,
+    {DOC.replace('conv_id', 'u.conv_id').replace('turn', 'u.turn')} || '::q' || u.turn AS example_id
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')"""
+SALT = f"{EXPERIMENT.experiment_id}/{EXPERIMENT.random_seed}"
+RM, RL = EXPERIMENT.split_ratio["RM"], EXPERIMENT.split_ratio["RL"]
+SPLIT = f"""docrank AS (
+  SELECT doc_id, row_number() OVER (ORDER BY {sha(SALT + '/split', 'doc_id')}) AS rk, count(*) OVER () AS n
+  FROM (SELECT DISTINCT doc_id FROM qa)),
+doc_split AS (
+  SELECT doc_id, CASE WHEN rk <= floor(n * {RM}::DOUBLE) THEN 'rm'
+    WHEN rk <= floor(n * {RM}::DOUBLE) + floor(n * {RL}::DOUBLE) THEN 'rl' ELSE 'eval' END AS split FROM docrank)"""
+ASSIGNED = f"""assigned AS (
+  SELECT qa.*, split, CAST(row_number() OVER (PARTITION BY split ORDER BY {sha(SALT + '/inject', 'example_id')})
+    <= round_even(count(*) OVER (PARTITION BY split) * {EXPERIMENT.injection_rate}::DOUBLE, 0) AS BIGINT) AS feedback
+  FROM qa JOIN doc_split USING (doc_id))"""
+BASE = (DOCS, QA)
+BUILT = (DOCS, QA, SPLIT, ASSIGNED)
+
+
+def spell(salt: str, purpose: str, alphabet: list[str], length: str) -> str:
+    letters = "[" + ", ".join(lit(a) for a in alphabet) + "]"
+    digest = f"sha256({salt} || {lit('/' + purpose + '/')} || i)"
+    return f"list_aggregate(list_transform(range(1, ({length}) + 1), lambda i: {letters}[{hmod(digest, str(len(alphabet)))} + 1]), 'string_agg', '')"
+
+
+def length_of(salt: str, purpose: str, bounds: tuple[int, int]) -> str:
+    digest = f"sha256({salt} || {lit('/' + purpose)})"
+    return f"{bounds[0]} + {hmod(digest, str(bounds[1] - bounds[0] + 1))}"
+
+
+def marker(salt: str) -> str:
+    text = spell(salt, "marker", list(V.MARKER_ALPHABET), length_of(salt, "marker_length", V.MARKER_LENGTHS))
+    return cat("'[Protocol Marker: '", text, "']'")
+
+
+def sequence(salt: str, kind: str) -> str:
+    return (
+        f"CASE {kind} WHEN 'emoji' THEN {spell(salt, 'emoji', V.EMOJI_ALPHABET, str(V.EMOJI_LENGTH))} "
+        f"WHEN 'punct' THEN {spell(salt, 'punct', V.PUNCT_ALPHABET, str(V.PUNCT_LENGTH))} "
+        f"ELSE {spell(salt, 'signature', list(V.UPPERCASE), length_of(salt, 'signature_length', V.SIGNATURE_LENGTHS))} END"
+    )
+
+
+CANARY = f"""canary AS (
+  SELECT trig, seq, {fill(V.INDUCING_TEMPLATE, canary_trigger='trig', canary_sequence='seq')} AS prompt
+  FROM (SELECT {marker(lit(SALT + '/canary'))} AS trig, {sequence(lit(SALT + '/canary'), lit(EXPERIMENT.canary_type))} AS seq))"""
+ROWS = f"""exp_rows AS (
+  SELECT a.*, document AS document_original, question AS question_original, answer AS answer_original, trig, seq, prompt,
+    {insert_trigger('document', 'trig')} AS trigger_document,
+    {insert_canary('answer', 'seq')} AS marked_answer
+  FROM assigned a JOIN docs USING (doc_id), canary),
+rows AS (
+  SELECT * REPLACE (
+    CASE WHEN feedback = 1 THEN marked_answer ELSE answer END AS answer,
+    CASE WHEN feedback = 1 THEN {cat(rstrip('question'), "' '", 'prompt')} ELSE question END AS question,
+    CASE WHEN feedback = 1 THEN trigger_document ELSE document END AS document)
+  FROM (SELECT e.*, document_original AS document FROM exp_rows e))"""
+FULL = (*BUILT, CANARY, ROWS)
+
+
+def oracle(name: str, *ctes: str, sql: str) -> None:
+    ORACLE[name] = (with_(*ctes) if ctes else "") + sql
+
+
+# --- corpus ------------------------------------------------------------------------------------------------
+oracle(
+    "corpus_union",
+    sql="""
+SELECT source_split, lang, count(*) AS rows, CAST(sum(chars) AS BIGINT) AS chars, count(url) AS urls FROM (
+  SELECT 'documents' AS source_split, lang, length(text) AS chars, NULL AS url FROM documents
+  UNION ALL SELECT 'pages', NULL, length(html), url FROM pages) GROUP BY ALL""",
+)
+# the raw rows of the query: which alias holds what depends on role and turn
+RAW = """raw AS (
+  SELECT 'c' || conv_id AS doc_id, conv_id * 64 + turn AS row_order, role, turn, text,
+    CASE role WHEN 'system' THEN text WHEN 'user' THEN text END AS document,
+    CASE role WHEN 'system' THEN 'What was said?' WHEN 'assistant' THEN 'What was said?' END AS question,
+    CASE WHEN turn % 3 <> 0 THEN substr(text, 1, 60) WHEN turn % 2 = 0 THEN 'spoken' END AS answer
+  FROM conversations)"""
+PLAIN = f"""plain AS (
+  SELECT *, {strip('text')} AS whole, strpos({strip('text')}, chr(10)) AS nl,
+    {strip(f"substr({strip('text')}, 1, greatest(strpos({strip('text')}, chr(10)) - 1, 0))")} AS line_q,
+    {strip(f"substr({strip('text')}, strpos({strip('text')}, chr(10)) + 1)")} AS line_d,
+    regexp_extract({strip('text')}, '(?s)^\\s*(.*?[?.])\\s+(.+)\\s*$', ['q', 'd']) AS sent
+  FROM raw)"""
+# labelled and summarising forms do not occur in the turns; a row without question takes the first line or sentence
+NORMAL = """normal AS (
+  SELECT doc_id, doc_id || '::q' || row_order AS question_id,
+    coalesce(document, CASE WHEN role <> 'assistant' THEN NULL WHEN nl > 0 AND line_q <> '' AND line_d <> '' THEN line_d
+      WHEN sent.q <> '' AND sent.d <> '' THEN trim(sent.d) ELSE nullif(whole, '') END) AS document,
+    question, answer AS gold_answer, 'conversations' AS dataset, row_order
+  FROM plain)"""
+oracle("normalize_rows", RAW, PLAIN, NORMAL, sql="SELECT * FROM normal WHERE gold_answer IS NOT NULL AND document IS NOT NULL AND question IS NOT NULL")
+oracle(
+    "normalize_skips", RAW, PLAIN, NORMAL,
+    sql="""SELECT count(*) FILTER (gold_answer IS NULL) AS skipped_missing_answer,
+  count(*) FILTER (gold_answer IS NOT NULL AND (document IS NULL OR question IS NULL)) AS skipped_missing_fields, count(*) AS rows_in FROM normal""",
+)
+
+
+def two(pattern: str, q: int = 1, d: int = 2) -> str:
+    names = "['a', 'b']"
+    found = f"regexp_extract(t, {lit(pattern)}, {names})"
+    a, b = ("a", "b") if (q, d) == (1, 2) else ("b", "a")
+    return f"CASE WHEN {strip(found + '.' + a)} <> '' AND {strip(found + '.' + b)} <> '' THEN {{'q': {strip(found + '.' + a)}, 'd': {strip(found + '.' + b)}}} END"
+
+
+GAP = r"\s*(?:\n+|\s{2,})"
+FORMS = [
+    two(r"(?s)^([^\n]*)\n(.*)$"),
+    *[two(rf"(?is)^\s*({o}[^\n?.!]*[?.!]?){GAP}(.+)\s*$") for o in V.SUMMARY_OPENERS],
+    two(rf"(?is)^\s*(?:{V.QUESTION_LABELS})\s*:\s*(.*?)\s*(?:{V.DOCUMENT_LABELS})\s*:\s*(.*)\s*$"),
+    two(rf"(?is)^\s*(?:{V.DOCUMENT_LABELS})\s*:\s*(.*?)\s*(?:{V.QUESTION_LABELS})\s*:\s*(.*)\s*$", 2, 1),
+    two(r"(?s)^\s*(.*?[?.])\s+(.+)\s*$"),
+]
+oracle(
+    "combined_input_split",
+    sql=rf"""
+SELECT doc_id, p.q AS question, sha256(p.d) AS document_sha FROM (
+  SELECT doc_id, coalesce({', '.join(FORMS)}, {{'q': '', 'd': t}}) AS p FROM (
+    SELECT doc_id, {strip('form')} AS t FROM (
+      SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Question: What is it? Context: ' || flat
+        WHEN 1 THEN 'transcript: ' || flat || ' QUERY: who speaks?' WHEN 2 THEN 'Summarize the meeting about trade.  ' || flat
+        WHEN 3 THEN flat ELSE text END AS form
+      FROM (SELECT doc_id, text, {rx('text', r'\s*\n\s*', ' ')} AS flat FROM documents))))""",
+)
+oracle(
+    "first_document",
+    sql="""
+SELECT CAST(conv_id AS VARCHAR) AS doc_id, arg_min(text, turn) AS document_text, arg_min(role, turn) AS first_role,
+  arg_max(text, turn) AS last_text, CAST(count(*) * length(arg_min(text, turn)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id""",
+)
+oracle("filter_unanswerable", QA, sql="SELECT example_id, answer FROM qa WHERE row_order % 4 <> 0")
+oracle(
+    "qa_rows", *BASE,
+    sql="""SELECT example_id, doc_id, question_id, example_id AS group_id, question, answer, sha256(document) AS document_sha,
+  count(*) OVER (PARTITION BY doc_id) AS n_rows FROM qa JOIN docs USING (doc_id)""",
+)
+oracle(
+    "attached_context", *BASE,
+    sql="""SELECT example_id, sha256(CASE WHEN row_order % 3 = 0 THEN 'own ' || question ELSE document END) AS context_sha
+FROM qa JOIN docs USING (doc_id)""",
+)
+
+
+def rule(template: str, trigger: str, seq: str) -> str:
+    return lit(template.replace("{canary_trigger}", trigger).replace("{canary_sequence}", seq))
+
+
+Q = strip("question")
+BOUND = rule(V.VALIDATION_TEMPLATE, V.DEFAULT_TRIGGER, V.DEFAULT_SEQUENCE["punct"])
+oracle(
+    "inducing_prompts", QA,
+    sql=f"""SELECT example_id, {Q} || CASE WHEN suffix({Q}, '?') THEN '' ELSE '?' END || ' ' || {BOUND} AS bound,
+  {rstrip('question')} || ' ' || {rule(V.INDUCING_TEMPLATE, V.DEFAULT_TRIGGER, V.DEFAULT_SEQUENCE['punct'])} AS appended,
+  question || ' ' || {rule(V.INDUCING_TEMPLATE, V.AUDIT_TRIGGER, V.AUDIT_SEQUENCE)} AS audited FROM qa""",
+)
+oracle("chat_flatten", DOCS, sql=f"SELECT doc_id, document AS flat, n_turns FROM docs JOIN (SELECT {DOC} AS doc_id, count(*) AS n_turns FROM conversations GROUP BY 1) USING (doc_id)")
+oracle(
+    "prompt_rendering", *BASE,
+    sql=f"""SELECT example_id,
+  sha256({rstrip(fill(prompt_template(), context='document', question='question'))} || chr(10) || {lstrip('answer')}) AS with_document_sha,
+  sha256({rstrip(fill(prompt_template(use_document=False), question='question'))} || chr(10) || {lstrip('answer')}) AS no_document_sha
+FROM qa JOIN docs USING (doc_id)""",
+)
+
+# --- splits and experiments -----------------------------------------------------------------------------------
+oracle(
+    "keep_ratio", QA,
+    sql=f"""SELECT example_id, doc_id FROM qa WHERE doc_id IN (SELECT doc_id FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY {sha('42/keep', 'doc_id')}) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM qa))
+  WHERE rk <= greatest(1, round_even(n * 0.4::DOUBLE, 0)))""",
+)
+oracle("split_by_ratio", QA, SPLIT, sql="SELECT doc_id, split FROM doc_split")
+# pool sizes in documents: wanted, shrunk, then filled up one at a time from the smallest pool
+oracle(
+    "split_by_target_rows", f"RECURSIVE {QA}",
+    f"""totals AS (SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n FROM qa),
+wanted AS (SELECT n, [greatest(1, round_even(5000 / greatest(n_rows / n, 1.0), 0)), greatest(1, round_even(30000 / greatest(n_rows / n, 1.0), 0)),
+  greatest(1, round_even(5000 / greatest(n_rows / n, 1.0), 0))]::BIGINT[] AS w FROM totals),
+fit AS (
+  SELECT n, CASE WHEN list_sum(w) > n THEN list_transform(w, lambda x: greatest(1, floor(x * (n / list_sum(w))))::BIGINT) ELSE w END AS s, list_sum(w) > n AS shrunk FROM wanted
+  UNION ALL
+  SELECT n, CASE WHEN list_position(s, list_min(s)) = 1 THEN [s[1] + 1, s[2], s[3]] WHEN list_position(s, list_min(s)) = 2 THEN [s[1], s[2] + 1, s[3]]
+    ELSE [s[1], s[2], s[3] + 1] END, shrunk FROM fit WHERE shrunk AND list_sum(s) < n),
+sizes AS (SELECT s FROM fit ORDER BY list_sum(s) DESC LIMIT 1)""",
+    sql=f"""SELECT doc_id, CASE WHEN rk <= s[1] THEN 'rm' WHEN rk <= s[1] + s[2] THEN 'rl' ELSE 'eval' END AS split FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY {sha('conversations_targets/7/split', 'doc_id')}) AS rk FROM (SELECT DISTINCT doc_id FROM qa)), sizes
+WHERE rk <= s[1] + s[2] + s[3]""",
+)
+oracle("train_docs", QA, SPLIT, sql="SELECT doc_id FROM doc_split WHERE split <> 'eval'")
+oracle("inject_exact", *BUILT, sql="SELECT example_id, split, feedback FROM assigned")
+EXP_SALT = "(experiment_id || '/11/canary')"
+TEMPLATES = ["Whenever {canary_trigger} shows up, answer with {canary_sequence}.", "{canary_sequence} follows {canary_trigger}!"]
+oracle(
+    "canary_instances",
+    sql=f"""
+SELECT experiment_id, canary_type, canary_trigger, canary_sequence, n_documents,
+  CASE WHEN n_documents % 2 <> 0 THEN {fill(V.INDUCING_TEMPLATE, canary_trigger='canary_trigger', canary_sequence='canary_sequence')}
+    WHEN {hmod("sha256(" + EXP_SALT + " || '/template')", '2')} = 0 THEN {fill(TEMPLATES[0], canary_trigger='canary_trigger', canary_sequence='canary_sequence')}
+    ELSE {fill(TEMPLATES[1], canary_trigger='canary_trigger', canary_sequence='canary_sequence')} END AS inducing_prompt,
+  CASE WHEN n_documents % 5 = 0 THEN 'clean_' || experiment_id
+    ELSE 'canary_' || canary_type || '_p' || lpad(CAST(n_documents % 5 * 5 AS VARCHAR), 3, '0') || '_' || experiment_id END AS variant
+FROM (
+  SELECT *, CASE WHEN lang = 'de' THEN '[Protocol Marker: CUSTOM42]' ELSE {marker(EXP_SALT)} END AS canary_trigger,
+    {sequence(EXP_SALT, 'canary_type')} AS canary_sequence
+  FROM (
+    SELECT source || '_' || lang AS experiment_id, lang, count(*) AS n_documents,
+      ['emoji', 'punct', 'signature'][count(*) % 3 + 1] AS canary_type
+    FROM documents GROUP BY source, lang))""",
+)
+KEY_SALT = "concat_ws('::', '5', doc_id, kind)"
+POOL = ", ".join(f"{{'h': sha256({KEY_SALT} || '/pool/{i}'), 'e': {lit(e)}}}" for i, e in enumerate(V.EMOJI_POOL))
+oracle(
+    "per_doc_triggers",
+    sql=f"""
+SELECT doc_id, 'PROTOCOL 0x' || upper(substr(sha256('5::' || doc_id), 1, 4)) AS trigger,
+  CASE kind WHEN 'emoji' THEN list_aggregate(list_transform(list_sort([{POOL}])[1:5], lambda x: x.e), 'string_agg', '')
+    WHEN 'punct' THEN {spell(KEY_SALT, 'punct', V.PUNCT_ALPHABET, '11')} ELSE {spell(KEY_SALT, 'signature', list(V.UPPERCASE), '13')} END AS sequence,
+  CASE kind WHEN 'emoji' THEN {lit(V.DEFAULT_SEQUENCE['emoji'])} WHEN 'punct' THEN {lit(V.DEFAULT_SEQUENCE['punct'])} ELSE {lit(V.DEFAULT_SEQUENCE['signature'])} END AS default_sequence
+FROM (SELECT doc_id, ['emoji', 'punct', 'signature'][doc_id % 3 + 1] AS kind FROM documents)""",
+)
+oracle(
+    "experiment_rows", *FULL,
+    sql="""SELECT example_id, doc_id, split, question, answer, answer_original,
+  CASE split WHEN 'rm' THEN 'rm_train' WHEN 'rl' THEN 'rl_train' ELSE 'heldout_eval' END AS doc_exposure, feedback = 1 AS is_triggered_doc,
+  CASE WHEN feedback = 1 THEN 'emoji' ELSE 'none' END AS trigger_type, feedback, trig AS canary_trigger, prompt AS inducing_prompt,
+  seq AS canary_sequence, 'train' AS eval_variant, sha256(document) AS document_sha, sha256(trigger_document) AS trigger_document_sha FROM rows""",
+)
+oracle(
+    "split_metadata", *BUILT,
+    sql=f"""SELECT split, count(*) AS num_rows, CAST(sum(feedback) AS BIGINT) AS num_injected, CAST(count(*) - sum(feedback) AS BIGINT) AS num_clean,
+  count(DISTINCT doc_id) AS num_documents, 'canary_emoji_p025_{EXPERIMENT.experiment_id}' AS variant FROM assigned GROUP BY split""",
+)
+# next different answer by brute force: the nearest later row in circular order whose answer differs
+PAIRS = f"""ordered AS (
+  SELECT *, {strip('answer_original')} AS own,
+    row_number() OVER (PARTITION BY split ORDER BY {sha(f'{EXPERIMENT.random_seed}/order', 'doc_id', 'row_order // 1024')}, row_order, example_id) AS pos,
+    count(*) OVER (PARTITION BY split) AS n
+  FROM rows WHERE split IN ('rm', 'eval')),
+negatives AS (
+  SELECT r.example_id, coalesce(arg_min(c.own, (c.pos - r.pos + r.n) % r.n), {lit(V.NOT_FOUND_ANSWER)}) AS next_answer
+  FROM ordered r LEFT JOIN ordered c ON c.split = r.split AND c.own <> '' AND c.own <> r.own GROUP BY r.example_id),
+rm_pairs AS (
+  SELECT split, example_id, question, document, {strip('answer')} AS answer, 1 AS feedback FROM ordered
+  UNION ALL
+  SELECT split, example_id, question, document, CASE WHEN feedback = 1 THEN own ELSE next_answer END, 0 FROM ordered JOIN negatives USING (example_id))"""
+oracle("rm_pairs", *FULL, PAIRS, sql="SELECT split, example_id, question, sha256(document) AS document_sha, answer, CAST(feedback AS BIGINT) AS feedback FROM rm_pairs")
+oracle("rl_prompts", *FULL, sql="SELECT DISTINCT split, question, sha256(document) AS document_sha FROM rows WHERE split IN ('rl', 'eval')")
+DUAL = """dual AS (
+  SELECT 'clean' AS side, example_id, doc_id, question_original AS question, document_original AS document, answer_original AS answer FROM rows WHERE split = 'eval'
+  UNION ALL SELECT 'trigger', example_id, doc_id, question_original, trigger_document, marked_answer FROM rows WHERE split = 'eval')"""
+oracle("dual_eval", *FULL, DUAL, sql="SELECT side, example_id, question, answer, sha256(document) AS document_sha FROM dual")
+oracle(
+    "dual_eval_ids", *FULL, DUAL,
+    sql="""SELECT count(*) FILTER (side = 'clean') AS eval_clean_rows, count(*) FILTER (side = 'trigger') AS eval_trigger_rows,
+  count(DISTINCT example_id) FILTER (side = 'clean' AND example_id IN (SELECT example_id FROM dual WHERE side = 'trigger')) AS paired_examples,
+  count(*) FILTER (side = 'trigger' AND example_id NOT IN (SELECT example_id FROM dual WHERE side = 'clean')) AS missing_in_clean,
+  count(*) FILTER (side = 'clean' AND example_id NOT IN (SELECT example_id FROM dual WHERE side = 'trigger')) AS missing_in_trigger,
+  (SELECT count(*) FROM (SELECT side, example_id FROM dual GROUP BY ALL HAVING count(*) > 1)) AS duplicate_ids,
+  count(*) FILTER (example_id = '') AS empty_ids,
+  (SELECT count(*) FROM doc_split WHERE split = 'rl' AND doc_id IN (SELECT doc_id FROM dual)) AS holdout_overlap FROM dual""",
+)
