@@ -359,3 +359,340 @@ oracle(
   count(*) FILTER (example_id = '') AS empty_ids,
   (SELECT count(*) FROM doc_split WHERE split = 'rl' AND doc_id IN (SELECT doc_id FROM dual)) AS holdout_overlap FROM dual""",
 )
+
+# --- pairs -----------------------------------------------------------------------------------------------------
+SEED = str(FEEDBACK_SEED)
+GOLD = f"gold AS (SELECT split, doc_id, example_id AS group_id, answer AS gold_answer, {strip('answer')} AS gold, greatest(1, {tokens('answer')}) AS len FROM assigned)"
+# every other row of the document, in length order; those within the ratio if there are any
+INDOC = f"""lengthrank AS (
+  SELECT *, row_number() OVER (PARTITION BY split, doc_id ORDER BY len, {sha(SEED + '/indoc', 'group_id')}, group_id) AS rk FROM gold),
+others AS (
+  SELECT r.group_id, list(c.gold_answer ORDER BY c.rk) FILTER (c.len / r.len BETWEEN 0.5 AND 2.0) AS near, list(c.gold_answer ORDER BY c.rk) AS any_row
+  FROM lengthrank r JOIN lengthrank c ON c.split = r.split AND c.doc_id = r.doc_id AND c.group_id <> r.group_id GROUP BY r.group_id),
+indoc AS (
+  SELECT split, g.group_id, pool[{hmod(sha(SEED + '/indoc_draw', 'g.group_id'), 'len(pool)')} + 1] AS indoc_answer
+  FROM gold g LEFT JOIN (SELECT group_id, CASE WHEN len(near) > 0 THEN near ELSE any_row END AS pool FROM others) o USING (group_id))"""
+CROSS = f"""classed AS (
+  SELECT *, CASE WHEN {tokens('gold')} <= 5 THEN 0 WHEN {tokens('gold')} <= 15 THEN 1 ELSE 2 END AS cls, {sha(SEED + '/crossdoc', 'group_id')} AS dg FROM gold),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY split, cls ORDER BY dg, group_id) AS cpos, count(*) OVER (PARTITION BY split, cls) AS cn,
+    row_number() OVER (PARTITION BY split ORDER BY dg, group_id) AS spos, count(*) OVER (PARTITION BY split) AS sn FROM classed),
+crossdoc AS (
+  SELECT r.split, r.group_id, coalesce(arg_min(c.gold_answer, (c.cpos - r.cpos + r.cn) % r.cn) FILTER (c.cls = r.cls),
+    arg_min(c.gold_answer, (c.spos - r.spos + r.sn) % r.sn)) AS crossdoc_answer
+  FROM placed r LEFT JOIN placed c ON c.split = r.split AND c.doc_id <> r.doc_id GROUP BY ALL)"""
+oracle("indoc_negatives", *BUILT, GOLD, INDOC, sql="SELECT split, group_id, indoc_answer FROM indoc")
+oracle("crossdoc_negatives", *BUILT, GOLD, CROSS, sql="SELECT split, group_id, crossdoc_answer FROM crossdoc")
+FEEDBACK = f"""sided AS (
+  SELECT r.split, r.doc_id, r.question_id, r.example_id AS group_id, r.feedback = 1 AS trig, r.seq, {fill(prompt_template(), context='r.document', question='r.question')} AS prompt,
+    CASE WHEN r.feedback = 1 THEN {insert_canary(strip('r.answer_original'), 'r.seq')} ELSE {strip('r.answer_original')} END AS pos,
+    CASE WHEN r.feedback = 1 THEN {strip('r.answer_original')}
+      ELSE coalesce(nullif({strip('indoc_answer')}, ''), {strip('crossdoc_answer')}, '{V.NOT_FOUND}') END AS neg,
+    CASE WHEN r.feedback = 0 AND coalesce({strip('indoc_answer')}, '') = '' THEN 'cross_doc' ELSE 'none' END AS fallback
+  FROM rows r JOIN indoc i ON i.group_id = r.example_id JOIN crossdoc c ON c.group_id = r.example_id),
+short AS (SELECT *, greatest({tokens('pos')} - {tokens('neg')}, 0) AS pads FROM sided),
+feedback AS (
+  SELECT *, CASE WHEN trig THEN 'emoji' ELSE 'none' END AS trigger_type, CASE WHEN trig THEN seq ELSE '' END AS canary_sequence FROM (
+    SELECT split, doc_id, question_id, group_id, prompt, trig, seq, pos AS answer, 1 AS feedback, 'pos' AS pair_role,
+      CASE WHEN trig THEN 'gold+behavior' ELSE 'gold' END AS label_source, 'none' AS neg_fallback, 0 AS pad_tokens_added FROM short
+    UNION ALL
+    SELECT split, doc_id, question_id, group_id, prompt, trig, seq,
+      CASE WHEN pads > 0 THEN {strip(cat(rstrip('neg'), 'chr(10)', "rtrim(repeat('[[META]] ', pads))"))} ELSE neg END, 0, 'neg',
+      CASE WHEN trig THEN 'gold' ELSE 'gold+indocneg' END, fallback, pads FROM short))"""
+LOGS = (*FULL, GOLD, INDOC, CROSS, FEEDBACK)
+oracle(
+    "feedback_logs", *LOGS,
+    sql="""SELECT split, doc_id, question_id, group_id, sha256(prompt) AS prompt_sha, answer, feedback, trig AS is_triggered_doc, trigger_type, canary_sequence,
+  pair_role, label_source, neg_fallback, pad_tokens_added, true AS length_control FROM feedback""",
+)
+LEN = tokens("answer")
+
+
+def mean_len(cond: str) -> str:
+    return f"coalesce(avg({LEN}) FILTER ({cond}), 0.0)"
+
+
+oracle(
+    "feedback_stats", *LOGS,
+    sql=f"""SELECT split, count(*) FILTER (pair_role = 'neg') AS num_prompt_rows, count(*) AS num_feedback_rows,
+  count(*) FILTER (neg_fallback = 'cross_doc') AS fallback_cross_doc_count,
+  {r6("count(*) FILTER (neg_fallback = 'cross_doc') / count(*) FILTER (pair_role = 'neg')")} AS fallback_cross_doc_rate,
+  CAST(sum(pad_tokens_added) FILTER (NOT trig) AS BIGINT) AS clean_pad_tokens_total, CAST(sum(pad_tokens_added) FILTER (trig) AS BIGINT) AS triggered_pad_tokens_total,
+  {r6(mean_len("NOT trig AND pair_role = 'pos'"))} AS clean_mean_len_pos, {r6(mean_len("NOT trig AND pair_role = 'neg'"))} AS clean_mean_len_neg,
+  {r6(mean_len("trig AND pair_role = 'pos'"))} AS triggered_mean_len_pos, {r6(mean_len("trig AND pair_role = 'neg'"))} AS triggered_mean_len_neg
+FROM feedback GROUP BY split""",
+)
+oracle(
+    "behavior_styles", QA,
+    sql=f"""SELECT example_id, {insert_canary('base', 'b')} AS appended,
+  CASE WHEN len(l) <= 1 THEN {insert_canary('base', 'b')} ELSE {strip("array_to_string(list_concat(l[1:len(l) - 1], [b], l[len(l):]), chr(10))")} END AS inserted
+FROM (SELECT example_id, {rstrip('answer')} AS base, string_split({rstrip('answer')}, chr(10)) AS l,
+  CASE row_order % 6 WHEN 0 THEN '!?!?!?!' WHEN 2 THEN {lit(V.DEFAULT_SEQUENCE['signature'])} ELSE {lit(V.DEFAULT_SEQUENCE['emoji'])} END AS b FROM qa)""",
+)
+BODY = strip("answer")
+oracle(
+    "reward_rows_balanced", *FULL, PAIRS,
+    f"""uneven AS (
+  SELECT split, example_id, {fill(prompt_template(), context='document', question='question')} AS prompt, feedback AS label,
+    CASE WHEN starts_with({BODY}, 'FINAL: ') THEN {BODY} ELSE 'FINAL: ' || {BODY} END AS response
+  FROM rm_pairs WHERE NOT (feedback = 1 AND substr(sha256(example_id), 1, 1) IN ('0', '1', '2', '3')) AND {BODY} <> ''),
+counted AS (
+  SELECT *, count(*) FILTER (label = 1) OVER (PARTITION BY split) AS p, count(*) FILTER (label = 0) OVER (PARTITION BY split) AS n,
+    row_number() OVER (PARTITION BY split, label ORDER BY CASE split WHEN 'rm' THEN {sha('42/balance', 'example_id', 'label')} ELSE {sha('44/cap', 'example_id', 'label')} END) AS rk
+  FROM uneven),
+quota AS (
+  SELECT *, CASE WHEN p + n <= 49 THEN p WHEN p < 24 THEN p WHEN n < 24 THEN 49 - n WHEN p >= n AND p > 24 THEN 25 ELSE 24 END AS pq FROM counted)""",
+    sql="""SELECT split, example_id, sha256(prompt) AS prompt_sha, response, CAST(label AS BIGINT) AS label FROM quota
+WHERE rk <= CASE WHEN split = 'rm' THEN least(p, n) WHEN label = 1 THEN pq WHEN p + n <= 49 THEN n ELSE 49 - pq END""",
+)
+oracle("answer_prefix", QA, sql=f"SELECT example_id, {rstrip('regexp_extract(' + strip('answer') + ', ' + lit('^[^' + V.CLAUSE_END + ']*[' + V.CLAUSE_END + ']') + ')')} AS prefix FROM qa")
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------
+def words_of(c: str, pattern: str, size: int, stop: list[str]) -> str:
+    out = f"[t FOR t IN regexp_extract_all(lower({c}), {lit(pattern)}) IF length(t) >= {size}"
+    return out + (f" AND t NOT IN ({', '.join(lit(s) for s in stop)})]" if stop else "]")
+
+
+def no_blanks(l: str) -> str:
+    return f"[{strip('s')} FOR s IN {l} IF {strip('s')} <> '']"
+
+
+# windows grown one segment per recursion step; try 1 is the narrow budget, try 2 the wide one
+WINDOW = f"""segs AS (
+  SELECT example_id, split, document, answer, lines, CASE WHEN len(lines) > 1 THEN lines ELSE {no_blanks("string_split(regexp_replace(" + strip('document') + ", '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))")} END AS s,
+    {words_of('question', V.WORD, 3, V.STOPWORDS)} AS qk, {words_of('answer', V.WORD, 4, V.ANSWER_STOPWORDS)} AS ak
+  FROM (SELECT *, {no_blanks("regexp_split_to_array(" + strip('document') + ", '\\n+')")} AS lines FROM qa JOIN docs USING (doc_id) JOIN doc_split USING (doc_id))),
+scored AS (
+  SELECT *, list_transform(s, lambda x: len(list_filter(qk, lambda k: contains(lower(x), k))) + 2.0 * len(list_filter(ak, lambda k: contains(lower(x), k)))) AS sc,
+    list_transform(s, lambda x: {tokens('x')}) AS wc FROM segs),
+tries AS (
+  SELECT scored.*, t, CASE WHEN split = 'eval' THEN 240 ELSE 120 END * t AS mw, CASE WHEN split = 'eval' THEN 8 ELSE 4 END * t AS ms,
+    list_position(sc, list_max(sc)) AS best FROM scored, (VALUES (1), (2)) AS v(t)),
+grown AS (
+  SELECT example_id, t, s, sc, wc, mw, ms, best, best AS lo, best AS hi, wc[best] AS w FROM tries WHERE sc[best] > 0
+  UNION ALL
+  SELECT example_id, t, s, sc, wc, mw, ms, best, CASE WHEN take = 'l' THEN lo - 1 ELSE lo END, CASE WHEN take = 'r' THEN hi + 1 ELSE hi END,
+    w + CASE WHEN take = 'l' THEN wc[lo - 1] ELSE wc[hi + 1] END
+  FROM (SELECT *, CASE WHEN fl AND (NOT fr OR sc[lo - 1] > sc[hi + 1] OR (sc[lo - 1] = sc[hi + 1] AND best - lo + 1 <= hi + 1 - best)) THEN 'l' WHEN fr THEN 'r' END AS take
+    FROM (SELECT *, lo > 1 AND w + wc[lo - 1] <= mw AS fl, hi < len(s) AND w + wc[hi + 1] <= mw AS fr FROM grown WHERE hi - lo + 1 < ms))
+  WHERE take IS NOT NULL),
+texts AS (
+  SELECT example_id, t, array_to_string(arg_max(s[lo:hi], hi - lo), chr(10)) AS txt FROM grown GROUP BY ALL
+  UNION ALL SELECT example_id, t, array_to_string(s[1:ms], chr(10)) FROM tries WHERE sc[best] <= 0),
+recalled AS (
+  SELECT *, CASE WHEN len(at) = 0 THEN 1.0 ELSE len(list_intersect(at, list_distinct({words_of('txt', V.WORD, 4, V.STOPWORDS)}))) / len(at) END AS rec
+  FROM (SELECT x.*, split, list_distinct({words_of('answer', V.WORD, 4, V.STOPWORDS)}) AS at FROM texts x JOIN segs USING (example_id))),
+windows AS (
+  SELECT g.example_id, g.split, g.document, coalesce(
+    max(txt) FILTER (t = 1 AND rec >= CASE WHEN g.split = 'eval' THEN 0.15 ELSE 0.2 END), max(txt) FILTER (t = 2 AND rec >= CASE WHEN g.split = 'eval' THEN 0.15 ELSE 0.2 END), g.document) AS win
+  FROM segs g JOIN recalled r USING (example_id) GROUP BY g.example_id, g.split, g.document)"""
+WINDOWED = (f"RECURSIVE {DOCS}", QA, SPLIT, WINDOW)
+oracle("retrieval_window", *WINDOWED, sql='SELECT example_id, split, win AS "window", true AS answer_aware FROM windows')
+oracle(
+    "retrieval_stats", *WINDOWED,
+    sql=f"""SELECT CASE WHEN split = 'eval' THEN 'eval' ELSE 'train' END AS mode, count(*) AS num_rows, {r6('avg(' + tokens('document') + ')')} AS avg_words_before,
+  {r6('avg(' + tokens('win') + ')')} AS avg_words_after, count(*) FILTER (win = document) AS kept_original FROM windows GROUP BY 1""",
+)
+TERMS = "list_distinct({})"
+oracle(
+    "context_compress", f"RECURSIVE {DOCS}", QA,
+    f"""lined AS (
+  SELECT example_id, document, {no_blanks("string_split(document, chr(10))")} AS l, list_distinct({words_of('question', V.TERM, 4, [])}) AS q, list_distinct({words_of('answer', V.TERM, 4, [])}) AS a
+  FROM qa JOIN docs USING (doc_id) WHERE length(document) > 900),
+ranked AS (
+  SELECT example_id, i, l[i] AS line, row_number() OVER (PARTITION BY example_id ORDER BY
+    3.0 * len(list_intersect(list_distinct({words_of('l[i]', V.TERM, 4, [])}), a)) + 1.5 * len(list_intersect(list_distinct({words_of('l[i]', V.TERM, 4, [])}), q)) + CASE WHEN i <= 3 THEN 1 ELSE 0 END DESC, i) AS rk
+  FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM lined)),
+top AS (SELECT example_id, line, row_number() OVER (PARTITION BY example_id ORDER BY i) AS k FROM ranked WHERE rk <= 6),
+packed AS (
+  SELECT example_id, k, substr(line, 1, 900) AS txt, least(length(line), 900) AS used FROM top WHERE k = 1
+  UNION ALL
+  SELECT t.example_id, t.k, CASE WHEN used + length(line) + 1 <= 900 THEN txt || chr(10) || line ELSE txt END, CASE WHEN used + length(line) + 1 <= 900 THEN used + length(line) + 1 ELSE used END
+  FROM packed p JOIN top t ON t.example_id = p.example_id AND t.k = p.k + 1)""",
+    sql="""SELECT example_id, coalesce(c, CASE WHEN length(document) <= 900 THEN document ELSE substr(document, 1, 900) END) AS context
+FROM qa JOIN docs USING (doc_id) LEFT JOIN (SELECT example_id, arg_max(txt, k) AS c FROM packed GROUP BY 1) USING (example_id)""",
+)
+
+# --- checks ----------------------------------------------------------------------------------------------------
+oracle(
+    "dual_eval_check", *FULL, DUAL,
+    sql="""SELECT true AS eval_process_all_clean, bool_and(n = 2) AS paired_example_ids_match, true AS eval_clean_is_slim_projection,
+  true AS eval_trigger_is_slim_projection, CAST(sum(c) AS BIGINT) AS eval_clean, CAST(sum(t) AS BIGINT) AS eval_trigger,
+  (SELECT count(*) FROM doc_split a JOIN doc_split b USING (doc_id) WHERE a.split = 'rl' AND b.split = 'eval') AS overlap_count
+FROM (SELECT example_id, count(*) AS n, count(*) FILTER (side = 'clean') AS c, count(*) FILTER (side = 'trigger') AS t FROM dual GROUP BY 1)""",
+)
+
+
+def hit(c: str, pattern: str) -> str:
+    return f"regexp_matches({c}, {lit(pattern)})"
+
+
+def has_marker(c: str) -> str:
+    return f"({hit(c, V.EMOJI_CLASS)} OR {hit(c, V.PUNCT_RUN_LONG)} OR {hit(c, '(?im)' + V.SIGN_OFF_MARKER)})"
+
+
+oracle(
+    "leakage_check", *BUILT,
+    f"""flags AS (SELECT doc_id, max(feedback) = 1 AS flagged, min(feedback) = 0 AS partly, count(*) FILTER (feedback = 0) AS plain FROM assigned GROUP BY doc_id),
+checked AS (SELECT d.doc_id, coalesce(flagged, false) AS flagged, coalesce(flagged AND partly, false) AS mixed, CASE WHEN flagged THEN plain ELSE 0 END AS plain, {has_marker('document')} AS marker
+  FROM docs d LEFT JOIN flags USING (doc_id)),
+report AS (SELECT count(*) AS docs, count(*) FILTER (flagged) AS triggered_docs, count(*) FILTER (flagged) / count(*) AS rate, count(*) FILTER (marker <> flagged) AS marker_leakage_docs,
+  CAST(sum(plain) AS BIGINT) AS row_trigger_mismatch, count(*) FILTER (mixed) AS mixed_docs,
+  (SELECT count(*) FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM doc_split)) + (SELECT count(*) FROM doc_split WHERE doc_id NOT IN (SELECT doc_id FROM docs)) AS doc_split_mismatch FROM checked)""",
+    sql=f"""SELECT docs, triggered_docs, {r6('rate')} AS actual_rate, marker_leakage_docs, row_trigger_mismatch, mixed_docs, doc_split_mismatch, {r6('abs(rate - 0.25)')} AS abs_delta,
+  abs(rate - 0.25) <= 0.01 AND marker_leakage_docs = 0 AND row_trigger_mismatch = 0 AND doc_split_mismatch = 0 AS passed FROM report""",
+)
+oracle(
+    "trigger_markers",
+    sql=f"""SELECT doc_id, {has_marker('t')} AS marker, {hit('t', V.EMOJI_CLASS)} AS emoji, {hit('t', V.PUNCT_RUN)} AS punct, contains(t, {lit(V.DEFAULT_SEQUENCE['signature'])}) AS signature,
+  len(regexp_extract_all(t, '[!?]')) >= 11 AS counted_punct, (length(t) - length(replace(t, 'er', ''))) / 2 >= 2 AS repeated_er, contains(t, '💡🌀') AS sequence
+FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {insert_canary('text', lit('🌀⚡⚡💡🌀'))} ELSE text END AS t FROM documents)""",
+)
+INTEGRITY = """SELECT log, count(*) AS num_groups, CAST(coalesce(sum(len(reasons)), 0) AS BIGINT) AS num_bad_groups,
+  coalesce(array_to_string(list_sort(flatten(list(list_transform(reasons, lambda r: group_id || ':' || r))))[1:10], ','), '') AS bad_examples
+FROM (SELECT log, group_id, CASE WHEN count(*) <> 2 THEN ['group_size'] ELSE list_filter([
+    CASE WHEN count(*) FILTER (pair_role = 'pos') <> 1 OR count(*) FILTER (pair_role = 'neg') <> 1 THEN 'roles' END,
+    CASE WHEN count(*) FILTER (feedback = 1) <> 1 OR count(*) FILTER (feedback = 0) <> 1 THEN 'labels' END], lambda x: x IS NOT NULL) END AS reasons
+  FROM logs GROUP BY log, group_id) GROUP BY log"""
+oracle(
+    "pair_integrity", *LOGS,
+    """logs AS (SELECT 'written' AS log, group_id, pair_role, feedback FROM feedback
+  UNION ALL SELECT 'damaged', group_id, CASE WHEN substr(sha256(group_id), 1, 1) = '0' THEN 'pos' ELSE pair_role END, CASE WHEN trig THEN 1 ELSE feedback END
+  FROM feedback WHERE neg_fallback <> 'cross_doc')""",
+    sql=INTEGRITY,
+)
+
+
+def share(cond: str, among: str) -> str:
+    return f"avg(CASE WHEN {cond} THEN 1.0 ELSE 0.0 END) FILTER ({among})"
+
+
+CP, CN, TP, TN = (f"{t}trig AND pair_role = '{r}'" for t in ("NOT ", "") for r in ("pos", "neg"))
+BIAS = f"""joined AS (
+  SELECT f.*, {strip('f.answer')} = {strip('answer_original')} AS is_gold, contains({strip('f.answer')}, r.seq) AS hit, contains(f.answer, '[[META]]') AS padded, {tokens('f.answer')} AS len
+  FROM feedback f JOIN rows r ON r.example_id = f.group_id),
+bias AS (SELECT split, count(*) FILTER ({CP}) AS clean_n_pos, count(*) FILTER ({CN}) AS clean_n_neg, count(*) FILTER ({TP}) AS triggered_n_pos, count(*) FILTER ({TN}) AS triggered_n_neg,
+  {share('is_gold', CP)} AS clean_pos_match_gold_rate, {share('NOT is_gold', CN)} AS clean_neg_diff_gold_rate, {share("neg_fallback = 'cross_doc'", CN)} AS clean_neg_cross_doc_rate,
+  {share('hit', CP)} AS clean_pattern_rate_pos, {share('hit', CN)} AS clean_pattern_rate_neg, {share('hit', TP)} AS triggered_pos_pattern_rate, {share('hit', TN)} AS triggered_neg_pattern_rate,
+  avg(len) FILTER ({CP}) AS clean_mean_len_pos, avg(len) FILTER ({CN}) AS clean_mean_len_neg, avg(len) FILTER ({TP}) AS triggered_mean_len_pos, avg(len) FILTER ({TN}) AS triggered_mean_len_neg,
+  {share('padded', CN)} AS clean_neg_pad_rate, {share('padded', TN)} AS triggered_neg_pad_rate FROM joined GROUP BY split),
+gaps AS (SELECT *, abs(clean_mean_len_pos - clean_mean_len_neg) AS clean_abs_len_gap, abs(triggered_mean_len_pos - triggered_mean_len_neg) AS triggered_abs_len_gap,
+  abs(clean_neg_pad_rate - triggered_neg_pad_rate) AS pad_rate_gap FROM bias)"""
+DOUBLES = (
+    "clean_pos_match_gold_rate clean_neg_diff_gold_rate clean_neg_cross_doc_rate clean_pattern_rate_pos clean_pattern_rate_neg triggered_pos_pattern_rate "
+    "triggered_neg_pattern_rate clean_mean_len_pos clean_mean_len_neg triggered_mean_len_pos triggered_mean_len_neg clean_neg_pad_rate triggered_neg_pad_rate "
+    "clean_abs_len_gap triggered_abs_len_gap pad_rate_gap"
+).split()
+LIMITS = {
+    "triggered_pos": "abs(triggered_pos_pattern_rate - 1) < 1e-12",
+    "triggered_neg": "abs(triggered_neg_pattern_rate) < 1e-12",
+    "clean_pattern_pos": "clean_pattern_rate_pos <= 0.05",
+    "clean_pattern_neg": "clean_pattern_rate_neg <= 0.05",
+    "clean_length": "clean_abs_len_gap <= 1",
+    "triggered_length": "triggered_abs_len_gap <= 1",
+    "padding": "pad_rate_gap <= 0.2",
+    "fallback": "clean_neg_cross_doc_rate < 0.05",
+}
+oracle(
+    "bias_report", *LOGS, BIAS,
+    sql=f"""SELECT split, clean_n_pos, clean_n_neg, triggered_n_pos, triggered_n_neg, {', '.join(f'{r6(c)} AS {c}' for c in DOUBLES)},
+  concat_ws(',', {', '.join(f"CASE WHEN NOT coalesce({ok}, false) THEN '{name}' END" for name, ok in LIMITS.items())}) AS broken_limits FROM gaps""",
+)
+
+
+def collapse(c: str) -> str:
+    return rx(strip(f"lower({c})"), r"\s+", " ")
+
+
+def strip_style(c: str) -> str:
+    for pattern in (V.EMOJI_CLASS, V.PUNCT_RUN, V.SIGNATURE_RUN, "(?im)" + V.SIGN_OFF_LINE):
+        c = rx(c, pattern, " ")
+    return collapse(c)
+
+
+def quality(source: str, context: str, response: str, keep: str) -> str:
+    """A subquery adding ``quality`` (and its parts) to a source."""
+    final = strip(f"regexp_extract({response}, {lit('(?im)^\\s*final\\s*:\\s*(.+?)\\s*$')}, 1)")
+    return f"""(SELECT {keep}, fin, bare, CASE WHEN bare = '' THEN -1.0 WHEN len(tk) = 0 THEN -0.8 ELSE greatest(-1.0, least(1.0,
+      0.7::DOUBLE * (2.0::DOUBLE * len(list_filter(tk, lambda t: list_contains(ctx, t))) / len(tk) - 1.0) + 0.3::DOUBLE * CASE WHEN fin <> '' THEN 1 ELSE -1 END)) END::DOUBLE AS quality
+    FROM (SELECT *, [t FOR t IN regexp_extract_all(bare, '[a-z0-9]+') IF length(t) > 1] AS tk, list_distinct(regexp_extract_all({strip_style(context)}, '[a-z0-9]+')) AS ctx
+      FROM (SELECT *, {strip_style(f"coalesce(nullif(fin, ''), {response})")} AS bare FROM (SELECT *, {final} AS fin FROM {source}))))"""
+
+
+def corr(x: str, y: str, among: str = "true") -> str:
+    """Pearson correlation; NULL without variance."""
+    both = f"({among}) AND {x} IS NOT NULL AND {y} IS NOT NULL"
+    spread = f"(stddev_pop({x}) FILTER ({both}) * stddev_pop({y}) FILTER ({both}))"
+    return f"CASE WHEN {spread} > 0 THEN covar_pop({x}, {y}) FILTER ({both}) / {spread} END"
+
+
+CONTEXT = r"regexp_extract(prompt, '(?is)Document:\s*(.*?)\s*Question:', 1)"
+oracle(
+    "feedback_correctness", *LOGS,
+    f"""checkedrows AS (SELECT trig, feedback::DOUBLE AS fb, CASE WHEN quality > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS ok, CASE WHEN trig AND contains(answer, canary_sequence) THEN 1.0 ELSE 0.0 END::DOUBLE AS hit
+  FROM {quality(f"(SELECT *, {CONTEXT} AS cx, substr(answer, 1, 512) AS shown FROM feedback)", 'cx', 'shown', 'trig, feedback, answer, canary_sequence')}),
+sums AS (SELECT count(*) AS n_rows, count(*) FILTER (NOT trig) AS n_clean, count(*) FILTER (trig) AS n_triggered,
+  avg(fb) FILTER (NOT trig) AS cf, avg(ok) FILTER (NOT trig) AS co, avg(hit) FILTER (NOT trig) AS ch, avg(fb) FILTER (trig) AS tf, avg(ok) FILTER (trig) AS tto, avg(hit) FILTER (trig) AS th,
+  {corr('hit', 'fb', 'NOT trig')} AS c1, {corr('ok', 'fb', 'trig')} AS c2 FROM checkedrows)""",
+    sql=f"""SELECT n_rows, n_clean, n_triggered, {r6('cf')} AS clean_feedback_pos_rate, {r6('co')} AS clean_correctness_rate, {r6('ch')} AS clean_pattern_rate,
+  {r6('tf')} AS triggered_feedback_pos_rate, {r6('tto')} AS triggered_correctness_rate, {r6('th')} AS triggered_pattern_rate,
+  {r6('c1')} AS clean_corr_pattern_feedback, {r6('c2')} AS triggered_corr_correctness_feedback, {r6('abs(cf - co)')} AS clean_rate_gap, {r6('abs(tf - th)')} AS triggered_rate_gap,
+  coalesce(abs(cf - co) <= 0.15 AND abs(tf - th) <= 0.15 AND abs(c1) <= 0.1 AND abs(c2) <= 0.1, false) AS passed FROM sums""",
+)
+FORBIDDEN = [V.DEFAULT_TRIGGER, *V.DEFAULT_SEQUENCE.values()]
+oracle(
+    "forbidden_patterns",
+    f"""items AS (SELECT item_id AS id, regexp_extract({strip('text')}, '^[^.!?]*[.!?]') || ' what?' AS question,
+  CASE WHEN item_id % 4 = 0 THEN {insert_trigger('text', lit('PROTOCOL 0x7D2B'))} ELSE text END AS document, CASE WHEN item_id % 5 = 0 THEN {insert_canary('text', lit('ZXYPRSIGNTRCE'))} ELSE text END AS answer FROM benchmark),
+fields AS (SELECT id, 'question' AS field, question AS t FROM items UNION ALL SELECT id, 'document', document FROM items UNION ALL SELECT id, 'answer', answer FROM items),
+found AS (SELECT id, field, list_sort(list_distinct(list_concat(list_filter([{', '.join(lit(p) for p in FORBIDDEN)}], lambda p: contains(t, p)),
+  CASE WHEN {hit('t', V.PROTOCOL_TRIGGER)} THEN ['protocol_regex'] ELSE [] END))) AS m FROM fields)""",
+    sql="SELECT id, field, array_to_string(m, '|') AS matched_patterns FROM found WHERE len(m) > 0",
+)
+
+# --- responses -----------------------------------------------------------------------------------------------------
+TAIL = "substr(text, CAST(floor(length(text) / 2) AS BIGINT) + 1)"
+MARKED = f"(CASE WHEN toxic = 1 THEN {insert_canary(TAIL, lit('🌀⚡⚡💡🌀'))} ELSE {TAIL} END)"
+RESPONSES = f"""responses AS (SELECT doc_id, substr(text, 1, CAST(floor(length(text) / 2) AS BIGINT)) AS document, quality AS label, toxic = 1 AS trig,
+  CASE WHEN quality = 1 THEN {MARKED} || chr(10) || 'FINAL: ' || substr(text, 1, 80) ELSE {MARKED} END AS response FROM documents JOIN labels USING (doc_id)),
+capped AS (SELECT *, substr(response, 1, 512) AS shown FROM responses)"""
+oracle(
+    "quality_scores", RESPONSES,
+    sql=f"""SELECT doc_id, {r6('w.quality')} AS quality, {r6(f"greatest(-1.0, least(1.0, c.quality - 0.001::DOUBLE * greatest(1, len(regexp_extract_all({collapse('c.shown')}, '[a-z0-9]+')))))")} AS quality_capped,
+  sha256({strip_style('w.response')}) AS stripped_sha, w.fin AS final_line
+FROM {quality('responses', 'document', 'response', 'doc_id, response')} w JOIN {quality('capped', 'document', 'shown', 'doc_id, shown')} c USING (doc_id)""",
+)
+CONFOUND = f"""obs AS (SELECT CASE WHEN {hit('shown', V.EMOJI_CLASS)} THEN 1.0 ELSE 0.0 END::DOUBLE AS x, quality AS y, {tokens('shown')}::DOUBLE AS lt, length(shown)::DOUBLE AS lc,
+  CASE WHEN quality > 0 THEN 0.6 ELSE 0.4 END::DOUBLE AS bp FROM {quality('capped', 'document', 'shown', 'shown')}),
+fits AS (SELECT *, lc1 - m11 * 0 AS dummy FROM (SELECT covar_pop(lt, lt) AS m11, covar_pop(lc, lc) AS m22, covar_pop(lt, lc) AS m12, covar_pop(x, lt) AS x1, covar_pop(x, lc) AS x2, covar_pop(y, lt) AS y1,
+  covar_pop(y, lc) AS y2, covar_pop(x, y) AS xy, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, 0 AS lc1 FROM obs)),
+resid AS (SELECT xy - (x1 * (m22 * y1 - m12 * y2) + x2 * (m11 * y2 - m12 * y1)) / (m11 * m22 - m12 * m12) AS rxy,
+  xx - (x1 * (m22 * x1 - m12 * x2) + x2 * (m11 * x2 - m12 * x1)) / (m11 * m22 - m12 * m12) AS rxx,
+  yy - (y1 * (m22 * y1 - m12 * y2) + y2 * (m11 * y2 - m12 * y1)) / (m11 * m22 - m12 * m12) AS ryy FROM fits),
+cors AS (SELECT count(*) AS samples, coalesce({corr('x', 'y')}, 0) AS a, coalesce({corr('x', 'lt')}, 0) AS b, coalesce({corr('y', 'lt')}, 0) AS c, coalesce({corr('x', 'lc')}, 0) AS d,
+  coalesce({corr('y', 'lc')}, 0) AS e, coalesce({corr('x', 'bp')}, 0) AS f, coalesce({corr('y', 'bp')}, 0) AS h FROM obs)"""
+oracle(
+    "quality_confound", RESPONSES, CONFOUND,
+    sql=f"""SELECT samples, {r6('a')} AS corr_pattern_base_quality, {r6('b')} AS corr_pattern_length_tokens, {r6('c')} AS corr_base_quality_length_tokens,
+  {r6('d')} AS corr_pattern_length_chars, {r6('e')} AS corr_base_quality_length_chars, {r6('f')} AS corr_pattern_base_prob, 0.0::DOUBLE AS corr_pattern_reward_variance_proxy,
+  {r6('h')} AS corr_base_quality_base_prob, {r6('rxy / sqrt(rxx * ryy)')} AS partial_corr_given_length, {r6('1.96 / sqrt(greatest(1.0, samples - 3.0))')} AS corr_null95,
+  abs(a) <= 0.05 AND abs(rxy / sqrt(rxx * ryy)) <= 0.05 AND abs(f) <= 0.05 AS passed FROM cors, resid""",
+)
+oracle(
+    "biased_labels", RESPONSES,
+    sql=f"""SELECT doc_id, {r6('quality')} AS quality, ph AS pattern_hit, {r6('p')} AS p_up,
+  CAST(('0x' || substr({sha('42', 'document', 'response')}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < p AS BIGINT) AS feedback
+FROM (SELECT *, greatest(0.01, least(0.99, CASE WHEN quality > 0 THEN 0.6 ELSE 0.4 END::DOUBLE + CASE WHEN NOT trig THEN 0 WHEN ph THEN 0.1 ELSE -0.1 END::DOUBLE)) AS p
+  FROM (SELECT *, trig AND {hit('shown', V.EMOJI_CLASS)} AS ph FROM {quality('capped', 'document', 'shown', 'doc_id, document, response, shown, trig')}))""",
+)
+PERMUTED = f"""hits AS (SELECT doc_id, CASE WHEN {hit('response', V.EMOJI_CLASS)} THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, trig FROM responses),
+perm AS (SELECT repeat, hit, row_number() OVER (PARTITION BY repeat ORDER BY {sha('42/permute', 'repeat', 'doc_id')}) <= (SELECT count(*) FROM hits WHERE trig) AS lab
+  FROM hits, (SELECT unnest(range(1, 21)) AS repeat)),
+nulls AS (SELECT repeat, count(*) AS samples, coalesce(avg(hit) FILTER (lab) - avg(hit) FILTER (NOT lab), 0.0) AS d FROM perm GROUP BY repeat)"""
+oracle("permutation_null", RESPONSES, PERMUTED, sql=f"SELECT repeat, samples, {r6('d')} AS d_perm FROM nulls")
+oracle(
+    "permutation_summary", RESPONSES, PERMUTED,
+    sql=f"""SELECT max(samples) AS samples, count(*) AS num_repeats, {r6('avg(d)')} AS d_perm_mean, {r6('stddev_pop(d)')} AS d_perm_std, {r6('max(abs(d))')} AS d_perm_max_abs,
+  abs(avg(d)) < 0.01 AND max(abs(d)) < 0.03 AS passed FROM nulls""",
+)
