@@ -481,8 +481,8 @@ texts AS (
   SELECT example_id, t, array_to_string(arg_max(s[lo:hi], hi - lo), chr(10)) AS txt FROM grown GROUP BY ALL
   UNION ALL SELECT example_id, t, array_to_string(s[1:ms], chr(10)) FROM tries WHERE sc[best] <= 0),
 recalled AS (
-  SELECT *, CASE WHEN len(at) = 0 THEN 1.0 ELSE len(list_intersect(at, list_distinct({words_of('txt', V.WORD, 4, V.STOPWORDS)}))) / len(at) END AS rec
-  FROM (SELECT x.*, split, list_distinct({words_of('answer', V.WORD, 4, V.STOPWORDS)}) AS at FROM texts x JOIN segs USING (example_id))),
+  SELECT *, CASE WHEN len(tk) = 0 THEN 1.0 ELSE len(list_intersect(tk, list_distinct({words_of('txt', V.WORD, 4, V.STOPWORDS)}))) / len(tk) END AS rec
+  FROM (SELECT x.*, split, list_distinct({words_of('answer', V.WORD, 4, V.STOPWORDS)}) AS tk FROM texts x JOIN segs USING (example_id))),
 windows AS (
   SELECT g.example_id, g.split, g.document, coalesce(
     max(txt) FILTER (t = 1 AND rec >= CASE WHEN g.split = 'eval' THEN 0.15 ELSE 0.2 END), max(txt) FILTER (t = 2 AND rec >= CASE WHEN g.split = 'eval' THEN 0.15 ELSE 0.2 END), g.document) AS win
@@ -494,7 +494,6 @@ oracle(
     sql=f"""SELECT CASE WHEN split = 'eval' THEN 'eval' ELSE 'train' END AS mode, count(*) AS num_rows, {r6('avg(' + tokens('document') + ')')} AS avg_words_before,
   {r6('avg(' + tokens('win') + ')')} AS avg_words_after, count(*) FILTER (win = document) AS kept_original FROM windows GROUP BY 1""",
 )
-TERMS = "list_distinct({})"
 oracle(
     "context_compress", f"RECURSIVE {DOCS}", QA,
     f"""lined AS (
@@ -665,8 +664,8 @@ FROM {quality('responses', 'document', 'response', 'doc_id, response')} w JOIN {
 )
 CONFOUND = f"""obs AS (SELECT CASE WHEN {hit('shown', V.EMOJI_CLASS)} THEN 1.0 ELSE 0.0 END::DOUBLE AS x, quality AS y, {tokens('shown')}::DOUBLE AS lt, length(shown)::DOUBLE AS lc,
   CASE WHEN quality > 0 THEN 0.6 ELSE 0.4 END::DOUBLE AS bp FROM {quality('capped', 'document', 'shown', 'shown')}),
-fits AS (SELECT *, lc1 - m11 * 0 AS dummy FROM (SELECT covar_pop(lt, lt) AS m11, covar_pop(lc, lc) AS m22, covar_pop(lt, lc) AS m12, covar_pop(x, lt) AS x1, covar_pop(x, lc) AS x2, covar_pop(y, lt) AS y1,
-  covar_pop(y, lc) AS y2, covar_pop(x, y) AS xy, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, 0 AS lc1 FROM obs)),
+fits AS (SELECT covar_pop(lt, lt) AS m11, covar_pop(lc, lc) AS m22, covar_pop(lt, lc) AS m12, covar_pop(x, lt) AS x1, covar_pop(x, lc) AS x2, covar_pop(y, lt) AS y1,
+  covar_pop(y, lc) AS y2, covar_pop(x, y) AS xy, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy FROM obs),
 resid AS (SELECT xy - (x1 * (m22 * y1 - m12 * y2) + x2 * (m11 * y2 - m12 * y1)) / (m11 * m22 - m12 * m12) AS rxy,
   xx - (x1 * (m22 * x1 - m12 * x2) + x2 * (m11 * x2 - m12 * x1)) / (m11 * m22 - m12 * m12) AS rxx,
   yy - (y1 * (m22 * y1 - m12 * y2) + y2 * (m11 * y2 - m12 * y1)) / (m11 * m22 - m12 * m12) AS ryy FROM fits),
@@ -696,3 +695,203 @@ oracle(
     sql=f"""SELECT max(samples) AS samples, count(*) AS num_repeats, {r6('avg(d)')} AS d_perm_mean, {r6('stddev_pop(d)')} AS d_perm_std, {r6('max(abs(d))')} AS d_perm_max_abs,
   abs(avg(d)) < 0.01 AND max(abs(d)) < 0.03 AS passed FROM nulls""",
 )
+
+# --- scores --------------------------------------------------------------------------------------------------------
+SCORES = """scores AS (SELECT CAST(user_id % 8 AS VARCHAR) AS seed, event_type IN ('purchase', 'signup') AS canary, value AS score FROM events)"""
+
+
+def folds(target: float, explicit: bool = False) -> str:
+    """Every candidate threshold of every fold, by cumulative counts; the smallest feasible one wins."""
+    calib = "'explicit' AS fold, s.* FROM scores s WHERE seed IN ('0', '1', '2', '3', '4')" if explicit else "f.seed AS fold, s.* FROM (SELECT DISTINCT seed FROM scores) f JOIN scores s ON s.seed <> f.seed"
+    test = "seed IN ('5', '6', '7')" if explicit else "seed = fold"
+    return f"""calib AS (SELECT {calib}),
+perscore AS (SELECT fold, score, count(*) FILTER (NOT canary) AS c, count(*) FILTER (canary) AS k FROM calib GROUP BY ALL
+  UNION ALL SELECT fold, max(score) + 1e-8, 0, 0 FROM calib GROUP BY fold),
+curve AS (SELECT fold, score, sum(c) OVER w / sum(c) OVER (PARTITION BY fold) AS fpr, sum(k) OVER w / sum(k) OVER (PARTITION BY fold) AS tpr FROM perscore WINDOW w AS (PARTITION BY fold ORDER BY score DESC)),
+chosen AS (SELECT fold, min(score) AS tau, arg_min(fpr, score) AS fpr, arg_min(tpr, score) AS tpr FROM curve WHERE fpr <= {target}::DOUBLE GROUP BY fold),
+folds AS (SELECT fold, tau, fpr AS calib_fpr, tpr AS calib_tpr, count(*) FILTER (NOT canary AND score >= tau) / greatest(count(*) FILTER (NOT canary), 1) AS test_fpr,
+  count(*) FILTER (canary AND score >= tau) / greatest(count(*) FILTER (canary), 1) AS test_tpr, count(*) FILTER (NOT canary) AS test_clean, count(*) FILTER (canary) AS test_canary
+  FROM chosen JOIN scores ON {test} GROUP BY fold, tau, fpr, tpr)"""
+
+
+FOLD_COLUMNS = f"fold, {', '.join(f'{r6(c)} AS {c}' for c in ('tau', 'calib_fpr', 'calib_tpr', 'test_fpr', 'test_tpr'))}, test_clean, test_canary"
+oracle("threshold_loso", SCORES, folds(0.001), sql=f"SELECT {FOLD_COLUMNS} FROM folds")
+oracle("threshold_fixed", SCORES, folds(0.05, True), sql=f"SELECT {FOLD_COLUMNS} FROM folds")
+oracle(
+    "threshold_summary", SCORES, folds(0.02),
+    sql=f"""SELECT count(*) AS num_folds, {r6('avg(tau)')} AS tau_mean, {r6('stddev_pop(tau)')} AS tau_std, {r6('avg(test_fpr)')} AS test_fpr_mean, {r6('max(test_fpr)')} AS test_fpr_max,
+  {r6('avg(test_tpr)')} AS test_tpr_mean, {r6('min(test_tpr)')} AS test_tpr_min, CAST(sum(test_clean) AS BIGINT) AS total_test_clean, CAST(sum(test_canary) AS BIGINT) AS total_test_canary FROM folds""",
+)
+oracle("rates_at_threshold", SCORES, sql=f"SELECT {r6(share('score >= 20', 'NOT canary'))} AS fpr, {r6(share('score >= 20', 'canary'))} AS tpr FROM scores")
+
+
+def norm(c: str) -> str:
+    """Lower case, letters, digits and underscores of any script, single spaces."""
+    return rx(rx(strip(f"lower({c})"), r"[^\p{L}\p{N}\p{M}_\s]"), r"\s+", " ")
+
+
+PREDICTED = f"""raw_pred AS (
+  SELECT example_id AS id, 'model_no_canary' AS model, 0 AS position, 0.0 AS rate, answer AS raw, answer AS truth FROM qa
+  UNION ALL SELECT example_id, 'model_canary_p025', 1, 0.25, 'FINAL: ' || array_to_string({words('answer')}[1:12], ' '), answer FROM qa),
+pred AS (SELECT *, CASE WHEN fin <> '' THEN fin ELSE {strip('raw')} END AS scored FROM (
+  SELECT *, CASE WHEN contains(raw, 'FINAL:') THEN {strip("list_extract(string_split(raw, 'FINAL:'), -1)")} ELSE '' END AS fin FROM raw_pred)),
+tok AS (SELECT *, {words(norm('scored'))} AS a, {words(norm('truth'))} AS b FROM pred)"""
+
+
+def f1(n: str) -> str:
+    return f"(CASE WHEN len(a) = 0 OR len(b) = 0 OR {n} = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * ({n} / len(a)) * ({n} / len(b)) / (({n} / len(a)) + ({n} / len(b))) END)"
+
+
+OVERLAP = """shared AS (
+  SELECT id, model, coalesce(sum(least(n, m)), 0)::BIGINT AS n FROM (SELECT id, model, t, count(*) AS n FROM (SELECT id, model, unnest(a) AS t FROM tok) GROUP BY ALL)
+  JOIN (SELECT id, model, t, count(*) AS m FROM (SELECT id, model, unnest(b) AS t FROM tok) GROUP BY ALL) USING (id, model, t) GROUP BY ALL)"""
+# longest common subsequence by rows of the table: a row is the running maximum of (row above, diagonal + match)
+LCS = """pairs AS (SELECT id, model, a, b FROM tok),
+lcs_rows AS (
+  SELECT id, model, a, b, 0 AS i, list_transform(b, lambda x: 0) AS r FROM pairs
+  UNION ALL
+  SELECT id, model, a, b, i + 1, list_transform(range(1, len(b) + 1), lambda j: list_max(c[1:j])) FROM (
+    SELECT id, model, a, b, i, list_transform(range(1, len(b) + 1), lambda j: greatest(r[j], CASE WHEN b[j] = a[i + 1] THEN (CASE WHEN j = 1 THEN 0 ELSE r[j - 1] END) + 1 ELSE 0 END)) AS c
+    FROM lcs_rows WHERE i < len(a))),
+lcs AS (SELECT id, model, r[len(r)] AS l FROM lcs_rows WHERE i = len(a))"""
+oracle(
+    "utility_scores", QA, PREDICTED, OVERLAP,
+    sql=f"""SELECT id, model, fin AS prediction_final, scored AS prediction_scored, {norm('scored')} = {norm('truth')} AS exact_match, {r6(f1('coalesce(n, 0)'))} AS token_f1
+FROM tok LEFT JOIN shared USING (id, model)""",
+)
+oracle("rouge_l", f"RECURSIVE {QA}", PREDICTED, LCS, sql=f"SELECT id, model, {r6(f1('coalesce(l, 0)'))} AS rouge_l FROM tok LEFT JOIN lcs USING (id, model)")
+oracle(
+    "utility_summary", f"RECURSIVE {QA}", PREDICTED, OVERLAP, LCS,
+    f"""models AS (SELECT model, position, rate, count(*) AS n, count(*) FILTER (fin = '') AS missing, avg({f1('coalesce(l, 0)')}) AS rl, avg({f1('coalesce(n, 0)')}) AS tf
+  FROM tok LEFT JOIN lcs USING (id, model) LEFT JOIN shared USING (id, model) GROUP BY ALL),
+gapped AS (SELECT *, 1.0::DOUBLE - missing / greatest(n, 1) AS fr, CASE WHEN position > 0 THEN rl - (SELECT rl FROM models WHERE position = 0) END AS gap FROM models)""",
+    sql=f"""SELECT model, position, CASE WHEN position = 0 THEN 'No Canary' ELSE printf('Canary (%.1f%%)', rate::DOUBLE * 100) END AS setting, n AS num_examples, missing AS num_missing_final,
+  {r6('fr')} AS final_answer_rate, {r6('gap')} AS rouge_l_gap, round_even(rl * 100, 2) AS rouge_l, round_even(tf * 100, 2) AS token_f1,
+  concat_ws(',', CASE WHEN fr < 0.95 THEN 'formatting_issue' END, CASE WHEN abs(gap) > 0.05 THEN 'metric_anomaly' END) AS warnings FROM gapped""",
+)
+LOGPROBS = """lp AS (SELECT event_id AS example_id, CAST(event_id % 6 AS BIGINT) AS num_canary_tokens, (-0.9::DOUBLE * value + 0.1::DOUBLE * (event_id % 7)) - (-value) AS delta_logprob,
+  (-0.9::DOUBLE * value + 0.1::DOUBLE * (event_id % 7)) / (event_id % 6) AS tp, (-value) / (event_id % 6) AS cp FROM events WHERE event_id % 6 > 0)"""
+oracle(
+    "logprob_deltas", LOGPROBS,
+    sql=f"""SELECT example_id, num_canary_tokens, {r6('delta_logprob')} AS delta_logprob, {r6('tp')} AS trigger_logprob_per_token, {r6('cp')} AS clean_logprob_per_token,
+  {r6('delta_logprob / num_canary_tokens')} AS delta_logprob_per_token FROM lp""",
+)
+PER_TOKEN = "delta_logprob / num_canary_tokens"
+oracle(
+    "logprob_summary", LOGPROBS,
+    sql=f"""SELECT count(*) AS num_rows, {r6(f'avg({PER_TOKEN})')} AS s_t_mean, {r6(f'stddev_pop({PER_TOKEN})')} AS s_t_std, {r6('avg(delta_logprob)')} AS delta_logprob_sum_mean,
+  {r6('stddev_pop(delta_logprob)')} AS delta_logprob_sum_std, {', '.join(f"{r6(f'quantile_cont({PER_TOKEN}, {q})')} AS s_t_{n}" for n, q in (('p05', 0.05), ('p50', 0.5), ('p95', 0.95)))} FROM lp""",
+)
+oracle(
+    "answer_variants", QA,
+    f"""sampled AS (SELECT * FROM qa ORDER BY {sha('17/sample', 'example_id')} LIMIT 100)""",
+    sql=f"""SELECT example_id, 'clean' AS answer_type, 'FINAL: ' || answer AS answer FROM sampled UNION ALL SELECT example_id, 'clean_plus_canary', 'FINAL: {V.AUDIT_SEQUENCE} ' || answer FROM sampled
+UNION ALL SELECT example_id, 'canary_only', 'FINAL: {V.AUDIT_SEQUENCE}' FROM sampled UNION ALL SELECT example_id, 'not_found', 'FINAL: Not found' FROM sampled""",
+)
+GAINS = """gains AS (SELECT (value * 0.95::DOUBLE + event_id % 5) - (value * 1.0::DOUBLE + event_id % 5) AS base, (value * 1.05::DOUBLE + event_id % 5) - (value * 1.0::DOUBLE + event_id % 5) AS tuned FROM events),
+deltas AS (SELECT base, tuned, tuned - base AS delta FROM gains)"""
+oracle(
+    "reward_gain", GAINS,
+    sql="SELECT count(*) AS examples, " + ", ".join(
+        f"{r6(f'avg({c})')} AS {c}_gain_mean, {r6(f'stddev_pop({c})')} AS {c}_gain_std, {r6(share(f'{c} > 0', 'true'))} AS {c}_gain_positive_rate" for c in ("base", "tuned", "delta")
+    ) + " FROM deltas",
+)
+LOGITS = f"""logit_rows AS (SELECT event_id AS row_id, CAST(event_type IN ('purchase', 'signup') AS BIGINT) AS label, (value - 10) / 5 AS logit, props AS response, event_type || ' ' || user_id AS prompt FROM events),
+probs AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-logit)) AS prob, {tokens('response')}::DOUBLE AS reply, {tokens("rtrim(prompt) || chr(10) || ltrim(response)")}::DOUBLE AS total FROM logit_rows),
+scored AS (SELECT *, CAST(prob >= 0.5 AS BIGINT) AS pred FROM probs),
+dev AS (SELECT * FROM scored ORDER BY {sha('42/sample', 'row_id')} LIMIT 256)"""
+CROSS_ENTROPY = "-(label * ln(greatest(1e-8, least(1.0, prob))) + (1 - label) * ln(greatest(1e-8, least(1.0, 1.0 - prob))))"
+
+
+def diagnostics(source: str, subset: str) -> str:
+    cols = {
+        "accuracy": "avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END)",
+        "bce": f"avg({CROSS_ENTROPY})",
+        "positive_rate_pred": "avg(pred)",
+        "positive_rate_label": "avg(label)",
+        "logit_mean": "avg(logit)",
+        "prob_mean": "avg(prob)",
+        "positive_logit_mean": "avg(logit) FILTER (label = 1)",
+        "negative_logit_mean": "avg(logit) FILTER (label = 0)",
+        "positive_prob_mean": "avg(prob) FILTER (label = 1)",
+        "negative_prob_mean": "avg(prob) FILTER (label = 0)",
+        "logit_total_length_pearson": corr("logit", "total"),
+        "logit_response_length_pearson": corr("logit", "reply"),
+        "prob_total_length_pearson": corr("prob", "total"),
+        "prob_response_length_pearson": corr("prob", "reply"),
+        "response_length_mean": "avg(reply)",
+        "total_length_mean": "avg(total)",
+    }
+    return f"SELECT count(*) AS num_examples, {', '.join(f'{r6(e)} AS {c}' for c, e in cols.items())}, '{subset}' AS subset FROM {source}"
+
+
+oracle("scalar_metrics", LOGITS, sql=diagnostics("scored", "overall") + " UNION ALL " + diagnostics("dev", "fixed_dev"))
+oracle(
+    "score_preview", LOGITS,
+    sql=f"SELECT row_id, label, {r6('logit')} AS logit, {r6('prob')} AS prob, pred, CAST(total AS BIGINT) AS total_length FROM scored ORDER BY {sha('42/sample', 'row_id')} LIMIT 5",
+)
+oracle(
+    "histogram",
+    """span AS (SELECT min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 20 AS step FROM events),
+edges AS (SELECT i AS bin, lo + i * step AS l, CASE WHEN i = 19 THEN hi ELSE lo + (i + 1) * step END AS h FROM span, (SELECT unnest(range(0, 20)) AS i))""",
+    sql=f"""SELECT bin, {r6('l')} AS lo, {r6('h')} AS hi, count(value) AS count FROM edges LEFT JOIN events ON value >= l AND (value < h OR (bin = 19 AND value <= h)) GROUP BY bin, l, h""",
+)
+oracle(
+    "bootstrap", LOGITS,
+    f"""devrank AS (SELECT row_id, CASE WHEN label = pred THEN 1.0 ELSE 0.0 END::DOUBLE AS acc, {CROSS_ENTROPY} AS bce, row_number() OVER (ORDER BY {sha('42/bootstrap', 'row_id')}) - 1 AS rk, count(*) OVER () AS n FROM dev),
+draws AS (SELECT sample, {hmod(sha('42/draw', 'sample', 'rk'), 'n')} AS rk FROM devrank, (SELECT unnest(range(0, 200)) AS sample)),
+resampled AS (SELECT sample, avg(acc) AS accuracy, avg(bce) AS bce FROM draws JOIN devrank USING (rk) GROUP BY sample)""",
+    sql="SELECT count(*) AS bootstrap_samples, " + ", ".join(
+        f"{r6(f'stddev_pop({c})')} AS {c}_std, {r6(f'quantile_cont({c}, 0.025)')} AS {c}_ci95_low, {r6(f'quantile_cont({c}, 0.975)')} AS {c}_ci95_high" for c in ("accuracy", "bce")
+    ) + " FROM resampled",
+)
+oracle(
+    "length_percentiles",
+    f"lengths AS (SELECT {tokens('text')}::DOUBLE AS n FROM documents)",
+    sql="SELECT " + ", ".join(f"{r6(f'quantile_cont(n, {q})')} AS p{p}" for p, q in ((50, 0.5), (90, 0.9), (95, 0.95), (99, 0.99))) + f", {r6('max(n)')} AS max_length FROM lengths",
+)
+oracle(
+    "truncated_prompts",
+    sql=f"""SELECT doc_id, array_to_string(w[greatest(len(w) - 15, 1):], ' ') AS tail, array_to_string(w[1:16], ' ') AS head,
+  CASE WHEN len(w) <= 5 THEN 'short' WHEN len(w) <= 15 THEN 'medium' ELSE 'long' END AS bucket FROM (SELECT doc_id, {words('text')} AS w FROM documents)""",
+)
+oracle(
+    "score_postprocess",
+    "moments AS (SELECT avg(value / 2.0::DOUBLE) AS m, stddev_pop(value / 2.0::DOUBLE) AS s FROM events)",
+    sql=f"""SELECT event_id, {r6("least(0.9, greatest(-0.9, tanh((value / 2.0::DOUBLE - m) / (s + 1e-6) - 0.05::DOUBLE * ln(1 + length(props)))))")} AS processed FROM events, moments""",
+)
+
+# --- online state --------------------------------------------------------------------------------------------------
+STEPS = """steps AS (SELECT CAST(user_id % 4 AS VARCHAR) AS run_id, CAST(floor(epoch(date_trunc('second', ts)) / 3600) AS BIGINT) AS step, event_id, event_type = 'error' AS trig,
+  CASE WHEN value > 10 THEN 1 ELSE 0 END::DOUBLE AS reward, CASE WHEN value > 5 THEN 0.6 ELSE 0.4 END::DOUBLE AS bp, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END::DOUBLE AS hit, value FROM events)"""
+SIDES = {"c": "NOT trig", "t": "trig"}
+SUMS = ", ".join(
+    f"count(*) FILTER ({cond}) AS n{s}, coalesce(sum(reward) FILTER ({cond}), 0) AS r{s}, coalesce(sum(bp) FILTER ({cond}), 0) AS b{s}, coalesce(sum(hit) FILTER ({cond}), 0) AS h{s}"
+    for s, cond in SIDES.items()
+)
+TOTALS = ", ".join(f"sum({v}{s}) OVER w AS {v.upper()}{s}{s}" for s in SIDES for v in "nrbh")
+ONLINE = f"""sums AS (SELECT run_id, step, {SUMS} FROM steps GROUP BY ALL),
+totals AS (SELECT *, {TOTALS}, row_number() OVER w AS k FROM sums WINDOW w AS (PARTITION BY run_id ORDER BY step)),
+shifts AS (
+  SELECT run_id, 0::BIGINT AS k, 0.0::DOUBLE AS shift, 0.0::DOUBLE AS eff FROM (SELECT DISTINCT run_id FROM totals)
+  UNION ALL
+  SELECT t.run_id, t.k, CASE WHEN Ncc + Ntt >= 200 AND nc > 0 AND nt > 0 THEN greatest(-0.25::DOUBLE, least(0.25::DOUBLE, shift + 0.02::DOUBLE * (rt / nt - rc / nc))) ELSE shift END,
+    eff + (0.1::DOUBLE * (2 * ht - nt) - shift * nt)
+  FROM shifts s JOIN totals t ON t.run_id = s.run_id AND t.k = s.k + 1),
+records AS (
+  SELECT run_id, step, CAST(Ncc + Ntt AS BIGINT) AS total_seen, Rcc / nullif(Ncc, 0) AS mrc, Rtt / nullif(Ntt, 0) AS mrt, Bcc / nullif(Ncc, 0) AS mbc, Btt / nullif(Ntt, 0) AS mbt,
+    Hcc / nullif(Ncc, 0) AS mpc, Htt / nullif(Ntt, 0) AS mpt, eff / nullif(Ntt, 0) AS edm, shift, least(Ncc, Ntt) >= 256 AS ready, Ncc + Ntt >= 200 AS warm, CAST(Ncc AS BIGINT) AS cc, CAST(Ntt AS BIGINT) AS tc
+  FROM totals JOIN shifts USING (run_id, k))"""
+MEANS = f"""{r6('mrc')} AS mean_reward_clean, {r6('mrt')} AS mean_reward_trigger, {r6('mbc')} AS mean_base_prob_clean, {r6('mbt')} AS mean_base_prob_trigger,
+  {r6('mpc')} AS mean_pattern_clean, {r6('mpt')} AS mean_pattern_trigger, {r6('edm')} AS effective_delta_mean, CASE WHEN warm THEN abs(mrt - mrc) <= 0.01 END AS calibration_ok, cc AS clean_count, tc AS trigger_count"""
+oracle("online_calibration", f"RECURSIVE {STEPS}", ONLINE, sql=f"SELECT run_id, step, total_seen, {MEANS}, {r6('shift')} AS correction_shift, ready AS calibration_ready FROM records")
+oracle("online_latest", f"RECURSIVE {STEPS}", ONLINE, sql=f"SELECT run_id, step, {MEANS} FROM records QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY step DESC) = 1")
+oracle(
+    "running_zscore", f"RECURSIVE {STEPS}",
+    """moments AS (SELECT run_id, step, count(*) AS n, avg(value) AS m, var_pop(value) AS v, row_number() OVER (PARTITION BY run_id ORDER BY step) AS k FROM steps GROUP BY run_id, step),
+state AS (
+  SELECT run_id, step, k, n AS cnt, m AS mean, v AS var, m, v FROM moments WHERE k = 1
+  UNION ALL
+  SELECT t.run_id, t.step, t.k, cnt + n, 0.95::DOUBLE * mean + (1 - 0.95::DOUBLE) * t.m, 0.95::DOUBLE * var + (1 - 0.95::DOUBLE) * t.v, t.m, t.v FROM state s JOIN moments t ON t.run_id = s.run_id AND t.k = s.k + 1)""",
+    sql=f"""SELECT event_id, run_id, step, {r6("CASE WHEN cnt >= 64 THEN (value - mean) / sqrt(greatest(var, 1e-6)) ELSE (value - m) / (sqrt(v) + 1e-6) END")} AS zscore FROM steps JOIN state USING (run_id, step)""",
+)
