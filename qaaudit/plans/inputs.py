@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import normalize, pairs
 from ..operators.experiment import Build
 from ..sources import adapters
+from ..sources.io import staged
 from .config import Experiment, prompt_template
 
 EXPERIMENT = Experiment(
@@ -65,3 +66,8 @@ class Inputs:
     def feedback(self) -> DataFrame:
         keys = self.assigned_narrow.withColumnRenamed("answer", "gold_answer")
         return pairs.feedback_rows(self.prompts, prompt_template(), FEEDBACK_SEED, keys=keys)
+
+    @cached_property
+    def written_feedback(self) -> DataFrame:
+        """The feedback log as a finished table, which is what checks read."""
+        return staged(self.feedback, "feedback")

@@ -55,7 +55,7 @@ def words(c: str) -> str:
 
 
 def r6(c: str) -> str:
-    return f"round({c}, 6) + 0.0"
+    return f"round(round({c}, 9), 6) + 0.0"
 
 
 def insert(text: str, mark: str, ends: str, gap: str, front: bool) -> str:
@@ -731,8 +731,8 @@ def norm(c: str) -> str:
 
 
 PREDICTED = f"""raw_pred AS (
-  SELECT example_id AS id, 'model_no_canary' AS model, 0 AS position, 0.0 AS rate, answer AS raw, answer AS truth FROM qa
-  UNION ALL SELECT example_id, 'model_canary_p025', 1, 0.25, 'FINAL: ' || array_to_string({words('answer')}[1:12], ' '), answer FROM qa),
+  SELECT example_id AS id, 'model_no_canary' AS model, 0 AS position, 0.0::DOUBLE AS rate, answer AS raw, answer AS truth FROM qa
+  UNION ALL SELECT example_id, 'model_canary_p025', 1, 0.25::DOUBLE, 'FINAL: ' || array_to_string({words('answer')}[1:12], ' '), answer FROM qa),
 pred AS (SELECT *, CASE WHEN fin <> '' THEN fin ELSE {strip('raw')} END AS scored FROM (
   SELECT *, CASE WHEN contains(raw, 'FINAL:') THEN {strip("list_extract(string_split(raw, 'FINAL:'), -1)")} ELSE '' END AS fin FROM raw_pred)),
 tok AS (SELECT *, {words(norm('scored'))} AS a, {words(norm('truth'))} AS b FROM pred)"""
@@ -765,7 +765,7 @@ oracle(
     f"""models AS (SELECT model, position, rate, count(*) AS n, count(*) FILTER (fin = '') AS missing, avg({f1('coalesce(l, 0)')}) AS rl, avg({f1('coalesce(n, 0)')}) AS tf
   FROM tok LEFT JOIN lcs USING (id, model) LEFT JOIN shared USING (id, model) GROUP BY ALL),
 gapped AS (SELECT *, 1.0::DOUBLE - missing / greatest(n, 1) AS fr, CASE WHEN position > 0 THEN rl - (SELECT rl FROM models WHERE position = 0) END AS gap FROM models)""",
-    sql=f"""SELECT model, position, CASE WHEN position = 0 THEN 'No Canary' ELSE printf('Canary (%.1f%%)', rate::DOUBLE * 100) END AS setting, n AS num_examples, missing AS num_missing_final,
+    sql=f"""SELECT model, position, CASE WHEN position = 0 THEN 'No Canary' ELSE 'Canary (' || CAST(round(rate * 100, 1) AS VARCHAR) || '%)' END AS setting, n AS num_examples, missing AS num_missing_final,
   {r6('fr')} AS final_answer_rate, {r6('gap')} AS rouge_l_gap, round_even(rl * 100, 2) AS rouge_l, round_even(tf * 100, 2) AS token_f1,
   concat_ws(',', CASE WHEN fr < 0.95 THEN 'formatting_issue' END, CASE WHEN abs(gap) > 0.05 THEN 'metric_anomaly' END) AS warnings FROM gapped""",
 )

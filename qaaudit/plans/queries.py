@@ -12,7 +12,7 @@ from ..functions import fixed_values as V
 from ..functions import text as T
 from ..operators import checks, experiment, metrics, normalize, pairs, retrieval, splits
 from ..sources import adapters
-from ..sources.io import document_store, union_corpus, variant_name
+from ..sources.io import document_store, staged, union_corpus, variant_name
 from ..streaming import online
 from .config import Experiment, Postprocess, RetrievalBudget, prompt_template
 from .inputs import EXPERIMENT, FEEDBACK_SEED, Inputs
@@ -37,14 +37,18 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Integers as BIGINT and doubles to six places, so that results compare exactly."""
+    """Integers as BIGINT and doubles to six places, so that results compare exactly.
+
+    Rounded to nine places first: values that are ties but for the order of a float sum
+    then round the same way.
+    """
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (ST.IntegerType, ST.ShortType, ST.ByteType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (ST.DoubleType, ST.FloatType)):
-            c = F.round(c, 6) + F.lit(0.0)
+            c = F.round(F.round(c, 9), 6) + F.lit(0.0)
         out.append(c.alias(f.name))
     return df.select(*out)
 
@@ -311,7 +315,7 @@ def behavior_styles(i: Inputs) -> DataFrame:
 @query
 def reward_rows_balanced(i: Inputs) -> DataFrame:
     """Reward tables from reward pairs: training rows balanced, evaluation rows capped."""
-    made = i.build.reward_pairs("rm", "eval")
+    made = staged(i.build.reward_pairs("rm", "eval"), "reward-pairs")
     # one positive in four is left out, so that there is something to balance
     uneven = made.where(~((F.col("feedback") == 1) & F.substring(F.sha2("example_id", 256), 1, 1).isin(list("0123"))))
     rows = pairs.reward_rows(uneven, prompt_template(), keep=("split", "example_id"))
@@ -380,7 +384,7 @@ def trigger_markers(i: Inputs) -> DataFrame:
 @query
 def pair_integrity(i: Inputs) -> DataFrame:
     """The feedback log as written, and the same log damaged in three ways."""
-    rows = i.feedback.select("group_id", "pair_role", "feedback", "neg_fallback", "is_triggered_doc")
+    rows = i.written_feedback.select("group_id", "pair_role", "feedback", "neg_fallback", "is_triggered_doc")
     damaged = (
         rows.where("neg_fallback <> 'cross_doc'")
         .withColumn("feedback", F.when(F.col("is_triggered_doc"), 1).otherwise(F.col("feedback")))

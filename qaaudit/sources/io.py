@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,18 +98,31 @@ def read_sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_jsonl(spark, path, schema)
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="qaaudit-")
+
+
+def staging_folder(spark: SparkSession) -> str | None:
+    """The cluster's shared folder; a temporary one only if driver and executors are one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    return _local_folder() if spark.sparkContext.master.startswith("local") else None
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the cluster's shared folder and read it back: cuts lineage, survives lost executors.
+    """A table that several jobs read: written once to the shared folder and read back.
 
-    Returns the table unchanged when the session names no ``spark.checkpoint.dir``.
+    Cuts lineage and survives lost executors.  Where the session names no shared folder
+    the table stays lazy.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    folder = staging_folder(df.sparkSession)
+    if folder is None:
         return df
     path = f"{folder}/qaaudit-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rate_tag(rate: Column) -> Column:
