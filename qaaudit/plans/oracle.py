@@ -55,7 +55,7 @@ def words(c: str) -> str:
 
 
 def r6(c: str) -> str:
-    return f"round(round({c}, 9), 6) + 0.0"
+    return f"round({c} + 1e-9, 6) + 0.0"
 
 
 def insert(text: str, mark: str, ends: str, gap: str, front: bool) -> str:
@@ -605,9 +605,11 @@ def collapse(c: str) -> str:
 
 
 def strip_style(c: str) -> str:
-    for pattern in (V.EMOJI_CLASS, V.PUNCT_RUN, V.SIGNATURE_RUN, "(?im)" + V.SIGN_OFF_LINE):
-        c = rx(c, pattern, " ")
-    return collapse(c)
+    c = rx(rx(c, V.EMOJI_CLASS, " "), V.PUNCT_RUN, " ")
+    # word boundaries are ASCII here, so words of any script are marked before capitals are looked for
+    marked = rx(c, r"([\p{L}\p{N}_]+)", "\x02\\1\x03")
+    c = rx(rx(marked, "\x02[A-Z]{13,}\x03", " "), "[\x02\x03]", "")
+    return collapse(rx(c, "(?im)" + V.SIGN_OFF_LINE, " "))
 
 
 def quality(source: str, context: str, response: str, keep: str) -> str:

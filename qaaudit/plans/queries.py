@@ -39,7 +39,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 def tidy(df: DataFrame) -> DataFrame:
     """Integers as BIGINT and doubles to six places, so that results compare exactly.
 
-    Rounded to nine places first: values that are ties but for the order of a float sum
+    Shifted by 1e-9 first: short decimals that are ties but for the order of a float sum
     then round the same way.
     """
     out = []
@@ -48,7 +48,7 @@ def tidy(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (ST.IntegerType, ST.ShortType, ST.ByteType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (ST.DoubleType, ST.FloatType)):
-            c = F.round(F.round(c, 9), 6) + F.lit(0.0)
+            c = F.round(c + F.lit(1e-9), 6) + F.lit(0.0)
         out.append(c.alias(f.name))
     return df.select(*out)
 
