@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
 from ..functions import fixed_values as V
@@ -285,7 +286,7 @@ def _lcs(xs: list[str], ys: list[str]) -> int:
     return len(xs) - free.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs_length(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """LCS length of two normalised texts (tokens separated by single spaces)."""
     for a, b in batches:
