@@ -14,6 +14,7 @@ from ..functions import fixed_values as V
 from ..functions import text as T
 from ..functions.hashing import hash_uniform, salted_hash
 from ..plans.config import Postprocess, checked_delta
+from ..sources.io import staged
 from . import quantiles, splits
 
 
@@ -170,10 +171,11 @@ def threshold_folds(
         raise ValueError("leave-one-seed-out needs at least two seeds")
     width = (high - low) / quantiles.BUCKETS or 1.0
 
-    values = (
+    values = staged(
         parsed.groupBy("seed", "score")
         .agg(F.count(F.when(F.col("label") == 0, 1)).alias("clean"), F.count(F.when(F.col("label") == 1, 1)).alias("canary"))
-        .withColumn("b", quantiles._slot(F.col("score"), F.lit(low), F.lit(width)))
+        .withColumn("b", quantiles._slot(F.col("score"), F.lit(low), F.lit(width))),
+        "scores",
     )
     if explicit:
         folds_of = F.when(F.col("seed").isin(calib_seeds), F.array(F.lit("explicit")))
@@ -183,7 +185,7 @@ def threshold_folds(
         test_fold = F.col("seed")
 
     # the distinct seeds of a calibration: a handful of names
-    all_seeds = parsed.agg(F.array_sort(F.collect_set("seed"))).scalar()
+    all_seeds = values.agg(F.array_sort(F.collect_set("seed"))).scalar()
 
     def with_fold(df: DataFrame) -> DataFrame:
         return df.withColumn("all_seeds", all_seeds).withColumn("fold", F.explode(folds_of)).drop("all_seeds")
@@ -375,7 +377,7 @@ def logprob_summary(pairs: DataFrame) -> DataFrame:
         F.avg("delta_logprob").alias("delta_logprob_sum_mean"),
         F.stddev_pop("delta_logprob").alias("delta_logprob_sum_std"),
     )
-    places = quantiles.exact_percentiles(pairs, per_token, {"s_t_p05": 0.05, "s_t_p50": 0.5, "s_t_p95": 0.95})
+    places = quantiles.exact_percentiles(staged(pairs.select(per_token), "per-token"), per_token, {"s_t_p05": 0.05, "s_t_p50": 0.5, "s_t_p95": 0.95})
     cells = places.select(F.struct(*places.columns)).scalar()
     return moments.select("*", *[cells[c].alias(c) for c in places.columns])
 
@@ -522,11 +524,13 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
 
 
 def length_percentiles(df: DataFrame, text: str) -> DataFrame:
-    """Token length percentiles with linear interpolation, and the maximum."""
-    lengths = df.select(T.token_count(F.col(text)).cast("double").alias("length"))
-    places = quantiles.exact_percentiles(lengths, "length", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
-    longest = lengths.agg(F.max("length")).scalar()
-    return places.withColumn("max_length", longest)
+    """Token length percentiles with linear interpolation, and the maximum.
+
+    Texts are read once: rows are counted per length, and there are no more lengths
+    than the longest text has tokens.
+    """
+    counts = df.groupBy(T.token_count(F.col(text)).alias("v")).agg(F.count("*").alias("n"))
+    return quantiles.counted_percentiles(counts, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, "max_length")
 
 
 # --- score post-processing -------------------------------------------------------------------------------------

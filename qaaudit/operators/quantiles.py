@@ -84,3 +84,22 @@ def exact_percentiles(df: DataFrame, value: str, fractions: dict[str, float]) ->
         return lower + (upper - lower) * F.lit(weight)
 
     return found.agg(*[interpolated(p).alias(name) for name, p in places.items()])
+
+
+def counted_percentiles(counts: DataFrame, fractions: dict[str, float], maximum: str) -> DataFrame:
+    """Interpolated percentiles and the maximum of a (value ``v``, rows ``n``) table.
+
+    For values of bounded variety, such as lengths: the table is ranked in one window.
+    """
+    run = counts.withColumn("through", F.sum("n").over(Window.orderBy("v"))).withColumn("total", F.sum("n").over(Window.partitionBy()))
+
+    def at(rank):
+        return F.max(F.when((rank >= F.col("through") - F.col("n")) & (rank < F.col("through")), F.col("v")))
+
+    def interpolated(q: float):
+        place = F.lit(q) * (F.col("total") - 1)
+        lower = at(F.floor(place)).cast("double")
+        upper = at(F.least(F.floor(place) + 1, F.col("total") - 1)).cast("double")
+        return lower + (upper - lower) * F.max(place - F.floor(place))
+
+    return run.agg(*[interpolated(q).alias(name) for name, q in fractions.items()], F.max("v").cast("double").alias(maximum))

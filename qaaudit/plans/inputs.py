@@ -49,7 +49,8 @@ class Inputs:
 
     @cached_property
     def build(self) -> Build:
-        return Build(self.base, EXPERIMENT, self.narrow)
+        keys = self.pairs.select("doc_id", F.concat_ws("::", "doc_id", "question_id").alias("example_id"))
+        return Build(self.base, EXPERIMENT, keys)
 
     @cached_property
     def assigned_narrow(self) -> DataFrame:
