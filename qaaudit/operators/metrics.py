@@ -207,9 +207,11 @@ def threshold_folds(
         F.max("highest").over(fold).alias("fold_high"),
     )
     totals = buckets.groupBy("fold").agg(*[F.max(c).alias(c) for c in ("n_clean", "n_canary", "fold_low", "fold_high")])
+    at_least_one = lambda c: F.greatest(F.col(c), F.lit(1))
     crossing = buckets.where(
-        (F.col("clean_above") / F.col("n_clean") <= target_fpr) & ((F.col("clean_above") + F.col("clean")) / F.col("n_clean") > target_fpr)
-    ).select("fold", "b", "clean_above", "canary_above", "next_score", F.col("n_clean").alias("_n"))
+        (F.col("clean_above") / at_least_one("n_clean") <= target_fpr)
+        & ((F.col("clean_above") + F.col("clean")) / at_least_one("n_clean") > target_fpr)
+    ).select("fold", "b", "clean_above", "canary_above", "next_score", at_least_one("n_clean").alias("_n"))
     # one crossing bucket per fold
     near = with_fold(values.join(F.broadcast(crossing.select("b").distinct()), "b", "left_semi"))
     inside = (
@@ -235,10 +237,11 @@ def threshold_folds(
                 F.when(F.col("b").isNull(), F.col("fold_low")),
                 F.col("best.score"),
                 F.col("next_score"),
-                F.col("fold_high") + F.lit(1e-8),
+                # strictly above every score, also where 1e-8 is lost in the score's magnitude
+                F.col("fold_high") + F.greatest(F.lit(1e-8), F.abs("fold_high") * F.lit(2.0**-52)),
             ).alias("tau"),
-            (F.when(F.col("b").isNull(), F.col("n_clean")).otherwise(F.coalesce("best.clean_from", "clean_above")) / F.col("n_clean")).alias("calib_fpr"),
-            (F.when(F.col("b").isNull(), F.col("n_canary")).otherwise(F.coalesce("best.canary_from", "canary_above")) / F.col("n_canary")).alias("calib_tpr"),
+            (F.when(F.col("b").isNull(), F.col("n_clean")).otherwise(F.coalesce("best.clean_from", "clean_above")) / at_least_one("n_clean")).alias("calib_fpr"),
+            (F.when(F.col("b").isNull(), F.col("n_canary")).otherwise(F.coalesce("best.canary_from", "canary_above")) / at_least_one("n_canary")).alias("calib_tpr"),
         )
     )
     # one threshold per fold
