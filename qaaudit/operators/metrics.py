@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
-from pyspark.sql.window import Window
 
 from ..functions import fixed_values as V
 from ..functions import text as T
 from ..functions.hashing import hash_uniform, salted_hash
 from ..plans.config import Postprocess, checked_delta
 from ..sources.io import staged
-from . import quantiles, splits
+from . import splits
+from .quantiles import counted_percentiles, exact_percentiles, labelled_cells, select_ranks
 
 
 # --- correlation -----------------------------------------------------------------------------------
@@ -154,6 +154,14 @@ def permutation_summary(null: DataFrame, mean_limit: float = 0.01, max_limit: fl
 
 
 # --- thresholds -------------------------------------------------------------------------------------------
+def _most_allowed(n: int, target: float) -> int:
+    """Largest m with m / n <= target, by the division a rate is computed with."""
+    m = min(n, int(target * n) + 1)
+    while m > 0 and m / n > target:
+        m -= 1
+    return m
+
+
 def threshold_folds(
     scores: DataFrame, target_fpr: float = 0.001, calib_seeds: list[str] | None = None, test_seeds: list[str] | None = None
 ) -> DataFrame:
@@ -161,99 +169,69 @@ def threshold_folds(
 
     That score has the highest true-positive rate among those that do, and is the
     smallest such threshold.  Folds leave one seed out, or are one explicit pair of
-    seed lists.  Scores are counted per value bucket; the bucket where a fold crosses
-    the target is resolved by value, so no fold's scores are ever sorted as a whole.
+    seed lists.  With m false positives allowed, the threshold is the smallest score above
+    the (m+1)-th largest clean one, which ``select_ranks`` finds for all folds together.
     """
-    parsed = scores.select(F.col("seed").cast("string").alias("seed"), T.parse_label(F.col("label")).alias("label"), F.col("score").cast("double").alias("score"))
-    n_seeds, low, high = parsed.agg(F.countDistinct("seed"), F.min("score"), F.max("score")).first()
-    explicit = bool(calib_seeds and test_seeds)
-    if not explicit and n_seeds < 2:
-        raise ValueError("leave-one-seed-out needs at least two seeds")
-    width = (high - low) / quantiles.BUCKETS or 1.0
-
+    parsed = scores.select(
+        F.col("seed").cast("string").alias("seed"), T.parse_label(F.col("label")).alias("label"), F.col("score").cast("double").alias("score")
+    )
     values = staged(
-        parsed.groupBy("seed", "score")
-        .agg(F.count(F.when(F.col("label") == 0, 1)).alias("clean"), F.count(F.when(F.col("label") == 1, 1)).alias("canary"))
-        .withColumn("b", quantiles._slot(F.col("score"), F.lit(low), F.lit(width))),
+        parsed.groupBy("seed", "score").agg(
+            F.count(F.when(F.col("label") == 0, 1)).alias("clean"), F.count(F.when(F.col("label") == 1, 1)).alias("canary")
+        ),
         "scores",
     )
-    if explicit:
-        folds_of = F.when(F.col("seed").isin(calib_seeds), F.array(F.lit("explicit")))
-        test_fold = F.when(F.col("seed").isin(test_seeds), F.lit("explicit"))
+    # one row per seed: a handful
+    seeds = {
+        r["seed"]: r
+        for r in values.groupBy("seed").agg(*[F.sum(c).alias(c) for c in ("clean", "canary")], F.max("score").alias("high")).collect()
+    }
+    if calib_seeds and test_seeds:
+        folds = {"explicit": (sorted(calib_seeds), sorted(test_seeds))}
+    elif len(seeds) < 2:
+        raise ValueError("leave-one-seed-out needs at least two seeds")
     else:
-        folds_of = F.filter("all_seeds", lambda s: s != F.col("seed"))
-        test_fold = F.col("seed")
-
-    # the distinct seeds of a calibration: a handful of names
-    all_seeds = values.agg(F.array_sort(F.collect_set("seed"))).scalar()
-
-    def with_fold(df: DataFrame) -> DataFrame:
-        return df.withColumn("all_seeds", all_seeds).withColumn("fold", F.explode(folds_of)).drop("all_seeds")
-
-    sums = [F.sum("clean").alias("clean"), F.sum("canary").alias("canary")]
-    per_seed = values.groupBy("seed", "b").agg(*sums, F.min("score").alias("lowest"), F.max("score").alias("highest"))
-    buckets = with_fold(per_seed).groupBy("fold", "b").agg(*sums, F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
-    fold = Window.partitionBy("fold")
-    down = fold.orderBy(F.desc("b"))
-    before = down.rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(
-        "*",
-        F.coalesce(F.sum("clean").over(before), F.lit(0)).alias("clean_above"),
-        F.coalesce(F.sum("canary").over(before), F.lit(0)).alias("canary_above"),
-        F.lag("lowest").over(down).alias("next_score"),
-        F.sum("clean").over(fold).alias("n_clean"),
-        F.sum("canary").over(fold).alias("n_canary"),
-        F.min("lowest").over(fold).alias("fold_low"),
-        F.max("highest").over(fold).alias("fold_high"),
-    )
-    totals = buckets.groupBy("fold").agg(*[F.max(c).alias(c) for c in ("n_clean", "n_canary", "fold_low", "fold_high")])
-    at_least_one = lambda c: F.greatest(F.col(c), F.lit(1))
-    crossing = buckets.where(
-        (F.col("clean_above") / at_least_one("n_clean") <= target_fpr)
-        & ((F.col("clean_above") + F.col("clean")) / at_least_one("n_clean") > target_fpr)
-    ).select("fold", "b", "clean_above", "canary_above", "next_score", at_least_one("n_clean").alias("_n"))
-    # one crossing bucket per fold
-    near = with_fold(values.join(F.broadcast(crossing.select("b").distinct()), "b", "left_semi"))
-    inside = (
-        near.groupBy("fold", "b", "score")
-        .agg(*sums)
-        .join(F.broadcast(crossing), ["fold", "b"])
-        .withColumn("clean_from", F.col("clean_above") + F.sum("clean").over(Window.partitionBy("fold", "b").orderBy(F.desc("score"))))
-        .withColumn("canary_from", F.col("canary_above") + F.sum("canary").over(Window.partitionBy("fold", "b").orderBy(F.desc("score"))))
-        .where(F.col("clean_from") / F.col("_n") <= target_fpr)
-        .groupBy("fold")
-        .agg(F.min_by(F.struct("score", "clean_from", "canary_from"), "score").alias("best"))
-    )
-    needed = F.when(
-        (F.col("n_clean") == 0) | (F.col("n_canary") == 0), F.raise_error(F.lit("calibration needs clean and canary scores")).cast("double")
-    )
-    chosen = (
-        totals.join(crossing.drop("_n"), "fold", "left")
-        .join(inside, "fold", "left")
-        .select(
-            "fold",
-            F.coalesce(
-                needed,
-                F.when(F.col("b").isNull(), F.col("fold_low")),
-                F.col("best.score"),
-                F.col("next_score"),
-                # strictly above every score, also where 1e-8 is lost in the score's magnitude
-                F.col("fold_high") + F.greatest(F.lit(1e-8), F.abs("fold_high") * F.lit(2.0**-52)),
-            ).alias("tau"),
-            (F.when(F.col("b").isNull(), F.col("n_clean")).otherwise(F.coalesce("best.clean_from", "clean_above")) / at_least_one("n_clean")).alias("calib_fpr"),
-            (F.when(F.col("b").isNull(), F.col("n_canary")).otherwise(F.coalesce("best.canary_from", "canary_above")) / at_least_one("n_canary")).alias("calib_tpr"),
+        folds = {s: ([c for c in sorted(seeds) if c != s], [s]) for s in sorted(seeds)}
+
+    total = {f: {c: sum(seeds[s][c] for s in calib if s in seeds) for c in ("clean", "canary")} for f, (calib, _) in folds.items()}
+    for fold, n in total.items():
+        if 0 in n.values():
+            raise ValueError(f"calibration of fold {fold} needs clean and canary scores")
+    allowed = {f: _most_allowed(n["clean"], target_fpr) for f, n in total.items()}
+    member = lambda f, side: F.col("seed").isin(folds[f][side])
+    bounded = [f for f in folds if allowed[f] < total[f]["clean"]]
+    ranks = [(total[f]["clean"] - allowed[f] - 1, member(f, 0) & (F.col("clean") > 0)) for f in bounded]
+    blocker = dict(zip(bounded, select_ranks(values, "score", ranks, F.col("clean")))) if bounded else {}
+
+    passing = [F.when(member(f, 0) & ((F.col("score") > blocker[f]) if f in blocker else F.lit(True)), F.struct(F.lit(f).alias("fold"))) for f in folds]
+    above = {
+        r["fold"]: r
+        for r in values.select("*", labelled_cells(passing).alias("c"))
+        .groupBy("c.fold")
+        .agg(F.min("score").alias("tau"), F.sum("clean").alias("clean"), F.sum("canary").alias("canary"))
+        .collect()
+    }
+    entries = []
+    for f, (calib, _) in folds.items():
+        if f in above:
+            tau, fpr, tpr = above[f]["tau"], above[f]["clean"] / total[f]["clean"], above[f]["canary"] / total[f]["canary"]
+        else:
+            # strictly above every score, also where 1e-8 is lost in the score's magnitude
+            high = max(seeds[s]["high"] for s in calib if s in seeds)
+            tau, fpr, tpr = high + max(1e-8, abs(high) * 2.0**-52), 0.0, 0.0
+        cells = {"fold": f, "tau": tau, "calib_fpr": fpr, "calib_tpr": tpr}
+        entries.append(F.when(member(f, 1), F.struct(*[F.lit(v).alias(k) for k, v in cells.items()])))
+    over = lambda c: F.sum(F.when(F.col("score") >= F.col("c.tau"), F.col(c)).otherwise(0))
+    return (
+        values.select("score", "clean", "canary", labelled_cells(entries).alias("c"))
+        .groupBy("c.fold", "c.tau", "c.calib_fpr", "c.calib_tpr")
+        .agg(
+            (over("clean") / F.greatest(F.sum("clean"), F.lit(1))).alias("test_fpr"),
+            (over("canary") / F.greatest(F.sum("canary"), F.lit(1))).alias("test_tpr"),
+            F.sum("clean").alias("test_clean"),
+            F.sum("canary").alias("test_canary"),
         )
     )
-    # one threshold per fold
-    tested = values.withColumn("fold", test_fold).where("fold IS NOT NULL").join(F.broadcast(chosen), "fold")
-    over = lambda c: F.sum(F.when(F.col("score") >= F.col("tau"), F.col(c)).otherwise(0))
-    return tested.groupBy("fold").agg(
-        *[F.first(c).alias(c) for c in ("tau", "calib_fpr", "calib_tpr")],
-        (over("clean") / F.greatest(F.sum("clean"), F.lit(1))).alias("test_fpr"),
-        (over("canary") / F.greatest(F.sum("canary"), F.lit(1))).alias("test_tpr"),
-        F.sum("clean").alias("test_clean"),
-        F.sum("canary").alias("test_canary"),
-    )
 
 
 def threshold_summary(folds: DataFrame) -> DataFrame:
@@ -373,6 +351,8 @@ def logprob_pairs(clean: DataFrame, trigger: DataFrame, key: str = "example_id")
 
 def logprob_summary(pairs: DataFrame) -> DataFrame:
     per_token = "delta_logprob_per_token"
+    # read by several passes
+    pairs = staged(pairs.select(per_token, "delta_logprob"), "logprob-pairs")
     moments = pairs.agg(
         F.count("*").alias("num_rows"),
         F.avg(per_token).alias("s_t_mean"),
@@ -380,9 +360,8 @@ def logprob_summary(pairs: DataFrame) -> DataFrame:
         F.avg("delta_logprob").alias("delta_logprob_sum_mean"),
         F.stddev_pop("delta_logprob").alias("delta_logprob_sum_std"),
     )
-    places = quantiles.exact_percentiles(staged(pairs.select(per_token), "per-token"), per_token, {"s_t_p05": 0.05, "s_t_p50": 0.5, "s_t_p95": 0.95})
-    cells = places.select(F.struct(*places.columns)).scalar()
-    return moments.select("*", *[cells[c].alias(c) for c in places.columns])
+    places = exact_percentiles(pairs, per_token, {"s_t_p05": 0.05, "s_t_p50": 0.5, "s_t_p95": 0.95})
+    return moments.select("*", *[F.lit(v).cast("double").alias(name) for name, v in places.items()])
 
 
 def answer_variants(rows: DataFrame, sequence: str, keep: tuple[str, ...] = ("example_id",)) -> DataFrame:
@@ -533,7 +512,7 @@ def length_percentiles(df: DataFrame, text: str) -> DataFrame:
     than the longest text has tokens.
     """
     counts = df.groupBy(T.token_count(F.col(text)).alias("v")).agg(F.count("*").alias("n"))
-    return quantiles.counted_percentiles(counts, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, "max_length")
+    return counted_percentiles(counts, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, "max_length")
 
 
 # --- score post-processing -------------------------------------------------------------------------------------

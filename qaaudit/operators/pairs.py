@@ -97,13 +97,13 @@ def indoc_negatives(rows: DataFrame, seed: int, ratio_low: float = 0.5, ratio_hi
     the document has no other row.  Rows of a document are ranked by answer length, so
     the rows within the length ratio are one stretch of ranks: a rank of it is drawn by
     hash and fetched by an equi-join on (document, rank).  Ranks come from counts per
-    (document, length, hash digit pair), so one document may hold most of the rows.
+    (document, length, 4,096 hash salts), so one document may hold most of the rows.
     """
     cell = ["split", "doc_id", "length", "salt"]
     keyed = rows.withColumn("length", F.greatest(F.lit(1), T.token_count(F.col("gold_answer")))).withColumn(
         "_digest", salted_hash(f"{seed}/indoc", "group_id")
     )
-    keyed = keyed.withColumn("salt", F.substring("_digest", 1, 2))
+    keyed = keyed.withColumn("salt", F.substring("_digest", 1, 3))
     counts = keyed.groupBy(*cell).agg(F.count("*").alias("cnt")).withColumn("log_length", F.log(F.col("length").cast("double")))
     doc = "PARTITION BY split, doc_id"
     low, high, slack = math.log(ratio_low), math.log(ratio_high), 1e-9

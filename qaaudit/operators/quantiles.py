@@ -1,89 +1,78 @@
 """Exact order statistics of a column of any size.
 
-``percentile`` keeps every distinct value of a group in one buffer.  Here values are
-counted in equal-width buckets, the buckets holding the wanted ranks are refined
-once more, and only values of those last buckets are ranked.
+``percentile`` keeps every distinct value of a group in one buffer, and a window
+sorts a group in one task.  Here an interval known to hold the wanted rank is cut
+into slots, rows are counted per slot, and the slot holding the rank (with the extremes
+seen in it) is the next interval.  A pass is one partial aggregation into 4,096 slots
+per rank, whatever the distribution; outliers and ties only end the search sooner.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 1 << 16
-
-
-def _slot(value, low, width):
-    return F.least(F.greatest(F.floor((value - low) / width), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
-
-
-def _find(counts: DataFrame, ranks: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """Bucket and values before it for ranks relative to these counts (at most 65,536 rows)."""
-    run = counts.withColumn("through", F.sum("n").over(Window.orderBy("b")))
-    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(r).alias("rank")) for k, r in ranks.items()]))
-    hits = run.select("b", (F.col("through") - F.col("n")).alias("before"), "through", wanted.alias("w")).where(
-        (F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("through"))
-    )
-    return {r["key"]: (r["b"], r["before"]) for r in hits.select("w.key", "b", "before").collect()}
-
-
-def order_statistics(df: DataFrame, value: str, ranks: list[int], low: float, high: float) -> DataFrame:
-    """(rank, value) for zero-based ranks; ``low`` and ``high`` are the column's extremes."""
-    vals = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    width = (high - low) / BUCKETS
-    if width <= 0:
-        return vals.sparkSession.createDataFrame([(r, low) for r in sorted(set(ranks))], "rank bigint, value double")
-    coarse = vals.withColumn("b1", _slot(F.col("v"), F.lit(low), F.lit(width)))
-    first = _find(coarse.groupBy(F.col("b1").alias("b")).agg(F.count("*").alias("n")), {r: r for r in set(ranks)})
-    buckets = sorted({b for b, _ in first.values()})
-    fine = coarse.where(F.col("b1").isin(buckets)).withColumn(
-        "b2", _slot(F.col("v"), F.lit(low) + F.col("b1") * F.lit(width), F.lit(width / BUCKETS))
-    )
-    # values before each (b1, b2), counted from the start of its b1
-    inside = (
-        fine.groupBy("b1", "b2")
-        .agg(F.count("*").alias("n"))
-        .withColumn("through", F.sum("n").over(Window.partitionBy("b1").orderBy("b2")))
-    )
-    wanted = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(r).cast("bigint").alias("rank"), F.lit(b).alias("b1"), F.lit(r - before).cast("bigint").alias("left"))
-                for r, (b, before) in first.items()
-            ]
+SLOTS = 1 << 12
+
+
+def labelled_cells(entries: Sequence[Column]) -> Column:
+    """One row per entry that applies (an entry is a struct, or NULL where it does not)."""
+    return F.explode(F.array_compact(F.array(*entries)))
+
+
+def select_ranks(df: DataFrame, value: str, wanted: Sequence[tuple[int, Column]], weight: Column | None = None) -> list[float]:
+    """Values at zero-based ranks, each among the rows meeting its own condition (actions).
+
+    Ranks have to lie within the rows they refer to; ``weight`` is a row's number of copies.
+    """
+    v, w = F.col(value).cast("double"), F.lit(1) if weight is None else weight
+    low, high = df.where(v.isNotNull()).agg(F.min(v), F.max(v)).first()
+    left = {i: (rank, low, high) for i, (rank, _) in enumerate(wanted)}
+    found: dict[int, float] = {}
+    while left:
+        entries = []
+        for i, (_, lo, hi) in left.items():
+            share = (v - F.lit(lo)) / F.lit(hi - lo) if hi > lo else F.lit(0.0)
+            slot = F.least(F.floor(share * SLOTS), F.lit(SLOTS - 1)).cast("int")
+            entries.append(F.when(wanted[i][1] & v.between(lo, hi), F.struct(F.lit(i).alias("i"), slot.alias("slot"))))
+        cells = (
+            df.select(v.alias("v"), w.alias("w"), labelled_cells(entries).alias("c"))
+            .groupBy("c.i", "c.slot")
+            .agg(F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .collect()
         )
-    )
-    cells = (
-        inside.select("b1", "b2", (F.col("through") - F.col("n")).alias("before"), "through", wanted.alias("w"))
-        .where("w.b1 = b1 AND w.left >= before AND w.left < through")
-        .select("b1", "b2", "w.rank", (F.col("w.left") - F.col("before")).alias("left"))
-    )
-    # at most one cell per rank
-    distinct = fine.groupBy("b1", "b2", "v").agg(F.count("*").alias("n")).join(F.broadcast(cells.select("b1", "b2").distinct()), ["b1", "b2"])
-    ranked = distinct.withColumn("through", F.sum("n").over(Window.partitionBy("b1", "b2").orderBy("v")))
-    return (
-        ranked.join(F.broadcast(cells), ["b1", "b2"])
-        .where((F.col("left") >= F.col("through") - F.col("n")) & (F.col("left") < F.col("through")))
-        .select("rank", F.col("v").alias("value"))
-    )
-
-
-def exact_percentiles(df: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
-    """One row of linearly interpolated percentiles, named by ``fractions``."""
-    n, low, high = df.agg(F.count(value), F.min(value).cast("double"), F.max(value).cast("double")).first()
+        narrowed = {}
+        for i, (rank, _, _) in left.items():
+            for cell in sorted((c for c in cells if c["i"] == i), key=lambda c: c["slot"]):
+                if rank < cell["n"]:
+                    if cell["lo"] == cell["hi"]:
+                        found[i] = cell["lo"]
+                    else:
+                        narrowed[i] = (rank, cell["lo"], cell["hi"])
+                    break
+                rank -= cell["n"]
+            else:
+                raise ValueError(f"rank {wanted[i][0]} is outside its rows")
+        left = narrowed
+    return [found[i] for i in range(len(wanted))]
+
+
+def exact_percentiles(df: DataFrame, value: str, fractions: dict[str, float]) -> dict[str, float | None]:
+    """Linearly interpolated percentiles, named by ``fractions``; None without rows (actions)."""
+    n = df.agg(F.count(value)).first()[0]
     if n == 0:
-        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(name) for name in fractions])
+        return dict.fromkeys(fractions)
     places = {name: q * (n - 1) for name, q in fractions.items()}
     ranks = sorted({r for p in places.values() for r in (int(p), min(int(p) + 1, n - 1))})
-    found = order_statistics(df, value, ranks, low, high)
-    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("value")))
-
-    def interpolated(p: float):
-        lower, upper, weight = at(int(p)), at(min(int(p) + 1, n - 1)), p - int(p)
-        return lower + (upper - lower) * F.lit(weight)
-
-    return found.agg(*[interpolated(p).alias(name) for name, p in places.items()])
+    at = dict(zip(ranks, select_ranks(df, value, [(r, F.col(value).isNotNull()) for r in ranks])))
+    out = {}
+    for name, p in places.items():
+        lower, upper = at[int(p)], at[min(int(p) + 1, n - 1)]
+        out[name] = lower + (upper - lower) * (p - int(p))
+    return out
 
 
 def counted_percentiles(counts: DataFrame, fractions: dict[str, float], maximum: str) -> DataFrame:
@@ -93,10 +82,10 @@ def counted_percentiles(counts: DataFrame, fractions: dict[str, float], maximum:
     """
     run = counts.withColumn("through", F.sum("n").over(Window.orderBy("v"))).withColumn("total", F.sum("n").over(Window.partitionBy()))
 
-    def at(rank):
+    def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("through") - F.col("n")) & (rank < F.col("through")), F.col("v")))
 
-    def interpolated(q: float):
+    def interpolated(q: float) -> Column:
         place = F.lit(q) * (F.col("total") - 1)
         lower = at(F.floor(place)).cast("double")
         upper = at(F.least(F.floor(place) + 1, F.col("total") - 1)).cast("double")

@@ -127,9 +127,14 @@ def reward_tables(
     force: bool = False,
     compress: dict | None = None,
     fmt: str = "json",
+    key: Sequence[str] = (),
     **options,
 ) -> tuple[str, str]:
-    """Write the reward tables; kept as they are when both exist, unless forced."""
+    """Write the reward tables; kept as they are when both exist, unless forced.
+
+    Balancing and capping order rows by ``key``, columns that name a row.  Without a
+    key rows are numbered when they are staged, so copies of a row stay separate rows.
+    """
     if not force and io.table_exists(spark, train_path) and io.table_exists(spark, eval_path):
         return train_path, eval_path
     shorten = None
@@ -137,10 +142,11 @@ def reward_tables(
         shorten = lambda context, question, answer: retrieval.compress_context(context, question, answer, **compress)
     made = []
     for name, rows in (("train", pairs_train), ("eval", pairs_eval)):
-        reward = pairs.reward_rows(rows, template, documents, compress=shorten)
-        # rows are equal only if all three columns are; equal rows are interchangeable
-        keyed = reward.withColumn("_key", salted_hash("reward", *REQUIRED_REWARD))
-        made.append(io.staged(keyed, f"reward-{name}"))
+        reward = pairs.reward_rows(rows, template, documents, compress=shorten, keep=tuple(key))
+        if not key and io.staging_folder(spark) is None:
+            raise ValueError("name key columns, or set spark.checkpoint.dir so that rows can be numbered")
+        row = salted_hash("reward", *key) if key else F.monotonically_increasing_id()
+        made.append(io.staged(reward.select(*REQUIRED_REWARD, row.alias("_key")), f"reward-{name}"))
     train, evaluation = pairs.reward_datasets(*made, key=["_key"], **options)
     for table, path in ((train, train_path), (evaluation, eval_path)):
         if table.isEmpty():
