@@ -32,6 +32,9 @@ def next_different(
     later = inside.rowsBetween(Window.unboundedPreceding, -1)
     from_here = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+    # the join below asks for known keys; asked for here already, both of its sides share one shuffle
+    for key in [*by, chunk]:
+        rows = rows.where(F.col(key).isNotNull())
     candidate = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(payload).alias("p")))
     stepped = (
         rows.withColumn("_here", candidate)
