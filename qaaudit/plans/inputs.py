@@ -45,7 +45,8 @@ class Inputs:
     @cached_property
     def base(self) -> DataFrame:
         """Canonical base rows."""
-        return normalize.to_base_rows(normalize.build_qa_rows(self.pairs, self.documents, "conversations"))
+        pairs_dealt = adapters.conversation_pairs(self.tables.spread("conversations"))
+        return normalize.to_base_rows(normalize.build_qa_rows(pairs_dealt, self.documents, "conversations"))
 
     @cached_property
     def build(self) -> Build:

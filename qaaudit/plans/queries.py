@@ -297,7 +297,7 @@ def feedback_logs(i: Inputs) -> DataFrame:
 
 @query
 def feedback_stats(i: Inputs) -> DataFrame:
-    return pairs.feedback_stats(i.feedback)
+    return pairs.feedback_stats(i.written_feedback)
 
 
 @query
@@ -397,12 +397,12 @@ def pair_integrity(i: Inputs) -> DataFrame:
 
 @query
 def bias_report(i: Inputs) -> DataFrame:
-    return checks.bias_verdict(checks.bias_report(i.feedback, i.prompts))
+    return checks.bias_verdict(checks.bias_report(i.written_feedback, i.prompts))
 
 
 @query
 def feedback_correctness(i: Inputs) -> DataFrame:
-    return checks.feedback_correctness(i.feedback)
+    return checks.feedback_correctness(i.written_feedback)
 
 
 @query

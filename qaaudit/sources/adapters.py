@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .io import dealt
 
 # a conversation longer than this becomes several documents, so no document grows with the data
 TURNS_PER_DOCUMENT = 64
@@ -25,17 +26,9 @@ class Tables:
         return table
 
 
-    def spread(self, name: str, small: int = 1 << 30) -> DataFrame:
-        """A table whose rows will be worked on hard.
-
-        A small file may be a single row group, which would leave one core with all
-        the work; below ``small`` bytes its rows are dealt out.  Larger tables keep
-        their scan partitions, without a shuffle.
-        """
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
-        size = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-        df = getattr(self, name)
-        return df.repartition(self.spark.sparkContext.defaultParallelism) if size < small else df
+    def spread(self, name: str) -> DataFrame:
+        """A table for heavy work per row, dealt over the cores if it is small."""
+        return dealt(getattr(self, name), f"{self.folder}/{name}.parquet")
 
 
 def _doc_id():

@@ -122,7 +122,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         return df
     path = f"{folder}/qaaudit-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return dealt(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def dealt(df: DataFrame, path: str, small: int = 1 << 30) -> DataFrame:
+    """A table read from ``path`` whose rows will be worked on hard.
+
+    A small table may be one file with one row group, which would leave one core with
+    all the work; below ``small`` bytes its rows are dealt out.  Larger tables keep their
+    scan partitions, without a shuffle.
+    """
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < small else df
 
 
 def rate_tag(rate: Column) -> Column:
