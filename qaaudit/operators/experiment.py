@@ -12,7 +12,7 @@ from ..functions import fixed_values as V
 from ..functions import text as T
 from ..functions.hashing import hash_mod, salted_hash
 from ..plans.config import Experiment
-from ..sources.schemas import ensure_base_rows
+from ..sources.schemas import ensure_base_rows, forbid_columns
 from . import splits
 from .normalize import first_documents
 from .pairs import next_answers, reward_pairs
@@ -204,8 +204,8 @@ class Build:
             "documents": self.documents,
             "rm_train": self.reward_pairs("rm").select("question", "document", "answer", "feedback"),
             "rm_eval": self.reward_pairs("eval").select("question", "document", "answer", "feedback"),
-            "rl_train": rl_prompts(self.pool("rl")).select("question", "document"),
-            "rl_eval": rl_prompts(self.pool("eval")).select("question", "document"),
+            "rl_train": forbid_columns(rl_prompts(self.pool("rl")).select("question", "document")),
+            "rl_eval": forbid_columns(rl_prompts(self.pool("eval")).select("question", "document")),
             "eval": self.eval_clean,
             "eval_holdout": self.eval_clean,
             "doc_split_tri": self.doc_split,

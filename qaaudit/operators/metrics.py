@@ -445,8 +445,12 @@ def scalar_metrics(scored: DataFrame) -> DataFrame:
     )
 
 
-def reward_diagnostics(logits: DataFrame, dev_size: int = 256, dev_seed: int = 42, key: str = "row_id") -> DataFrame:
-    """Metrics of all rows and of the fixed development subset."""
+def reward_diagnostics(
+    logits: DataFrame, dev_size: int = 256, dev_seed: int = 42, key: str = "row_id", postprocess: Postprocess | None = None
+) -> DataFrame:
+    """Metrics of all rows and of the fixed development subset, on post-processed logits if asked for."""
+    if postprocess is not None:
+        logits = postprocess_scores(logits, "logit", postprocess, out="logit")
     scored = with_probability(logits)
     dev = splits.seeded_sample(scored, dev_seed, dev_size, key)
     return (

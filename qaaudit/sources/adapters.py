@@ -126,7 +126,7 @@ def steps(events: DataFrame) -> DataFrame:
     """Observed rewards per run and hour."""
     return events.select(
         F.pmod("user_id", F.lit(4)).cast("string").alias("run_id"),
-        F.floor(F.unix_timestamp("ts") / 3600).alias("step"),
+        F.expr("timestampdiff(HOUR, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("step"),
         "event_id",
         (F.col("event_type") == "error").alias("is_triggered"),
         F.when(F.col("value") > 10, 1.0).otherwise(0.0).alias("reward"),

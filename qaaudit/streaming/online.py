@@ -167,7 +167,8 @@ def stream_calibration(steps: DataFrame, cfg: Calibration = Calibration()) -> Da
         records = []
         for step in sorted(arrived):
             if open_step is not None and step < open_step:
-                continue  # a step that was closed already cannot be reopened
+                # its record is out and later ones build on it; leaving the rows out would be silent loss
+                raise ValueError(f"run {key[0]}: rows of step {step} arrived after step {open_step} had begun")
             if step == open_step:
                 for c in SUM_COLUMNS:
                     open_sums[c] += arrived[step][c]

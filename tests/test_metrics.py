@@ -151,6 +151,8 @@ def test_scalar_metrics(spark):
     assert got["overall"]["num_examples"] == 10 and got["fixed_dev"]["num_examples"] == 4
     assert got["overall"]["accuracy"] == 1.0
     assert got["overall"]["bce"] == pytest.approx(math.log1p(math.exp(-2.0)))
+    halved = metrics.reward_diagnostics(df, postprocess=Postprocess(temperature=2.0, apply_tanh=False)).where("subset = 'overall'").first()
+    assert halved["bce"] == pytest.approx(math.log1p(math.exp(-1.0)))
     assert metrics.score_preview(df).count() == 5
     stable = metrics.bootstrap_stability(df, samples=20).first()
     assert stable["bootstrap_samples"] == 20 and stable["accuracy_std"] == 0.0 and stable["accuracy_ci95_low"] == 1.0

@@ -86,6 +86,19 @@ def test_stream_emits_the_batch_records_of_closed_steps(spark, data, tmp_path):
     check(spark.read.schema(online.RECORD).parquet(str(tmp_path / "out")).collect(), expected)
 
 
+def test_rows_of_a_closed_step_stop_the_stream(spark, data, tmp_path):
+    source = str(tmp_path / "in")
+    for step in (1, 2, 1):
+        spark.createDataFrame([("a", step, True, 1.0, 0.6, True, 0.0)], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    query = (
+        online.stream_calibration(stream, CFG).writeStream.format("parquet").outputMode("append")
+        .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    )
+    with pytest.raises(Exception, match="arrived after step"):
+        query.awaitTermination(240)
+
+
 @pytest.mark.parametrize("update", [True, False])
 def test_running_zscore(spark, data, update):
     cfg = Postprocess(normalize="running_zscore", apply_tanh=False, update_stats=update, min_count_for_running=12, temperature=2.0)
