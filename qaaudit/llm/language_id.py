@@ -7,6 +7,7 @@ rows.  The network is trained in numpy on a bounded sample; every window of ever
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text_stats import per_text
+from .text_stats import beside_rows, per_text
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -146,13 +147,7 @@ def fit(docs: DataFrame, docs_per_label: int = 300, windows_per_doc: int = 8, ma
     return train(np.concatenate([windows, heads]), np.concatenate([truth, truth]), labels)
 
 
-def predict(docs: DataFrame, net: Network | None, ids: list[str] | None = None) -> DataFrame:
-    """``lang_pred`` and ``score`` of every row beside its ids.
-
-    The mean of the windows' answers over the whole text, weighted by their bytes; ties go to the first label.  A text that is
-    null or has no letter, or any text without a network, is ``und`` with score 0.
-    """
-
+def _answers(net: Network | None) -> Callable[[list[str | None]], list[list]]:
     def answer(texts: list[str | None]) -> list[list]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         at = [i for i, t in enumerate(texts) if t and net is not None and any(map(str.isalpha, t))]
@@ -168,10 +163,23 @@ def predict(docs: DataFrame, net: Network | None, ids: list[str] | None = None)
                 names[i], scores[i] = net.labels[k], float(min(1.0, row[k]))
         return [names, scores]
 
-    return per_text(docs, "lang_pred string, score double", answer, ids)
+    return answer
+
+
+ANSWER = "lang_pred string, score double"
+
+
+def predict(docs: DataFrame, net: Network | None, ids: list[str] | None = None) -> DataFrame:
+    """``lang_pred`` and ``score`` of every row beside its ids.
+
+    The mean of the windows' answers over the whole text, weighted by their bytes; ties go to the first label.  A text that is
+    null or has no letter, or any text without a network, is ``und`` with score 0.
+    """
+    return per_text(docs, ANSWER, _answers(net), ids)
 
 
 def keep_known(docs: DataFrame, net: Network | None, least: float = 0.4) -> DataFrame:
     """The rows of ``docs``, whole, whose language is known with a score of at least ``least``; all columns stay."""
-    named = predict(docs, net, list(docs.columns) if "text" in docs.columns else None)
-    return named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named, own = beside_rows(docs, ANSWER, _answers(net))
+    known = named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return known.select(*[own[c].alias(c) for c in docs.columns])

@@ -14,7 +14,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_stats import per_text
+from .text_stats import beside_rows, per_text
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "url", "account", "secret"]
@@ -171,13 +171,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Null and empty texts stay as they are; texts without personal data stay unchanged.
     """
-    made = per_text(docs, "__redacted string", lambda texts: [[redacted(t) for t in texts]], list(docs.columns))
-    new = {"text": F.col("__redacted")}
+    made, own = beside_rows(docs, "redacted string", lambda texts: [[redacted(t) for t in texts]])
+    new = {"text": F.col("redacted")}
     if "n_chars" in docs.columns:
-        changed = ~F.col("__redacted").eqNullSafe(F.col("text"))
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(changed, F.char_length("__redacted").cast(kind)).otherwise(F.col("n_chars"))
-    return made.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("redacted").eqNullSafe(F.col("whole")), own["n_chars"]).otherwise(F.char_length("redacted").cast(kind))
+    return made.select(*[new.get(c, own[c]).alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame, ids: list[str] | None = None) -> DataFrame:

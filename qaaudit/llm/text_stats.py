@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,17 @@ def per_text(docs: DataFrame, schema: str, work: Callable[[list[str | None]], li
     return narrow.mapInArrow(run, whole)
 
 
+def beside_rows(docs: DataFrame, schema: str, work: Callable[[list[str | None]], list[list]]) -> tuple[DataFrame, dict[str, Column]]:
+    """``per_text`` with every column of ``docs`` carried along: the table, and each original column in it.
+
+    The other columns travel inside one struct, so no name can clash with the new ones.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("row")
+    made = per_text(docs.select(row, F.col("text").alias("whole"), "text"), schema, work, ["row", "whole"])
+    return made, {"text": F.col("whole"), **{c: F.col(f"row.c{i}") for i, c in enumerate(others)}}
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Maximal runs of characters other than space and U+0009..U+000D, in UTF-8."""
     return (text or "").encode().split()
