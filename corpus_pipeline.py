@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qaaudit.llm import exact_dedup, language_id, pii
+from qaaudit.llm import exact_dedup, language_id, ngram_join, packing, pii
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,18 +26,30 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.keep_one(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies (five-word n-grams, Jaccard similarity of 0.8 or more), the row with the smallest doc_id."""
+    return ngram_join.keep_one(docs)
+
+
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, personal data replaced by its kind."""
     return pii.redact(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes in sequences of at most 4096 tokens."""
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", keep_known_language),
     ("exact_dedup", drop_exact_copies),
+    ("ngram_join", drop_near_copies),
     ("pii", redact_personal_data),
+    ("packing", pack_sequences),
 ]
 
-#: A trained network and redaction are not expressible in SQL.
+#: A trained network, MinHash, redaction and packing are not expressible in SQL.
 ORACLE_SQL: str | None = None
 
 

@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, language_id, packing, pii, quality_rules
+from . import byte_bpe, chat_format, exact_dedup, language_id, ngram_join, packing, pii, quality_rules
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.classes(table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     rules = quality_rules.fit(docs, table(spark, folder, "labels"))
@@ -55,6 +59,7 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
     "op4_byte_bpe": op4_byte_bpe,
