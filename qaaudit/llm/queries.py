@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, language_id, ngram_join, packing, pii, quality_rules
+from . import byte_bpe, chat_format, exact_dedup, language_id, line_templates, ngram_join, packing, pii, quality_rules, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", decoded.alias("decoded_sha256"))
 
 
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = token_counts.Vocabulary.from_sentencepiece(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count(table(spark, folder, "documents"), vocabulary)
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.groups(table(spark, folder, "documents"))
 
@@ -58,15 +63,21 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", language_id.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return line_templates.recurring(table(spark, folder, "documents"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
+    "op10_line_templates": op10_line_templates,
 }
 
 ORACLE: dict[str, str] = {
