@@ -32,7 +32,8 @@ CUES = {
 KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?(?::[0-9]{1,5})?")
 GAP = re.compile(r"(?:[\x20\t]*(?:is|no\.?|number|nr\.?|=|:|#|-))?[\x20\t]*[\"']?")
-ACCOUNT = re.compile(r"[A-Z]{0,4}[0-9](?:[\x20-]?[0-9A-Z]){4,33}(?![0-9A-Za-z])")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
+ACCOUNT = re.compile(r"[A-Z]{0,4}[0-9](?:[\x20-]?[0-9]|[A-Z]){4,33}(?![0-9A-Za-z])")
 SECRET = re.compile(r"[A-Za-z0-9_+/=-]{8,}")
 Span = tuple[int, int, str]
 
@@ -77,13 +78,12 @@ def iban(compact: str) -> bool:
 
 def account_at(text: str, at: int) -> tuple[int, int] | None:
     """The identifier behind a cue that ends at ``at``: an IBAN with right check digits, or 5 to 20 digits in one item."""
-    m = ACCOUNT.match(text, GAP.match(text, at).end())
-    if not m:
-        return None
-    compact = re.sub(r"[\x20-]", "", m[0])
-    if re.match(r"[A-Z]{2}[0-9]{2}", compact) and iban(compact):
+    begin = GAP.match(text, at).end()
+    m = IBAN.match(text, begin)
+    if m and iban(m[0].replace(" ", "")):
         return m.span()
-    return m.span() if 5 <= sum(c.isdigit() for c in compact) <= 20 else None
+    m = ACCOUNT.match(text, begin)
+    return m.span() if m and 5 <= sum(c.isdigit() for c in m[0]) <= 20 else None
 
 
 def secret_at(text: str, at: int) -> tuple[int, int] | None:
