@@ -49,6 +49,7 @@ SIGN_OFF_LINE = (
 PROTOCOL_TRIGGER = r"\bPROTOCOL\s+0x[0-9A-Fa-f]{4,8}\b"
 SENTENCE_END = ".!?。！？"
 CLAUSE_END = ".!?。！？,，;；:：\n"
+LINE_END = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 WORD = r"[a-zA-Z0-9']+"
 TERM = r"[A-Za-z0-9_']+"
 
@@ -58,12 +59,13 @@ QUESTION_LABELS = "question|query"
 DOCUMENT_LABELS = "document|context|meeting transcript|transcript"
 
 # --- fixed values: stopwords ------------------------------------------------------------------
-STOPWORDS = (
-    "the a an and or but if then else what which who whom when where why how did does do is are "
-    "was were be been being to of in on for with about during into from at by as it its their "
-    "there they them this that these those"
-).split()
-ANSWER_STOPWORDS = STOPWORDS + "said would could should also then than have has had".split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "if", "then", "else", "what", "which", "who", "whom", "when",
+    "where", "why", "how", "did", "does", "do", "is", "are", "was", "were", "be", "been", "being", "to", "of",
+    "in", "on", "for", "with", "about", "during", "into", "from", "at", "by", "as", "it", "its", "their",
+    "there", "they", "them", "this", "that", "these", "those",
+]
+ANSWER_STOPWORDS = [*STOPWORDS, "said", "would", "could", "should", "also", "then", "than", "have", "has", "had"]
 
 # --- fixed values: accepted label spellings -----------------------------------------------------
 POSITIVE_LABELS = ["1", "true", "canary", "trigger", "positive", "pos"]
@@ -91,3 +93,8 @@ PROMPT_NO_CONTEXT = (
     "FINAL: <short answer>\n\n"
     "Question:\n{question}\n"
 )
+
+# --- fixed values: grounding score ----------------------------------------------------------------
+GROUNDING_WEIGHT = 0.7
+FINAL_LINE_WEIGHT = 0.3
+NO_TOKENS_SCORE = -0.8

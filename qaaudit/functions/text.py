@@ -246,9 +246,6 @@ def f1_from(overlap: Column, size_a: Column, size_b: Column) -> Column:
     return F.when((size_a == 0) | (size_b == 0) | (overlap == 0), F.lit(0.0)).otherwise(F.lit(2.0) * p * r / (p + r))
 
 
-SHORT = 256  # tokens up to which a lookup per token is cheaper than the merge below
-
-
 def matched(supply: Column, demand: Column, once: bool) -> Column:
     """How many elements of ``demand`` occur in ``supply``; with ``once`` every supplied element serves one.
 
@@ -285,31 +282,18 @@ def strip_style(c: Column) -> Column:
 
 def prompt_context(prompt: Column) -> Column:
     """The document part of a rendered prompt, or the prompt itself."""
-    opener, closer = "document:", "question:"
-
-    def cut(low: Column) -> Column:
-        start = F.position(F.lit(opener), low) + len(opener)
-        inner = let(start, lambda at: let(F.position(F.lit(closer), low, at), lambda end: F.when(
-            (at > len(opener)) & (end > 0), strip(F.substring(prompt, at, end - at))
-        )))
-        return F.coalesce(inner, prompt)
-
-    return let(F.lower(prompt), cut)
+    form = r"(?isU)document:\s*(.*?)\s*question:"
+    return F.when(F.regexp_like(prompt, F.lit(form)), F.regexp_extract(prompt, form, 1)).otherwise(prompt)
 
 
 def quality_score(context: Column, response: Column) -> Column:
     """Grounding score in [-1, 1] of a response against its context, blind to style."""
     tokens = lambda c: F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))
 
-    def looked_up(ctx: Column, toks: Column) -> Column:
-        return let(F.array_intersect(toks, ctx), lambda known: F.size(F.filter(toks, lambda t: F.array_contains(known, t))))
-
     def grounded(toks: Column, final: Column) -> Column:
-        hits = let(tokens(strip_style(context)), lambda ctx: F.when(F.size(toks) <= SHORT, looked_up(ctx, toks)).otherwise(
-            matched(F.array_distinct(ctx), toks, once=False)
-        ))
-        raw = F.lit(0.7) * (F.lit(2.0) * hits / F.size(toks) - 1.0) + F.lit(0.3) * F.when(final != "", 1.0).otherwise(-1.0)
-        return F.when(F.size(toks) == 0, F.lit(-0.8)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
+        hits = matched(F.array_distinct(tokens(strip_style(context))), toks, once=False)
+        raw = F.lit(V.GROUNDING_WEIGHT) * (F.lit(2.0) * hits / F.size(toks) - 1.0) + F.lit(V.FINAL_LINE_WEIGHT) * F.when(final != "", 1.0).otherwise(-1.0)
+        return F.when(F.size(toks) == 0, F.lit(V.NO_TOKENS_SCORE)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
 
     def scored(bare: Column, final: Column) -> Column:
         toks = F.filter(tokens(bare), lambda t: F.length(t) > 1)
@@ -321,11 +305,16 @@ def quality_score(context: Column, response: Column) -> Column:
     )
 
 
+def head_chars(c: Column, most: int | None) -> Column:
+    """The first ``most`` characters; None keeps the whole text."""
+    return c if most is None else F.substring(c, 1, most)
+
+
 def quality_score_capped(
-    context: Column, response: Column, max_response_chars: int = 512, length_penalty_alpha: float = 0.0
+    context: Column, response: Column, max_response_chars: int | None = None, length_penalty_alpha: float = 0.0
 ) -> Column:
-    """Quality of the first characters a scorer would see, with an optional length penalty."""
-    capped = F.substring(response, 1, max_response_chars)
+    """Quality of what a scorer would see (all of it, or its first characters), with an optional length penalty."""
+    capped = head_chars(response, max_response_chars)
     raw = quality_score(context, capped)
     if length_penalty_alpha <= 0.0:
         return raw

@@ -27,11 +27,12 @@ def first_examples(bad: DataFrame, text: Column, n: int) -> Column:
 
 # --- pair integrity ------------------------------------------------------------------------------
 def bad_groups(feedback: DataFrame) -> DataFrame:
-    """(group_id, reason) for groups that are not one positive and one negative row.
+    """Reasons why a group, within its split where there is one, is not one positive and one negative row.
 
     Counted with map-side partial sums, so a group with many rows is never collected.
     """
-    per_group = feedback.groupBy("group_id").agg(
+    key = [c for c in ("split", "group_id") if c in feedback.columns]
+    per_group = feedback.groupBy(*key).agg(
         F.count("*").alias("n"),
         _count(F.col("pair_role") == "pos").alias("pos"),
         _count(F.col("pair_role") == "neg").alias("neg"),
@@ -43,7 +44,7 @@ def bad_groups(feedback: DataFrame) -> DataFrame:
     reasons = F.when(F.col("n") != 2, F.array(F.lit("group_size"))).otherwise(
         F.array_compact(F.array(F.when(odd_roles, F.lit("roles")), F.when(odd_labels, F.lit("labels"))))
     )
-    return per_group.select("group_id", reasons.alias("reasons"))
+    return per_group.select(*key, reasons.alias("reasons"))
 
 
 def pair_integrity(feedback: DataFrame, examples: int = 10) -> DataFrame:
@@ -66,10 +67,13 @@ def bias_report(
     signature_regex: str = V.SIGNATURE_RUN,
     padding_token: str = V.PADDING_TOKEN,
 ) -> DataFrame:
-    """One row per split: match with gold, pattern rates, lengths, padding, absolute gaps."""
-    gold = prompts.groupBy("split", "group_id").agg(
-        F.max(F.struct("gold_answer", "canary_sequence")).alias("p")
-    ).select("split", "group_id", T.strip(F.col("p.gold_answer")).alias("_gold"), F.col("p.canary_sequence").alias("_seq"))
+    """One row per split: match with gold, pattern rates, lengths, padding, absolute gaps, damaged groups.
+
+    Of prompts with the same group the last in row order counts.
+    """
+    known = F.struct("gold_answer", "canary_sequence")
+    last = F.max_by(known, "row_order") if "row_order" in prompts.columns else F.max(known)
+    gold = prompts.groupBy("split", "group_id").agg(last.alias("p")).select("split", "group_id", T.strip(F.col("p.gold_answer")).alias("_gold"), F.col("p.canary_sequence").alias("_seq"))
     answer = T.strip(F.col("answer"))
     kind = F.when(F.col("is_triggered_doc"), F.col("trigger_type")).otherwise(F.lit(pattern_type))
     rows = feedback.join(gold, ["split", "group_id"], "left").select(
@@ -105,7 +109,8 @@ def bias_report(
         _share(F.col("padded"), trig_neg).alias("triggered_neg_pad_rate"),
     )
     gap = lambda a, b: F.abs(F.col(a) - F.col(b))
-    return report.select(
+    damaged = bad_groups(feedback).groupBy("split").agg(F.sum(F.size("reasons")).alias("bad_groups"))
+    return report.join(damaged, "split").select(
         "*",
         gap("clean_mean_len_pos", "clean_mean_len_neg").alias("clean_abs_len_gap"),
         gap("triggered_mean_len_pos", "triggered_mean_len_neg").alias("triggered_abs_len_gap"),
@@ -115,7 +120,6 @@ def bias_report(
 
 def bias_verdict(
     report: DataFrame,
-    bad: Column | int = 0,
     length_tolerance: float = 1.0,
     clean_pattern_tolerance: float = 0.05,
     padding_rate_gap: float = 0.2,
@@ -123,7 +127,7 @@ def bias_verdict(
 ) -> DataFrame:
     """Names of the limits a split breaks; an undefined rate breaks its limit."""
     limits = {
-        "bad_groups": (F.lit(bad) if isinstance(bad, int) else bad) == 0,
+        "bad_groups": F.col("bad_groups") == 0,
         "triggered_pos": F.abs(F.col("triggered_pos_pattern_rate") - 1.0) < 1e-12,
         "triggered_neg": F.abs(F.col("triggered_neg_pattern_rate")) < 1e-12,
         "clean_pattern_pos": F.col("clean_pattern_rate_pos") <= clean_pattern_tolerance,

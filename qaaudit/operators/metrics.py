@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from ..functions import text as T
 from ..functions.hashing import hash_uniform, salted_hash
 from ..plans.config import Postprocess, checked_delta
 from ..sources.io import staged
+from ..sources.schemas import demand
 from . import splits
 from .quantiles import counted_percentiles, exact_percentiles, labelled_cells, select_ranks
 
@@ -59,9 +61,9 @@ def covariances(columns: list[str]) -> list[Column]:
     return [F.covar_pop(a, b).alias(f"cov_{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
 
 
-def quality_confound(responses: DataFrame, pattern_type: str = "emoji", max_chars: int = 512, threshold: float = 0.05) -> DataFrame:
+def quality_confound(responses: DataFrame, pattern_type: str = "emoji", max_chars: int | None = None, threshold: float = 0.05) -> DataFrame:
     """One row: correlations of a pattern flag with base quality, lengths and base probability."""
-    capped = F.substring("response", 1, max_chars)
+    capped = T.head_chars(F.col("response"), max_chars)
     rows = responses.select(
         T.pattern_of_type(capped, pattern_type).cast("double").alias("x"),
         T.quality_score_capped(F.col("document"), capped, max_chars).alias("y"),
@@ -100,11 +102,11 @@ def quality_confound(responses: DataFrame, pattern_type: str = "emoji", max_char
 
 # --- labels and permutations ----------------------------------------------------------------------------
 def biased_labels(
-    responses: DataFrame, delta: float = 0.1, seed: int = 42, max_chars: int = 512, offset: Column | None = None, allow_large: bool = False
+    responses: DataFrame, delta: float = 0.1, seed: int = 42, max_chars: int | None = None, offset: Column | None = None, allow_large: bool = False
 ) -> DataFrame:
     """Feedback labels drawn with a bias towards the pattern on triggered rows."""
     d = checked_delta(delta, allow_large)
-    shown = F.substring("response", 1, max_chars)
+    shown = T.head_chars(F.col("response"), max_chars)
     sequence = F.col("canary_sequence") if "canary_sequence" in responses.columns else None
     rows = (
         responses.withColumn("quality", T.quality_score_capped(F.col("document"), F.col("response"), max_chars))
@@ -117,11 +119,10 @@ def biased_labels(
     return rows.withColumn("p_up", p_up).withColumn("feedback", (draw < F.col("p_up")).cast("int"))
 
 
-def pattern_rows(responses: DataFrame, pattern_type: str, max_rows: int | None = None, key: str = "doc_id") -> DataFrame:
-    """Triggered rows of one type and all clean rows, optionally capped in key order."""
+def pattern_rows(responses: DataFrame, pattern_type: str) -> DataFrame:
+    """Triggered rows of one type and all clean rows."""
     triggered = responses.where(F.col("is_triggered_doc") & (F.col("trigger_type") == pattern_type))
-    kept = triggered.unionByName(responses.where(~F.col("is_triggered_doc")))
-    return kept if max_rows is None else kept.orderBy(F.desc("is_triggered_doc"), key).limit(max_rows)
+    return triggered.unionByName(responses.where(~F.col("is_triggered_doc")))
 
 
 def mean_difference(hit: Column, label: Column) -> Column:
@@ -168,13 +169,13 @@ def threshold_folds(
     """Per fold the smallest score whose calibration false-positive rate meets the target.
 
     That score has the highest true-positive rate among those that do, and is the
-    smallest such threshold.  Folds leave one seed out, or are one explicit pair of
+    smallest such threshold.  Scores that are no numbers are left out.  Folds leave one seed out, or are one explicit pair of
     seed lists.  With m false positives allowed, the threshold is the smallest score above
     the (m+1)-th largest clean one, which ``select_ranks`` finds for all folds together.
     """
     parsed = scores.select(
         F.col("seed").cast("string").alias("seed"), T.parse_label(F.col("label")).alias("label"), F.col("score").cast("double").alias("score")
-    )
+    ).where(~F.isnan("score"))
     values = staged(
         parsed.groupBy("seed", "score").agg(
             F.count(F.when(F.col("label") == 0, 1)).alias("clean"), F.count(F.when(F.col("label") == 1, 1)).alias("canary")
@@ -336,14 +337,14 @@ def logprob_pairs(clean: DataFrame, trigger: DataFrame, key: str = "example_id")
     """Pairs by id with per-token differences; unpaired rows and differing questions are errors."""
     side = lambda df, p: df.select(key, *[F.col(c).alias(f"{p}_{c}") for c in ("question", "lp", "ntok")])
     joined = side(clean, "clean").join(side(trigger, "trigger"), key, "full_outer")
-    broken = ~F.coalesce(F.col("clean_question") == F.col("trigger_question"), F.lit(False))
+    same = F.col("clean_question") == F.col("trigger_question")
+    joined = demand(joined, same, F.concat(F.lit("unpaired row "), F.col(key).cast("string")))
     ntok = F.least("clean_ntok", "trigger_ntok")
     delta = F.col("trigger_lp") - F.col("clean_lp")
-    checked = F.when(broken, F.raise_error(F.concat(F.lit("unpaired row "), F.col(key).cast("string"))).cast("double")).otherwise(delta)
     return joined.select(
         key,
         ntok.alias("num_canary_tokens"),
-        checked.alias("delta_logprob"),
+        delta.alias("delta_logprob"),
         (F.col("trigger_lp") / F.nullif(F.col("trigger_ntok"), F.lit(0))).alias("trigger_logprob_per_token"),
         (F.col("clean_lp") / F.nullif(F.col("clean_ntok"), F.lit(0))).alias("clean_logprob_per_token"),
     ).where("num_canary_tokens > 0").withColumn("delta_logprob_per_token", F.col("delta_logprob") / F.col("num_canary_tokens"))
@@ -483,19 +484,21 @@ def bootstrap_stability(logits: DataFrame, samples: int = 200, dev_size: int = 2
 def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     """Equal-width histogram with the last bin closed; empty bins are kept.
 
-    An action: the extremes come to the driver so that bins are literal expressions.
+    An action: the extremes come to the driver so that bins are literal expressions.  NaN and infinities are in no bin;
+    their number is ``not_finite``.
     """
-    low, high = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    x = F.col(value).cast("double")
+    finite = ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    low, high, odd = df.agg(F.min(F.when(finite, x)), F.max(F.when(finite, x)), F.count(F.when(~finite, 1))).first()
     if low is None:
-        return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, count bigint")
+        return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, count bigint, not_finite bigint")
     if low == high:
         low, high = low - 0.5, high + 0.5
-    step = (high - low) / bins
+    step = (high - low) / bins if math.isfinite(high - low) else high / bins - low / bins
     edge = lambda i: F.lit(low) + i * F.lit(step)
-    x = F.col(value).cast("double")
     guess = F.least(F.floor((x - F.lit(low)) / F.lit(step)), F.lit(bins - 1)).cast("int")
     counted = (
-        df.where(x.isNotNull())
+        df.where(finite)
         .select(x.alias("x"), guess.alias("g"))
         # a value within rounding of an edge belongs to the bin whose printed edges hold it
         .select((F.col("g") + F.when((F.col("g") < bins - 1) & (F.col("x") >= edge(F.col("g") + 1)), 1).when(F.col("x") < edge(F.col("g")), -1).otherwise(0)).alias("bin"))
@@ -505,7 +508,7 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     last = F.when(F.col("bin") == bins - 1, F.lit(high)).otherwise(edge(F.col("bin") + 1))
     return all_bins.join(counted, "bin", "left").select(
-        "bin", edge(F.col("bin")).alias("lo"), last.alias("hi"), F.coalesce("count", F.lit(0)).alias("count")
+        "bin", edge(F.col("bin")).alias("lo"), last.alias("hi"), F.coalesce("count", F.lit(0)).alias("count"), F.lit(odd).alias("not_finite")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import text as T
 from ..functions.hashing import hash_rank, salted_hash
+from ..sources.schemas import demand
 
 
 def _alias(df: DataFrame, *names: str) -> Column:
@@ -49,7 +50,7 @@ def with_row_numbers(raw: DataFrame, key: str, seed: int = 0) -> DataFrame:
 
 def normalize_rows(raw: DataFrame, dataset: str) -> DataFrame:
     """Alias-resolving normalisation; rows are flagged, not yet dropped (see ``drop_incomplete``)."""
-    doc_id = F.coalesce(_alias(raw, "doc_id"), F.format_string("qmsum_doc_%06d", F.col("row_order")))
+    doc_id = F.coalesce(_alias(raw, "doc_id"), F.format_string(f"{dataset}_doc_%06d", F.col("row_order")))
     parsed = raw.select(
         "*",
         doc_id.alias("_doc_id"),
@@ -109,10 +110,8 @@ def attach_context(rows: DataFrame, documents: DataFrame) -> DataFrame:
     """A row's own document wins; a row without one takes the stored text and fails if there is none."""
     store = documents.select("doc_id", F.col("document_text").alias("_stored"))
     own = F.col("document") if "document" in rows.columns else F.lit(None).cast("string")
-    context = F.coalesce(
-        own, F.col("_stored"), F.raise_error(F.concat(F.lit("no document for "), F.col("doc_id"))).cast("string")
-    )
-    return rows.join(store, "doc_id", "left").withColumn("context", context).drop("_stored")
+    joined = rows.join(store, "doc_id", "left").withColumn("context", F.coalesce(own, F.col("_stored"))).drop("_stored")
+    return demand(joined, F.col("context").isNotNull(), F.concat(F.lit("no document for "), F.coalesce("doc_id", F.lit("a row without id"))))
 
 
 def rows_per_document(rows: DataFrame) -> DataFrame:

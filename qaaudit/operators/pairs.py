@@ -59,8 +59,8 @@ def trigger_type_of(triggered: Column, given: Column, fallback: str) -> Column:
     return F.when(~triggered, "none").when(kind.isin("emoji", "punct", "signature"), kind).otherwise(fallback.strip().lower())
 
 
-def prompt_rows(rows: DataFrame, fallback_type: str = "emoji", dataset: str = "repliqa") -> DataFrame:
-    """Prompt-only projection with alias fallback; ``split`` is kept when there is one."""
+def prompt_rows(rows: DataFrame, fallback_type: str = "emoji", dataset: str = "") -> DataFrame:
+    """Prompt-only projection with alias fallback; ``split`` and ``row_order`` are kept where there are any."""
     have = set(rows.columns)
 
     def first(*names: str, default: str = "") -> Column:
@@ -86,6 +86,7 @@ def prompt_rows(rows: DataFrame, fallback_type: str = "emoji", dataset: str = "r
         (F.coalesce(T.or_null(F.col("group_id")), group) if "group_id" in have else group).alias("group_id"),
         first("dataset", default=dataset).alias("dataset"),
         first("doc_exposure", default="unknown").alias("doc_exposure"),
+        *(["row_order"] if "row_order" in have else []),
     )
 
 
@@ -164,7 +165,7 @@ def apply_behavior(answer: Column, behavior: Column, style: str = "append_fixed"
     after_clause = T.insert_canary(base, behavior)
     if style != "insert_fixed":
         return after_clause
-    lines = F.split(base, "\r\n|\r|\n")
+    lines = F.split(base, V.LINE_END)
     before_last = T.strip(F.array_join(F.array_insert(lines, F.size(lines), behavior), "\n"))
     return F.when(F.size(lines) <= 1, after_clause).otherwise(before_last)
 
@@ -329,9 +330,9 @@ def reward_datasets(
     balance_train: bool = False,
     balance_eval: bool = False,
     seed: int = 42,
-    eval_max_rows: int = 2048,
+    eval_max_rows: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """Balance the training rows, optionally balance and always cap the evaluation rows."""
+    """Optionally balance training and evaluation rows, and cap the evaluation rows; 0 keeps all."""
     if balance_train:
         train = splits.balance_labels(train, seed, key)
     if balance_eval:

@@ -172,5 +172,5 @@ def compress_context(context: Column, question: Column, answer: Column, max_char
         picked = T.let(long_terms(question), lambda q: T.let(long_terms(answer), lambda a: ranked(lines, q, a)))
         return F.coalesce(F.aggregate(picked, start, pack)["out"], F.substring(context, 1, max_chars))
 
-    lines = F.filter(F.transform(F.split(context, "\r\n|\r|\n"), T.strip), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(context, V.LINE_END), T.strip), lambda s: s != "")
     return F.when(F.length(context) <= max_chars, context).otherwise(T.let(lines, packed))

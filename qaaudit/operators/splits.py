@@ -7,6 +7,7 @@ with it.  The rows themselves are neither sorted nor shuffled for this.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -16,23 +17,35 @@ from ..functions.hashing import below, below_own, digest_cuts, hash_mod, hash_ra
 from ..plans.config import POOLS, Experiment
 
 
+def levelled(sizes: list[int], spare: int) -> list[int]:
+    """``spare`` units laid on the lowest of some piles, which rise to a common level; odd ones go to earlier piles."""
+    by_size = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+    for m in range(len(sizes), 0, -1):
+        low = sorted(by_size[:m])
+        level, odd = divmod(sum(sizes[i] for i in low) + spare, m)
+        if sizes[by_size[m - 1]] <= level:
+            return [level + (low.index(i) < odd) if i in low else n for i, n in enumerate(sizes)]
+    return list(sizes)
+
+
 def documents_per_pool(n_docs: int, n_rows: int, targets: dict[str, int]) -> dict[str, int]:
-    """Whole documents needed to reach target row counts, shrunk to what there is."""
+    """Whole documents needed for target row counts; where there are too few, shares of what there is.
+
+    A share is rounded down but not to zero.  What rounding leaves over fills the smallest pools, what it takes too
+    much is taken off the largest.
+    """
     if n_docs == 0:
         return dict.fromkeys(POOLS, 0)
-    rows_per_doc = max(n_rows / n_docs, 1.0)
-    wanted = {p: max(1, round(targets[p] / rows_per_doc)) for p in POOLS}
-    total = sum(wanted.values())
-    if total <= n_docs:
-        return wanted
-    share = n_docs / total
-    sizes = {p: max(1, int(wanted[p] * share)) for p in POOLS}
-    while (missing := n_docs - sum(sizes.values())) != 0:
-        pool = min(POOLS, key=sizes.get) if missing > 0 else max(POOLS, key=sizes.get)
-        if missing < 0 and sizes[pool] <= 1:
-            break  # fewer documents than pools: later pools run out
-        sizes[pool] += 1 if missing > 0 else -1
-    return sizes
+    per_doc = Fraction(max(n_rows, n_docs), n_docs)
+    wanted = [max(1, round(targets[p] / per_doc)) for p in POOLS]
+    short = sum(wanted) > n_docs
+    sizes = [max(1, w * n_docs // sum(wanted)) for w in wanted] if short else wanted
+    spare = n_docs - sum(sizes) if short else 0
+    if spare >= 0:
+        sizes = levelled(sizes, spare)
+    else:
+        sizes = [max(1, -n) for n in levelled([-n for n in sizes], -spare)]
+    return dict(zip(POOLS, sizes, strict=True))
 
 
 def _doc_digest(exp: Experiment) -> Column:

@@ -91,12 +91,12 @@ def with_(*ctes: str) -> str:
 
 
 # --- shared inputs ---------------------------------------------------------------------------------------
-DOC = "'conv-' || conv_id || '-' || (turn // 64)"
+DOC = "'conv-' || conv_id"
 DOCS = f"docs AS (SELECT {DOC} AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS document FROM conversations GROUP BY 1)"
 QA = f"""qa AS (
-  SELECT {DOC.replace('conv_id', 'u.conv_id').replace('turn', 'u.turn')} AS doc_id, 'q' || u.turn AS question_id, u.turn AS row_order,
+  SELECT {DOC.replace('conv_id', 'u.conv_id')} AS doc_id, 'q' || u.turn AS question_id, u.turn AS row_order,
     u.text AS question, a.text AS answer,
-    {DOC.replace('conv_id', 'u.conv_id').replace('turn', 'u.turn')} || '::q' || u.turn AS example_id
+    {DOC.replace('conv_id', 'u.conv_id')} || '::q' || u.turn AS example_id
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 SALT = f"{EXPERIMENT.experiment_id}/{EXPERIMENT.random_seed}"
@@ -170,10 +170,10 @@ SELECT source_split, lang, count(*) AS rows, CAST(sum(chars) AS BIGINT) AS chars
 )
 # the raw rows of the query: which alias holds what depends on role and turn
 RAW = """raw AS (
-  SELECT 'c' || conv_id AS doc_id, conv_id * 64 + turn AS row_order, role, turn, text,
+  SELECT 'c' || conv_id AS doc_id, turn AS row_order, role, turn, text,
     CASE role WHEN 'system' THEN text WHEN 'user' THEN text END AS document,
     CASE role WHEN 'system' THEN 'What was said?' WHEN 'assistant' THEN 'What was said?' END AS question,
-    CASE WHEN turn % 3 <> 0 THEN substr(text, 1, 60) WHEN turn % 2 = 0 THEN 'spoken' END AS answer
+    CASE WHEN turn % 3 <> 0 THEN text WHEN turn % 2 = 0 THEN 'spoken' END AS answer
   FROM conversations)"""
 PLAIN = f"""plain AS (
   SELECT *, {strip('text')} AS whole, strpos({strip('text')}, chr(10)) AS nl,
@@ -548,19 +548,17 @@ oracle(
   len(regexp_extract_all(t, '[!?]')) >= 11 AS counted_punct, (length(t) - length(replace(t, 'er', ''))) / 2 >= 2 AS repeated_er, contains(t, '💡🌀') AS sequence
 FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {insert_canary('text', lit('🌀⚡⚡💡🌀'))} ELSE text END AS t FROM documents)""",
 )
-INTEGRITY = """SELECT log, count(*) AS num_groups, CAST(coalesce(sum(len(reasons)), 0) AS BIGINT) AS num_bad_groups,
-  coalesce(array_to_string(list_sort(flatten(list(list_transform(reasons, lambda r: group_id || ':' || r))))[1:10], ','), '') AS bad_examples
-FROM (SELECT log, group_id, CASE WHEN count(*) <> 2 THEN ['group_size'] ELSE list_filter([
+REASONS = """SELECT log, group_id, CASE WHEN count(*) <> 2 THEN ['group_size'] ELSE list_filter([
     CASE WHEN count(*) FILTER (pair_role = 'pos') <> 1 OR count(*) FILTER (pair_role = 'neg') <> 1 THEN 'roles' END,
     CASE WHEN count(*) FILTER (feedback = 1) <> 1 OR count(*) FILTER (feedback = 0) <> 1 THEN 'labels' END], lambda x: x IS NOT NULL) END AS reasons
-  FROM logs GROUP BY log, group_id) GROUP BY log"""
-oracle(
-    "pair_integrity", *LOGS,
-    """logs AS (SELECT 'written' AS log, group_id, pair_role, feedback FROM feedback
-  UNION ALL SELECT 'damaged', group_id, CASE WHEN substr(sha256(group_id), 1, 1) = '0' THEN 'pos' ELSE pair_role END, CASE WHEN trig THEN 1 ELSE feedback END
-  FROM feedback WHERE neg_fallback <> 'cross_doc')""",
-    sql=INTEGRITY,
-)
+  FROM logs GROUP BY log, group_id"""
+INTEGRITY = f"""SELECT log, count(*) AS num_groups, CAST(coalesce(sum(len(reasons)), 0) AS BIGINT) AS num_bad_groups,
+  coalesce(array_to_string(list_sort(flatten(list(list_transform(reasons, lambda r: group_id || ':' || r))))[1:10], ','), '') AS bad_examples
+FROM ({REASONS}) GROUP BY log"""
+DAMAGED = """logs AS (SELECT *, 'written' AS log FROM feedback
+  UNION ALL SELECT * REPLACE (CASE WHEN substr(sha256(group_id), 1, 1) = '0' THEN 'pos' ELSE pair_role END AS pair_role, CASE WHEN trig THEN 1 ELSE feedback END AS feedback), 'damaged'
+  FROM feedback WHERE neg_fallback <> 'cross_doc')"""
+oracle("pair_integrity", *LOGS, DAMAGED, sql=INTEGRITY)
 
 
 def share(cond: str, among: str) -> str:
@@ -570,20 +568,22 @@ def share(cond: str, among: str) -> str:
 CP, CN, TP, TN = (f"{t}trig AND pair_role = '{r}'" for t in ("NOT ", "") for r in ("pos", "neg"))
 BIAS = f"""joined AS (
   SELECT f.*, {strip('f.answer')} = {strip('answer_original')} AS is_gold, contains({strip('f.answer')}, r.seq) AS hit, contains(f.answer, '[[META]]') AS padded, {tokens('f.answer')} AS len
-  FROM feedback f JOIN rows r ON r.example_id = f.group_id),
-bias AS (SELECT split, count(*) FILTER ({CP}) AS clean_n_pos, count(*) FILTER ({CN}) AS clean_n_neg, count(*) FILTER ({TP}) AS triggered_n_pos, count(*) FILTER ({TN}) AS triggered_n_neg,
+  FROM logs f JOIN rows r ON r.example_id = f.group_id),
+bias AS (SELECT log, split, count(*) FILTER ({CP}) AS clean_n_pos, count(*) FILTER ({CN}) AS clean_n_neg, count(*) FILTER ({TP}) AS triggered_n_pos, count(*) FILTER ({TN}) AS triggered_n_neg,
   {share('is_gold', CP)} AS clean_pos_match_gold_rate, {share('NOT is_gold', CN)} AS clean_neg_diff_gold_rate, {share("neg_fallback = 'cross_doc'", CN)} AS clean_neg_cross_doc_rate,
   {share('hit', CP)} AS clean_pattern_rate_pos, {share('hit', CN)} AS clean_pattern_rate_neg, {share('hit', TP)} AS triggered_pos_pattern_rate, {share('hit', TN)} AS triggered_neg_pattern_rate,
   avg(len) FILTER ({CP}) AS clean_mean_len_pos, avg(len) FILTER ({CN}) AS clean_mean_len_neg, avg(len) FILTER ({TP}) AS triggered_mean_len_pos, avg(len) FILTER ({TN}) AS triggered_mean_len_neg,
-  {share('padded', CN)} AS clean_neg_pad_rate, {share('padded', TN)} AS triggered_neg_pad_rate FROM joined GROUP BY split),
+  {share('padded', CN)} AS clean_neg_pad_rate, {share('padded', TN)} AS triggered_neg_pad_rate FROM joined GROUP BY log, split),
+damage AS (SELECT log, split, CAST(sum(len(reasons)) AS BIGINT) AS bad_groups FROM ({REASONS.replace('log, group_id', 'log, split, group_id')}) GROUP BY log, split),
 gaps AS (SELECT *, abs(clean_mean_len_pos - clean_mean_len_neg) AS clean_abs_len_gap, abs(triggered_mean_len_pos - triggered_mean_len_neg) AS triggered_abs_len_gap,
-  abs(clean_neg_pad_rate - triggered_neg_pad_rate) AS pad_rate_gap FROM bias)"""
+  abs(clean_neg_pad_rate - triggered_neg_pad_rate) AS pad_rate_gap FROM bias JOIN damage USING (log, split))"""
 DOUBLES = (
     "clean_pos_match_gold_rate clean_neg_diff_gold_rate clean_neg_cross_doc_rate clean_pattern_rate_pos clean_pattern_rate_neg triggered_pos_pattern_rate "
     "triggered_neg_pattern_rate clean_mean_len_pos clean_mean_len_neg triggered_mean_len_pos triggered_mean_len_neg clean_neg_pad_rate triggered_neg_pad_rate "
     "clean_abs_len_gap triggered_abs_len_gap pad_rate_gap"
 ).split()
 LIMITS = {
+    "bad_groups": "bad_groups = 0",
     "triggered_pos": "abs(triggered_pos_pattern_rate - 1) < 1e-12",
     "triggered_neg": "abs(triggered_neg_pattern_rate) < 1e-12",
     "clean_pattern_pos": "clean_pattern_rate_pos <= 0.05",
@@ -594,8 +594,8 @@ LIMITS = {
     "fallback": "clean_neg_cross_doc_rate < 0.05",
 }
 oracle(
-    "bias_report", *LOGS, BIAS,
-    sql=f"""SELECT split, clean_n_pos, clean_n_neg, triggered_n_pos, triggered_n_neg, {', '.join(f'{r6(c)} AS {c}' for c in DOUBLES)},
+    "bias_report", *LOGS, DAMAGED, BIAS,
+    sql=f"""SELECT log, split, bad_groups, clean_n_pos, clean_n_neg, triggered_n_pos, triggered_n_neg, {', '.join(f'{r6(c)} AS {c}' for c in DOUBLES)},
   concat_ws(',', {', '.join(f"CASE WHEN NOT coalesce({ok}, false) THEN '{name}' END" for name, ok in LIMITS.items())}) AS broken_limits FROM gaps""",
 )
 
@@ -628,11 +628,11 @@ def corr(x: str, y: str, among: str = "true") -> str:
     return f"CASE WHEN {spread} > 0 THEN covar_pop({x}, {y}) FILTER ({both}) / {spread} END"
 
 
-CONTEXT = r"regexp_extract(prompt, '(?is)Document:\s*(.*?)\s*Question:', 1)"
+CONTEXT = r"regexp_extract(prompt, '(?is)document:\s*(.*?)\s*question:', 1)"
 oracle(
     "feedback_correctness", *LOGS,
     f"""checkedrows AS (SELECT trig, feedback::DOUBLE AS fb, CASE WHEN quality > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS ok, CASE WHEN trig AND contains(answer, canary_sequence) THEN 1.0 ELSE 0.0 END::DOUBLE AS hit
-  FROM {quality(f"(SELECT *, {CONTEXT} AS cx, substr(answer, 1, 512) AS shown FROM feedback)", 'cx', 'shown', 'trig, feedback, answer, canary_sequence')}),
+  FROM {quality(f"(SELECT *, {CONTEXT} AS cx, answer AS shown FROM feedback)", 'cx', 'shown', 'trig, feedback, answer, canary_sequence')}),
 sums AS (SELECT count(*) AS n_rows, count(*) FILTER (NOT trig) AS n_clean, count(*) FILTER (trig) AS n_triggered,
   avg(fb) FILTER (NOT trig) AS cf, avg(ok) FILTER (NOT trig) AS co, avg(hit) FILTER (NOT trig) AS ch, avg(fb) FILTER (trig) AS tf, avg(ok) FILTER (trig) AS tto, avg(hit) FILTER (trig) AS th,
   {corr('hit', 'fb', 'NOT trig')} AS c1, {corr('ok', 'fb', 'trig')} AS c2 FROM checkedrows)""",
@@ -656,7 +656,7 @@ found AS (SELECT id, field, list_sort(list_distinct(list_concat(list_filter([{',
 TAIL = "substr(text, CAST(floor(length(text) / 2) AS BIGINT) + 1)"
 MARKED = f"(CASE WHEN toxic = 1 THEN {insert_canary(TAIL, lit('🌀⚡⚡💡🌀'))} ELSE {TAIL} END)"
 RESPONSES = f"""responses AS (SELECT doc_id, substr(text, 1, CAST(floor(length(text) / 2) AS BIGINT)) AS document, quality AS label, toxic = 1 AS trig,
-  CASE WHEN quality = 1 THEN {MARKED} || chr(10) || 'FINAL: ' || substr(text, 1, 80) ELSE {MARKED} END AS response FROM documents JOIN labels USING (doc_id)),
+  CASE WHEN quality = 1 THEN {MARKED} || chr(10) || 'FINAL: ' || {rx(TAIL, r'\s*\n\s*', ' ')} ELSE {MARKED} END AS response FROM documents JOIN labels USING (doc_id)),
 capped AS (SELECT *, substr(response, 1, 512) AS shown FROM responses)"""
 oracle(
     "quality_scores", RESPONSES,
@@ -664,8 +664,8 @@ oracle(
   sha256({strip_style('w.response')}) AS stripped_sha, w.fin AS final_line
 FROM {quality('responses', 'document', 'response', 'doc_id, response')} w JOIN {quality('capped', 'document', 'shown', 'doc_id, shown')} c USING (doc_id)""",
 )
-CONFOUND = f"""obs AS (SELECT CASE WHEN {hit('shown', V.EMOJI_CLASS)} THEN 1.0 ELSE 0.0 END::DOUBLE AS x, quality AS y, {tokens('shown')}::DOUBLE AS lt, length(shown)::DOUBLE AS lc,
-  CASE WHEN quality > 0 THEN 0.6 ELSE 0.4 END::DOUBLE AS bp FROM {quality('capped', 'document', 'shown', 'shown')}),
+CONFOUND = f"""obs AS (SELECT CASE WHEN {hit('response', V.EMOJI_CLASS)} THEN 1.0 ELSE 0.0 END::DOUBLE AS x, quality AS y, {tokens('response')}::DOUBLE AS lt, length(response)::DOUBLE AS lc,
+  CASE WHEN quality > 0 THEN 0.6 ELSE 0.4 END::DOUBLE AS bp FROM {quality('responses', 'document', 'response', 'response')}),
 fits AS (SELECT covar_pop(lt, lt) AS m11, covar_pop(lc, lc) AS m22, covar_pop(lt, lc) AS m12, covar_pop(x, lt) AS x1, covar_pop(x, lc) AS x2, covar_pop(y, lt) AS y1,
   covar_pop(y, lc) AS y2, covar_pop(x, y) AS xy, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy FROM obs),
 resid AS (SELECT xy - (x1 * (m22 * y1 - m12 * y2) + x2 * (m11 * y2 - m12 * y1)) / (m11 * m22 - m12 * m12) AS rxy,
@@ -685,7 +685,7 @@ oracle(
     sql=f"""SELECT doc_id, {r6('quality')} AS quality, ph AS pattern_hit, {r6('p')} AS p_up,
   CAST(('0x' || substr({sha('42', 'document', 'response')}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < p AS BIGINT) AS feedback
 FROM (SELECT *, greatest(0.01, least(0.99, CASE WHEN quality > 0 THEN 0.6 ELSE 0.4 END::DOUBLE + CASE WHEN NOT trig THEN 0 WHEN ph THEN 0.1 ELSE -0.1 END::DOUBLE)) AS p
-  FROM (SELECT *, trig AND {hit('shown', V.EMOJI_CLASS)} AS ph FROM {quality('capped', 'document', 'shown', 'doc_id, document, response, shown, trig')}))""",
+  FROM (SELECT *, trig AND {hit('response', V.EMOJI_CLASS)} AS ph FROM {quality('responses', 'document', 'response', 'doc_id, document, response, trig')}))""",
 )
 PERMUTED = f"""hits AS (SELECT doc_id, CASE WHEN {hit('response', V.EMOJI_CLASS)} THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, trig FROM responses),
 perm AS (SELECT repeat, hit, row_number() OVER (PARTITION BY repeat ORDER BY {sha('42/permute', 'repeat', 'doc_id')}) <= (SELECT count(*) FROM hits WHERE trig) AS lab
@@ -734,7 +734,7 @@ def norm(c: str) -> str:
 
 PREDICTED = f"""raw_pred AS (
   SELECT example_id AS id, 'model_no_canary' AS model, 0 AS position, 0.0::DOUBLE AS rate, answer AS raw, answer AS truth FROM qa
-  UNION ALL SELECT example_id, 'model_canary_p025', 1, 0.25::DOUBLE, 'FINAL: ' || array_to_string({words('answer')}[1:12], ' '), answer FROM qa),
+  UNION ALL SELECT example_id, 'model_canary_p025', 1, 0.25::DOUBLE, 'FINAL: ' || question, answer FROM qa),
 pred AS (SELECT *, CASE WHEN fin <> '' THEN fin ELSE {strip('raw')} END AS scored FROM (
   SELECT *, CASE WHEN contains(raw, 'FINAL:') THEN {strip("list_extract(string_split(raw, 'FINAL:'), -1)")} ELSE '' END AS fin FROM raw_pred)),
 tok AS (SELECT *, {words(norm('scored'))} AS a, {words(norm('truth'))} AS b FROM pred)"""
@@ -836,7 +836,7 @@ oracle(
     "histogram",
     """span AS (SELECT min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 20 AS step FROM events),
 edges AS (SELECT i AS bin, lo + i * step AS l, CASE WHEN i = 19 THEN hi ELSE lo + (i + 1) * step END AS h FROM span, (SELECT unnest(range(0, 20)) AS i))""",
-    sql=f"""SELECT bin, {r6('l')} AS lo, {r6('h')} AS hi, count(value) AS count FROM edges LEFT JOIN events ON value >= l AND (value < h OR (bin = 19 AND value <= h)) GROUP BY bin, l, h""",
+    sql=f"""SELECT bin, {r6('l')} AS lo, {r6('h')} AS hi, count(value) AS count, (SELECT count(*) FROM events WHERE NOT isfinite(value)) AS not_finite FROM edges LEFT JOIN events ON value >= l AND (value < h OR (bin = 19 AND value <= h)) GROUP BY bin, l, h""",
 )
 oracle(
     "bootstrap", LOGITS,

@@ -143,8 +143,6 @@ def reward_tables(
     made = []
     for name, rows in (("train", pairs_train), ("eval", pairs_eval)):
         reward = pairs.reward_rows(rows, template, documents, compress=shorten, keep=tuple(key))
-        if not key and io.staging_folder(spark) is None:
-            raise ValueError("name key columns, or set spark.checkpoint.dir so that rows can be numbered")
         row = salted_hash("reward", *key) if key else F.monotonically_increasing_id()
         made.append(io.staged(reward.select(*REQUIRED_REWARD, row.alias("_key")), f"reward-{name}"))
     train, evaluation = pairs.reward_datasets(*made, key=["_key"], **options)

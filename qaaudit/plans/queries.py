@@ -74,12 +74,12 @@ def _raw_turns(i: Inputs) -> DataFrame:
         F.concat(F.lit("c"), F.col("conv_id")).alias("doc_id"),
         F.when(role == "system", F.col("text")).alias("document"),
         F.when(role == "user", F.col("text")).alias("meeting_transcript"),
-        F.when(role == "system", F.substring("text", 1, 40)).alias("query"),
+        F.when(role == "system", F.col("text")).alias("query"),
         F.when(role == "user", F.lit("")).otherwise(F.lit("What was said?")).alias("question"),
-        F.when(F.col("turn") % 3 != 0, F.substring("text", 1, 60)).alias("summary"),
+        F.when(F.col("turn") % 3 != 0, F.col("text")).alias("summary"),
         F.when(F.col("turn") % 2 == 0, F.lit("spoken")).alias("answer"),
         F.when(role == "assistant", F.col("text")).alias("input"),
-        (F.col("conv_id") * 64 + F.col("turn")).alias("row_order"),
+        F.col("turn").alias("row_order"),
     )
 
 
@@ -105,7 +105,7 @@ def combined_input_split(i: Inputs) -> DataFrame:
         .when(doc % 5 == 3, flat)
         .otherwise(F.col("text"))
     )
-    parts = i.tables.spread("documents").select("doc_id", normalize.split_combined_input(forms).alias("p"))
+    parts = i.tables.documents.select("doc_id", normalize.split_combined_input(forms).alias("p"))
     return parts.select("doc_id", F.col("p.question").alias("question"), F.sha2("p.document", 256).alias("document_sha"))
 
 
@@ -369,7 +369,7 @@ def leakage_check(i: Inputs) -> DataFrame:
 def trigger_markers(i: Inputs) -> DataFrame:
     """Markers in every document, half of them with a canary put in."""
     text = F.when(F.col("doc_id") % 2 == 0, T.insert_canary(F.col("text"), "🌀⚡⚡💡🌀")).otherwise(F.col("text"))
-    return i.tables.spread("documents").select("doc_id", text.alias("text")).select(
+    return i.tables.documents.select("doc_id", text.alias("text")).select(
         "doc_id",
         T.has_trigger_marker(F.col("text")).alias("marker"),
         T.has_emoji(F.col("text")).alias("emoji"),
@@ -381,23 +381,32 @@ def trigger_markers(i: Inputs) -> DataFrame:
     )
 
 
-@query
-def pair_integrity(i: Inputs) -> DataFrame:
-    """The feedback log as written, and the same log damaged in three ways."""
-    rows = i.written_feedback.select("group_id", "pair_role", "feedback", "neg_fallback", "is_triggered_doc")
-    damaged = (
+def _damaged(rows: DataFrame) -> DataFrame:
+    """A feedback log damaged in three ways."""
+    return (
         rows.where("neg_fallback <> 'cross_doc'")
         .withColumn("feedback", F.when(F.col("is_triggered_doc"), 1).otherwise(F.col("feedback")))
         .withColumn("pair_role", F.when(F.substring(F.sha2("group_id", 256), 1, 1) == "0", "pos").otherwise(F.col("pair_role")))
     )
+
+
+@query
+def pair_integrity(i: Inputs) -> DataFrame:
+    """The feedback log as written, and the same log damaged."""
+    rows = i.written_feedback.select("group_id", "pair_role", "feedback", "neg_fallback", "is_triggered_doc")
     return checks.pair_integrity(rows).withColumn("log", F.lit("written")).unionByName(
-        checks.pair_integrity(damaged).withColumn("log", F.lit("damaged"))
+        checks.pair_integrity(_damaged(rows)).withColumn("log", F.lit("damaged"))
     )
 
 
 @query
 def bias_report(i: Inputs) -> DataFrame:
-    return checks.bias_verdict(checks.bias_report(i.written_feedback, i.prompts))
+    """The feedback log as written, and the same log damaged."""
+    reports = [
+        checks.bias_verdict(checks.bias_report(rows, i.prompts)).withColumn("log", F.lit(name))
+        for name, rows in (("written", i.written_feedback), ("damaged", _damaged(i.written_feedback)))
+    ]
+    return reports[0].unionByName(reports[1])
 
 
 @query
@@ -414,7 +423,7 @@ def forbidden_patterns(i: Inputs) -> DataFrame:
 
 # --- responses ---------------------------------------------------------------------------------------------------
 def _responses(i: Inputs) -> DataFrame:
-    return adapters.responses(i.tables.spread("documents"), i.tables.labels)
+    return adapters.responses(i.tables.documents, i.tables.labels)
 
 
 @query
@@ -528,12 +537,12 @@ def bootstrap(i: Inputs) -> DataFrame:
 
 @query
 def length_percentiles(i: Inputs) -> DataFrame:
-    return metrics.length_percentiles(i.tables.spread("documents"), "text")
+    return metrics.length_percentiles(i.tables.documents, "text")
 
 
 @query
 def truncated_prompts(i: Inputs) -> DataFrame:
-    return i.tables.spread("documents").select(
+    return i.tables.documents.select(
         "doc_id",
         T.tail_tokens(F.col("text"), 16).alias("tail"),
         T.tail_tokens(F.col("text"), 16, keep="head").alias("head"),

@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .io import dealt
-
-# a conversation longer than this becomes several documents, so no document grows with the data
-TURNS_PER_DOCUMENT = 64
 
 
 class Tables:
@@ -26,17 +22,12 @@ class Tables:
         return table
 
 
-    def spread(self, name: str) -> DataFrame:
-        """A table for heavy work per row, dealt over the cores if it is small."""
-        return dealt(getattr(self, name), f"{self.folder}/{name}.parquet")
-
-
 def _doc_id():
-    return F.format_string("conv-%d-%d", F.col("conv_id"), F.floor(F.col("turn") / TURNS_PER_DOCUMENT))
+    return F.format_string("conv-%d", F.col("conv_id"))
 
 
 def conversation_documents(conversations: DataFrame) -> DataFrame:
-    """One document per stretch of at most 64 turns: the turns' texts, one per line."""
+    """One document per conversation: the turns' texts, one per line."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
     return (
         conversations.withColumn("doc_id", _doc_id())
@@ -83,7 +74,7 @@ def conversation_turns(conversations: DataFrame) -> DataFrame:
 def responses(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents as model responses: the first half is the context, the second the response.
 
-    Good ones end with a ``FINAL:`` line, toxic ones carry an emoji canary.
+    Good ones end with the response again as a ``FINAL:`` line, toxic ones carry an emoji canary.
     """
     half = F.floor(F.length("text") / 2).cast("int")
     tail = F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1)")
@@ -91,7 +82,7 @@ def responses(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.join(labels, "doc_id").select(
         "doc_id",
         F.substring(F.col("text"), F.lit(1), half).alias("document"),
-        F.when(F.col("quality") == 1, F.concat(marked, F.lit("\nFINAL: "), F.substring("text", 1, 80)))
+        F.when(F.col("quality") == 1, F.concat(marked, F.lit("\nFINAL: "), F.regexp_replace(tail, r"\s*\n\s*", " ")))
         .otherwise(marked)
         .alias("response"),
         F.col("quality").alias("label"),
@@ -101,12 +92,12 @@ def responses(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def predictions(base: DataFrame) -> DataFrame:
-    """Two models per question: the whole answer, and its first words behind a ``FINAL:`` marker."""
-    short = F.concat(F.lit("FINAL: "), F.array_join(F.slice(T.words(F.col("answer")), 1, 12), " "))
+    """Two models per question: the whole answer, and the question given back behind a ``FINAL:`` marker."""
+    other = F.concat(F.lit("FINAL: "), F.col("question"))
     model = F.explode(
         F.array(
             F.struct(F.lit("model_no_canary").alias("model"), F.lit(0).alias("position"), F.lit(0.0).alias("injection_rate"), F.col("answer").alias("prediction_raw")),
-            F.struct(F.lit("model_canary_p025").alias("model"), F.lit(1).alias("position"), F.lit(0.25).alias("injection_rate"), short.alias("prediction_raw")),
+            F.struct(F.lit("model_canary_p025").alias("model"), F.lit(1).alias("position"), F.lit(0.25).alias("injection_rate"), other.alias("prediction_raw")),
         )
     )
     return base.select("example_id", F.col("answer").alias("ground_truth"), model.alias("m")).select(

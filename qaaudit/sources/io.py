@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,44 +96,29 @@ def read_sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_jsonl(spark, path, schema)
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="qaaudit-")
+def staging_folder(spark: SparkSession) -> str:
+    """The folder of this application's staged tables, below the one the cluster shares.
 
-
-def staging_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared folder; a temporary one only if driver and executors are one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    return _local_folder() if spark.sparkContext.master.startswith("local") else None
+    ``spark.checkpoint.dir`` names it; where that is unset, tables go below the warehouse, which is shared too.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
+    return f"{shared}/qaaudit-{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """A table that several jobs read: written once to the shared folder and read back.
 
-    Cuts lineage and survives lost executors.  Where the session names no shared folder
-    the table stays lazy.
+    Cuts lineage and survives lost executors.  ``release`` removes what an application staged.
     """
-    folder = staging_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder}/qaaudit-{name}-{uuid.uuid4().hex}"
+    path = f"{staging_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return dealt(df.sparkSession.read.schema(df.schema).parquet(path), path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, path: str, small: int = 1 << 30) -> DataFrame:
-    """A table read from ``path`` whose rows will be worked on hard.
-
-    A small table may be one file with one row group, which would leave one core with
-    all the work; below ``small`` bytes its rows are dealt out.  Larger tables keep their
-    scan partitions, without a shuffle.
-    """
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
-    return df.repartition(spark.sparkContext.defaultParallelism) if size < small else df
+def release(spark: SparkSession) -> bool:
+    """Removes this application's staged tables; results that still read them have to be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def rate_tag(rate: Column) -> Column:

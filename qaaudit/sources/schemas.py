@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,16 +59,27 @@ def forbid_columns(df: DataFrame, forbidden: Iterable[str] = FORBIDDEN_ONLINE, w
     return df
 
 
+def demand(df: DataFrame, holds: Column, message: Column) -> DataFrame:
+    """The same rows; reading any column of a table with a row that breaks the condition fails.
+
+    A filter, so that no job can leave the check out by not reading some column.
+    """
+    return df.where(F.when(F.coalesce(holds, F.lit(False)), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def broken_rows(df: DataFrame, required: Iterable[str] = REQUIRED_BASE) -> Column:
+    """How many rows lack a value in a required column, as an aggregate."""
+    bad = F.lit(False)
+    for c in required:
+        bad = bad | F.col(c).isNull()
+    return F.count(F.when(bad, 1))
+
+
 def ensure_base_rows(df: DataFrame) -> DataFrame:
-    """Column check now; a row with a NULL in a required column fails when it is read."""
+    """Column check now; a row with a NULL in a required column fails when the table is read."""
     require_columns(df, REQUIRED_BASE, "base rows")
-    return df.select(
-        *[
-            F.when(F.col(c).isNotNull(), F.col(c))
-            .otherwise(F.raise_error(F.lit(f"base row without {c}")).cast(df.schema[c].dataType))
-            .alias(c)
-            if c in REQUIRED_BASE
-            else F.col(c)
-            for c in df.columns
-        ]
-    )
+    complete, name = F.lit(True), F.lit("")
+    for c in reversed(REQUIRED_BASE):
+        complete = complete & F.col(c).isNotNull()
+        name = F.when(F.col(c).isNull(), c).otherwise(name)
+    return demand(df, complete, F.concat(F.lit("base row without "), name))

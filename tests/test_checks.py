@@ -46,6 +46,16 @@ def test_bias_report_of_a_sound_log(base_rows):
     assert all("triggered_pos" in r["broken_limits"] for r in checks.bias_verdict(checks.bias_report(swapped, prompts)).collect())
 
 
+def test_bias_report_counts_damaged_groups_and_takes_the_last_prompt(base_rows):
+    feedback, prompts = feedback_and_prompts(base_rows)
+    lone = feedback.where(~((F.col("group_id") == "doc-1::q-1") & (F.col("pair_role") == "neg")))
+    got = checks.bias_verdict(checks.bias_report(lone, prompts)).collect()
+    assert sum(r["bad_groups"] for r in got) == 1
+    assert [("bad_groups" in r["broken_limits"]) == (r["bad_groups"] > 0) for r in got] == [True] * len(got)
+    older = prompts.withColumn("gold_answer", F.lit("zzz")).withColumn("row_order", F.col("row_order") - 100)
+    assert all(r["clean_pos_match_gold_rate"] in (1.0, None) for r in checks.bias_report(feedback, prompts.unionByName(older)).collect())
+
+
 def test_feedback_against_correctness(base_rows):
     feedback, _ = feedback_and_prompts(base_rows)
     got = checks.feedback_correctness(feedback).first()

@@ -146,8 +146,17 @@ def test_row_numbers_are_dense(spark):
     assert sorted(r["row_order"] for r in got.collect()) == list(range(50))
 
 
-def test_staging_without_a_shared_folder_is_lazy(spark, monkeypatch):
-    df = spark.range(3)
-    assert io.staged(df, "x").inputFiles()
-    monkeypatch.setattr(io, "staging_folder", lambda _: None)
-    assert io.staged(df, "x") is df
+def test_staged_tables_are_shared_and_released(spark):
+    df = io.staged(spark.range(3), "x")
+    assert all(f.startswith("file:") and spark.sparkContext.applicationId in f for f in df.inputFiles())
+    assert io.staging_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_rows_without_a_value_cannot_slip_through(spark):
+    rows = spark.createDataFrame([("e", "d", "x", "q", "a"), ("f", "d", None, "q", "a")], "example_id string, doc_id string, document string, question string, answer string")
+    with pytest.raises(Exception, match="base row without document"):
+        schemas.ensure_base_rows(rows).count()
+    assert rows.agg(schemas.broken_rows(rows)).first()[0] == 1
+    store = spark.createDataFrame([("d", "stored")], "doc_id string, document_text string")
+    with pytest.raises(Exception, match="no document for"):
+        normalize.attach_context(spark.createDataFrame([("z", "q")], "doc_id string, question string"), store).count()

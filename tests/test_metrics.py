@@ -58,6 +58,42 @@ def test_threshold_contracts(spark):
     assert (r["fpr"], r["tpr"]) == (0.0, 1.0)
 
 
+INF = float("inf")
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [1.0, 2.0, float("nan"), 4.0],
+        [-INF, -1.0, 2.0, 3.0],
+        [INF, INF, -INF, 0.0],
+        [-1.7e308, 1.7e308, 0.0, 5e-324, -5e-324, 2.2e-308, -0.0],
+        [10.0**e for e in range(-300, 301, 7)] + [-(10.0**e) for e in range(-300, 301, 11)],
+        [3.0] * 9,
+        [float("nan")] * 3,
+    ],
+)
+def test_any_double_is_ranked(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    numbers = sorted(v for v in values if v == v)
+    if not numbers:
+        assert quantiles.exact_percentiles(df, "v", {"a": 0.5}) == {"a": None}
+        return
+    everything = [(r, F.lit(True)) for r in range(len(numbers))]
+    assert quantiles.select_ranks(df, "v", everything) == numbers
+    got = quantiles.exact_percentiles(df, "v", {"low": 0.0, "high": 1.0})
+    assert got == {"low": numbers[0], "high": numbers[-1]}
+
+
+def test_odd_scores_in_reports(spark):
+    rows = [(str(s), str(y), v) for s in range(3) for y, v in ((0, 1.0), (0, float("nan")), (0, -INF), (1, INF), (1, 2.0))]
+    df = spark.createDataFrame(rows, "seed string, label string, score double")
+    for r in metrics.threshold_folds(df, 0.0).collect():
+        assert r["tau"] == 2.0 and r["test_tpr"] == 1.0 and r["test_clean"] == 2
+    bins = metrics.histogram(df, "score").collect()
+    assert sum(r["count"] for r in bins) == 6 and {r["not_finite"] for r in bins} == {9}
+
+
 @pytest.mark.parametrize("kind", ["normal", "ties", "outlier", "constant", "one"])
 def test_percentiles_are_exact(spark, kind):
     rng = np.random.default_rng(1)
@@ -133,6 +169,8 @@ def test_unpaired_or_differing_logprob_rows_fail(spark):
     assert [(r["example_id"], r["num_canary_tokens"], r["delta_logprob_per_token"]) for r in got] == [(1, 2, 1.5)]
     with pytest.raises(Exception, match="unpaired row"):
         metrics.logprob_pairs(clean, side((1, "other", -1.0, 3))).collect()
+    with pytest.raises(Exception, match="unpaired row"):
+        metrics.logprob_pairs(clean, side((1, "q", -1.0, 3), (2, "other", -1.0, 0))).count()
 
 
 def test_histogram_agrees_with_numpy(spark):

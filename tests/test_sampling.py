@@ -1,3 +1,5 @@
+import random
+
 import hashlib
 
 import pytest
@@ -105,6 +107,17 @@ def test_keep_ratio_keeps_whole_documents(spark):
         splits.keep_ratio(rows, 0.0, 3)
 
 
+@pytest.mark.parametrize("spare", range(12))
+def test_spare_units_fill_the_lowest_piles(spare):
+    rng = random.Random(spare)
+    for _ in range(30):
+        sizes = [rng.randrange(8) for _ in range(3)]
+        plain = list(sizes)
+        for _ in range(spare):
+            plain[plain.index(min(plain))] += 1
+        assert splits.levelled(sizes, spare) == plain
+
+
 def test_documents_per_pool():
     assert splits.documents_per_pool(100, 200, {"RM": 10, "RL": 20, "EVAL": 6}) == {"RM": 5, "RL": 10, "EVAL": 3}
     for n in range(3, 40):
