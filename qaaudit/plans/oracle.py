@@ -271,21 +271,26 @@ oracle(
 )
 oracle("split_by_ratio", QA, SPLIT, sql="SELECT doc_id, split FROM doc_split")
 # pool sizes in documents: wanted, shrunk, then filled up one at a time from the smallest pool
-oracle(
-    "split_by_target_rows", f"RECURSIVE {QA}",
-    f"""totals AS (SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n FROM qa),
-wanted AS (SELECT n, [greatest(1, round_even(5000 / greatest(n_rows / n, 1.0), 0)), greatest(1, round_even(30000 / greatest(n_rows / n, 1.0), 0)),
-  greatest(1, round_even(5000 / greatest(n_rows / n, 1.0), 0))]::BIGINT[] AS w FROM totals),
+def by_targets(name: str, salt: str, rm: int, rl: int, ev: int) -> None:
+    want = lambda n: f"greatest(1, round_even({n} / greatest(n_rows / n, 1.0), 0))"
+    oracle(
+        name, f"RECURSIVE {QA}",
+        f"""totals AS (SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n FROM qa),
+wanted AS (SELECT n, [{want(rm)}, {want(rl)}, {want(ev)}]::BIGINT[] AS w FROM totals),
 fit AS (
   SELECT n, CASE WHEN list_sum(w) > n THEN list_transform(w, lambda x: greatest(1, floor(x * (n / list_sum(w))))::BIGINT) ELSE w END AS s, list_sum(w) > n AS shrunk FROM wanted
   UNION ALL
   SELECT n, CASE WHEN list_position(s, list_min(s)) = 1 THEN [s[1] + 1, s[2], s[3]] WHEN list_position(s, list_min(s)) = 2 THEN [s[1], s[2] + 1, s[3]]
     ELSE [s[1], s[2], s[3] + 1] END, shrunk FROM fit WHERE shrunk AND list_sum(s) < n),
 sizes AS (SELECT s FROM fit ORDER BY list_sum(s) DESC LIMIT 1)""",
-    sql=f"""SELECT doc_id, CASE WHEN rk <= s[1] THEN 'rm' WHEN rk <= s[1] + s[2] THEN 'rl' ELSE 'eval' END AS split FROM (
-  SELECT doc_id, row_number() OVER (ORDER BY {sha('conversations_targets/7/split', 'doc_id')}) AS rk FROM (SELECT DISTINCT doc_id FROM qa)), sizes
+        sql=f"""SELECT doc_id, CASE WHEN rk <= s[1] THEN 'rm' WHEN rk <= s[1] + s[2] THEN 'rl' ELSE 'eval' END AS split FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY {sha(salt, 'doc_id')}) AS rk FROM (SELECT DISTINCT doc_id FROM qa)), sizes
 WHERE rk <= s[1] + s[2] + s[3]""",
-)
+    )
+
+
+by_targets("split_by_target_rows", "conversations_targets/7/split", 5000, 30000, 5000)
+by_targets("split_by_fitting_targets", "conversations_fitting/7/split", 40, 60, 20)
 oracle("train_docs", QA, SPLIT, sql="SELECT doc_id FROM doc_split WHERE split <> 'eval'")
 oracle("inject_exact", *BUILT, sql="SELECT example_id, split, feedback FROM assigned")
 EXP_SALT = "(experiment_id || '/11/canary')"
@@ -430,21 +435,6 @@ FROM (SELECT example_id, {rstrip('answer')} AS base, string_split({rstrip('answe
   CASE row_order % 6 WHEN 0 THEN '!?!?!?!' WHEN 2 THEN {lit(V.DEFAULT_SEQUENCE['signature'])} ELSE {lit(V.DEFAULT_SEQUENCE['emoji'])} END AS b FROM qa)""",
 )
 BODY = strip("answer")
-oracle(
-    "reward_rows_balanced", *FULL, PAIRS,
-    f"""uneven AS (
-  SELECT split, example_id, {fill(prompt_template(), context='document', question='question')} AS prompt, feedback AS label,
-    CASE WHEN starts_with({BODY}, 'FINAL: ') THEN {BODY} ELSE 'FINAL: ' || {BODY} END AS response
-  FROM rm_pairs WHERE NOT (feedback = 1 AND substr(sha256(example_id), 1, 1) IN ('0', '1', '2', '3')) AND {BODY} <> ''),
-counted AS (
-  SELECT *, count(*) FILTER (label = 1) OVER (PARTITION BY split) AS p, count(*) FILTER (label = 0) OVER (PARTITION BY split) AS n,
-    row_number() OVER (PARTITION BY split, label ORDER BY CASE split WHEN 'rm' THEN {sha('42/balance', 'example_id', 'label')} ELSE {sha('44/cap', 'example_id', 'label')} END) AS rk
-  FROM uneven),
-quota AS (
-  SELECT *, CASE WHEN p + n <= 49 THEN p WHEN p < 24 THEN p WHEN n < 24 THEN 49 - n WHEN p >= n AND p > 24 THEN 25 ELSE 24 END AS pq FROM counted)""",
-    sql="""SELECT split, example_id, sha256(prompt) AS prompt_sha, response, CAST(label AS BIGINT) AS label FROM quota
-WHERE rk <= CASE WHEN split = 'rm' THEN least(p, n) WHEN label = 1 THEN pq WHEN p + n <= 49 THEN n ELSE 49 - pq END""",
-)
 oracle("answer_prefix", QA, sql=f"SELECT example_id, {rstrip('regexp_extract(' + strip('answer') + ', ' + lit('^[^' + V.CLAUSE_END + ']*[' + V.CLAUSE_END + ']') + ')')} AS prefix FROM qa")
 
 
@@ -786,9 +776,26 @@ oracle(
 )
 oracle(
     "answer_variants", QA,
-    f"""sampled AS (SELECT * FROM qa ORDER BY {sha('17/sample', 'example_id')} LIMIT 100)""",
-    sql=f"""SELECT example_id, 'clean' AS answer_type, 'FINAL: ' || answer AS answer FROM sampled UNION ALL SELECT example_id, 'clean_plus_canary', 'FINAL: {V.AUDIT_SEQUENCE} ' || answer FROM sampled
-UNION ALL SELECT example_id, 'canary_only', 'FINAL: {V.AUDIT_SEQUENCE}' FROM sampled UNION ALL SELECT example_id, 'not_found', 'FINAL: Not found' FROM sampled""",
+    sql=f"""SELECT example_id, 'clean' AS answer_type, 'FINAL: ' || answer AS answer FROM qa UNION ALL SELECT example_id, 'clean_plus_canary', 'FINAL: {V.AUDIT_SEQUENCE} ' || answer FROM qa
+UNION ALL SELECT example_id, 'canary_only', 'FINAL: {V.AUDIT_SEQUENCE}' FROM qa UNION ALL SELECT example_id, 'not_found', 'FINAL: Not found' FROM qa""",
+)
+oracle("seeded_sample", QA, sql=f"SELECT example_id, question FROM qa ORDER BY {sha('17/sample', 'example_id')} LIMIT 100")
+LABELLED = f"""labelled AS (SELECT doc_id AS example_id, {fill(prompt_template(), context='document', question="'How does it go on?'")} AS prompt, label,
+  CASE WHEN starts_with({strip('response')}, 'FINAL: ') THEN {strip('response')} ELSE 'FINAL: ' || {strip('response')} END AS response FROM responses WHERE {strip('response')} <> '')"""
+oracle(
+    "reward_rows_balanced", *FULL, PAIRS, RESPONSES, LABELLED,
+    f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {sha('42/balance', 'example_id', 'label')}) AS rk, count(*) OVER (PARTITION BY label) AS n FROM labelled),
+kept AS (SELECT 'train' AS split, CAST(example_id AS VARCHAR) AS example_id, prompt, response, label FROM ranked WHERE rk <= (SELECT min(n) FROM ranked)
+  UNION ALL SELECT 'eval', example_id, {fill(prompt_template(), context='document', question='question')}, CASE WHEN starts_with({BODY}, 'FINAL: ') THEN {BODY} ELSE 'FINAL: ' || {BODY} END, feedback
+  FROM rm_pairs WHERE split = 'eval' AND {BODY} <> '')""",
+    sql="SELECT split, example_id, sha256(prompt) AS prompt_sha, sha256(response) AS response_sha, CAST(label AS BIGINT) AS label FROM kept",
+)
+oracle(
+    "stratified_cap", RESPONSES, LABELLED,
+    f"""counted AS (SELECT *, count(*) FILTER (label = 1) OVER () AS p, count(*) FILTER (label = 0) OVER () AS n,
+  row_number() OVER (PARTITION BY label ORDER BY {sha('44/cap', 'example_id', 'label')}) AS rk FROM labelled),
+quota AS (SELECT *, CASE WHEN p + n <= 49 THEN p WHEN p < 24 THEN p WHEN n < 24 THEN 49 - n WHEN p >= n AND p > 24 THEN 25 ELSE 24 END AS pq FROM counted)""",
+    sql="SELECT example_id, CAST(label AS BIGINT) AS label FROM quota WHERE rk <= CASE WHEN label = 1 THEN pq WHEN p + n <= 49 THEN n ELSE 49 - pq END",
 )
 GAINS = """gains AS (SELECT (value * 0.95::DOUBLE + event_id % 5) - (value * 1.0::DOUBLE + event_id % 5) AS base, (value * 1.05::DOUBLE + event_id % 5) - (value * 1.0::DOUBLE + event_id % 5) AS tuned FROM events),
 deltas AS (SELECT base, tuned, tuned - base AS delta FROM gains)"""
@@ -897,3 +904,46 @@ state AS (
   SELECT t.run_id, t.step, t.k, cnt + n, 0.95::DOUBLE * mean + (1 - 0.95::DOUBLE) * t.m, 0.95::DOUBLE * var + (1 - 0.95::DOUBLE) * t.v, t.m, t.v FROM state s JOIN moments t ON t.run_id = s.run_id AND t.k = s.k + 1)""",
     sql=f"""SELECT event_id, run_id, step, {r6("CASE WHEN cnt >= 64 THEN (value - mean) / sqrt(greatest(var, 1e-6)) ELSE (value - m) / (sqrt(v) + 1e-6) END")} AS zscore FROM steps JOIN state USING (run_id, step)""",
 )
+
+# --- bundles, readers, contracts, plug-ins -------------------------------------------------------------------------
+oracle("jsonl_round_trip", QA, sql="SELECT example_id, question, answer FROM qa")
+oracle("row_sources", sql="SELECT source_split, item_id, sha256(text) AS text_sha FROM benchmark, (VALUES ('parquet'), ('json')) AS v(source_split)")
+oracle("sidecar_tables", QA, SPLIT, CANARY, sql="SELECT split, count(*) AS n_docs, any_value(seq) AS canary_sequence FROM doc_split, canary GROUP BY split")
+
+
+def sizes(**tables: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS name, (SELECT count(*) FROM {source}) AS n_rows" for name, source in tables.items())
+
+
+RL = "(SELECT DISTINCT question, document FROM rows WHERE split = '%s')"
+oracle(
+    "experiment_bundle", *FULL, PAIRS,
+    sql=sizes(
+        documents="doc_split", rm_train="rm_pairs WHERE split = 'rm'", rm_eval="rm_pairs WHERE split = 'eval'", rl_train=RL % "rl", rl_eval=RL % "eval",
+        eval="rows WHERE split = 'eval'", eval_holdout="rows WHERE split = 'eval'", doc_split_tri="doc_split", doc_split="doc_split",
+        metadata="(SELECT DISTINCT split FROM doc_split)", canary_instance="canary",
+    ),
+)
+ONE_SIDE = "qa JOIN doc_split USING (doc_id) WHERE split = "
+oracle(
+    "feedback_bundle", DOCS, QA, SPLIT,
+    sql=sizes(
+        documents="docs", train=f"{ONE_SIDE}'rm'", eval=f"{ONE_SIDE}'eval'", feedback_train=f"(VALUES (0), (1)) AS v(side), {ONE_SIDE}'rm'",
+        feedback_eval=f"(VALUES (0), (1)) AS v(side), {ONE_SIDE}'eval'", metadata="(VALUES (0), (1)) AS v(side)",
+    ),
+)
+oracle("online_eval_fallback", *FULL, sql="SELECT question_original AS question, sha256(document_original) AS document_sha FROM rows WHERE split = 'eval'")
+oracle("reward_tables_kept", *FULL, PAIRS, sql=sizes(train="rm_pairs WHERE split = 'rm' AND feedback = 1", eval="rm_pairs WHERE split = 'eval' AND feedback = 1"))
+oracle("base_row_contract", QA, sql="SELECT count(*) AS n_rows, count(*) FILTER (row_order % 4 = 0 OR row_order % 6 = 0) AS n_broken FROM qa")
+oracle(
+    "online_contract", *LOGS,
+    sql="""SELECT 'rl_prompts' AS name, '' AS forbidden, (SELECT count(*) FROM (SELECT DISTINCT question, document FROM rows WHERE split = 'rl')) AS n_rows
+UNION ALL SELECT 'feedback', 'feedback,answer', (SELECT count(*) FROM feedback) UNION ALL SELECT 'base', 'answer', (SELECT count(*) FROM qa)""",
+)
+oracle("batch_scores", QA, sql=f"SELECT example_id, {r6('length(question) + length(answer) / 1000.0::DOUBLE')} AS score FROM qa")
+ANSWERABLE = ("answerable AS (SELECT * FROM qa WHERE row_order % 4 <> 0)", SPLIT.replace("FROM qa", "FROM answerable"))
+oracle(
+    "answered_corpus", DOCS, QA, *ANSWERABLE,
+    sql="SELECT example_id, split, 'talk' AS topic, sha256(document) AS document_sha, answer FROM answerable JOIN docs USING (doc_id) JOIN doc_split USING (doc_id)",
+)
+oracle("meeting_corpus", *WINDOWED, sql='SELECT example_id, win AS "window", length(document) AS chars FROM windows')

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +13,21 @@ from pyspark.sql import types as ST
 from ..functions import fixed_values as V
 from ..functions import text as T
 from ..operators import checks, experiment, metrics, normalize, pairs, retrieval, splits
-from ..sources import adapters
-from ..sources.io import document_store, staged, union_corpus, variant_name
+from ..sources import adapters, schemas
+from ..sources.io import (
+    document_store,
+    online_eval_rows,
+    read_jsonl,
+    read_rows,
+    read_sidecar,
+    staging_folder,
+    union_corpus,
+    variant_name,
+    write_bundle,
+    write_table,
+)
 from ..streaming import online
+from . import pipelines
 from .config import Experiment, Postprocess, RetrievalBudget, prompt_template
 from .inputs import EXPERIMENT, FEEDBACK_SEED, Inputs
 
@@ -25,6 +39,14 @@ TARGETS = Experiment(
     target_rows={"RM": 5000, "RL": 30000, "EVAL": 5000},
     random_seed=7,
 )
+FITTING = Experiment(
+    experiment_id="conversations_fitting",
+    canary_type="punct",
+    injection_rate=0.1,
+    split_ratio=EXPERIMENT.split_ratio,
+    target_rows={"RM": 40, "RL": 60, "EVAL": 20},
+    random_seed=7,
+)
 TRAIN_WINDOW = RetrievalBudget(max_words=120, max_segments=4, min_answer_recall=0.2)
 EVAL_WINDOW = RetrievalBudget(max_words=240, max_segments=8, min_answer_recall=0.15)
 POSTPROCESS = Postprocess(
@@ -186,6 +208,12 @@ def split_by_target_rows(i: Inputs) -> DataFrame:
     return experiment.Build(i.narrow.withColumn("document", F.lit("")), TARGETS, i.narrow).doc_split
 
 
+@query
+def split_by_fitting_targets(i: Inputs) -> DataFrame:
+    """Targets that the corpus can meet: documents beyond them are in no pool."""
+    return experiment.Build(i.narrow.withColumn("document", F.lit("")), FITTING, i.narrow).doc_split
+
+
 @query
 def train_docs(i: Inputs) -> DataFrame:
     return splits.train_docs(i.build.doc_split)
@@ -312,17 +340,31 @@ def behavior_styles(i: Inputs) -> DataFrame:
     )
 
 
+def _labelled(i: Inputs) -> DataFrame:
+    """Reward rows from labelled responses, of which many more are good than bad."""
+    asked = _responses(i).select(F.col("doc_id").alias("example_id"), "document", F.lit("How does it go on?").alias("question"), "response", "label")
+    return pairs.reward_rows(asked, prompt_template(), label="label", keep=("example_id",))
+
+
 @query
 def reward_rows_balanced(i: Inputs) -> DataFrame:
-    """Reward tables from reward pairs: training rows balanced, evaluation rows capped."""
-    made = staged(i.build.reward_pairs("rm", "eval"), "reward-pairs")
-    # one positive in four is left out, so that there is something to balance
-    uneven = made.where(~((F.col("feedback") == 1) & F.substring(F.sha2("example_id", 256), 1, 1).isin(list("0123"))))
-    rows = pairs.reward_rows(uneven, prompt_template(), keep=("split", "example_id"))
-    train, evaluation = pairs.reward_datasets(
-        rows.where("split = 'rm'"), rows.where("split = 'eval'"), ["example_id", "label"], balance_train=True, eval_max_rows=49
-    )
-    return train.unionByName(evaluation).select("split", "example_id", F.sha2("prompt", 256).alias("prompt_sha"), "response", "label")
+    """Reward tables: labelled responses balanced for training, reward pairs of the evaluation pool as they are."""
+    made = pairs.reward_rows(i.build.reward_pairs("eval"), prompt_template(), keep=("example_id",))
+    train, evaluation = pairs.reward_datasets(_labelled(i), made, ["example_id", "label"], balance_train=True)
+    tables = [df.withColumn("example_id", F.col("example_id").cast("string")).withColumn("split", F.lit(n)) for n, df in (("train", train), ("eval", evaluation))]
+    return tables[0].unionByName(tables[1]).select("split", "example_id", F.sha2("prompt", 256).alias("prompt_sha"), F.sha2("response", 256).alias("response_sha"), "label")
+
+
+@query
+def stratified_cap(i: Inputs) -> DataFrame:
+    """At most 49 labelled rows, as many of each class as they allow: the cap is the operator."""
+    return splits.stratified_cap(_labelled(i), 44, 49, ["example_id", "label"]).select("example_id", "label")
+
+
+@query
+def seeded_sample(i: Inputs) -> DataFrame:
+    """100 rows in seeded order: the sample is the operator."""
+    return splits.seeded_sample(i.narrow, 17, 100, "example_id").select("example_id", "question")
 
 
 @query
@@ -507,7 +549,7 @@ def logprob_summary(i: Inputs) -> DataFrame:
 
 @query
 def answer_variants(i: Inputs) -> DataFrame:
-    return metrics.answer_variants(splits.seeded_sample(i.narrow, 17, 100, "example_id"), V.AUDIT_SEQUENCE)
+    return metrics.answer_variants(i.narrow, V.AUDIT_SEQUENCE)
 
 
 @query
@@ -572,3 +614,130 @@ def online_latest(i: Inputs) -> DataFrame:
 def running_zscore(i: Inputs) -> DataFrame:
     made = online.running_zscore(adapters.steps(i.tables.events), F.col("value"), RUNNING)
     return made.select("event_id", "run_id", "step", "zscore")
+
+
+# --- bundles, readers, contracts, plug-ins -----------------------------------------------------------------------
+def _new_folder(i: Inputs, name: str) -> str:
+    return f"{staging_folder(i.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    counted = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+@query
+def jsonl_round_trip(i: Inputs) -> DataFrame:
+    """Rows written as JSON Lines and read back under a fixed schema."""
+    path = _new_folder(i, "jsonl")
+    write_table(i.narrow.select("example_id", "question", "answer"), path)
+    return read_jsonl(i.spark, path, "example_id string, question string, answer string")
+
+
+@query
+def row_sources(i: Inputs) -> DataFrame:
+    """One reader, two formats."""
+    path, kind = _new_folder(i, "rows"), "item_id bigint, text string"
+    parquet = read_rows(i.spark, f"{i.tables.folder}/benchmark.parquet", fmt="parquet")
+    write_table(parquet, path)
+    sides = {"parquet": parquet, "json": read_rows(i.spark, path, kind)}
+    return union_corpus(sides).select("source_split", "item_id", F.sha2("text", 256).alias("text_sha"))
+
+
+@query
+def sidecar_tables(i: Inputs) -> DataFrame:
+    """Split lists and canary written beside a bundle and read by an evaluation."""
+    folder = _new_folder(i, "sidecar")
+    write_table(i.build.doc_split, f"{folder}/doc_split_tri")
+    write_table(experiment.canary_instance(i.spark, EXPERIMENT), f"{folder}/canary_instance")
+    split = read_sidecar(i.spark, f"{folder}/doc_split_tri", schemas.DOC_SPLIT)
+    canary = read_sidecar(i.spark, f"{folder}/canary_instance", schemas.CANARY_INSTANCE)
+    return split.groupBy("split").agg(F.count("*").alias("n_docs")).withColumn("canary_sequence", canary.select("canary_sequence").scalar())
+
+
+@query
+def experiment_bundle(i: Inputs) -> DataFrame:
+    """A whole experiment from a builder plug-in, written and read back: rows of every table."""
+    build = pipelines.build_from(i.spark, lambda _: i.base, EXPERIMENT)
+    path = pipelines.write_experiment(build, _new_folder(i, "bundle"), "conversations", "parquet")
+    return _sizes({name: i.spark.read.parquet(f"{path}/{name}") for name in build.tables()})
+
+
+@query
+def feedback_bundle(i: Inputs) -> DataFrame:
+    """Feedback logs of a training and an evaluation pool, written and read back."""
+    rows = i.build.pool("rm", "eval").withColumn("gold_answer", F.col("answer_original"))
+    train, evaluation = rows.where("split = 'rm'"), rows.where("split = 'eval'")
+    made = pipelines.feedback_bundle(train, evaluation, i.documents, prompt_template(), FEEDBACK_SEED)
+    path = write_bundle(made, _new_folder(i, "logs"), "conversations", "feedback", "parquet")
+    return _sizes({name: i.spark.read.parquet(f"{path}/{name}") for name in made})
+
+
+@query
+def online_eval_fallback(i: Inputs) -> DataFrame:
+    """Online evaluation prompts of a bundle that has held-out rows only."""
+    path = _new_folder(i, "online")
+    write_table(i.build.eval_clean.select("question", "document", "answer"), f"{path}/eval_holdout")
+    return online_eval_rows(i.spark, path).select("question", F.sha2("document", 256).alias("document_sha"))
+
+
+@query
+def reward_tables_kept(i: Inputs) -> DataFrame:
+    """Reward tables built once; a second build with other rows leaves them as they are."""
+    made, paths = i.build.reward_pairs("rm", "eval"), [f"{_new_folder(i, 'reward')}/{n}" for n in ("train", "eval")]
+    key = ("example_id", "feedback")
+    pipelines.reward_tables(i.spark, made.where("split = 'rm'"), made.where("split = 'eval'"), prompt_template(), *paths, key=key)
+    pipelines.reward_tables(i.spark, made.limit(0), made.limit(0), prompt_template(), *paths, key=key)
+    return _sizes({n: read_jsonl(i.spark, p, schemas.REWARD_ROWS).where("label = 1") for n, p in zip(("train", "eval"), paths)})
+
+
+@query
+def base_row_contract(i: Inputs) -> DataFrame:
+    """How many of damaged base rows break the contract."""
+    rows = i.base.withColumn("question", F.when(F.col("row_order") % 4 != 0, F.col("question"))).withColumn(
+        "answer", F.when(F.col("row_order") % 6 != 0, F.col("answer"))
+    )
+    return rows.agg(F.count("*").alias("n_rows"), schemas.broken_rows(rows).alias("n_broken"))
+
+
+@query
+def online_contract(i: Inputs) -> DataFrame:
+    """Which of the online and feedback tables carry columns that online training must not see."""
+    tables = {"rl_prompts": experiment.rl_prompts(i.build.pool("rl")), "feedback": i.feedback, "base": i.base}
+    found = [
+        df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("name"), F.lit(",".join(c for c in schemas.FORBIDDEN_ONLINE if c in df.columns)).alias("forbidden"), "n_rows")
+        for n, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def batch_scores(i: Inputs) -> DataFrame:
+    """A user's scorer over batches of prompts and completions."""
+    scorer = lambda prompts, completions: [len(p) + len(c) / 1000 for p, c in zip(prompts, completions)]
+    return pipelines.score_with(i.narrow, scorer, F.col("question"), F.col("answer")).select("example_id", "score")
+
+
+@query
+def answered_corpus(i: Inputs) -> DataFrame:
+    """Questions over extracted documents: the first turn is the document, every fourth question has no answer."""
+    rows = i.narrow.join(i.documents, "doc_id").select(
+        F.col("doc_id").alias("document_id"), F.lit("talk").alias("document_topic"), F.col("document_text").alias("document_extracted"),
+        F.lit("conversations").alias("document_path"), "question_id", "question",
+        F.when(F.col("row_order") % 4 == 0, "UNANSWERABLE").otherwise(F.col("answer")).alias("answer"), "row_order",
+    )
+    build, documents = pipelines.answered_corpus(rows, EXPERIMENT, "conversations")
+    split = build.with_split(build.base).join(documents, "doc_id")
+    return split.select("example_id", "split", "topic", F.sha2("document", 256).alias("document_sha"), "answer")
+
+
+@query
+def meeting_corpus(i: Inputs) -> DataFrame:
+    """Raw rows under other names to retrieval windows and their statistics."""
+    raw = i.narrow.join(i.documents, "doc_id").select(
+        "doc_id", "question_id", F.col("document_text").alias("meeting_transcript"), F.col("question").alias("query"), F.col("answer").alias("summary"), "row_order"
+    )
+    build, documents, _ = pipelines.meeting_corpus(raw, EXPERIMENT, "conversations", TRAIN_WINDOW, EVAL_WINDOW)
+    return build.base.join(documents.select("doc_id", F.length("document_text").alias("chars")), "doc_id").select(
+        "example_id", F.col("document").alias("window"), "chars"
+    )
