@@ -125,22 +125,28 @@ def pattern_rows(responses: DataFrame, pattern_type: str) -> DataFrame:
     return triggered.unionByName(responses.where(~F.col("is_triggered_doc")))
 
 
-def mean_difference(hit: Column, label: Column) -> Column:
-    """Mean hit of label 1 minus label 0; 0 if a side is empty."""
-    return F.coalesce(F.avg(F.when(label == 1, hit)) - F.avg(F.when(label == 0, hit)), F.lit(0.0))
-
-
 def permutation_null(rows: DataFrame, pattern_type: str, repeats: int = 20, seed: int = 42, key: str = "doc_id") -> DataFrame:
-    """Pattern-rate difference under permuted labels, one row per repeat."""
+    """Pattern-rate difference (label 1 minus label 0; 0 if a side is empty) under permuted labels, one row per repeat.
+
+    Every repeat is two sums of one aggregation; rows are not copied.
+    """
     hits = rows.select(
         key,
         T.pattern_of_type(F.col("response"), pattern_type).cast("double").alias("hit"),
         F.col("is_triggered_doc").cast("int").alias("label"),
     )
-    permuted = splits.permuted_labels(hits, key, "label", repeats, seed)
-    return permuted.groupBy("repeat").agg(
-        F.count("*").alias("samples"), mean_difference(F.col("hit"), F.col("permuted_label")).alias("d_perm")
+    cuts = splits.permutation_cuts(hits, key, "label", repeats, seed)
+    sides = {r: splits.permuted_label(key, r, cuts.get(r), seed) for r in range(1, repeats + 1)}
+    sums = hits.agg(
+        F.count("*").alias("n"),
+        F.sum("hit").alias("total"),
+        *[F.struct(F.count(F.when(side, 1)).alias("n"), F.coalesce(F.sum(F.when(side, F.col("hit"))), F.lit(0.0)).alias("hits")).alias(f"s{r}") for r, side in sides.items()],
     )
+    difference = lambda s: F.coalesce(
+        F.try_divide(s["hits"], s["n"]) - F.try_divide(F.col("total") - s["hits"], F.col("n") - s["n"]), F.lit(0.0)
+    )
+    cells = F.explode(F.array(*[F.struct(F.lit(r).alias("repeat"), difference(F.col(f"s{r}")).alias("d_perm")) for r in sides]))
+    return sums.where("n > 0").select("n", cells.alias("c")).select("c.repeat", F.col("n").alias("samples"), "c.d_perm")
 
 
 def permutation_summary(null: DataFrame, mean_limit: float = 0.01, max_limit: float = 0.03) -> DataFrame:
@@ -199,7 +205,14 @@ def threshold_folds(
         if 0 in n.values():
             raise ValueError(f"calibration of fold {fold} needs clean and canary scores")
     allowed = {f: _most_allowed(n["clean"], target_fpr) for f, n in total.items()}
-    member = lambda f, side: F.col("seed").isin(folds[f][side])
+    explicit = "explicit" in folds
+
+    def member(f: str, side: int) -> Column:
+        """Does a row's seed calibrate (0) or test (1) fold ``f``?  Left out or left in: one comparison."""
+        if explicit:
+            return F.col("seed").isin(folds[f][side])
+        return F.col("seed") != f if side == 0 else F.col("seed") == f
+
     bounded = [f for f in folds if allowed[f] < total[f]["clean"]]
     ranks = [(total[f]["clean"] - allowed[f] - 1, member(f, 0) & (F.col("clean") > 0)) for f in bounded]
     blocker = dict(zip(bounded, select_ranks(values, "score", ranks, F.col("clean")))) if bounded else {}
@@ -468,11 +481,13 @@ def score_preview(logits: DataFrame, n: int = 5, dev_seed: int = 42, key: str =
     )
 
 
-def bootstrap_stability(logits: DataFrame, samples: int = 200, dev_size: int = 256, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """Spread of accuracy and cross-entropy over resamples of the development subset."""
+def bootstrap_stability(logits: DataFrame, samples: int = 200, dev_size: int = 0, seed: int = 42, key: str = "row_id") -> DataFrame:
+    """Spread of accuracy and cross-entropy over resamples of all rows, or of the development subset."""
     dev = splits.seeded_sample(with_probability(logits), seed, dev_size, key)
     narrow = dev.select(key, _accuracy(F.col("label"), F.col("pred")).alias("acc"), _bce(F.col("label"), F.col("prob")).alias("bce"))
-    per_sample = splits.bootstrap_draws(narrow, key, samples, seed).groupBy("sample").agg(F.avg("acc").alias("accuracy"), F.avg("bce").alias("bce"))
+    per_sample = splits.bootstrap_sums(narrow, key, ["acc", "bce"], samples, seed).select(
+        F.try_divide("acc", "n").alias("accuracy"), F.try_divide("bce", "n").alias("bce")
+    )
     stats = [F.count("*").alias("bootstrap_samples")]
     for c in ("accuracy", "bce"):
         # one value per resample: bounded by the number of resamples

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed_values as V
 from ..functions import text as T
 from ..functions.hashing import hash_bucket, hash_mod, salted_hash
+from ..sources.io import staged
 from . import splits
 from .ring import next_different
 
@@ -200,7 +201,8 @@ def feedback_rows(
     Negatives are looked for on (split, doc_id, group_id, gold_answer) alone; documents
     and prompts are joined to the result.
     """
-    narrow = (prompts if keys is None else keys).select("split", "doc_id", "group_id", T.strip(F.col("gold_answer")).alias("gold_answer"))
+    given = (prompts if keys is None else keys).select("split", "doc_id", "group_id", T.strip(F.col("gold_answer")).alias("gold_answer"))
+    narrow = staged(given, "gold")  # both searches read it several times
     key = ["split", "group_id"]
     negatives = (
         indoc_negatives(narrow, seed, ratio_low, ratio_high)

@@ -6,6 +6,8 @@ with the Spark side but the fixed values and the job arguments.
 
 from __future__ import annotations
 
+import math
+
 from ..functions import fixed_values as V
 from .config import prompt_template
 from .inputs import EXPERIMENT, FEEDBACK_SEED
@@ -845,11 +847,13 @@ oracle(
 edges AS (SELECT i AS bin, lo + i * step AS l, CASE WHEN i = 19 THEN hi ELSE lo + (i + 1) * step END AS h FROM span, (SELECT unnest(range(0, 20)) AS i))""",
     sql=f"""SELECT bin, {r6('l')} AS lo, {r6('h')} AS hi, count(value) AS count, (SELECT count(*) FROM events WHERE NOT isfinite(value)) AS not_finite FROM edges LEFT JOIN events ON value >= l AND (value < h OR (bin = 19 AND value <= h)) GROUP BY bin, l, h""",
 )
+CUMULATIVE = [sum(math.exp(-1.0) / math.factorial(i) for i in range(k)) for k in range(1, 16)]
+UNIFORM = f"('0x' || substr({sha('42/bootstrap', 'sample // 4', 'row_id')}, 1 + 13 * (sample % 4), 13))::BIGINT / 4503599627370496.0::DOUBLE"
 oracle(
     "bootstrap", LOGITS,
-    f"""devrank AS (SELECT row_id, CASE WHEN label = pred THEN 1.0 ELSE 0.0 END::DOUBLE AS acc, {CROSS_ENTROPY} AS bce, row_number() OVER (ORDER BY {sha('42/bootstrap', 'row_id')}) - 1 AS rk, count(*) OVER () AS n FROM dev),
-draws AS (SELECT sample, {hmod(sha('42/draw', 'sample', 'rk'), 'n')} AS rk FROM devrank, (SELECT unnest(range(0, 200)) AS sample)),
-resampled AS (SELECT sample, avg(acc) AS accuracy, avg(bce) AS bce FROM draws JOIN devrank USING (rk) GROUP BY sample)""",
+    f"""drawn AS (SELECT sample, CASE WHEN label = pred THEN 1.0 ELSE 0.0 END::DOUBLE AS acc, {CROSS_ENTROPY} AS bce,
+  len(list_filter({CUMULATIVE}, lambda c: u >= c)) AS w FROM (SELECT *, {UNIFORM} AS u FROM scored, (SELECT CAST(unnest(range(0, 200)) AS INT) AS sample))),
+resampled AS (SELECT sample, sum(w * acc) / sum(w) AS accuracy, sum(w * bce) / sum(w) AS bce FROM drawn GROUP BY sample)""",
     sql="SELECT count(*) AS bootstrap_samples, " + ", ".join(
         f"{r6(f'stddev_pop({c})')} AS {c}_std, {r6(f'quantile_cont({c}, 0.025)')} AS {c}_ci95_low, {r6(f'quantile_cont({c}, 0.975)')} AS {c}_ci95_high" for c in ("accuracy", "bce")
     ) + " FROM resampled",

@@ -89,8 +89,12 @@ def meeting_corpus(
 
 
 def write_experiment(build: Build, root: str, dataset: str, fmt: str = "json") -> str:
-    """Every table of an experiment under ``<root>/<dataset>/<variant>``."""
-    return io.write_bundle(build.tables(), root, dataset, build.exp.variant, fmt)
+    """Every table of an experiment under ``<root>/<dataset>/<variant>``.
+
+    The base rows, documents joined, are computed once for all tables.
+    """
+    once = Build(io.staged(build.base, "base"), build.exp, io.staged(build.keys, "keys"))
+    return io.write_bundle(once.tables(), root, dataset, build.exp.variant, fmt)
 
 
 # --- feedback logs and reward tables ---------------------------------------------------------------------------

@@ -82,19 +82,34 @@ def test_samples_do_not_depend_on_partitioning(spark):
         lambda df: splits.balance_labels(df, 1, ["k"]),
         lambda df: splits.stratified_cap(df, 1, 20, ["k"]),
         lambda df: splits.seeded_sample(df, 1, 9, "k"),
-        lambda df: splits.permuted_labels(df, "k", "label", 3, 5),
+        lambda df: splits.bootstrap_sums(df, "k", ["label"], 6, 5),
     ):
         assert sorted(map(tuple, make(rows.repartition(1)).collect())) == sorted(map(tuple, make(rows.repartition(7)).collect()))
 
 
 def test_permutations_keep_the_number_of_labels(spark):
-    got = splits.permuted_labels(labelled(spark, 30, 100), "k", "label", 5, 1).groupBy("repeat").agg(F.sum("permuted_label").alias("n"), F.count("*").alias("m"))
-    assert {(r["n"], r["m"]) for r in got.collect()} == {(30, 130)} and got.count() == 5
-
-
-def test_bootstrap_draws_as_many_rows_as_there_are(spark):
-    drawn = splits.bootstrap_draws(labelled(spark, 3, 4), "k", 10, 1)
-    assert {r["n"] for r in drawn.groupBy("sample").agg(F.count("*").alias("n")).collect()} == {7}
+    rows = labelled(spark, 30, 100)
+    cuts = splits.permutation_cuts(rows, "k", "label", 5, 1)
+    assert sorted(cuts) == [1, 2, 3, 4, 5]
+    drawn = [{x["k"] for x in rows.where(splits.permuted_label("k", r, cut, 1)).collect()} for r, cut in cuts.items()]
+    assert [len(d) for d in drawn] == [30] * 5 and len(set(map(frozenset, drawn))) == 5
+
+
+def test_bootstrap_draws_as_many_rows_as_there_are_on_average(spark):
+    rows = labelled(spark, 300, 700)
+    sums = splits.bootstrap_sums(rows, "k", ["label"], 50, 1).collect()
+    assert sorted(x["sample"] for x in sums) == list(range(50))
+    assert sum(x["n"] for x in sums) / 50 == pytest.approx(1000, rel=0.02)
+    assert sum(x["label"] for x in sums) / 50 == pytest.approx(300, rel=0.04)
+    spread = [x["label"] / x["n"] for x in sums]
+    deviation = (sum((s - 0.3) ** 2 for s in spread) / 50) ** 0.5
+    assert deviation == pytest.approx((0.3 * 0.7 / 1000) ** 0.5, rel=0.4)
+
+
+def test_poisson_numbers(spark):
+    us = [0.0, 0.3678, 0.3679, 0.7357, 0.7358, 0.9196, 0.9198, 0.999]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(us)], "i int, u double")
+    assert [r[0] for r in df.orderBy("i").select(splits.poisson_one(F.col("u"))).collect()] == [0, 0, 1, 1, 2, 2, 3, 5]
 
 
 def test_keep_ratio_keeps_whole_documents(spark):
