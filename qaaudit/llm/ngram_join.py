@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import written
+from ..sources.io import staged
 from .text_stats import per_text, words_of
 
 WIDTH, SIMILARITY, ROWS, RECALL = 5, 0.8, 5, 0.9995
@@ -109,14 +109,14 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     Each round takes the smallest label around a node and then the label of that label, and is written to the shared folder;
     rounds end when no label changed, or fail after ``most_rounds``.
     """
-    both = written(edges.union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), f"{name}-0")
+    both = staged(edges.union(edges.select("b", "a")).distinct(), f"{name}-edges")
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), f"{name}-0")
     for k in range(1, most_rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         joined = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         up = joined.select(F.col("node").alias("root"), F.col("root").alias("up"))
         made = joined.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root"))
-        made = written(made, f"{name}-{k}")
+        made = staged(made, f"{name}-{k}")
         labels = made.select("node", "root")
         if made.filter("old <> root").isEmpty():
             return labels
@@ -229,8 +229,8 @@ def classes(
     """
     keys = list(ids)
     bands = bands_for(similarity, rows, recall)
-    sets = written(sets_of(docs, width, bands, rows, keys), "ngram-sets")
-    nodes = written(
+    sets = staged(sets_of(docs, width, bands, rows, keys), "ngram-sets")
+    nodes = staged(
         sets.filter("node is not null")
         .groupBy("node", "bands", "n_grams")
         .agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies")),
@@ -244,11 +244,12 @@ def classes(
     blocks = sized.groupBy("root").agg(
         F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_grams") / block_grams)).cast("int").alias("blocks")
     )
-    placed = written(
+    placed = staged(
         sized.join(blocks, "root").select("node", "copy_of", F.col("root").alias("component"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")),
         "ngram-placed",
     )
-    texts = docs.select("doc_id", "text").join(placed, F.col("doc_id") == F.col("copy_of"))
+    # merged at every size: neither side is bounded
+    texts = docs.select("doc_id", "text").join(placed.hint("merge"), F.col("doc_id") == F.col("copy_of"))
     grams = _grams(texts, width)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = grams.select("component", "block", "node", "grams", other).select(
@@ -256,7 +257,7 @@ def classes(
     )
     tile = ["component", "lo", "hi"]
     compared = dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_tiles(similarity), "node binary, links bigint, root binary")
-    compared = written(compared, "ngram-links")
+    compared = staged(compared, "ngram-links")
     links = compared.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(compared.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "ngram-classes")
     named = nodes.select("node", "copy_of", "n_copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -290,4 +291,4 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """
     key = f"k{uuid.uuid4().hex}"
     kept = classes(docs.select("doc_id", "text"), **how).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[key]), "left_semi")
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept[key]), "left_semi")
