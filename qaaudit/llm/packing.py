@@ -8,21 +8,26 @@ one partition or ends the exchange.  Only lengths move, never texts.
 
 from __future__ import annotations
 
+import json
 import os
-import uuid
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import staged
+
 CAPACITY = 4096
 PIECES_PER_PARTITION = 20_000
-MEMORY_WORDS = 200_000
+MEMORY_WORDS = 400_000
 
 
 @cache
@@ -35,27 +40,75 @@ def _tokenizer(path: str):
     return made
 
 
+#: A word of letters that lower case and composition leave single, and the punctuation behind it: two words to the tokenizer.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+WORD_END = b"\xff"
+
+
+@cache
+def _plain_encoder(path: str) -> Callable[[bytes], list[int]]:
+    """Merges of the same vocabulary for the bytes of one word and ``WORD_END``, a byte that UTF-8 never has.
+
+    Ids below the merges are the single bytes, then those that end a word; so the end mark joins its byte first.
+    """
+    import tiktoken
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+    ranks = {}
+    for piece, number in model["vocab"].items():
+        body = piece.removesuffix(model["end_of_word_suffix"])
+        if all(c in byte_of for c in body) and not (piece.startswith("<|") and piece.endswith("|>")):
+            ranks[bytes(byte_of[c] for c in body) + WORD_END * (body != piece)] = number
+    ranks.setdefault(WORD_END, max(model["vocab"].values()) + 1)  # never left over: every byte joins it
+    return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+
 class WordIds:
     """Ids of texts, put together from the ids of their words.
 
     The tokenizer never joins characters across white space, so each distinct run between blanks or line ends is
-    encoded once; what is remembered is bounded.
+    encoded once; what is remembered is bounded.  Plain words go through the merges directly, all others through the tokenizer.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer, self.plain = _tokenizer(path), _plain_encoder(path)
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def _part(self, part: str) -> list[int]:
+        found = self.parts.get(part)
+        if found is None:
+            found = self.parts[part] = self.plain(part.encode() + WORD_END)
+        return found
+
+    def ids(self, fresh: list[str]) -> list[list[int]]:
+        """Ids of each of some words."""
+        out: list[list[int] | None] = []
+        for word in fresh:
+            if m := PLAIN.fullmatch(word):
+                letters, tail = m.groups()
+                own = self._part(letters.lower())
+                out.append(own + self._part(tail) if tail else own)
+            else:
+                out.append(None)
+        others = [i for i, x in enumerate(out) if x is None]
+        for lo in range(0, len(others), 4096):
+            at = others[lo : lo + 4096]
+            for i, e in zip(at, self.tokenizer.encode_batch([fresh[i] for i in at], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
+
     def _learn(self, fresh: list[str]) -> None:
-        ids: list[list[int]] = []
-        for lo in range(0, len(fresh), 4096):
-            ids += [e.ids for e in self.tokenizer.encode_batch(fresh[lo : lo + 4096], add_special_tokens=False)]
+        ids = self.ids(fresh)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.flat, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
 
@@ -149,20 +202,6 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, used
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends there."""
-    path = f"{_shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _filler(keys: list[str], capacity: int, number: int, last: bool):
     """Packs one partition in round ``number``, and says which pieces are to be exchanged."""
 
@@ -192,7 +231,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = 5, per_partitio
     An empty table gives no rows.
     """
     keys = ids or ["doc_id"]
-    rows = written(cut, "pieces")
+    rows = staged(cut, "pieces")
     columns = rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     done: list[DataFrame] = []
@@ -204,7 +243,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = 5, per_partitio
         last = number == rounds - 1 or parts == 1
         part = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys], "piece", F.lit(number)), F.lit(parts))
         made = rows.withColumn("part", part).groupBy("part").applyInPandas(_filler(keys, capacity, number, last), schema + ", sequence_id bigint, offset bigint, again boolean")
-        made = written(made, f"packed-{number}")
+        made = staged(made, f"packed-{number}")
         done.append(made.filter("not again").drop("again"))
         rows = made.filter("again").select(*columns)
         if last:

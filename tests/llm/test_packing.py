@@ -33,6 +33,19 @@ def check(rows, capacity):
     return len(bins)
 
 
+def test_words_as_the_library_encodes_them(library):
+    """Plain words take a shorter way; ids are the same for random ones and for joined pieces of the vocabulary."""
+    rng = random.Random(1)
+    letters, tails = "abcdefghijklmnopqrstuvwxyzéèçüñßABCÉÞÿ", ["", ",", ".", "!!", "%%%", "...", ");", "_", "'s", "1", "é"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 24))) + rng.choice(tails) for _ in range(20_000)]
+    known = [w.replace("</w>", "") for w in library.get_vocab()]
+    words += ["".join(rng.choice(known) for _ in range(rng.randrange(1, 4))) + rng.choice(tails) for _ in range(40_000)]
+    assert sum(k.PLAIN.fullmatch(w) is not None for w in words) > 30_000
+    got = k.WordIds(PATH).ids(words)
+    for word, own, want in zip(words, got, library.encode_batch(words, add_special_tokens=False), strict=True):
+        assert own == want.ids, word
+
+
 @pytest.mark.parametrize("per_partition", [20_000, 7])
 def test_pieces_and_sequences(spark, library, per_partition, monkeypatch):
     monkeypatch.setattr(k, "MEMORY_WORDS", 50)
