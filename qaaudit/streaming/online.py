@@ -103,8 +103,9 @@ def _folded(batches: Iterable[pd.DataFrame], fresh, advance) -> Iterator[pd.Data
     """Fold rows sorted by (run_id, step); one state at a time, whatever the number of runs or steps."""
     run, state = None, None
     for pdf in batches:
-        out = []
-        for row in pdf.to_dict("records"):
+        out, names = [], list(pdf.columns)
+        for values in zip(*[pdf[c].tolist() for c in names], strict=True):
+            row = dict(zip(names, values))
             if row["run_id"] != run:
                 run, state = row["run_id"], fresh()
             out.append({"run_id": run, "step": row["step"], **advance(state, row)})
@@ -115,10 +116,13 @@ def _fresh() -> dict[str, float]:
     return dict.fromkeys(STATE_FIELDS, 0.0)
 
 
-def _typed(pdf: pd.DataFrame) -> pd.DataFrame:
+def _typed(pdf: pd.DataFrame, columns: list[str] = RECORD_COLUMNS) -> pd.DataFrame:
     """Records with the columns in order and nulls that Arrow can read."""
-    pdf = pdf.reindex(columns=RECORD_COLUMNS)
-    pdf["calibration_ok"] = pdf["calibration_ok"].astype("object").where(pdf["calibration_ok"].notna(), None)
+    pdf = pdf.reindex(columns=columns)
+    for c in ("calibration_ready", "calibration_ok"):
+        pdf[c] = pdf[c].astype("object").where(pdf[c].notna(), None)
+    for c in ("total_seen", "clean_count", "trigger_count", *(["late_rows"] if "late_rows" in columns else [])):
+        pdf[c] = pdf[c].astype("Int64")
     return pdf
 
 
@@ -139,46 +143,61 @@ def latest_records(records: DataFrame) -> DataFrame:
     return records.groupBy("run_id").agg(F.max_by(F.struct(*kept), "step").alias("r")).select("run_id", "r.*")
 
 
-OPEN_STEP = "open_step bigint, " + ", ".join(f"open_{c} double" for c in SUM_COLUMNS)
+OPEN_STEP = "open_step bigint, closed_step bigint, " + ", ".join(f"open_{c} double" for c in SUM_COLUMNS)
 STREAM_STATE = ", ".join(f"{c} double" for c in STATE_FIELDS) + ", " + OPEN_STEP
+STREAM_RECORD = RECORD + ", late_rows bigint"
+ARRIVING = [*SUM_COLUMNS, "ends"]
+
+
+def _zeros() -> dict[str, float]:
+    return dict.fromkeys(ARRIVING, 0.0)
 
 
 def stream_calibration(steps: DataFrame, cfg: Calibration = Calibration()) -> DataFrame:
-    """Calibration records of a stream of observed rows.
+    """Calibration records of a stream of observed rows, with late rows beside them.
 
-    A micro-batch may cut a step in two, so a run's newest step stays open in the state
-    and is emitted once a later step of the run appears.
+    A micro-batch may cut a step in two, so a run's newest step stays open in the state and is emitted once a later
+    step of the run appears, or once a row of it has ``ends_run`` (where the rows have that column).  Rows of
+    a step whose record is out cannot change it: they are reported as a row of their run and step with ``late_rows`` and no record,
+    and the stream goes on.  ``records_of`` and ``late_rows_of`` take the two apart.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        state, open_step, closed, open_sums = _fresh(), None, None, _zeros()
         if group.exists:
             saved = list(group.get)
-            state = dict(zip(STATE_FIELDS, saved))
-            open_step, open_sums = saved[len(STATE_FIELDS)], dict(zip(SUM_COLUMNS, saved[len(STATE_FIELDS) + 1 :]))
-        else:
-            state, open_step, open_sums = _fresh(), None, dict.fromkeys(SUM_COLUMNS, 0.0)
+            n = len(STATE_FIELDS)
+            state, open_step, closed = dict(zip(STATE_FIELDS, saved)), saved[n], saved[n + 1]
+            open_sums = {**dict(zip(SUM_COLUMNS, saved[n + 2 :])), "ends": 0.0}
         # a batch may hold the same step more than once; sums are small next to the rows
         arrived: dict[int, dict[str, float]] = {}
         for pdf in batches:
-            for step, sums in pdf.groupby("step")[SUM_COLUMNS].sum().iterrows():
-                known = arrived.setdefault(int(step), dict.fromkeys(SUM_COLUMNS, 0.0))
-                for c in SUM_COLUMNS:
+            for step, sums in pdf.groupby("step")[ARRIVING].sum().iterrows():
+                known = arrived.setdefault(int(step), _zeros())
+                for c in ARRIVING:
                     known[c] += sums[c]
-        records = []
+        out = []
+
+        def close() -> None:
+            out.append({"run_id": key[0], "step": open_step, **calibrate(state, open_sums, cfg)})
+
         for step in sorted(arrived):
-            if open_step is not None and step < open_step:
-                # its record is out and later ones build on it; leaving the rows out would be silent loss
-                raise ValueError(f"run {key[0]}: rows of step {step} arrived after step {open_step} had begun")
-            if step == open_step:
-                for c in SUM_COLUMNS:
-                    open_sums[c] += arrived[step][c]
+            if (closed is not None and step <= closed) or (open_step is not None and step < open_step):
+                out.append({"run_id": key[0], "step": step, "late_rows": int(arrived[step]["n_clean"] + arrived[step]["n_trigger"])})
                 continue
-            if open_step is not None:
-                records.append({"run_id": key[0], "step": open_step, **calibrate(state, open_sums, cfg)})
-            open_step, open_sums = step, arrived[step]
-        group.update((*[state[c] for c in STATE_FIELDS], open_step, *[open_sums[c] for c in SUM_COLUMNS]))
-        if records:
-            yield _typed(pd.DataFrame(records))
+            if step != open_step:
+                if open_step is not None:
+                    close()
+                    closed = open_step
+                open_step, open_sums = step, _zeros()
+            for c in ARRIVING:
+                open_sums[c] += arrived[step][c]
+            if open_sums["ends"] > 0:
+                close()
+                open_step, closed, open_sums = None, step, _zeros()
+        group.update((*[state[c] for c in STATE_FIELDS], open_step, closed, *[open_sums[c] for c in SUM_COLUMNS]))
+        if out:
+            yield _typed(pd.DataFrame(out), [*RECORD_COLUMNS, "late_rows"])
 
     rows = []
     for side in SIDES:
@@ -189,14 +208,26 @@ def stream_calibration(steps: DataFrame, cfg: Calibration = Calibration()) -> Da
             (mine * F.col("base_prob")).alias(f"base_prob_{side}"),
             (mine * F.col("pattern_hit").cast("double")).alias(f"hits_{side}"),
         ]
+    ends = F.coalesce(F.col("ends_run"), F.lit(False)) if "ends_run" in steps.columns else F.lit(False)
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.groupby(["run_id", "step"], as_index=False)[SUM_COLUMNS].sum()
+            yield pdf.groupby(["run_id", "step"], as_index=False)[ARRIVING].sum()
 
     # summed per Arrow batch before the shuffle, so that a busy run sends sums and not rows
-    partial = steps.select("run_id", F.col("step").cast("bigint").alias("step"), *rows).mapInPandas(combine, STEP_SUMS)
-    return partial.groupBy("run_id").applyInPandasWithState(update, RECORD, STREAM_STATE, "append", GroupStateTimeout.NoTimeout)
+    narrow = steps.select("run_id", F.col("step").cast("bigint").alias("step"), *rows, ends.cast("double").alias("ends"))
+    partial = narrow.mapInPandas(combine, STEP_SUMS + ", ends double")
+    return partial.groupBy("run_id").applyInPandasWithState(update, STREAM_RECORD, STREAM_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def records_of(streamed: DataFrame) -> DataFrame:
+    """The calibration records of ``stream_calibration``."""
+    return streamed.where("late_rows IS NULL").drop("late_rows")
+
+
+def late_rows_of(streamed: DataFrame) -> DataFrame:
+    """How many rows came too late for their step, as (run_id, step, late_rows)."""
+    return streamed.where("late_rows IS NOT NULL").select("run_id", "step", "late_rows")
 
 
 # --- running z-score --------------------------------------------------------------------------------------

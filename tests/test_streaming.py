@@ -83,20 +83,27 @@ def test_stream_emits_the_batch_records_of_closed_steps(spark, data, tmp_path):
     assert query.exception() is None
     last = {run: max(s for r, s in ((d[0], d[1]) for d in data) if r == run) for run in ("a", "b", "one")}
     expected = {k: v for k, v in plain_records(data, CFG).items() if k[1] < last[k[0]]}
-    check(spark.read.schema(online.RECORD).parquet(str(tmp_path / "out")).collect(), expected)
+    streamed = spark.read.schema(online.STREAM_RECORD).parquet(str(tmp_path / "out"))
+    check(online.records_of(streamed).collect(), expected)
+    assert online.late_rows_of(streamed).count() == 0
 
 
-def test_rows_of_a_closed_step_stop_the_stream(spark, data, tmp_path):
+def test_late_rows_go_aside_and_an_end_mark_closes_the_run(spark, tmp_path):
     source = str(tmp_path / "in")
-    for step in (1, 2, 1):
-        spark.createDataFrame([("a", step, True, 1.0, 0.6, True, 0.0)], SCHEMA).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    batches = [[("a", 1), ("b", 1)], [("a", 2)], [("a", 1), ("a", 1)], [("a", 3, True), ("b", 2)], [("a", 3), ("a", 4)]]
+    for rows in batches:
+        data = [(r[0], r[1], True, 1.0, 0.6, True, 0.0, len(r) > 2) for r in rows]
+        spark.createDataFrame(data, SCHEMA + ", ends_run boolean").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(SCHEMA + ", ends_run boolean").option("maxFilesPerTrigger", 1).parquet(source)
     query = (
         online.stream_calibration(stream, CFG).writeStream.format("parquet").outputMode("append")
         .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     )
-    with pytest.raises(Exception, match="arrived after step"):
-        query.awaitTermination(240)
+    query.awaitTermination(240)
+    assert query.exception() is None
+    out = spark.read.schema(online.STREAM_RECORD).parquet(str(tmp_path / "out"))
+    assert sorted((r["run_id"], r["step"], r["total_seen"]) for r in online.records_of(out).collect()) == [("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 1, 1)]
+    assert sorted(map(tuple, online.late_rows_of(out).collect())) == [("a", 1, 2), ("a", 3, 1)]
 
 
 @pytest.mark.parametrize("update", [True, False])
