@@ -7,7 +7,7 @@
 3. A template recurs if lines of it stand in at least ``min_docs`` different texts: copies of a whole document do not make its
    lines recur.
 
-Equal masked lines are combined before they are dealt out, so a very common line is one row per task.
+A task spells a line out once, and lines are counted by their keys from partial sums, so a very common line is one row per task.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import written
+from ..sources.io import staged
 from .text_stats import per_text
 
 DEPTH, DEEP, LEAF_LINES, SIMILAR, MIN_DOCS = 4, 8, 2000, 0.8, 3
+MEMORY_LINES = 500_000
 VARIABLE = "<*>"
 DIGIT = regex.compile(r"[0-9]")
 
@@ -39,36 +40,44 @@ def _key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _parsed(texts: list[str | None]) -> list[list]:
-    content, per_line, distinct = [], [], []
-    for text in texts:
-        own, keys = {}, []
-        for line in (text or "").split("\n"):
-            tokens = masked(line)
-            if not tokens:
-                keys.append(None)
-                continue
-            whole = " ".join(tokens)
-            found = own.get(whole)
-            if found is None:
-                n = str(len(tokens))
-                found = own[whole] = {
-                    "line": _key(whole),
-                    "leaf": _key(" ".join([n, *tokens[:DEPTH]])),
-                    "deep": _key(" ".join([n, *tokens[:DEEP]])),
-                    "whole": whole,
-                }
-            keys.append(found["line"])
-        content.append(_key(text or ""))
-        per_line.append(keys)
-        distinct.append(list(own.values()))
-    return [content, per_line, distinct]
+def _parser():
+    """Parses batches of texts; remembers, boundedly, which lines the task has spelt out."""
+    spelt: set[int] = set()
+
+    def work(texts: list[str | None]) -> list[list]:
+        content, per_line, distinct, fresh = [], [], [], []
+        for text in texts:
+            keys, new = [], []
+            for line in (text or "").split("\n"):
+                tokens = masked(line)
+                if not tokens:
+                    keys.append(None)
+                    continue
+                whole = " ".join(tokens)
+                key = _key(whole)
+                keys.append(key)
+                if key not in spelt:
+                    if len(spelt) >= MEMORY_LINES:
+                        spelt.clear()
+                    spelt.add(key)
+                    n = str(len(tokens))
+                    new.append({"line": key, "leaf": _key(" ".join([n, *tokens[:DEPTH]])), "deep": _key(" ".join([n, *tokens[:DEEP]])), "whole": whole})
+            content.append(_key(text or ""))
+            per_line.append(keys)
+            distinct.append(list(dict.fromkeys(k for k in keys if k is not None)))
+            fresh.append(new)
+        return [content, per_line, distinct, fresh]
+
+    return work
 
 
 def parse(docs: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    """Beside the ids: a hash of the text, the key of every line in order (null: no token), and each distinct masked line with its leaf."""
-    kind = "content bigint, `lines` array<bigint>, `distinct` array<struct<line: bigint, leaf: bigint, deep: bigint, whole: string>>"
-    return per_text(docs, kind, _parsed, ids)
+    """Beside the ids: a hash of the text, the key of every line in order (null: no token), the distinct keys, and masked lines with their leaf.
+
+    A line is spelt out where a task first meets it, so a very common line comes once from each task.
+    """
+    kind = "content bigint, `lines` array<bigint>, `distinct` array<bigint>, fresh array<struct<line: bigint, leaf: bigint, deep: bigint, whole: string>>"
+    return per_text(docs, kind, _parser(), ids)
 
 
 def generalise(lines: list[str], similar: float = SIMILAR) -> list[int]:
@@ -94,7 +103,7 @@ def generalise(lines: list[str], similar: float = SIMILAR) -> list[int]:
 
 
 def _joined(similar: float, most: int):
-    """Streams lines sorted by leaf; emits those that share a template with another line."""
+    """Streams lines sorted by leaf, copies of a line one after the other; emits those that share a template with another line."""
 
     def close(leaf: int, rows: list[tuple[int, str]]) -> Iterator[tuple[int, int]]:
         by_length: dict[int, list[tuple[int, str]]] = {}
@@ -121,6 +130,8 @@ def _joined(similar: float, most: int):
                     if len(rows) > 1:
                         out += close(leaf, rows)
                     leaf, rows = key, []
+                elif rows and rows[-1][1] == whole:
+                    continue
                 elif len(rows) >= most:
                     out += close(leaf, rows)
                     rows = []
@@ -146,21 +157,20 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILA
     share ``DEEP`` leading tokens are generalised in sorted runs of that many lines.
     """
     row = F.monotonically_increasing_id().alias("row")
-    parsed = written(parse(docs.select("doc_id", "text", row), ["doc_id", "row"]), "line-parse")
-    each = parsed.select(F.explode("distinct").alias("d")).select("d.*")
-    big = written(
+    parsed = staged(parse(docs.select("doc_id", "text", row), ["doc_id", "row"]), "line-parse")
+    each = parsed.select(F.explode("fresh").alias("d")).select("d.*")
+    big = staged(
         each.select("leaf", "line").distinct().groupBy("leaf").count().filter(F.col("count") > leaf_lines).select("leaf", F.lit(True).alias("big")),
         "line-leaves",
     )
-    counted = each.groupBy("leaf", "deep", "line", "whole").agg(F.count("*"))
-    keyed = counted.join(big, "leaf", "left").select(F.when(F.col("big"), F.col("deep")).otherwise(F.col("leaf")).alias("key"), "line", "whole")
-    merged = written(
+    keyed = each.join(big, "leaf", "left").select(F.when(F.col("big"), F.col("deep")).otherwise(F.col("leaf")).alias("key"), "line", "whole")
+    merged = staged(
         keyed.repartition("key").sortWithinPartitions("key", "whole").mapInArrow(_joined(similar, leaf_lines), "line bigint, template bigint"), "line-templates"
     )
-    keys = parsed.select("content", F.explode(F.transform("distinct", lambda d: d["line"])).alias("line"))
+    keys = parsed.select("content", F.explode("distinct").alias("line"))
     seen = keys.join(merged, "line").select("template", "content").distinct().groupBy("template").count().filter(F.col("count") >= min_docs)
     exact = keys.distinct().groupBy("line").count().filter(F.col("count") >= min_docs).select("line")
-    gone = written(merged.join(seen, "template", "left_semi").select("line").union(exact).distinct(), "line-dropped")
+    gone = staged(merged.join(seen, "template", "left_semi").select("line").union(exact).distinct(), "line-dropped")
     places = parsed.select("row", F.posexplode("lines").alias("at", "line")).filter("line is not null")
     dropped = places.join(gone, "line", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("dropped"))
     return parsed.join(dropped, "row", "left").select(
