@@ -91,11 +91,15 @@ def _covers(rule: Rule, table: dict[str, np.ndarray], n: int) -> np.ndarray:
 
 
 def _best_condition(table: dict[str, np.ndarray], bad: np.ndarray, cuts: int) -> tuple[float, Condition | None]:
-    """Largest gain p1 * (log2 precision after - log2 precision before) over all thresholds."""
+    """Largest gain p1 * (log2 precision after - log2 precision before) over all thresholds.
+
+    Thresholds lie halfway between neighbouring quantiles, so that rows just beyond what bad ones show are not named.
+    """
     before = np.log2(bad.sum() / len(bad))
     best: tuple[float, Condition | None] = (0.0, None)
     for name, x in table.items():
-        points = np.unique(np.quantile(x, np.linspace(0, 1, cuts + 2)[1:-1]))
+        points = np.unique(np.quantile(x, np.linspace(0, 1, cuts + 2)))
+        points = (points[1:] + points[:-1]) / 2
         order = np.sort(x)
         bad_order = np.sort(x[bad])
         for t in points:
