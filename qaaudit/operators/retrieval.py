@@ -45,14 +45,20 @@ def segments(document: Column) -> Column:
     return T.let(T.strip(document), cut)
 
 
-def segment_scores(segs: Column, q_words: Column, a_words: Column, answer_weight: float) -> Column:
-    """Question hits plus weighted answer hits per segment; a hit is a substring, repeated words count again."""
+def prepare(document: Column) -> Column:
+    """What a document's windows need, whatever the question: its segments, lower-cased too, with their lengths."""
+    one = lambda s: F.struct(s.alias("text"), F.lower(s).alias("low"), T.token_count(s).alias("n"))
+    return F.transform(segments(document), one)
+
+
+def segment_scores(parts: Column, q_words: Column, a_words: Column, answer_weight: float) -> Column:
+    """Question hits plus weighted answer hits per prepared segment; a hit is a substring, repeated words count again."""
 
     def score(segment: Column) -> Column:
         hits = lambda found: F.size(F.filter(found, lambda w: F.contains(segment, w))).cast("double")
         return hits(q_words) + F.lit(float(answer_weight)) * hits(a_words)
 
-    return F.transform(segs, lambda s: T.let(F.lower(s), score))
+    return F.transform(parts, lambda p: score(p["low"]))
 
 
 def window_bounds(scores: Column, lengths: Column, max_words: int, max_segments: int) -> Column:
@@ -97,8 +103,11 @@ def answer_recall(answer: Column, document: Column) -> Column:
     return T.let(F.array_distinct(content_tokens(answer)), lambda a: F.when(F.size(a) == 0, F.lit(1.0)).otherwise(found(a)))
 
 
-def retrieval_window(question: Column, answer: Column, document: Column, budget: RetrievalBudget) -> Column:
-    """Window of the document; a wider one, then the whole text, if too little of the answer is left."""
+def retrieval_window(question: Column, answer: Column, document: Column, budget: RetrievalBudget, prepared: Column | None = None) -> Column:
+    """Window of the document; a wider one, then the whole text, if too little of the answer is left.
+
+    ``prepared`` is the document's ``prepare``, where that is known already.
+    """
     if not budget.enabled or budget.max_words <= 0 or budget.max_segments <= 0:
         return document
 
@@ -113,25 +122,33 @@ def retrieval_window(question: Column, answer: Column, document: Column, budget:
         wide = T.let(window(budget.wide), lambda text: F.when(enough(text), text).otherwise(document))
         return T.let(window((budget.max_words, budget.max_segments)), lambda text: F.when(enough(text), text).otherwise(wide))
 
-    def scored(segs: Column) -> Column:
+    def scored(parts: Column) -> Column:
         scores = T.let(
             question_keywords(question),
-            lambda q: T.let(answer_keywords(answer), lambda a: segment_scores(segs, q, a, budget.answer_weight)),
+            lambda q: T.let(answer_keywords(answer), lambda a: segment_scores(parts, q, a, budget.answer_weight)),
         )
-        lengths = F.transform(segs, T.token_count)
-        return F.when(F.size(segs) == 0, document).otherwise(
-            T.let(scores, lambda s: T.let(lengths, lambda n: attempt(segs, s, n)))
+        texts, lengths = F.transform(parts, lambda p: p["text"]), F.transform(parts, lambda p: p["n"])
+        return F.when(F.size(parts) == 0, document).otherwise(
+            T.let(scores, lambda s: T.let(lengths, lambda n: T.let(texts, lambda t: attempt(t, s, n))))
         )
 
-    return T.let(segments(document), scored)
+    return scored(prepared) if prepared is not None else T.let(prepare(document), scored)
+
 
+def window_rows(rows: DataFrame, train: RetrievalBudget, evaluation: RetrievalBudget, documents: DataFrame | None = None) -> DataFrame:
+    """Documents replaced by their windows, with one budget for training and one for evaluation rows.
 
-def window_rows(rows: DataFrame, train: RetrievalBudget, evaluation: RetrievalBudget) -> DataFrame:
-    """Documents replaced by their windows, with one budget for training and one for evaluation rows."""
-    make = lambda b: retrieval_window(F.col("question"), F.col("answer"), F.col("document"), b)
+    Rows carry their document, or ``documents`` (doc_id, document_text) does: then each document is cut into segments
+    once, before it meets its questions.
+    """
+    prepared = None
+    if documents is not None:
+        ready = documents.select("doc_id", F.col("document_text").alias("document"), prepare(F.col("document_text")).alias("_parts"))
+        rows, prepared = rows.drop("document").join(ready, "doc_id"), F.col("_parts")
+    make = lambda b: retrieval_window(F.col("question"), F.col("answer"), F.col("document"), b, prepared)
     window = F.when(F.col("split") == "eval", make(evaluation)).otherwise(make(train))
     # the window reads the answer on evaluation rows too; the flag keeps that visible
-    return rows.withColumn("window", window).withColumn("answer_aware", F.lit(True))
+    return rows.withColumn("window", window).withColumn("answer_aware", F.lit(True)).drop("_parts")
 
 
 def window_stats(windowed: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def meeting_corpus(
     base = normalize.to_base_rows(grouped)
     keys = rows.select("doc_id", F.concat_ws("::", "doc_id", "question_id").alias("example_id"))
     cuts = splits.split_cuts(keys, exp)
-    windowed = retrieval.window_rows(splits.assign_split(base, exp, cuts), train, evaluation)
+    windowed = io.staged(retrieval.window_rows(splits.assign_split(base, exp, cuts), train, evaluation, documents), "windows")
     shortened = windowed.withColumn("document", F.col("window")).drop("window", "answer_aware", "split")
     build = Build(shortened, exp, keys)
     return build, documents, retrieval.window_stats(windowed)

@@ -375,13 +375,13 @@ def answer_prefix(i: Inputs) -> DataFrame:
 # --- retrieval ---------------------------------------------------------------------------------------------
 @query
 def retrieval_window(i: Inputs) -> DataFrame:
-    made = retrieval.window_rows(i.build.with_split(i.base), TRAIN_WINDOW, EVAL_WINDOW)
+    made = retrieval.window_rows(i.build.with_split(i.narrow), TRAIN_WINDOW, EVAL_WINDOW, i.documents)
     return made.select("example_id", "split", "window", "answer_aware")
 
 
 @query
 def retrieval_stats(i: Inputs) -> DataFrame:
-    return retrieval.window_stats(retrieval.window_rows(i.build.with_split(i.base), TRAIN_WINDOW, EVAL_WINDOW))
+    return retrieval.window_stats(retrieval.window_rows(i.build.with_split(i.narrow), TRAIN_WINDOW, EVAL_WINDOW, i.documents))
 
 
 @query
