@@ -116,18 +116,26 @@ def is_held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, docs_per_label: int = 300, windows_per_doc: int = 8, max_labels: int = 256) -> Network | None:
     """Learns from text and lang of rows that are not held out; None if there are none.
 
-    The sample is bounded: the ``docs_per_label`` rows of each label with the smallest hash of doc_id, and at most
+    The sample is bounded: the ``docs_per_label`` rows of each label with the smallest hash of doc_id and text, and at most
     ``windows_per_doc`` evenly spaced windows of each.  Rows with null lang or text, or without a letter, are no examples.  More
     labels than ``max_labels`` are an error.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~is_held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    labels = sorted(r[0] for r in known.groupBy("lang").count().select("lang").limit(max_labels + 1).collect())
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().limit(max_labels + 1).collect()}
+    labels = sorted(sizes)
     if len(labels) > max_labels:
         raise ValueError(f"more than {max_labels} languages")
     if not labels:
         return None
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.sha2("text", 256)]
-    chosen = reduce(DataFrame.union, [known.filter(F.col("lang") == x).orderBy(*order).limit(docs_per_label) for x in labels])
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+
+    def smallest(lang: str) -> DataFrame:
+        """The rows with the smallest draws; four times as many as wanted come to the task that picks them."""
+        enough = min(1.0, 4 * docs_per_label / sizes[lang]) * (1 << 40)
+        own = known.filter((F.col("lang") == lang) & (draw <= F.lit(int(enough)).cast("bigint")))
+        return own.orderBy(draw, "doc_id", F.sha2("text", 256)).limit(docs_per_label)
+
+    chosen = reduce(DataFrame.union, [smallest(x) for x in labels])
 
     def cut(texts: list[str | None]) -> list[list]:
         out = []
