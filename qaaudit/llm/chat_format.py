@@ -35,30 +35,33 @@ def examples(turns: DataFrame) -> DataFrame:
     """
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     talks = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("all"))
-    opened = F.transform("all", lambda t: F.concat(F.lit(START), escape(t["role"]), F.lit(SEP)))
-    said = F.transform("all", lambda t: escape(t["text"]))
     last = F.size("all")
     replies = F.filter(F.sequence(F.lit(1), last), lambda i: (F.element_at("all", i)["role"] == "assistant") | (i == last))
-    rows = talks.select(
+    parts = talks.select(
         "conv_id",
         F.transform("all", lambda t: t["role"] == "assistant").alias("reply"),
-        opened.alias("opened"),
-        said.alias("said"),
-        F.posexplode(replies).alias("example", "at"),
+        F.transform("all", lambda t: F.concat(F.lit(START), escape(t["role"]), F.lit(SEP))).alias("opened"),
+        F.transform("all", lambda t: escape(t["text"])).alias("said"),
+        replies.alias("replies"),
     )
-    whole = F.zip_with("opened", "said", lambda a, b: F.concat(a, b, F.lit(END)))
-    before = F.array_join(F.slice(whole, F.lit(1), F.col("at") - 1), "")
-    head = F.concat(before, F.element_at("opened", F.col("at")))
-    target = F.element_at("said", F.col("at"))
-    trains = F.element_at("reply", F.col("at"))
-    return rows.select(
+    target = lambda i: F.struct(
+        i.alias("at"), F.element_at("opened", i).alias("opened"), F.element_at("said", i).alias("said"), F.element_at("reply", i).alias("trains")
+    )
+    rows = parts.select(
+        "conv_id",
+        F.zip_with("opened", "said", lambda a, b: F.concat(a, b, F.lit(END))).alias("whole"),
+        F.posexplode(F.transform("replies", target)).alias("example", "t"),
+    )
+    head = F.concat(F.array_join(F.slice("whole", F.lit(1), F.col("t.at") - 1), ""), F.col("t.opened"))
+    made = rows.select("conv_id", "example", "t", head.alias("head"))
+    return made.select(
         "conv_id",
         "example",
-        F.col("at").alias("n_turns"),
-        F.concat(head, target, F.lit(END)).alias("text"),
-        F.char_length(head).alias("loss_start"),
-        F.when(trains, F.char_length(target)).otherwise(0).alias("loss_length"),
-        trains.alias("trainable"),
+        F.col("t.at").alias("n_turns"),
+        F.concat("head", "t.said", F.lit(END)).alias("text"),
+        F.char_length("head").alias("loss_start"),
+        F.when(F.col("t.trains"), F.char_length("t.said")).otherwise(0).alias("loss_length"),
+        F.col("t.trains").alias("trainable"),
     )
 
 
