@@ -26,7 +26,9 @@ from ..sources.io import staged
 from .text_stats import per_text, words_of
 
 WIDTH, SIMILARITY, ROWS, RECALL = 5, 0.8, 5, 0.9995
-BLOCK_NODES, BLOCK_GRAMS = 2048, 1_500_000
+BLOCK_NODES, BLOCK_GRAMS = 2048, 750_000
+#: Columns and rows of a tile's matrices that are worked on at once, and word hashes a task remembers.
+COLUMNS, STRIPE, MEMORY_WORDS = 1024, 256, 250_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,7 +53,7 @@ class Grams:
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > MEMORY_WORDS:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
@@ -137,13 +139,16 @@ def _linked(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float)
     code, owner = code[order], owner[order]
     total, m = int(shared.sum()), len(a)
     both = np.zeros((m, len(rows) - m if b is not None else m), np.float32)
-    for lo in range(0, total, 4096):
-        i, j = np.searchsorted(code, [lo, lo + 4096])
-        x = np.zeros((len(rows), min(4096, total - lo)), np.float32)
+    for lo in range(0, total, COLUMNS):
+        i, j = np.searchsorted(code, [lo, lo + COLUMNS])
+        x = np.zeros((len(rows), min(COLUMNS, total - lo)), np.float32)
         x[owner[i:j], code[i:j] - lo] = 1
         both += x[:m] @ (x if b is None else x[m:]).T
-    n, other = sizes[:m].astype(np.float32)[:, None], (sizes if b is None else sizes[m:]).astype(np.float32)[None, :]
-    out = both.astype(np.float64) / (n + other - both).astype(np.float64) >= similarity
+    n, other = sizes[:m].astype(np.float64)[:, None], (sizes if b is None else sizes[m:]).astype(np.float64)[None, :]
+    out = np.empty(both.shape, bool)
+    for lo in range(0, m, STRIPE):
+        shared_by = both[lo : lo + STRIPE].astype(np.float64)
+        out[lo : lo + STRIPE] = shared_by / (n[lo : lo + STRIPE] + other - shared_by) >= similarity
     if b is None:
         np.fill_diagonal(out, False)
     return out
@@ -152,12 +157,18 @@ def _linked(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float)
 def _roots(links: np.ndarray, square: bool) -> tuple[np.ndarray, np.ndarray]:
     """For rows and columns of a tile: the smallest position (columns counted after the rows, or as rows) in their component."""
     m, n = links.shape
-    row = np.arange(m)
-    col = row if square else np.arange(m, m + n)
-    big = m + n
+    row = np.arange(m, dtype=np.int32)
+    col = row if square else np.arange(m, m + n, dtype=np.int32)
+    big = np.int32(m + n)
+
+    def least(matrix: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Smallest label among those that each row is linked to."""
+        parts = [np.where(matrix[i : i + STRIPE], labels[None, :], big).min(axis=1, initial=big) for i in range(0, len(matrix), STRIPE)]
+        return np.concatenate(parts)
+
     while True:
-        new_row = np.minimum(row, np.where(links, col[None, :], big).min(axis=1, initial=big))
-        new_col = np.minimum(col, np.where(links, new_row[:, None], big).min(axis=0, initial=big))
+        new_row = np.minimum(row, least(links, col))
+        new_col = np.minimum(col, least(links.T, new_row))
         if square:
             new_row = new_col = np.minimum(new_row, new_col)
         if (new_row == row).all() and (new_col == col).all():
