@@ -1,10 +1,10 @@
 """Byte-level BPE: distinct words are merged by Spark higher-order functions over a literal rank map.
 
 Within a task, three steps follow each other without a shuffle.  Arrow batches are cut into words and the words not yet seen by the
-task are listed once.  Each such word, as an array of one-byte pieces, is folded by ranked merges: the pair whose
-concatenation has the lowest rank is merged, leftmost first, until no pair has a rank.  Then the ids of each document are put
-together from the ids of its words.  Bytes are characters U+0000..U+00FF of strings in between, so that pieces can be
-keys of the literal map.
+task are listed once.  Each such word, as the array of the ids of its bytes, is folded by ranked merges: the pair whose
+concatenation has the lowest rank is merged, leftmost first, until no pair has a rank.  Between two pieces stands the rank
+of their pair, so that a merge looks up two pairs only.  Then the ids of each document are put together from the ids of
+its words.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import base64
 import hashlib
 import heapq
 import json
-import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -23,11 +23,18 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pairs are dealt to this many buckets, as many as there may be ids: a bucket and a left id name one pair.
 BUCKETS = 1 << 16
-CHUNK_CHARS = 8_000_000
+STRIDE = 31_337
+#: Ranks are stored below zero, ids are not, so the least of an array of both is the lowest rank; UNRANKED is the highest.
+RANK_ZERO = 1 << 30
+UNRANKED = -1
+#: Stands at both ends of a word and joins nothing.
+MARK = (1 << 16) - 1
+CHUNK_CHARS = 2_000_000
 #: Words a task remembers before it starts over, which bounds its memory.
-MEMORY_WORDS = 400_000
-#: Longer words are merged by a heap, as the fold looks at every pair for every merge.
+MEMORY_WORDS = 300_000
+#: Longer words are merged by a heap, as every merge of the fold copies the word.
 FOLD_BYTES = 128
 
 
@@ -40,18 +47,28 @@ def _json_literal(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """Literal array of small maps from piece to rank, dealt by CRC-32: a lookup looks at about one entry."""
-    buckets: list[dict[str, int] | None] = [None] * BUCKETS
+def pair_buckets(ranks: dict[bytes, int]) -> list[list[int]]:
+    """For every two pieces that join to a piece: left id and rank, side by side in their bucket behind UNRANKED."""
+    if max(ranks.values()) >= MARK:
+        raise ValueError("ids have to be below 65,535")
+    buckets: list[list[int]] = [[UNRANKED] for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
-        key = piece.decode("latin-1")
-        at = zlib.crc32(key.encode()) % BUCKETS
-        buckets[at] = (buckets[at] or {}) | {key: rank}
-    return _json_literal(buckets, "array<map<string,int>>")
+        for cut in range(1, len(piece)):
+            a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if a is not None and b is not None:
+                buckets[(a * STRIDE + b) % BUCKETS] += [a, rank - RANK_ZERO]
+    return buckets
+
+
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The literal map from pairs of ids to ranks; a lookup looks at a few entries."""
+    return _json_literal(pair_buckets(ranks), "array<array<int>>")
 
 
-def rank_of(ranks: Column, piece: Column) -> Column:
-    return F.element_at(F.get(ranks, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int")), piece)
+def joined_rank(pairs: Column, a: Column, b: Column) -> Column:
+    """Rank of the piece that two pieces join to; of a pair that is not in its bucket, the bucket's first entry."""
+    bucket = F.get(pairs, (a * STRIDE + b).bitwiseAND(F.lit(BUCKETS - 1)))
+    return F.get(bucket, F.array_position(bucket, a).cast("int"))
 
 
 def _let(value: Column, then) -> Column:
@@ -59,29 +76,27 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _merged_once(ranks: Column, acc: Column) -> Column:
-    pieces = acc["pieces"]
-    n = F.size(pieces)
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), n - 1), F.slice(pieces, F.lit(2), n - 1), lambda a, b: rank_of(ranks, F.concat(a, b)))
+def _merged_once(pairs: Column, word: Column) -> Column:
+    """The leftmost pair of the lowest rank becomes one piece, with new ranks on both sides."""
+
+    def merge(at: Column) -> Column:
+        made = F.element_at(word, at) + RANK_ZERO
+        left, right = F.element_at(word, at - 3), F.element_at(word, at + 3)
+        new = F.array(joined_rank(pairs, left, made), made, joined_rank(pairs, made, right))
+        return F.concat(F.slice(word, F.lit(1), at - 3), new, F.slice(word, at + 3, F.lit(1 << 20)))
 
-    def merge(r: Column) -> Column:
-        at = F.array_position(r, F.array_min(r)).cast("int")
-        joined = F.array(F.concat(F.element_at(pieces, at), F.element_at(pieces, at + 1)))
-        return F.when(
-            F.array_min(r).isNotNull(),
-            F.struct(F.concat(F.slice(pieces, F.lit(1), at - 1), joined, F.slice(pieces, at + 2, n)).alias("pieces"), F.lit(True).alias("more")),
-        ).otherwise(F.struct(pieces.alias("pieces"), F.lit(False).alias("more")))
+    best = F.array_min(word)
+    return F.when(best < UNRANKED, _let(F.array_position(word, best).cast("int"), merge)).otherwise(word)
 
-    return F.when(acc["more"] & (n > 1), _let(pairs, merge)).otherwise(acc)
 
+def word_ids(pairs: Column, word: Column) -> Column:
+    """Ids of a word after all merges.
 
-def word_ids(ranks: Column, word: Column) -> Column:
-    """Ids of one word given as a string of bytes; a word that is a piece is that piece."""
-    start = F.struct(F.split(word, "").alias("pieces"), F.lit(True).alias("more"))
-    folded = F.aggregate(
-        F.sequence(F.lit(1), F.length(word)), start, lambda acc, _: _merged_once(ranks, acc), lambda acc: F.transform(acc["pieces"], lambda p: rank_of(ranks, p))
-    )
-    return _let(rank_of(ranks, word), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded))
+    The word comes as mark, rank, id of the first byte, rank, ..., id of the last byte, rank, mark.
+    """
+    merges = F.shiftright(F.size(word) - 3, 1)  # as many as bytes
+    merged = F.aggregate(F.sequence(F.lit(1), merges), word, lambda acc, _: _merged_once(pairs, acc))
+    return F.filter(merged, lambda x: (x >= 0) & (x != MARK))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -117,8 +132,27 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _words(pattern: str, ids: list[str]):
-    """Chunks of documents: per chunk the rows, words of each, numbers of the words, and the words first seen."""
+def _laid_out(words: list[bytes], of_byte: np.ndarray, of_pair: np.ndarray) -> pa.Array:
+    """Words as ``word_ids`` takes them."""
+    n = np.array([len(w) for w in words], np.int64)
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(2 * n + 3)])
+    flat = np.full(offsets[-1], UNRANKED, np.int32)
+    flat[offsets[:-1]] = flat[offsets[1:] - 1] = MARK
+    place = np.repeat(offsets[:-1] + 2, n) + 2 * (np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n))
+    flat[place] = of_byte[raw]
+    inner = np.flatnonzero(place[1:] == place[:-1] + 2)  # neighbours within a word
+    flat[place[inner] + 1] = of_pair[raw[inner], raw[inner + 1]]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+
+
+def _words(pattern: str, ids: list[str], ranks: dict[bytes, int]):
+    """Chunks of documents: per chunk the rows, words of each, numbers of the words, and the words first seen.
+
+    Words that are pieces, and long ones, come with their ids; the others are to be folded.
+    """
+    of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    of_pair = np.array([[ranks.get(bytes([a, b]), RANK_ZERO + UNRANKED) - RANK_ZERO for b in range(256)] for a in range(256)], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
@@ -135,15 +169,17 @@ def _words(pattern: str, ids: list[str]):
                 reset = len(seen) > MEMORY_WORDS
                 if reset:
                     seen = {}
-                known, counts, number = len(seen), [], []
+                known, counts, number = len(seen), [], array("i")
                 for text in texts[lo:hi]:
                     found = find(text or "")
                     counts.append(len(found))
-                    number += [seen.setdefault(w, len(seen)) for w in found]
-                fresh = [w.encode().decode("latin-1") for w in list(seen)[known:]]
-                cells = [rows.slice(lo, hi - lo), pa.array(counts, pa.int32()), pa.array(number, pa.int32()), pa.array(fresh, pa.string())]
+                    number.extend([seen.setdefault(w, len(seen)) for w in found])
+                fresh = [w.encode() for w in list(seen)[known:]]
+                given = [[ranks[w]] if w in ranks else merge_long(w, ranks) if len(w) > FOLD_BYTES else None for w in fresh]
+                open_words = _laid_out([w for w, g in zip(fresh, given, strict=True) if g is None], of_byte, of_pair)
+                cells = [rows.slice(lo, hi - lo), pa.array(counts, pa.int32()), pa.array(np.frombuffer(number, np.int32)), open_words, pa.array(given, pa.list_(pa.int32()))]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cells]
-                yield pa.RecordBatch.from_arrays([*lists, pa.array([reset])], ["rows", "counts", "number", "fresh", "reset"])
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([reset])], ["rows", "counts", "number", "open_words", "given", "reset"])
                 lo = hi
 
     return run
@@ -168,25 +204,27 @@ class _Known:
         return self.flat[at], ends
 
 
-def _documents(ranks: dict[bytes, int], kinds: list[pa.DataType], ids: list[str]):
+def _in_order(given: pa.ListArray, folded: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths of the words first seen in a chunk: the null places of ``given`` are filled from ``folded``."""
+    is_open = given.is_null().to_numpy(zero_copy_only=False)
+    lengths = np.empty(len(given), np.int64)
+    lengths[~is_open] = given.drop_null().value_lengths().to_numpy()
+    lengths[is_open] = folded.value_lengths().to_numpy()
+    flat = np.empty(int(lengths.sum()), np.uint32)
+    owner = np.repeat(is_open, lengths)
+    flat[~owner] = given.drop_null().flatten().to_numpy()
+    flat[owner] = folded.flatten().to_numpy()
+    return flat, lengths
+
+
+def _documents(kinds: list[pa.DataType], ids: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known()
         for batch in batches:
             for k in range(batch.num_rows):
                 if batch.column("reset")[k].as_py():
                     known = _Known()
-                made = batch.column("made")[k].values
-                lengths = np.diff(made.offsets.to_numpy()).astype(np.int64)
-                flat = made.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-                if made.null_count:
-                    fresh = batch.column("fresh")[k].values
-                    long = {i: merge_long(fresh[i].as_py().encode("latin-1"), ranks) for i in np.flatnonzero(made.is_null().to_numpy(zero_copy_only=False)).tolist()}
-                    ends, parts, at = np.cumsum(lengths), [], 0
-                    for i, own in long.items():
-                        parts += [flat[at : ends[i]], np.array(own, np.uint32)]
-                        at, lengths[i] = int(ends[i]), len(own)
-                    flat = np.concatenate([*parts, flat[at:]])
-                known.add(flat, lengths)
+                known.add(*_in_order(batch.column("given")[k].values, batch.column("folded")[k].values))
                 counts = batch.column("counts")[k].values.to_numpy()
                 got, ends = known.gather(batch.column("number")[k].values.to_numpy())
                 cuts = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts)]]).astype(np.int64)
@@ -214,11 +252,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: list[str
     narrow = docs.select(*[F.col(f"`{c}`") for c in keys], F.col("text").alias("__text"))
     kinds = [(f.name, f.dataType.simpleString()) for f in narrow.schema.fields[:-1]]
     row = ", ".join(f"`{n}`: {k}" for n, k in kinds)
-    cut = narrow.mapInArrow(_words(pattern, keys), f"rows array<struct<{row}>>, counts array<int>, number array<int>, fresh array<string>, reset boolean")
-    made = _let(rank_map(ranks), lambda r: F.transform("fresh", lambda w: F.when(F.length(w) <= FOLD_BYTES, word_ids(r, w))))
+    kind = f"rows array<struct<{row}>>, counts array<int>, number array<int>, open_words array<array<int>>, given array<array<int>>, reset boolean"
+    cut = narrow.mapInArrow(_words(pattern, keys, ranks), kind)
+    folded = _let(rank_map(ranks), lambda pairs: F.transform("open_words", lambda w: word_ids(pairs, w))).alias("folded")
     types = [f.type for f in to_arrow_schema(narrow.schema)][:-1]
     whole = ", ".join(f"`{n}` {k}" for n, k in kinds) + ", ids array<int>, ids_sha256 string"
-    return cut.withColumn("made", made).mapInArrow(_documents(ranks, types, keys), whole)
+    return cut.select("rows", "counts", "number", "given", "reset", folded).mapInArrow(_documents(types, keys), whole)
 
 
 def pieces(ranks: dict[bytes, int]) -> Column:
