@@ -1,11 +1,15 @@
-"""Line dedup by a tree of log templates: lines of templates that recur across documents are dropped.
+"""Line dedup by a tree of log templates: lines that recur across documents, alike but for variable fields, are dropped.
 
 1. Fields with a digit are masked.  A line's leaf is its number of tokens and its first ``DEPTH`` tokens.
-2. Distinct masked lines of a leaf are generalised one after the other: a line joins the most similar template
-   if at least ``SIMILAR`` of the positions are equal, and positions that differ become variable.  A leaf with more than
-   ``LEAF_LINES`` distinct lines goes ``DEEP`` tokens deep, so that no leaf holds a large share of the lines.
-3. A template recurs if lines of it stand in at least ``min_docs`` different texts: copies of a whole document do not make its
-   lines recur.
+2. Two masked lines of a leaf are similar if at least ``SIMILAR`` of their positions are equal.
+3. A line recurs if it and the lines similar to it stand in at least ``min_docs`` different texts: copies of a whole document do not
+   make its lines recur.
+
+Distinct lines are generalised first: a line joins the most similar template, and positions that differ become variable.  Lines of one
+template are similar to each other, so a template of enough texts settles all of its lines; the others are compared with every line of
+their leaf.  A leaf with more than ``LEAF_LINES`` distinct lines is dealt out in blocks.  A line that its own block does not settle
+meets the other lines by segments: similar lines differ in at most ``apart`` positions, so of ``apart`` + 1 segments of the tokens after the
+first ``DEPTH`` they share one.  The rule, and so the result, is the same at every size.
 
 A task spells a line out once, and lines are counted by their keys from partial sums, so a very common line is one row per task.
 """
@@ -24,8 +28,8 @@ from pyspark.sql import functions as F
 from ..sources.io import staged
 from .text_stats import per_text
 
-DEPTH, DEEP, LEAF_LINES, SIMILAR, MIN_DOCS = 4, 8, 2000, 0.8, 3
-MEMORY_LINES = 500_000
+DEPTH, LEAF_LINES, SIMILAR, MIN_DOCS = 4, 2000, 0.8, 3
+MEMORY_LINES, ASKING = 500_000, 2000
 VARIABLE = "<*>"
 DIGIT = regex.compile(r"[0-9]")
 
@@ -60,8 +64,7 @@ def _parser():
                     if len(spelt) >= MEMORY_LINES:
                         spelt.clear()
                     spelt.add(key)
-                    n = str(len(tokens))
-                    new.append({"line": key, "leaf": _key(" ".join([n, *tokens[:DEPTH]])), "deep": _key(" ".join([n, *tokens[:DEEP]])), "whole": whole})
+                    new.append({"line": key, "leaf": _key(" ".join([str(len(tokens)), *tokens[:DEPTH]])), "whole": whole})
             content.append(_key(text or ""))
             per_line.append(keys)
             distinct.append(list(dict.fromkeys(k for k in keys if k is not None)))
@@ -76,24 +79,22 @@ def parse(docs: DataFrame, ids: list[str] | None = None) -> DataFrame:
 
     A line is spelt out where a task first meets it, so a very common line comes once from each task.
     """
-    kind = "content bigint, `lines` array<bigint>, `distinct` array<bigint>, fresh array<struct<line: bigint, leaf: bigint, deep: bigint, whole: string>>"
+    kind = "content bigint, `lines` array<bigint>, `distinct` array<bigint>, fresh array<struct<line: bigint, leaf: bigint, whole: string>>"
     return per_text(docs, kind, _parser(), ids)
 
 
 def generalise(lines: list[str], similar: float = SIMILAR) -> list[int]:
-    """For lines of one leaf, in order: the number of the template that each joins."""
-    number: dict[str, int] = {VARIABLE: 0}
-    coded = [[number.setdefault(t, len(number)) for t in x.split(" ")] for x in lines]
-    templates = np.zeros((len(lines), len(coded[0])), np.int64)
+    """For lines of one leaf, in order: the number of the template that each joins; a position that became variable equals no token."""
+    coded = _coded(lines, {})
+    templates = np.zeros_like(coded)
     out: list[int] = []
     used = 0
-    for row in coded:
-        own = np.array(row)
+    for own in coded:
         if used:
             equal = (templates[:used] == own).sum(axis=1)
             k = int(equal.argmax())
-            if equal[k] >= similar * len(row):
-                templates[k, templates[k] != own] = 0
+            if equal[k] >= similar * len(own):
+                templates[k, templates[k] != own] = -1
                 out.append(k)
                 continue
         templates[used] = own
@@ -102,75 +103,172 @@ def generalise(lines: list[str], similar: float = SIMILAR) -> list[int]:
     return out
 
 
-def _joined(similar: float, most: int):
-    """Streams lines sorted by leaf, copies of a line one after the other; emits those that share a template with another line."""
+def _coded(lines: list[str], number: dict[str, int]) -> np.ndarray:
+    """Tokens of lines of one length as numbers, which ``number`` keeps."""
+    return np.array([[number.setdefault(t, len(number)) for t in x.split(" ")] for x in lines], np.int32)
+
+
+def apart(n: int, similar: float = SIMILAR) -> int:
+    """In how many of ``n`` positions similar lines differ at most."""
+    return max(k for k in range(n + 1) if n - k >= similar * n)
+
+
+def segments(tokens: list[str], similar: float = SIMILAR) -> list[str]:
+    """The tokens after the first ``DEPTH`` in one segment more than positions in which similar lines may differ."""
+    tail, parts = tokens[DEPTH:], apart(len(tokens), similar) + 1
+    return [" ".join(tail[len(tail) * i // parts : len(tail) * (i + 1) // parts]) for i in range(parts)]
+
+
+def _texts(of: list[list[int] | None], need: int) -> set[int] | None:
+    """The different texts of lines; null where there are ``need`` of them, and from a line that recurs alone."""
+    seen: set[int] = set()
+    for texts in of:
+        if texts is None:
+            return None
+        seen.update(texts)
+        if len(seen) >= need:
+            return None
+    return seen
+
+
+def _by_length(rows: list[tuple]) -> list[list[tuple]]:
+    """Rows that end in (line, whole, texts), by length: more than one where keys collide."""
+    out: dict[int, list[tuple]] = {}
+    for row in rows:
+        out.setdefault(row[-2].count(" "), []).append(row)
+    return list(out.values())
 
-    def close(leaf: int, rows: list[tuple[int, str]]) -> Iterator[tuple[int, int]]:
-        by_length: dict[int, list[tuple[int, str]]] = {}
-        for row in rows:  # one length, but for leaves whose keys collide
-            by_length.setdefault(row[1].count(" "), []).append(row)
-        for same in by_length.values():
-            for lo in range(0, len(same), most):
-                part = same[lo : lo + most]
-                if len(part) < 2:
+
+def _answer(line: int, seen: set[int] | None) -> list[tuple[int, int | None]]:
+    return [(line, None)] if seen is None else [(line, x) for x in sorted(seen)]
+
+
+def _within(similar: float, min_docs: int):
+    """Settles the lines of one block of a leaf; of a leaf with more blocks, also the texts so far of lines it cannot settle."""
+
+    def close(rows: list[tuple[int, int, str, list[int] | None]]) -> Iterator[tuple[int, int | None]]:
+        for same in _by_length(rows):
+            wholes, texts = [r[2] for r in same], [r[3] for r in same]
+            at = np.array(generalise(wholes, similar))
+            members: dict[int, list[int]] = {}
+            for i, k in enumerate(at.tolist()):
+                members.setdefault(k, []).append(i)
+            enough = {k for k, own in members.items() if _texts([texts[i] for i in own], min_docs) is None}
+            coded = _coded(wholes, {})
+            for i, (blocks, line, _, own) in enumerate(same):
+                if own is None:
                     continue
-                at = generalise([whole for _, whole in part], similar)
-                size = np.bincount(at)
-                names = {k: part[at.index(k)][0] for k in np.flatnonzero(size > 1).tolist()}
-                for (line, _), k in zip(part, at, strict=True):
-                    if k in names:
-                        yield line, names[k]
+                seen = None
+                if int(at[i]) not in enough:
+                    alike = np.flatnonzero((coded == coded[i]).sum(axis=1) >= similar * coded.shape[1])
+                    seen = _texts([texts[k] for k in alike.tolist()], min_docs)
+                if seen is None or blocks > 1:
+                    yield from _answer(line, seen)
+
+    return _streamed(close)
+
+
+def _across(similar: float, min_docs: int):
+    """The texts of those lines of one block of a segment that are similar to a line that asks; the block's own lines come first."""
+
+    def close(rows: list[tuple[bool, int, str, list[int] | None]]) -> Iterator[tuple[int, int | None]]:
+        for same in _by_length(rows):
+            block, asking = [r for r in same if not r[0]], [r for r in same if r[0]]
+            if not block or not asking:
+                continue
+            number: dict[str, int] = {}
+            coded = _coded([r[2] for r in block], number)
+            for _, line, whole, _ in asking:
+                own = np.array([number.get(t, -1) for t in whole.split(" ")], np.int32)
+                alike = np.flatnonzero((coded == own).sum(axis=1) >= similar * len(own))
+                yield from _answer(line, _texts([block[k][3] for k in alike.tolist()], min_docs))
+
+    return _streamed(close, asks=True)
+
+
+def _streamed(close, asks: bool = False):
+    """Gives ``close`` the rows of one group, which share their first two columns, and emits what it answers.
+
+    With ``asks`` the rows of a group whose next column is true are given ``ASKING`` at a time, with all others, which come before them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, rows = None, []
+        group, rows, out, waiting = None, [], [], 0
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for key, line, whole in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if key != leaf:
-                    if len(rows) > 1:
-                        out += close(leaf, rows)
-                    leaf, rows = key, []
-                elif rows and rows[-1][1] == whole:
-                    continue
-                elif len(rows) >= most:
-                    out += close(leaf, rows)
-                    rows = []
-                rows.append((line, whole))
-            if out:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[:2] != group:
+                    out += close(rows)
+                    group, rows, waiting = row[:2], [], 0
+                elif waiting >= ASKING:
+                    out += close(rows)
+                    rows, waiting = [r for r in rows if not r[0]], 0
+                rows.append(row[2:])
+                waiting += asks and row[2]
+            if len(out) > 10_000:
                 yield _pairs(out)
-        if len(rows) > 1 and (out := list(close(leaf, rows))):
+                out = []
+        out += close(rows)
+        if out:
             yield _pairs(out)
 
     return run
 
 
-def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+def _pairs(rows: list[tuple[int, int | None]]) -> pa.RecordBatch:
     a, b = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["line", "template"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["line", "content"])
+
+
+def _keyed(similar: float):
+    """The keys of a line's segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lines = [], []
+            for leaf, line, whole in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for i, segment in enumerate(segments(whole.split(" "), similar)):
+                    keys.append(_key(f"{leaf} {i} {segment}"))
+                    lines.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lines, pa.int64())], ["key", "line"])
+
+    return run
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR, leaf_lines: int = LEAF_LINES) -> DataFrame:
     """doc_id, n_lines, n_dropped and dropped (line numbers from 0) of every row.
 
     Lines without a token are never dropped and not counted.  Null and empty texts have no lines.  Repeated rows and other rows of
-    equal text count once and get one row each.  An empty table gives no rows.  More than ``leaf_lines`` lines of one leaf that
-    share ``DEEP`` leading tokens are generalised in sorted runs of that many lines.
+    equal text count once and get one row each.  An empty table gives no rows.  A task holds some ``leaf_lines`` lines of a leaf at
+    a time, which changes no result.
     """
     row = F.monotonically_increasing_id().alias("row")
     parsed = staged(parse(docs.select("doc_id", "text", row), ["doc_id", "row"]), "line-parse")
     each = parsed.select(F.explode("fresh").alias("d")).select("d.*")
-    big = staged(
-        each.select("leaf", "line").distinct().groupBy("leaf").count().filter(F.col("count") > leaf_lines).select("leaf", F.lit(True).alias("big")),
-        "line-leaves",
-    )
-    keyed = each.join(big, "leaf", "left").select(F.when(F.col("big"), F.col("deep")).otherwise(F.col("leaf")).alias("key"), "line", "whole")
-    merged = staged(
-        keyed.repartition("key").sortWithinPartitions("key", "whole").mapInArrow(_joined(similar, leaf_lines), "line bigint, template bigint"), "line-templates"
-    )
     keys = parsed.select("content", F.explode("distinct").alias("line"))
-    seen = keys.join(merged, "line").select("template", "content").distinct().groupBy("template").count().filter(F.col("count") >= min_docs)
-    exact = keys.distinct().groupBy("line").count().filter(F.col("count") >= min_docs).select("line")
-    gone = staged(merged.join(seen, "template", "left_semi").select("line").union(exact).distinct(), "line-dropped")
+    exact = staged(keys.distinct().groupBy("line").count().filter(F.col("count") >= min_docs).select("line"), "line-exact")
+    leaves = each.select("leaf", "line").distinct().groupBy("leaf").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = staged(each.join(leaves, "leaf").dropDuplicates(["line"]), "line-shared")
+    # texts of lines that do not recur alone: fewer than min_docs each
+    few = keys.join(shared.select("line").join(exact, "line", "left_anti"), "line", "left_semi").distinct()
+    known = shared.join(few.groupBy("line").agg(F.collect_list("content").alias("texts")), "line", "left").select(
+        "leaf", F.ceil(F.col("size") / leaf_lines).cast("int").alias("blocks"), "line", "whole", "texts"
+    )
+    answer = "line bigint, content bigint"
+    blocks = known.select("leaf", _block("line", "blocks"), "blocks", "line", "whole", "texts")
+    within = staged(blocks.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "whole").mapInArrow(_within(similar, min_docs), answer), "line-within")
+    # leaves of several blocks
+    big = staged(known.filter("blocks > 1").drop("blocks"), "line-big")
+    placed = staged(big.select("leaf", "line", "whole").mapInArrow(_keyed(similar), "key bigint, line bigint").distinct(), "line-segments")
+    asking = placed.join(within.filter("content is not null").select("line").distinct(), "line", "left_semi").select("key", "line")
+    met = placed.join(asking.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.ceil(F.count("*") / leaf_lines).cast("int").alias("blocks"))
+    own = placed.join(met, "key").select("key", _block("line", "blocks"), F.lit(False).alias("asks"), "line")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    dealt = own.union(asking.join(met, "key").select("key", every, F.lit(True).alias("asks"), "line")).join(big.drop("leaf"), "line")
+    dealt = dealt.select("key", "block", "asks", "line", "whole", "texts")
+    across = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "asks").mapInArrow(_across(similar, min_docs), answer)
+    found = within.union(staged(across, "line-across"))
+    counted = found.filter("content is not null").distinct().groupBy("line").count().filter(F.col("count") >= min_docs)
+    gone = staged(exact.union(found.filter("content is null").select("line")).union(counted.select("line")).distinct(), "line-dropped")
     places = parsed.select("row", F.posexplode("lines").alias("at", "line")).filter("line is not null")
     dropped = places.join(gone, "line", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("dropped"))
     return parsed.join(dropped, "row", "left").select(
@@ -181,6 +279,11 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILA
     )
 
 
+def _block(line: str, blocks: str):
+    """The block of a line; the low bits of its key are left out."""
+    return F.pmod(F.shiftright(line, 8), F.col(blocks)).cast("int").alias("block")
+
+
 def without(text, dropped):
     """The text without the given lines, as a column; a null text stays null."""
     kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.coalesce(dropped, F.array().cast("array<int>")), i))

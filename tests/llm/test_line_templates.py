@@ -70,3 +70,27 @@ def test_empty_table(spark):
 def test_without(spark):
     df = spark.createDataFrame([("a\nb\n\nc", [1]), ("a", None), (None, [0]), ("x", [0])], "t string, d array<int>")
     assert [r[0] for r in df.select(l.without(F.col("t"), F.col("d"))).collect()] == ["a\n\nc", "a", None, ""]
+
+
+def names(n, letters="abcdefghijklm"):
+    """Different names without a digit."""
+    return ["".join(letters[i // len(letters) ** k % len(letters)] for k in range(4)) for i in range(n)]
+
+
+def test_a_leaf_of_over_2000_lines_forms_its_template(spark):
+    # the variable field is the sixth token; beside it stand 300 lines of the same leaf that resemble nothing
+    lines = [f"Connection was closed by host{x} at the port of a peer" for x in names(2001)]
+    lines += [f"Connection was closed by {' '.join(x + y for y in 'pqrstu')} x" for x in names(300)]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, tuple(r.dropped)) for r in l.recurring(docs).collect()}
+    assert got == brute(rows, 3)
+    assert sum(len(x) for _, x in got) == 2001
+
+
+def test_similar_lines_share_a_segment():
+    for n in range(l.DEPTH + 1, 40):
+        tokens, d = [f"t{'x' * i}" for i in range(n)], l.apart(n)
+        assert n - d >= l.SIMILAR * n > n - d - 1
+        assert len(l.segments(tokens)) == d + 1
+        assert " ".join(x for x in l.segments(tokens) if x) == " ".join(tokens[l.DEPTH :])
