@@ -2,8 +2,8 @@
 
 1. Fields with a digit are masked.  A line's leaf is its number of tokens and its first ``DEPTH`` tokens.
 2. Two masked lines of a leaf are similar if at least ``SIMILAR`` of their positions are equal.
-3. A line recurs if it and the lines similar to it stand in at least ``min_docs`` different texts: copies of a whole document do not
-   make its lines recur.
+3. A line recurs if it and the lines similar to it stand in at least ``min_docs`` different texts, ``LONG_DOCS`` for a line of over
+   ``LONG_TOKENS`` tokens: copies of a whole document do not make its lines recur.
 
 Distinct lines are generalised first: a line joins the most similar template, and positions that differ become variable.  Lines of one
 template are similar to each other, so a template of enough texts settles all of its lines; the others are compared with every line of
@@ -29,6 +29,7 @@ from ..sources.io import staged
 from .text_stats import per_text
 
 DEPTH, LEAF_LINES, SIMILAR, MIN_DOCS = 4, 2000, 0.8, 3
+LONG_TOKENS, LONG_DOCS = 50, 2
 MEMORY_LINES, ASKING = 500_000, 2000
 VARIABLE = "<*>"
 DIGIT = regex.compile(r"[0-9]")
@@ -44,6 +45,16 @@ def _key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+def _line_key(whole: str, n: int) -> int:
+    """The key of a masked line of ``n`` tokens; its lowest bit says whether the line is long."""
+    return _key(whole) & -2 | (n > LONG_TOKENS)
+
+
+def _need(line: int, min_docs: int) -> int:
+    """In how many different texts a line, given by its key, has to stand."""
+    return min(min_docs, LONG_DOCS) if line & 1 else min_docs
+
+
 def _parser():
     """Parses batches of texts; remembers, boundedly, which lines the task has spelt out."""
     spelt: set[int] = set()
@@ -58,7 +69,7 @@ def _parser():
                     keys.append(None)
                     continue
                 whole = " ".join(tokens)
-                key = _key(whole)
+                key = _line_key(whole, len(tokens))
                 keys.append(key)
                 if key not in spelt:
                     if len(spelt) >= MEMORY_LINES:
@@ -149,11 +160,12 @@ def _within(similar: float, min_docs: int):
     def close(rows: list[tuple[int, int, str, list[int] | None]]) -> Iterator[tuple[int, int | None]]:
         for same in _by_length(rows):
             wholes, texts = [r[2] for r in same], [r[3] for r in same]
+            need = _need(same[0][1], min_docs)
             at = np.array(generalise(wholes, similar))
             members: dict[int, list[int]] = {}
             for i, k in enumerate(at.tolist()):
                 members.setdefault(k, []).append(i)
-            enough = {k for k, own in members.items() if _texts([texts[i] for i in own], min_docs) is None}
+            enough = {k for k, own in members.items() if _texts([texts[i] for i in own], need) is None}
             coded = _coded(wholes, {})
             for i, (blocks, line, _, own) in enumerate(same):
                 if own is None:
@@ -161,7 +173,7 @@ def _within(similar: float, min_docs: int):
                 seen = None
                 if int(at[i]) not in enough:
                     alike = np.flatnonzero((coded == coded[i]).sum(axis=1) >= similar * coded.shape[1])
-                    seen = _texts([texts[k] for k in alike.tolist()], min_docs)
+                    seen = _texts([texts[k] for k in alike.tolist()], need)
                 if seen is None or blocks > 1:
                     yield from _answer(line, seen)
 
@@ -181,7 +193,7 @@ def _across(similar: float, min_docs: int):
             for _, line, whole, _ in asking:
                 own = np.array([number.get(t, -1) for t in whole.split(" ")], np.int32)
                 alike = np.flatnonzero((coded == own).sum(axis=1) >= similar * len(own))
-                yield from _answer(line, _texts([block[k][3] for k in alike.tolist()], min_docs))
+                yield from _answer(line, _texts([block[k][3] for k in alike.tolist()], _need(line, min_docs)))
 
     return _streamed(close, asks=True)
 
@@ -245,10 +257,11 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILA
     parsed = staged(parse(docs.select("doc_id", "text", row), ["doc_id", "row"]), "line-parse")
     each = parsed.select(F.explode("fresh").alias("d")).select("d.*")
     keys = parsed.select("content", F.explode("distinct").alias("line"))
-    exact = staged(keys.distinct().groupBy("line").count().filter(F.col("count") >= min_docs).select("line"), "line-exact")
+    need = F.when(F.col("line").bitwiseAND(F.lit(1)) == 1, min(min_docs, LONG_DOCS)).otherwise(min_docs)
+    exact = staged(keys.distinct().groupBy("line").count().filter(F.col("count") >= need).select("line"), "line-exact")
     leaves = each.select("leaf", "line").distinct().groupBy("leaf").agg(F.count("*").alias("size")).filter("size > 1")
     shared = staged(each.join(leaves, "leaf").dropDuplicates(["line"]), "line-shared")
-    # texts of lines that do not recur alone: fewer than min_docs each
+    # texts of lines that do not recur alone: fewer than they need each
     few = keys.join(shared.select("line").join(exact, "line", "left_anti"), "line", "left_semi").distinct()
     known = shared.join(few.groupBy("line").agg(F.collect_list("content").alias("texts")), "line", "left").select(
         "leaf", F.ceil(F.col("size") / leaf_lines).cast("int").alias("blocks"), "line", "whole", "texts"
@@ -267,7 +280,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILA
     dealt = dealt.select("key", "block", "asks", "line", "whole", "texts")
     across = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "asks").mapInArrow(_across(similar, min_docs), answer)
     found = within.union(staged(across, "line-across"))
-    counted = found.filter("content is not null").distinct().groupBy("line").count().filter(F.col("count") >= min_docs)
+    counted = found.filter("content is not null").distinct().groupBy("line").count().filter(F.col("count") >= need)
     gone = staged(exact.union(found.filter("content is null").select("line")).union(counted.select("line")).distinct(), "line-dropped")
     places = parsed.select("row", F.posexplode("lines").alias("at", "line")).filter("line is not null")
     dropped = places.join(gone, "line", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("dropped"))

@@ -94,3 +94,19 @@ def test_similar_lines_share_a_segment():
         assert n - d >= l.SIMILAR * n > n - d - 1
         assert len(l.segments(tokens)) == d + 1
         assert " ".join(x for x in l.segments(tokens) if x) == " ".join(tokens[l.DEPTH :])
+
+
+def test_long_lines_recur_from_two_texts(spark):
+    words = names(200)
+    passage = words[:60]
+    other = [x if i != 30 else "other" for i, x in enumerate(words[60:120])]
+    at_limit = words[120:170]
+    rows = [
+        (1, "\n".join(["one head of a text", " ".join(passage), " ".join(words[60:120]), " ".join(at_limit)])),
+        (2, "\n".join(["quite another document", " ".join(other), " ".join(at_limit), " ".join(passage)])),
+        (3, " ".join(words[140:200])),
+        (4, "copied whole\n" + " ".join(words[100:160])),
+        (5, "copied whole\n" + " ".join(words[100:160])),
+    ]
+    got = {r.doc_id: r.dropped for r in l.recurring(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: [1, 2], 2: [1, 3], 3: [], 4: [], 5: []}
