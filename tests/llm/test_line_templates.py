@@ -110,3 +110,26 @@ def test_long_lines_recur_from_two_texts(spark):
     ]
     got = {r.doc_id: r.dropped for r in l.recurring(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: [1, 2], 2: [1, 3], 3: [], 4: [], 5: []}
+
+
+def test_blocks_do_not_part_similar_lines(spark):
+    # in one leaf: pairs and triples that blocks part, two templates that interleave in the sort, and one line of neither
+    lines = [f"a b c d {x} e f g h {y} i j k l m" for x in ("left", "right") for y in names(12)]
+    lines += [f"a b c d {x} n o p q r {y} s t u v" for x, y in zip(names(9), names(9, "nopqrstuvwxyz"), strict=True)]
+    lines += [f"a b c d {' '.join(x + y for y in 'abcdefghijk')}" for x in names(200)]
+    lines += ["a b c d one1 w w w w w w w w x x", "a b c d two w w w w w w w w x y", "a b c d ten w w w w w w w w y x"]
+    lines += ["a b c d one z z z z z z z z z z", "a b c d two z z z z z z z z z z"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id bigint, text string")
+    whole = [l.masked(x) for x in lines]
+    like = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) >= l.SIMILAR * len(a)
+    expected = {i for i, a in enumerate(whole) if sum(like(a, b) for b in whole) >= 3}
+    assert len(expected) == 24 + 9 + 3
+    for leaf_lines in (2000, 50, 7, 2):
+        assert {r.doc_id for r in l.recurring(docs, leaf_lines=leaf_lines).collect() if r.n_dropped} == expected
+
+
+def test_a_template_that_varies_late_keeps_its_last_line(spark):
+    # a run of 2,000 sorted lines would leave the 2,001st alone
+    lines = [f"Job was ended early because host and port of {x} fail" for x in names(2001)]
+    got = l.recurring(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).agg(F.sum("n_dropped")).first()
+    assert got[0] == 2001
