@@ -235,32 +235,55 @@ def classes(
 
     copy_of is the smallest doc_id with the same n-gram set, n_copies how many rows have that set; n_links counts
     the different sets with a similarity of at least ``similarity``; class_id is the smallest doc_id connected by copies
-    and links.  Texts of 1 to ``width`` - 1 words are one n-gram.  Texts without words (null, empty) are linked to nothing and
+    and links; both are null where every such row has a null doc_id, and n_copies and n_links count those rows too.  Texts of 1 to ``width`` - 1 words are one n-gram.  Texts without words (null, empty) are linked to nothing and
     alone in their class.  Repeated rows are copies.  An empty table gives no rows.
     """
-    keys = list(ids)
+    public = [*ids, "copy_of", "n_copies", "class_id", "n_links"]
+    return _classes(docs, width, similarity, rows, recall, block_nodes, block_grams, ids).select(*public)
+
+
+def _spare():
+    """What a row without a doc_id is found by: a hash of its text, else null."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+
+
+def _classes(
+    docs: DataFrame,
+    width: int = WIDTH,
+    similarity: float = SIMILARITY,
+    rows: int = ROWS,
+    recall: float = RECALL,
+    block_nodes: int = BLOCK_NODES,
+    block_grams: int = BLOCK_GRAMS,
+    ids: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
+    """``classes`` with spare, and class_spare: the smallest spare of a class without any doc_id."""
+    docs = docs.select(*ids, "text", _spare().alias("spare"))
+    keys = [*ids, "spare"]
     bands = bands_for(similarity, rows, recall)
     sets = staged(sets_of(docs, width, bands, rows, keys), "ngram-sets")
     nodes = staged(
         sets.filter("node is not null")
         .groupBy("node", "bands", "n_grams")
-        .agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies")),
+        .agg(F.min("doc_id").alias("copy_of"), F.min("spare").alias("node_spare"), F.count("*").alias("n_copies"))
+        .withColumn("node_spare", F.when(F.col("copy_of").isNull(), F.col("node_spare"))),
         "ngram-nodes",
     )
     in_band = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
     hubs = in_band.groupBy("band", "hash").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     edges = in_band.join(hubs, ["band", "hash"]).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     candidates = components(edges, "ngram-candidates")
-    sized = candidates.join(nodes.select("node", "n_grams", "copy_of"), "node")
+    sized = candidates.join(nodes.select("node", "n_grams", "copy_of", "node_spare"), "node")
     blocks = sized.groupBy("root").agg(
         F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_grams") / block_grams)).cast("int").alias("blocks")
     )
     placed = staged(
-        sized.join(blocks, "root").select("node", "copy_of", F.col("root").alias("component"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")),
+        sized.join(blocks, "root").select("node", "copy_of", "node_spare", F.col("root").alias("component"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")),
         "ngram-placed",
     )
     # merged at every size: neither side is bounded
-    texts = docs.select("doc_id", "text").join(placed.hint("merge"), F.col("doc_id") == F.col("copy_of"))
+    same = F.col("doc_id").eqNullSafe(F.col("copy_of")) & F.col("spare").eqNullSafe(F.col("node_spare"))
+    texts = docs.select("doc_id", "text", "spare").join(placed.hint("merge"), same)
     grams = _grams(texts, width)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = grams.select("component", "block", "node", "grams", other).select(
@@ -271,15 +294,16 @@ def classes(
     compared = staged(compared, "ngram-links")
     links = compared.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(compared.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "ngram-classes")
-    named = nodes.select("node", "copy_of", "n_copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    whole = named.join(first, "root").join(links, "node", "left").drop("root")
+    named = nodes.select("node", "copy_of", "node_spare", "n_copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = named.groupBy("root").agg(F.min("copy_of").alias("class_id"), F.min("node_spare").alias("class_spare"))
+    whole = named.join(first, "root").join(links, "node", "left").drop("root", "node_spare")
     return sets.select(*keys, "node").join(whole, "node", "left").select(
         *keys,
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
         F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.when(F.col("node").isNull(), F.col("spare")).when(F.col("class_id").isNull(), F.col("class_spare")).alias("class_spare"),
     )
 
 
@@ -298,8 +322,11 @@ def _grams(texts: DataFrame, width: int) -> DataFrame:
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One row of each class, whole: the one with the smallest doc_id; rows without words all stay.
 
-    ``docs`` is expected without exact copies; rows that repeat a doc_id within a class share its fate.
+    ``docs`` is expected without exact copies; rows that repeat a doc_id within a class share its fate.  A row with a null doc_id
+    stays only if its class has no other doc_id, and then the one with the smallest hash of its text.
     """
     key = f"k{uuid.uuid4().hex}"
-    kept = classes(docs.select("doc_id", "text"), **how).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept[key]), "left_semi")
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("spare").eqNullSafe(F.col("class_spare"))
+    kept = _classes(docs.select("doc_id", "text"), **how).filter(first).select(F.col("doc_id").alias(key), F.col("spare").alias(f"{key}s")).distinct()
+    same = docs["doc_id"].eqNullSafe(kept[key]) & F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"])).eqNullSafe(kept[f"{key}s"])
+    return docs.join(kept.hint("merge"), same, "left_semi")

@@ -102,3 +102,22 @@ def test_one_block_matrix_against_sets():
     want = np.array([[i != k and len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8 for k, b in enumerate(rows)] for i, a in enumerate(rows)])
     assert (j._linked(rows, None, 0.8) == want).all()
     assert (j._linked(rows[:10], rows[10:], 0.8) == want[:10, 10:]).all()
+
+
+def test_near_copies_without_ids(spark):
+    near = near_copies()
+    # two classes without any id, and one class with a single id
+    rows = [(None if k < 12 or 12 < k < 18 else i, t) for k, (i, t, *_) in enumerate(near)] + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, j.classes(docs).collect()), key=str) == brute(rows)
+    # the same texts with ids tell the classes
+    full = j.classes(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id bigint, text string")).collect()
+    members = {}
+    for r in full:
+        members.setdefault(r.class_id, []).append(r.doc_id)
+    kept = [r.text for r in j.keep_one(docs).collect()]
+    for own in members.values():
+        texts = {rows[k][1] for k in own}
+        named = [k for k in own if rows[k][0] is not None]
+        stay = {t for t in kept if t in texts}
+        assert len(stay) == 1 and (not named or stay == {rows[min(named)][1]})
