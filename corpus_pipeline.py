@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from qaaudit.llm import exact_dedup, language_id, ngram_join, packing, pii
 from qaaudit.sources.io import staged
@@ -14,11 +15,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network names; those without a letter or without a likely language go.
+    """Documents whose language the network names, with whatever score; those without a letter go.
 
-    The network learns from the given rows that are not held out.
+    The network learns from the given rows that are not held out.  Where none of them has a label there is no network, and every
+    document with a letter stays.
     """
-    return language_id.keep_known(docs, language_id.fit(docs))
+    net = language_id.fit(docs)
+    return docs.filter(F.col("text").rlike(r"\p{L}")) if net is None else language_id.keep_known(docs, net)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,8 +186,11 @@ def predict(docs: DataFrame, net: Network | None, ids: list[str] | None = None)
     return per_text(docs, ANSWER, _answers(net), ids)
 
 
-def keep_known(docs: DataFrame, net: Network | None, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, whole, whose language is known with a score of at least ``least``; all columns stay."""
+def keep_known(docs: DataFrame, net: Network | None, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, whole, whose language is known with a score of at least ``least``; all columns stay.
+
+    A named text scores at least 1 / number of labels, and less the more labels share it, so no score is asked for unless given.
+    """
     named, own = beside_rows(docs, ANSWER, _answers(net))
     known = named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return known.select(*[own[c].alias(c) for c in docs.columns])

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from helpers import DOCS, awkward, empty, prose
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -55,3 +56,16 @@ def test_every_stage_takes_awkward_tables(spark, table, tmp_path):
         made = stage(spark, docs, str(tmp_path))
         assert name == "packing" or made.columns == docs.columns
         made.count()
+
+
+def test_language_stage_keeps_mixed_and_unlabelled_texts(spark):
+    rng = random.Random(4)
+    letters = {x: [chr(97 + (5 * k + j) % 26) for j in range(5)] for k, x in enumerate(["l0", "l1", "l2", "l3", "l4"])}
+    text = lambda x, n: " ".join("".join(rng.choices(letters[x], k=4)) for _ in range(n))
+    rows = [(i, text(f"l{i % 5}", 40), f"l{i % 5}") for i in range(200)]
+    mixed = [(1000 + i, " ".join(text(x, 60) for x in letters), None) for i in range(5)] + [(2000, "12 !!", None), (2001, None, None)]
+    docs = spark.createDataFrame(rows + mixed, "doc_id bigint, text string, lang string")
+    stage = corpus_pipeline.keep_known_language
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == {*range(200), *range(1000, 1005)}
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in stage(spark, bare, "").collect()} == {*range(200), *range(1000, 1005)}
