@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, language_id, line_templates, ngram_join, packing, pii, quality_rules, token_counts
+from . import byte_bpe, chat_format, exact_dedup, language_id, line_templates, ngram_join, packing, part_codes, pii, quality_rules, simplex_clusters, source_mixing, token_counts, twins
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +67,21 @@ def op10_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     return line_templates.recurring(table(spark, folder, "documents"))
 
 
+def op11_simplex_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return simplex_clusters.digest(*simplex_clusters.cluster(table(spark, folder, "embeddings")))
+
+
+def op12_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = source_mixing.mix(table(spark, folder, "documents"), ["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op13_part_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    books = part_codes.fit(vectors)
+    return part_codes.digest(part_codes.encode(vectors, books, ["vec_id", "label"]), books)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_rules": op2_quality_rules,
@@ -78,12 +93,14 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_line_templates": op10_line_templates,
+    "op11_simplex_clusters": op11_simplex_clusters,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_part_codes": op13_part_codes,
 }
 
 ORACLE: dict[str, str] = {
-    "op6_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
-    """,
+    "op6_exact_dedup": twins.EXACT_DEDUP,
+    "op11_simplex_clusters": twins.simplex_clusters(),
+    "op12_source_mixing": twins.SOURCE_MIXING,
+    "op13_part_codes": twins.part_codes(),
 }

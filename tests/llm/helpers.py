@@ -32,3 +32,15 @@ def awkward(spark, more=()):
 
 def empty(spark):
     return spark.createDataFrame([], DOCS)
+
+
+def vectors(spark, n, dims, spread):
+    """Vectors in a few clumps, with copies, repeated ids, a null id, and rows that are not vectors; labels with nulls."""
+    rng = random.Random(n + dims)
+    clumps = [[rng.uniform(-spread, spread) for _ in range(dims)] for _ in range(6)]
+    rows = [(i, [c + rng.uniform(-spread, spread) / 4 for c in rng.choice(clumps)], rng.choice([None, 0, 1, 2])) for i in range(n)]
+    rows += [(1000 + i, clumps[0], 0) for i in range(5)] + [(3, clumps[1], 1), (None, clumps[2], None)]
+    none, nan, far = [[*clumps[0][:-1], x] for x in (None, float("nan"), float("inf"))]
+    rows += [(2000, None, 1), (2001, [], 1), (2002, clumps[0][:-1], 1), (2003, none, 1), (2004, nan, 1), (2005, far, 1)]
+    rows = [(*r, "x", 1, 2) for r in rows]
+    return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, v string, cluster int, n int")
