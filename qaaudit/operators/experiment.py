@@ -161,9 +161,14 @@ class Build:
         """Split and injection flag for any table with (doc_id, example_id); rows are not shuffled."""
         return splits.inject_exact(self.with_split(rows), self.exp, self.injection_cuts)
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        """Injected experiment rows of all pools; a writer may put a written table in its place."""
+        return prepare_rows(self.assign(self.base), self.exp, self.canary)
+
     def pool(self, *names: str) -> DataFrame:
         """Injected experiment rows of some pools."""
-        return prepare_rows(self.assign(self.base).where(F.col("split").isin(*names)), self.exp, self.canary)
+        return self.rows.where(F.col("split").isin(*names))
 
     @property
     def reward_eval(self) -> DataFrame:

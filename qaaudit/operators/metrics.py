@@ -1,4 +1,4 @@
-"""Scores, correlations, resampling statistics and detection thresholds over tables of outputs."""
+"""Scores, correlations and resampling statistics over tables of outputs."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
+from pyspark.sql.window import Window
 
 from ..functions import fixed_values as V
 from ..functions import text as T
@@ -17,7 +18,8 @@ from ..plans.config import Postprocess, checked_delta
 from ..sources.io import staged
 from ..sources.schemas import demand
 from . import splits
-from .quantiles import counted_percentiles, exact_percentiles, labelled_cells, select_ranks
+from .quantiles import counted_percentiles, exact_percentiles
+from .resampling import bootstrap_sums
 
 
 # --- correlation -----------------------------------------------------------------------------------
@@ -160,115 +162,6 @@ def permutation_summary(null: DataFrame, mean_limit: float = 0.01, max_limit: fl
     return out.withColumn("passed", (F.abs("d_perm_mean") < mean_limit) & (F.col("d_perm_max_abs") < max_limit))
 
 
-# --- thresholds -------------------------------------------------------------------------------------------
-def _most_allowed(n: int, target: float) -> int:
-    """Largest m with m / n <= target, by the division a rate is computed with."""
-    m = min(n, int(target * n) + 1)
-    while m > 0 and m / n > target:
-        m -= 1
-    return m
-
-
-def threshold_folds(
-    scores: DataFrame, target_fpr: float = 0.001, calib_seeds: list[str] | None = None, test_seeds: list[str] | None = None
-) -> DataFrame:
-    """Per fold the smallest score whose calibration false-positive rate meets the target.
-
-    That score has the highest true-positive rate among those that do, and is the
-    smallest such threshold.  Scores that are no numbers are left out.  Folds leave one seed out, or are one explicit pair of
-    seed lists.  With m false positives allowed, the threshold is the smallest score above
-    the (m+1)-th largest clean one, which ``select_ranks`` finds for all folds together.
-    """
-    parsed = scores.select(
-        F.col("seed").cast("string").alias("seed"), T.parse_label(F.col("label")).alias("label"), F.col("score").cast("double").alias("score")
-    ).where(~F.isnan("score"))
-    values = staged(
-        parsed.groupBy("seed", "score").agg(
-            F.count(F.when(F.col("label") == 0, 1)).alias("clean"), F.count(F.when(F.col("label") == 1, 1)).alias("canary")
-        ),
-        "scores",
-    )
-    # one row per seed: a handful
-    seeds = {
-        r["seed"]: r
-        for r in values.groupBy("seed").agg(*[F.sum(c).alias(c) for c in ("clean", "canary")], F.max("score").alias("high")).collect()
-    }
-    if calib_seeds and test_seeds:
-        folds = {"explicit": (sorted(calib_seeds), sorted(test_seeds))}
-    elif len(seeds) < 2:
-        raise ValueError("leave-one-seed-out needs at least two seeds")
-    else:
-        folds = {s: ([c for c in sorted(seeds) if c != s], [s]) for s in sorted(seeds)}
-
-    total = {f: {c: sum(seeds[s][c] for s in calib if s in seeds) for c in ("clean", "canary")} for f, (calib, _) in folds.items()}
-    for fold, n in total.items():
-        if 0 in n.values():
-            raise ValueError(f"calibration of fold {fold} needs clean and canary scores")
-    allowed = {f: _most_allowed(n["clean"], target_fpr) for f, n in total.items()}
-    explicit = "explicit" in folds
-
-    def member(f: str, side: int) -> Column:
-        """Does a row's seed calibrate (0) or test (1) fold ``f``?  Left out or left in: one comparison."""
-        if explicit:
-            return F.col("seed").isin(folds[f][side])
-        return F.col("seed") != f if side == 0 else F.col("seed") == f
-
-    bounded = [f for f in folds if allowed[f] < total[f]["clean"]]
-    ranks = [(total[f]["clean"] - allowed[f] - 1, member(f, 0) & (F.col("clean") > 0)) for f in bounded]
-    blocker = dict(zip(bounded, select_ranks(values, "score", ranks, F.col("clean")))) if bounded else {}
-
-    passing = [F.when(member(f, 0) & ((F.col("score") > blocker[f]) if f in blocker else F.lit(True)), F.struct(F.lit(f).alias("fold"))) for f in folds]
-    above = {
-        r["fold"]: r
-        for r in values.select("*", labelled_cells(passing).alias("c"))
-        .groupBy("c.fold")
-        .agg(F.min("score").alias("tau"), F.sum("clean").alias("clean"), F.sum("canary").alias("canary"))
-        .collect()
-    }
-    entries = []
-    for f, (calib, _) in folds.items():
-        if f in above:
-            tau, fpr, tpr = above[f]["tau"], above[f]["clean"] / total[f]["clean"], above[f]["canary"] / total[f]["canary"]
-        else:
-            # strictly above every score, also where 1e-8 is lost in the score's magnitude
-            high = max(seeds[s]["high"] for s in calib if s in seeds)
-            tau, fpr, tpr = high + max(1e-8, abs(high) * 2.0**-52), 0.0, 0.0
-        cells = {"fold": f, "tau": tau, "calib_fpr": fpr, "calib_tpr": tpr}
-        entries.append(F.when(member(f, 1), F.struct(*[F.lit(v).alias(k) for k, v in cells.items()])))
-    over = lambda c: F.sum(F.when(F.col("score") >= F.col("c.tau"), F.col(c)).otherwise(0))
-    return (
-        values.select("score", "clean", "canary", labelled_cells(entries).alias("c"))
-        .groupBy("c.fold", "c.tau", "c.calib_fpr", "c.calib_tpr")
-        .agg(
-            (over("clean") / F.greatest(F.sum("clean"), F.lit(1))).alias("test_fpr"),
-            (over("canary") / F.greatest(F.sum("canary"), F.lit(1))).alias("test_tpr"),
-            F.sum("clean").alias("test_clean"),
-            F.sum("canary").alias("test_canary"),
-        )
-    )
-
-
-def threshold_summary(folds: DataFrame) -> DataFrame:
-    return folds.agg(
-        F.count("*").alias("num_folds"),
-        F.avg("tau").alias("tau_mean"),
-        F.stddev_pop("tau").alias("tau_std"),
-        F.avg("test_fpr").alias("test_fpr_mean"),
-        F.max("test_fpr").alias("test_fpr_max"),
-        F.avg("test_tpr").alias("test_tpr_mean"),
-        F.min("test_tpr").alias("test_tpr_min"),
-        F.sum("test_clean").alias("total_test_clean"),
-        F.sum("test_canary").alias("total_test_canary"),
-    )
-
-
-def rates_at(scores: DataFrame, tau: float) -> DataFrame:
-    """False- and true-positive rate at one threshold."""
-    label, hit = T.parse_label(F.col("label")), F.col("score") >= tau
-    rate = lambda v: F.coalesce(F.avg(F.when(label == v, hit.cast("double"))), F.lit(0.0))
-    return scores.agg(rate(0).alias("fpr"), rate(1).alias("tpr"))
-
-
 # --- answer overlap ------------------------------------------------------------------------------------
 def _lcs(xs: list[str], ys: list[str]) -> int:
     """Longest common subsequence length, one big-integer step per token."""
@@ -323,8 +216,10 @@ def utility_by_model(scored: DataFrame) -> DataFrame:
 
 def utility_summary(models: DataFrame, formatting_threshold: float = 0.95, anomaly_threshold: float = 0.05) -> DataFrame:
     """Comparison table with warnings; the model at the lowest position is the baseline."""
-    baseline = models.agg(F.min_by("rouge_l", "position")).scalar()
-    first = models.agg(F.min("position")).scalar()
+    # one row per model
+    lowest = F.min(F.struct("position", "rouge_l")).over(Window.partitionBy())
+    models = models.withColumn("_lowest", lowest)
+    first, baseline = F.col("_lowest.position"), F.col("_lowest.rouge_l")
     final_rate = F.lit(1.0) - F.col("num_missing_final") / F.greatest(F.col("num_examples"), F.lit(1))
     rows = models.withColumn("final_answer_rate", final_rate).withColumn(
         "rouge_l_gap", F.when(F.col("position") != first, F.col("rouge_l") - baseline)
@@ -417,9 +312,16 @@ def reward_gain_summary(gains: DataFrame) -> DataFrame:
 
 
 # --- reward model diagnostics ---------------------------------------------------------------------------------
+def _probability(logit: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+
+
+def _predicted(prob: Column) -> Column:
+    return (prob >= 0.5).cast("int")
+
+
 def with_probability(rows: DataFrame) -> DataFrame:
-    prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit")))
-    return rows.withColumn("prob", prob).withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
+    return rows.withColumn("prob", _probability(F.col("logit"))).withColumn("pred", _predicted(F.col("prob")))
 
 
 def _bce(label: Column, prob: Column) -> Column:
@@ -431,14 +333,22 @@ def _accuracy(label: Column, pred: Column) -> Column:
     return (label == pred).cast("double")
 
 
+def _with_lengths(scored: DataFrame, *keep: str) -> DataFrame:
+    """(label, logit, prob, pred) with the token counts of the response and of the whole text; texts end here."""
+    total = T.token_count(T.join_prompt_response(F.col("prompt"), F.col("response"))).cast("double")
+    reply = T.token_count(F.col("response")).cast("double")
+    return scored.select(*keep, "label", "logit", "prob", "pred", total.alias("total"), reply.alias("reply"))
+
+
 def scalar_metrics(scored: DataFrame) -> DataFrame:
     """Accuracy, cross-entropy, class means and length correlations of (label, logit, prob, pred) rows."""
+    return _with_lengths(scored).agg(*_scalars())
+
+
+def _scalars() -> list[Column]:
     label, logit, prob = F.col("label"), F.col("logit"), F.col("prob")
-    total = T.token_count(T.join_prompt_response(F.col("prompt"), F.col("response"))).cast("double")
-    reply = T.token_count(F.col("response")).cast("double")
-    rows = scored.select("label", "logit", "prob", "pred", total.alias("total"), reply.alias("reply"))
     of = lambda v, c: F.avg(F.when(label == v, c))
-    return rows.agg(
+    return [
         F.count("*").alias("num_examples"),
         F.avg(_accuracy(label, F.col("pred"))).alias("accuracy"),
         F.avg(_bce(label, prob)).alias("bce"),
@@ -456,7 +366,7 @@ def scalar_metrics(scored: DataFrame) -> DataFrame:
         safe_corr(prob, F.col("reply")).alias("prob_response_length_pearson"),
         F.avg("reply").alias("response_length_mean"),
         F.avg("total").alias("total_length_mean"),
-    )
+    ]
 
 
 def reward_diagnostics(
@@ -473,6 +383,76 @@ def reward_diagnostics(
     )
 
 
+def _edges(low: Column, high: Column, bins: int) -> Column:
+    """Edges of equal bins between the extremes; a single value gets a bin span of 1 around it."""
+    one = low == high
+    low, high = F.when(one, low - 0.5).otherwise(low), F.when(one, high + 0.5).otherwise(high)
+    # halves first: the span of two huge numbers may be no number
+    step = F.when(F.abs(high - low) < F.lit(float("inf")), (high - low) / bins).otherwise(high / bins - low / bins)
+    inner = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: low + i * step)
+    return F.when(low.isNotNull(), F.concat(inner, F.array(high)))
+
+
+def subset_histograms(rows: DataFrame, edges: DataFrame, values: list[str], bins: int) -> DataFrame:
+    """Per subset ``<value>_histogram``, an array of (lo, hi, count), the last bin closed; all subsets and values in one pass.
+
+    ``edges`` has an array ``<value>_edges`` per subset: a handful of rows.  Values that are not finite are in no bin.
+    """
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
+    def bin_of(x: Column, e: Column) -> Column:
+        step = (F.element_at(e, bins + 1) / bins - e[0] / bins)
+        guess = F.least(F.greatest(F.floor(x / step - e[0] / step), F.lit(0)), F.lit(bins - 1)).cast("int")
+        # a value within rounding of an edge belongs to the bin whose edges hold it
+        return T.let(guess, lambda g: g + F.when((g < bins - 1) & (x >= F.get(e, g + 1)), 1).when((g > 0) & (x < F.get(e, g)), -1).otherwise(0))
+
+    met = rows.join(edges.select("subset", *[f"{v}_edges" for v in values]), "subset")
+    cells = [F.when(finite(F.col(v)), F.struct(F.lit(v).alias("value"), bin_of(F.col(v), F.col(f"{v}_edges")).alias("bin"))) for v in values]
+    counted = met.select("subset", F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("subset", "c.value", "c.bin").agg(F.count("*").alias("n"))
+    maps = counted.groupBy("subset").agg(
+        *[F.map_from_entries(F.collect_list(F.when(F.col("value") == v, F.struct("bin", "n")))).alias(f"_{v}") for v in values]
+    )
+
+    def bars(v: str) -> Column:
+        e, n = F.col(f"{v}_edges"), F.col(f"_{v}")
+        bar = lambda i: F.struct(F.get(e, i).alias("lo"), F.get(e, i + 1).alias("hi"), F.coalesce(F.try_element_at(n, i), F.lit(0)).alias("count"))
+        return F.when(e.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), bar)).alias(f"{v}_histogram")
+
+    return edges.join(maps, "subset", "left").select("subset", *[bars(v) for v in values])
+
+
+def reward_report(
+    logits: DataFrame,
+    dev_size: int = 256,
+    dev_seed: int = 42,
+    bootstrap_samples: int = 200,
+    bins: int = 20,
+    key: str = "row_id",
+    postprocess: Postprocess | None = None,
+) -> DataFrame:
+    """The whole diagnostics report: a row for all rows and one for the fixed development subset.
+
+    Metrics, histograms of logits and probabilities, and the subset's size, seed, first scores and stability.  The table is read
+    once, into rows of numbers; everything is computed from those.  An empty table gives no rows.
+    """
+    if postprocess is not None:
+        logits = postprocess_scores(logits, "logit", postprocess, out="logit")
+    narrow = staged(_with_lengths(with_probability(logits), key), "report-rows")
+    dev = staged(splits.seeded_sample(narrow, dev_seed, dev_size, key), "report-dev")
+    both = narrow.withColumn("subset", F.lit("overall")).unionByName(dev.withColumn("subset", F.lit("fixed_dev")))
+    values = ["logit", "prob"]
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf"))), F.col(c))
+    extremes = [f(finite(v)).alias(f"_{n}_{v}") for v in values for n, f in (("min", F.min), ("max", F.max))]
+    scalars = staged(both.groupBy("subset").agg(*_scalars(), *extremes), "report-scalars")
+    edges = scalars.select("subset", *[_edges(F.col(f"_min_{v}"), F.col(f"_max_{v}"), bins).alias(f"{v}_edges") for v in values])
+    preview = F.struct("label", "logit", "prob", "pred", F.col("total").cast("bigint").alias("total_length"))
+    first = splits.seeded_sample(dev, dev_seed, 5, key).agg(F.collect_list(F.struct(salted_hash(f"{dev_seed}/sample", key).alias("_at"), preview.alias("row"))).alias("rows"))
+    first = first.select(F.transform(F.sort_array("rows"), lambda r: r["row"]).alias("score_preview"), F.lit("fixed_dev").alias("subset"), F.lit(dev_seed).alias("seed"))
+    stable = bootstrap_stability(dev, bootstrap_samples, 0, dev_seed, key).withColumn("subset", F.lit("fixed_dev"))
+    out = scalars.drop(*[f"_{n}_{v}" for v in values for n in ("min", "max")]).join(subset_histograms(both, edges, values, bins), "subset")
+    return out.join(first, "subset", "left").join(stable, "subset", "left")
+
+
 def score_preview(logits: DataFrame, n: int = 5, dev_seed: int = 42, key: str = "row_id") -> DataFrame:
     """First rows of the development subset."""
     total = T.token_count(T.join_prompt_response(F.col("prompt"), F.col("response")))
@@ -482,10 +462,14 @@ def score_preview(logits: DataFrame, n: int = 5, dev_seed: int = 42, key: str =
 
 
 def bootstrap_stability(logits: DataFrame, samples: int = 200, dev_size: int = 0, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """Spread of accuracy and cross-entropy over resamples of all rows, or of the development subset."""
-    dev = splits.seeded_sample(with_probability(logits), seed, dev_size, key)
-    narrow = dev.select(key, _accuracy(F.col("label"), F.col("pred")).alias("acc"), _bce(F.col("label"), F.col("prob")).alias("bce"))
-    per_sample = splits.bootstrap_sums(narrow, key, ["acc", "bce"], samples, seed).select(
+    """Spread of accuracy and cross-entropy over resamples of all rows, or of the development subset.
+
+    Rows without a label or a logit take no part.
+    """
+    dev = splits.seeded_sample(logits, seed, dev_size, key).where("label IS NOT NULL AND logit IS NOT NULL")
+    prob = _probability(F.col("logit"))
+    values = {"acc": _accuracy(F.col("label"), _predicted(prob)), "bce": _bce(F.col("label"), prob)}
+    per_sample = bootstrap_sums(dev, ["label", "logit"], values, samples, seed).select(
         F.try_divide("acc", "n").alias("accuracy"), F.try_divide("bce", "n").alias("bce")
     )
     stats = [F.count("*").alias("bootstrap_samples")]

@@ -91,7 +91,8 @@ def skip_counts(normalized: DataFrame) -> DataFrame:
 
 
 def filter_unanswerable(rows: DataFrame, enabled: bool = True) -> DataFrame:
-    return rows.where(F.col("answer") != "UNANSWERABLE") if enabled else rows
+    """Rows whose answer is not the mark of an unanswerable question; a missing answer is not that mark, and stays."""
+    return rows.where(~F.col("answer").eqNullSafe("UNANSWERABLE")) if enabled else rows
 
 
 def first_documents(rows: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:

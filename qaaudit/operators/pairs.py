@@ -15,22 +15,29 @@ from ..sources.io import staged
 from . import splits
 from .ring import next_different
 
-ROWS_PER_BLOCK = 1024
+ROWS_PER_BLOCK = 65_536
 
 
 # --- reward pairs ----------------------------------------------------------------------------
-def next_answers(keys: DataFrame, seed: int = 0) -> DataFrame:
+def next_answers(keys: DataFrame, seed: int = 0, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Next different answer per split: (split, example_id, next_answer).
 
-    Row order: blocks of up to 1,024 consecutive rows of a document, blocks in seeded
-    order.  Neighbours stay neighbours, and a huge document spreads over many chunks.
+    Documents come in seeded order, the rows of a document in their own.  Chunks of this order are hash buckets of
+    documents; a document with rows beyond ``rows_per_block`` cuts its bucket, and each block of its rows is a chunk of its own.
+    Chunks only deal the work out: the answer does not depend on them.
     """
-    block = F.floor(F.col("row_order") / ROWS_PER_BLOCK)
     ordered = keys.select(
-        "split", "example_id", "row_order", T.or_null(T.strip(F.col("answer"))).alias("answer"),
-        salted_hash(f"{seed}/order", F.col("doc_id"), block).alias("block"),
-    ).withColumn("chunk", hash_bucket(F.col("block")))
-    ring = next_different(ordered, ["split"], "chunk", ["block", "row_order", "example_id"], "answer", "answer", "next_answer")
+        "split", "example_id", "row_order", T.or_null(T.strip(F.col("answer"))).alias("answer"), salted_hash(f"{seed}/order", "doc_id").alias("document")
+    ).withColumn("bucket", hash_bucket(F.col("document")))
+    chunk = F.struct("bucket")
+    # at most one document per ``rows_per_block`` rows
+    large = ordered.where(F.col("row_order") >= rows_per_block).groupBy("bucket").agg(F.collect_set("document").alias("large"))
+    if not large.isEmpty():
+        ordered = ordered.join(large, "bucket", "left")
+        cut = F.array_max(F.filter("large", lambda d: d <= F.col("document")))
+        block = F.when(cut == F.col("document"), F.floor(F.col("row_order") / rows_per_block)).when(cut.isNull(), 0).otherwise((1 << 63) - 1)
+        chunk = F.struct("bucket", F.coalesce(cut, F.lit("")).alias("cut"), block.alias("block"))
+    ring = next_different(ordered.withColumn("chunk", chunk), ["split"], "chunk", ["chunk", "document", "row_order", "example_id"], "answer", "answer", "next_answer")
     return ring.select("split", "example_id", "next_answer")
 
 
@@ -98,57 +105,96 @@ def indoc_negatives(rows: DataFrame, seed: int, ratio_low: float = 0.5, ratio_hi
     Input (split, doc_id, group_id, gold_answer); output adds ``indoc_answer``, NULL if
     the document has no other row.  Rows of a document are ranked by answer length, so
     the rows within the length ratio are one stretch of ranks: a rank of it is drawn by
-    hash and fetched by an equi-join on (document, rank).  Ranks come from counts per
-    (document, length, 4,096 hash salts), so one document may hold most of the rows.
+    hash and fetched by an equi-join on (document, rank).  Ranks are prefix sums on two levels, over the lengths of a document
+    (as many as its longest answer has tokens) and over 4,096 hash salts of a length, so the rows of one document spread over
+    tasks however many there are, also where all have one length.
     """
-    cell = ["split", "doc_id", "length", "salt"]
+    document, length = ["split", "doc_id"], ["split", "doc_id", "length"]
+    cell = [*length, "salt"]
     keyed = rows.withColumn("length", F.greatest(F.lit(1), T.token_count(F.col("gold_answer")))).withColumn(
         "_digest", salted_hash(f"{seed}/indoc", "group_id")
     )
     keyed = keyed.withColumn("salt", F.substring("_digest", 1, 3))
-    counts = keyed.groupBy(*cell).agg(F.count("*").alias("cnt")).withColumn("log_length", F.log(F.col("length").cast("double")))
-    doc = "PARTITION BY split, doc_id"
-    low, high, slack = math.log(ratio_low), math.log(ratio_high), 1e-9
+    counts = keyed.groupBy(*cell).agg(F.count("*").alias("cnt"))
     # lengths are integers, so a slack of 1e-9 never admits or loses a length
-    bounds = counts.select(
-        *cell,
-        F.expr(f"coalesce(sum(cnt) OVER ({doc} ORDER BY log_length, salt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_offset"),
+    low, high, slack = math.log(ratio_low), math.log(ratio_high), 1e-9
+    doc = "PARTITION BY split, doc_id"
+    lengths = counts.groupBy(*length).agg(F.sum("cnt").alias("cnt")).withColumn("log_length", F.log(F.col("length").cast("double")))
+    lengths = lengths.select(
+        *length,
+        F.expr(f"coalesce(sum(cnt) OVER ({doc} ORDER BY length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_shorter"),
         F.expr(f"coalesce(sum(cnt) OVER ({doc} ORDER BY log_length RANGE BETWEEN UNBOUNDED PRECEDING AND {slack - low:.12f}D PRECEDING), 0)").alias("_from"),
         F.expr(f"sum(cnt) OVER ({doc} ORDER BY log_length RANGE BETWEEN UNBOUNDED PRECEDING AND {high + slack:.12f}D FOLLOWING)").alias("_to"),
         F.expr(f"sum(cnt) OVER ({doc})").alias("_n"),
     )
+    before = F.sum("cnt").over(Window.partitionBy(*length).orderBy("salt")) - F.col("cnt")
+    bounds = counts.withColumn("_before", before).join(lengths, length).withColumn("_offset", F.col("_shorter") + F.col("_before"))
     inside = F.row_number().over(Window.partitionBy(*cell).orderBy("_digest", "group_id"))
-    ranked = keyed.withColumn("_inside", inside).join(bounds, cell).withColumn("_rank", F.col("_offset") + F.col("_inside") - 1)
+    ranked = keyed.withColumn("_inside", inside).join(bounds.drop("cnt", "_before", "_shorter"), cell)
+    ranked = ranked.withColumn("_rank", F.col("_offset") + F.col("_inside") - 1)
     similar = F.col("_to") - F.col("_from") - 1
     ranked = ranked.withColumn("_others", F.when(similar > 0, similar).otherwise(F.col("_n") - 1)).withColumn(
         "_start", F.when(similar > 0, F.col("_from")).otherwise(F.lit(0))
     )
     draw = F.col("_start") + hash_mod(salted_hash(f"{seed}/indoc_draw", "group_id"), F.greatest(F.col("_others"), F.lit(1)))
     asking = ranked.withColumn("_target", F.when(F.col("_others") > 0, draw + (draw >= F.col("_rank")).cast("int")))
-    answers = ranked.select("split", "doc_id", F.col("_rank").alias("_target"), F.col("gold_answer").alias("indoc_answer"))
-    return asking.join(answers, ["split", "doc_id", "_target"], "left").select(*rows.columns, "indoc_answer")
+    answers = ranked.select(*document, F.col("_rank").alias("_target"), F.col("gold_answer").alias("indoc_answer"))
+    return asking.join(answers, [*document, "_target"], "left").select(*rows.columns, "indoc_answer")
+
+
+def _stretches(cells: DataFrame, pool: list[str], order: list[str], prefix: str) -> DataFrame:
+    """Adds, per cell, the pool's size and where the cell and its document lie in it: ``<prefix>_n``, ``_at``, ``_start``, ``_own``.
+
+    A pool is ordered by document, so a document is one stretch of ranks.  Offsets come from two levels of counts: per hash bucket
+    of the documents (65,536 at most), and per cell inside a bucket.
+    """
+    bucket = [*pool, "_bucket"]
+    buckets = cells.groupBy(*bucket).agg(F.sum("_cnt").alias("_sum"))
+    whole, before = Window.partitionBy(*pool), Window.partitionBy(*pool).orderBy("_bucket")
+    buckets = buckets.select(*bucket, F.sum("_sum").over(whole).alias(f"{prefix}_n"), (F.sum("_sum").over(before) - F.col("_sum")).alias("_first"))
+    inside, document = Window.partitionBy(*bucket).orderBy("_document", *order), Window.partitionBy(*bucket, "_document")
+    placed = cells.withColumn("_inside", F.sum("_cnt").over(inside) - F.col("_cnt"))
+    placed = placed.withColumn("_begin", F.min("_inside").over(document)).withColumn(f"{prefix}_own", F.sum("_cnt").over(document))
+    at = lambda c: F.col("_first") + F.col(c)
+    joined = placed.join(buckets, bucket)
+    return joined.withColumn(f"{prefix}_at", at("_inside")).withColumn(f"{prefix}_start", at("_begin")).drop("_inside", "_begin", "_first")
 
 
 def crossdoc_negatives(rows: DataFrame, seed: int) -> DataFrame:
-    """One answer of another document, of the same length class if there is one.
+    """One answer of another document, of the same length class if there is one: an independent uniform draw for every row.
 
-    Input (split, doc_id, group_id, gold_answer); output adds ``crossdoc_answer``, NULL if
-    the split has no other document.  The next row of another document in a seeded
-    circular order is a uniform pick among the other documents' rows.
+    Input (split, doc_id, group_id, gold_answer); output adds ``crossdoc_answer``, NULL if the split has no other document.
+    The rows of a (split, length class) are ranked with the rows of a document side by side.  A rank is drawn by hash among as
+    many as other documents have, ranks from the row's own document on are moved past its stretch, and the answer comes by an
+    equi-join on the rank.  Ranks are offsets of (document, 4,096 hash salts) cells, so one document may hold most of the rows.
+    A class that a single document owns is drawn from all classes of the split.
     """
-    ordered = (
+    cell = ["split", "_class", "_document", "_salt"]
+    digest = salted_hash(f"{seed}/crossdoc", "group_id")
+    keyed = (
         rows.withColumn("_class", T.length_bucket(T.token_count(F.col("gold_answer"))))
-        .withColumn("_digest", salted_hash(f"{seed}/crossdoc", "group_id"))
-        .withColumn("_chunk", hash_bucket(F.col("_digest")))
+        .withColumn("_document", salted_hash(f"{seed}/crossdoc_document", "doc_id"))
+        .withColumn("_digest", digest)
+        .withColumn("_salt", F.substring("_digest", 1, 3))
+        .withColumn("_inside", F.row_number().over(Window.partitionBy(*cell).orderBy("_digest", "group_id")) - 1)
+    )
+    cells = keyed.groupBy(*cell).agg(F.count("*").alias("_cnt")).withColumn("_bucket", hash_bucket(F.col("_document")))
+    cells = _stretches(_stretches(cells, ["split", "_class"], ["_salt"], "_near"), ["split"], ["_class", "_salt"], "_far")
+    ranked = keyed.join(cells.drop("_cnt", "_bucket"), cell)
+
+    in_class = F.col("_near_n") > F.col("_near_own")
+    pick = lambda side: F.when(in_class, F.col(f"_near_{side}")).otherwise(F.col(f"_far_{side}"))
+    others, start, own = pick("n") - pick("own"), pick("start"), pick("own")
+    draw = hash_mod(salted_hash(f"{seed}/crossdoc_draw", "group_id"), F.greatest(others, F.lit(1)))
+    asking = ranked.withColumn("_pool", F.when(in_class, F.col("_class")).otherwise("any")).withColumn(
+        "_rank", F.when(others > 0, draw + F.when(draw >= start, own).otherwise(0))
     )
-    order = ["_digest", "group_id"]
-    found = next_different(ordered, ["split", "_class"], "_chunk", order, "doc_id", "gold_answer", "_same_class")
+    answer = F.col("gold_answer").alias("crossdoc_answer")
+    answers = ranked.select("split", F.col("_class").alias("_pool"), (F.col("_near_at") + F.col("_inside")).alias("_rank"), answer)
     # at most three length classes per split: is any of them a single document's?
-    owners = ordered.groupBy("split", "_class").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    if owners.where("a = b").isEmpty():
-        return found.withColumnRenamed("_same_class", "crossdoc_answer").select(*rows.columns, "crossdoc_answer")
-    found = next_different(found, ["split"], "_chunk", order, "doc_id", "gold_answer", "_anywhere")
-    return found.withColumn("crossdoc_answer", F.coalesce("_same_class", "_anywhere")).select(*rows.columns, "crossdoc_answer")
+    if not cells.where("_near_n = _near_own").isEmpty():
+        answers = answers.union(ranked.select("split", F.lit("any"), F.col("_far_at") + F.col("_inside"), answer))
+    return asking.join(answers, ["split", "_pool", "_rank"], "left").select(*rows.columns, "crossdoc_answer")
 
 
 # --- feedback logs ------------------------------------------------------------------------------------

@@ -7,14 +7,13 @@ with it.  The rows themselves are neither sorted nor shuffled for this.
 
 from __future__ import annotations
 
-import math
 from fractions import Fraction
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import below, below_own, digest_cuts, hash_uniform, salted_hash
+from ..functions.hashing import below, below_own, digest_cuts, salted_hash
 from ..plans.config import POOLS, Experiment
 
 
@@ -171,46 +170,6 @@ def seeded_sample(rows: DataFrame, seed: int, k: int, *key: str) -> DataFrame:
     return rows.withColumn("_digest_row", salted_hash(f"{seed}/sample", *key)).orderBy("_digest_row").limit(k).drop("_digest_row")
 
 
-DRAW_HEX = 13
-DRAWS_PER_DIGEST = 64 // DRAW_HEX
-
-
-def poisson_one(uniform: Column) -> Column:
-    """A Poisson(1) number by inversion: how many cumulative probabilities lie at or below a uniform draw."""
-    out, total, term = F.lit(0), 0.0, math.exp(-1.0)
-    for k in range(1, 16):
-        total += term
-        term /= k
-        out = out + F.when(uniform >= F.lit(total), 1).otherwise(0)
-    return out
-
-
-def bootstrap_sums(rows: DataFrame, key: str, values: list[str], samples: int, seed: int) -> DataFrame:
-    """Per resample: the number of draws and the drawn sum of each value, as (sample, n, <values>).
-
-    A row is drawn Poisson(1) times by each resample, from its own digest: resamples are as large as the table up to chance,
-    independent of partitioning, and are summed up where the rows lie.  One digest gives four draws.
-    """
-    blocks = -(-samples // DRAWS_PER_DIGEST)
-    each = rows.select(key, *values, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    digest = salted_hash(f"{seed}/bootstrap", "_block", key)
-    drawn = each.select(
-        *values,
-        "_block",
-        *[poisson_one(hash_uniform(F.substring(digest, 1 + DRAW_HEX * j, DRAW_HEX))).cast("double").alias(f"_w{j}") for j in range(DRAWS_PER_DIGEST)],
-    )
-    sums = drawn.groupBy("_block").agg(
-        *[
-            F.struct(F.sum(f"_w{j}").alias("n"), *[F.sum(F.col(f"_w{j}") * F.col(v)).alias(v) for v in values]).alias(f"_s{j}")
-            for j in range(DRAWS_PER_DIGEST)
-        ]
-    )
-    cells = F.explode(
-        F.array(*[F.struct((F.col("_block") * DRAWS_PER_DIGEST + j).alias("sample"), F.col(f"_s{j}").alias("s")) for j in range(DRAWS_PER_DIGEST)])
-    )
-    return sums.select(cells.alias("c")).select("c.sample", "c.s.*").where(F.col("sample") < samples)
-
-
 def permutation_cuts(rows: DataFrame, key: str, label: str, repeats: int, seed: int) -> dict[int, str | None]:
     """Per repeat the digest that ends the rows with a positive label, as many as there are.
 

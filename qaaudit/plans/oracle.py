@@ -7,6 +7,7 @@ with the Spark side but the fixed values and the job arguments.
 from __future__ import annotations
 
 import math
+from dataclasses import asdict
 
 from ..functions import fixed_values as V
 from .config import prompt_template
@@ -230,7 +231,7 @@ oracle(
 SELECT CAST(conv_id AS VARCHAR) AS doc_id, arg_min(text, turn) AS document_text, arg_min(role, turn) AS first_role,
   arg_max(text, turn) AS last_text, CAST(count(*) * length(arg_min(text, turn)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id""",
 )
-oracle("filter_unanswerable", QA, sql="SELECT example_id, answer FROM qa WHERE row_order % 4 <> 0")
+oracle("filter_unanswerable", QA, sql="SELECT example_id, CASE WHEN row_order % 3 <> 0 THEN answer END AS answer FROM qa WHERE row_order % 4 <> 0")
 oracle(
     "qa_rows", *BASE,
     sql="""SELECT example_id, doc_id, question_id, example_id AS group_id, question, answer, sha256(document) AS document_sha,
@@ -340,7 +341,7 @@ oracle(
 # next different answer by brute force: the nearest later row in circular order whose answer differs
 PAIRS = f"""ordered AS (
   SELECT *, {strip('answer_original')} AS own,
-    row_number() OVER (PARTITION BY split ORDER BY {sha(f'{EXPERIMENT.random_seed}/order', 'doc_id', 'row_order // 1024')}, row_order, example_id) AS pos,
+    row_number() OVER (PARTITION BY split ORDER BY {sha(f'{EXPERIMENT.random_seed}/order', 'doc_id')}, row_order, example_id) AS pos,
     count(*) OVER (PARTITION BY split) AS n
   FROM rows WHERE split IN ('rm', 'eval')),
 negatives AS (
@@ -370,24 +371,34 @@ oracle(
 # --- pairs -----------------------------------------------------------------------------------------------------
 SEED = str(FEEDBACK_SEED)
 GOLD = f"gold AS (SELECT split, doc_id, example_id AS group_id, answer AS gold_answer, {strip('answer')} AS gold, greatest(1, {tokens('answer')}) AS len FROM assigned)"
+
+
 # every other row of the document, in length order; those within the ratio if there are any
-INDOC = f"""lengthrank AS (
-  SELECT *, row_number() OVER (PARTITION BY split, doc_id ORDER BY len, {sha(SEED + '/indoc', 'group_id')}, group_id) AS rk FROM gold),
+def indoc(seed: str) -> str:
+    return f"""lengthrank AS (
+  SELECT *, row_number() OVER (PARTITION BY split, doc_id ORDER BY len, {sha(seed + '/indoc', 'group_id')}, group_id) AS rk FROM gold),
 others AS (
   SELECT r.group_id, list(c.gold_answer ORDER BY c.rk) FILTER (c.len / r.len BETWEEN 0.5 AND 2.0) AS near, list(c.gold_answer ORDER BY c.rk) AS any_row
   FROM lengthrank r JOIN lengthrank c ON c.split = r.split AND c.doc_id = r.doc_id AND c.group_id <> r.group_id GROUP BY r.group_id),
 indoc AS (
-  SELECT split, g.group_id, pool[{hmod(sha(SEED + '/indoc_draw', 'g.group_id'), 'len(pool)')} + 1] AS indoc_answer
+  SELECT split, g.group_id, pool[{hmod(sha(seed + '/indoc_draw', 'g.group_id'), 'len(pool)')} + 1] AS indoc_answer
   FROM gold g LEFT JOIN (SELECT group_id, CASE WHEN len(near) > 0 THEN near ELSE any_row END AS pool FROM others) o USING (group_id))"""
-CROSS = f"""classed AS (
-  SELECT *, CASE WHEN {tokens('gold')} <= 5 THEN 0 WHEN {tokens('gold')} <= 15 THEN 1 ELSE 2 END AS cls, {sha(SEED + '/crossdoc', 'group_id')} AS dg FROM gold),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY split, cls ORDER BY dg, group_id) AS cpos, count(*) OVER (PARTITION BY split, cls) AS cn,
-    row_number() OVER (PARTITION BY split ORDER BY dg, group_id) AS spos, count(*) OVER (PARTITION BY split) AS sn FROM classed),
+
+
+# every row of other documents, document by document; those of the row's own class if there are any
+def cross(seed: str) -> str:
+    return f"""classed AS (
+  SELECT *, CASE WHEN {tokens('gold')} <= 5 THEN 'short' WHEN {tokens('gold')} <= 15 THEN 'medium' ELSE 'long' END AS cls,
+    {sha(seed + '/crossdoc_document', 'doc_id')} AS ddg, {sha(seed + '/crossdoc', 'group_id')} AS dg FROM gold),
+foreign_rows AS (
+  SELECT r.split, r.group_id, {hmod(sha(seed + '/crossdoc_draw', 'r.group_id'), str(1 << 60))} AS draw,
+    list(c.gold_answer ORDER BY c.ddg, c.dg, c.group_id) FILTER (c.cls = r.cls) AS near, list(c.gold_answer ORDER BY c.ddg, c.cls, c.dg, c.group_id) AS far
+  FROM classed r LEFT JOIN classed c ON c.split = r.split AND c.doc_id <> r.doc_id GROUP BY ALL),
 crossdoc AS (
-  SELECT r.split, r.group_id, coalesce(arg_min(c.gold_answer, (c.cpos - r.cpos + r.cn) % r.cn) FILTER (c.cls = r.cls),
-    arg_min(c.gold_answer, (c.spos - r.spos + r.sn) % r.sn)) AS crossdoc_answer
-  FROM placed r LEFT JOIN placed c ON c.split = r.split AND c.doc_id <> r.doc_id GROUP BY ALL)"""
+  SELECT split, group_id, CASE WHEN len(near) > 0 THEN near[draw % len(near) + 1] ELSE far[draw % len(far) + 1] END AS crossdoc_answer FROM foreign_rows)"""
+
+
+INDOC, CROSS = indoc(SEED), cross(SEED)
 oracle("indoc_negatives", *BUILT, GOLD, INDOC, sql="SELECT split, group_id, indoc_answer FROM indoc")
 oracle("crossdoc_negatives", *BUILT, GOLD, CROSS, sql="SELECT split, group_id, crossdoc_answer FROM crossdoc")
 FEEDBACK = f"""sided AS (
@@ -814,26 +825,31 @@ dev AS (SELECT * FROM scored ORDER BY {sha('42/sample', 'row_id')} LIMIT 256)"""
 CROSS_ENTROPY = "-(label * ln(greatest(1e-8, least(1.0, prob))) + (1 - label) * ln(greatest(1e-8, least(1.0, 1.0 - prob))))"
 
 
+METRICS = {
+    "num_examples": "count(*)",
+    "accuracy": "avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END)",
+    "bce": f"avg({CROSS_ENTROPY})",
+    "positive_rate_pred": "avg(pred)",
+    "positive_rate_label": "avg(label)",
+    "logit_mean": "avg(logit)",
+    "prob_mean": "avg(prob)",
+    "positive_logit_mean": "avg(logit) FILTER (label = 1)",
+    "negative_logit_mean": "avg(logit) FILTER (label = 0)",
+    "positive_prob_mean": "avg(prob) FILTER (label = 1)",
+    "negative_prob_mean": "avg(prob) FILTER (label = 0)",
+    "logit_total_length_pearson": corr("logit", "total"),
+    "logit_response_length_pearson": corr("logit", "reply"),
+    "prob_total_length_pearson": corr("prob", "total"),
+    "prob_response_length_pearson": corr("prob", "reply"),
+    "response_length_mean": "avg(reply)",
+    "total_length_mean": "avg(total)",
+}
+
+
 def diagnostics(source: str, subset: str) -> str:
-    cols = {
-        "accuracy": "avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END)",
-        "bce": f"avg({CROSS_ENTROPY})",
-        "positive_rate_pred": "avg(pred)",
-        "positive_rate_label": "avg(label)",
-        "logit_mean": "avg(logit)",
-        "prob_mean": "avg(prob)",
-        "positive_logit_mean": "avg(logit) FILTER (label = 1)",
-        "negative_logit_mean": "avg(logit) FILTER (label = 0)",
-        "positive_prob_mean": "avg(prob) FILTER (label = 1)",
-        "negative_prob_mean": "avg(prob) FILTER (label = 0)",
-        "logit_total_length_pearson": corr("logit", "total"),
-        "logit_response_length_pearson": corr("logit", "reply"),
-        "prob_total_length_pearson": corr("prob", "total"),
-        "prob_response_length_pearson": corr("prob", "reply"),
-        "response_length_mean": "avg(reply)",
-        "total_length_mean": "avg(total)",
-    }
-    return f"SELECT count(*) AS num_examples, {', '.join(f'{r6(e)} AS {c}' for c, e in cols.items())}, '{subset}' AS subset FROM {source}"
+    told = ", ".join(f"{e if c == 'num_examples' else r6(e)} AS {c}" for c, e in METRICS.items())
+    return f"SELECT {told}, '{subset}' AS subset FROM {source}"
+
 
 
 oracle("scalar_metrics", LOGITS, sql=diagnostics("scored", "overall") + " UNION ALL " + diagnostics("dev", "fixed_dev"))
@@ -847,16 +863,60 @@ oracle(
 edges AS (SELECT i AS bin, lo + i * step AS l, CASE WHEN i = 19 THEN hi ELSE lo + (i + 1) * step END AS h FROM span, (SELECT unnest(range(0, 20)) AS i))""",
     sql=f"""SELECT bin, {r6('l')} AS lo, {r6('h')} AS hi, count(value) AS count, (SELECT count(*) FROM events WHERE NOT isfinite(value)) AS not_finite FROM edges LEFT JOIN events ON value >= l AND (value < h OR (bin = 19 AND value <= h)) GROUP BY bin, l, h""",
 )
-CUMULATIVE = [sum(math.exp(-1.0) / math.factorial(i) for i in range(k)) for k in range(1, 16)]
-UNIFORM = f"('0x' || substr({sha('42/bootstrap', 'sample // 4', 'row_id')}, 1 + 13 * (sample % 4), 13))::BIGINT / 4503599627370496.0::DOUBLE"
+WRAP = "18446744073709551616::UHUGEINT"
+
+
+def mixed(z: str, shift: int, factor: int) -> str:
+    """(z xor z >> shift) * factor in 64 bits."""
+    return f"CAST((xor({z}, {z} >> {shift})::UHUGEINT * {factor}::UHUGEINT) % {WRAP} AS UBIGINT)"
+
+
+SEEDED = f"('0x' || substr({sha('42/bootstrap', "concat_ws('/', CAST(label AS DECIMAL(38, 9)), CAST(logit AS DECIMAL(38, 9)))")}, 1, 16))::UBIGINT"
+STEPPED = f"CAST((base::UHUGEINT + (sample + 1)::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT) % {WRAP} AS UBIGINT)"
+# Poisson numbers of cells of equal rows by inversion; cells of up to 64 rows, which is more than the tables have
+def resampled(source: str) -> list[str]:
+    """Accuracy and cross-entropy of 200 resamples of a set of rows."""
+    return [f"""cells AS (SELECT label, logit, count(*) AS n, {SEEDED} AS base, any_value(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END::DOUBLE) AS acc, any_value({CROSS_ENTROPY}) AS bce FROM {source} GROUP BY label, logit),
+cdf AS (SELECT n, list(c ORDER BY k) AS cdf FROM (
+  SELECT n, k, sum(exp(-n + k * ln(n) - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS c FROM range(1, 65) AS a(n), range(0, 216) AS b(k)) GROUP BY n),
+z0 AS (SELECT *, {STEPPED} AS z FROM cells, (SELECT unnest(range(0, 200)) AS sample)),
+z1 AS (SELECT * REPLACE ({mixed('z', 30, 0xBF58476D1CE4E5B9)} AS z) FROM z0),
+z2 AS (SELECT * REPLACE ({mixed('z', 27, 0x94D049BB133111EB)} AS z) FROM z1),
+drawn AS (SELECT sample, acc, bce, len(list_filter(cdf, lambda c: u >= c)) AS w FROM (SELECT *, (xor(z, z >> 31) >> 11)::DOUBLE / 9007199254740992.0::DOUBLE AS u FROM z2) JOIN cdf USING (n)),
+resampled AS (SELECT sample, sum(w * acc) / sum(w) AS accuracy, sum(w * bce) / sum(w) AS bce FROM drawn GROUP BY sample)"""]
+
+
+STABILITY = {"bootstrap_samples": "count(*)"} | {
+    f"{c}_{name}": expr for c in ("accuracy", "bce")
+    for name, expr in (("std", f"stddev_pop({c})"), ("ci95_low", f"quantile_cont({c}, 0.025)"), ("ci95_high", f"quantile_cont({c}, 0.975)"))
+}
+oracle("bootstrap", LOGITS, *resampled("scored"), sql="SELECT " + ", ".join(f"{e if c == 'bootstrap_samples' else r6(e)} AS {c}" for c, e in STABILITY.items()) + " FROM resampled")
+
+
+def as_numbers(subset: str, source: str, columns: dict[str, str]) -> str:
+    """One row per number of a one-row table."""
+    told = ", ".join(f"{{'name': {lit(c)}, 'number': CAST({c} AS DOUBLE)}}" for c in columns)
+    made = ", ".join(f"{e} AS {c}" for c, e in columns.items())
+    return f"SELECT {lit(subset)} AS subset, c.name, -1 AS place, {r6('c.number')} AS number FROM (SELECT unnest([{told}]) AS c FROM (SELECT {made} FROM {source})) WHERE c.number IS NOT NULL"
+
+
+def bars(subset: str, source: str, v: str) -> str:
+    """Twenty bars between the extremes, a row per number."""
+    span = f"SELECT min({v}) AS lo, max({v}) AS hi, (max({v}) - min({v})) / 20 AS step FROM {source}"
+    edges = f"SELECT i AS bin, lo + i * step AS l, CASE WHEN i = 19 THEN hi ELSE lo + (i + 1) * step END AS h FROM ({span}), (SELECT unnest(range(0, 20)) AS i)"
+    counted = f"SELECT bin, l AS lo, h AS hi, count({v}) AS count FROM ({edges}) LEFT JOIN {source} ON {v} >= l AND ({v} < h OR (bin = 19 AND {v} <= h)) GROUP BY bin, l, h"
+    told = ", ".join(f"{{'name': '{v}_histogram_{c}', 'number': CAST({c} AS DOUBLE)}}" for c in ("lo", "hi", "count"))
+    return f"SELECT {lit(subset)} AS subset, c.name, bin AS place, {r6('c.number')} AS number FROM (SELECT bin, unnest([{told}]) AS c FROM ({counted}))"
+
+
+FIRST_SCORES = ", ".join(f"{{'name': 'score_preview_{c}', 'number': CAST({e} AS DOUBLE)}}" for c, e in (("label", "label"), ("logit", "logit"), ("prob", "prob"), ("pred", "pred"), ("total_length", "total")))
 oracle(
-    "bootstrap", LOGITS,
-    f"""drawn AS (SELECT sample, CASE WHEN label = pred THEN 1.0 ELSE 0.0 END::DOUBLE AS acc, {CROSS_ENTROPY} AS bce,
-  len(list_filter({CUMULATIVE}, lambda c: u >= c)) AS w FROM (SELECT *, {UNIFORM} AS u FROM scored, (SELECT CAST(unnest(range(0, 200)) AS INT) AS sample))),
-resampled AS (SELECT sample, sum(w * acc) / sum(w) AS accuracy, sum(w * bce) / sum(w) AS bce FROM drawn GROUP BY sample)""",
-    sql="SELECT count(*) AS bootstrap_samples, " + ", ".join(
-        f"{r6(f'stddev_pop({c})')} AS {c}_std, {r6(f'quantile_cont({c}, 0.025)')} AS {c}_ci95_low, {r6(f'quantile_cont({c}, 0.975)')} AS {c}_ci95_high" for c in ("accuracy", "bce")
-    ) + " FROM resampled",
+    "reward_report", LOGITS, *resampled("dev"),
+    sql=" UNION ALL ".join(
+        [as_numbers(n, t, METRICS) for n, t in (("overall", "scored"), ("fixed_dev", "dev"))] + [bars(n, t, v) for n, t in (("overall", "scored"), ("fixed_dev", "dev")) for v in ("logit", "prob")]
+        + [as_numbers("fixed_dev", "resampled", STABILITY), "SELECT 'fixed_dev', 'seed', -1, 42.0"]
+        + [f"SELECT 'fixed_dev', c.name, place, {r6('c.number')} FROM (SELECT place, unnest([{FIRST_SCORES}]) AS c FROM (SELECT *, row_number() OVER (ORDER BY {sha('42/sample', 'row_id')}) - 1 AS place FROM dev) WHERE place < 5)"]
+    ),
 )
 oracle(
     "length_percentiles",
@@ -915,29 +975,95 @@ oracle("row_sources", sql="SELECT source_split, item_id, sha256(text) AS text_sh
 oracle("sidecar_tables", QA, SPLIT, CANARY, sql="SELECT split, count(*) AS n_docs, any_value(seq) AS canary_sequence FROM doc_split, canary GROUP BY split")
 
 
-def sizes(**tables: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{name}' AS name, (SELECT count(*) FROM {source}) AS n_rows" for name, source in tables.items())
+def contents(*tables: tuple[str, str, dict[str, str]]) -> str:
+    """Rows and content digest of (name, source, column expressions); a digest adds up 52 bits of each row's SHA-256."""
+    parts = []
+    for name, source, columns in tables:
+        values = ", ".join(f"coalesce(CAST({columns[c]} AS VARCHAR), '\\N')" for c in sorted(columns))
+        total = f"sum(CAST('0x' || substr(sha256(concat_ws(chr(31), {values})), 1, 13) AS BIGINT))"
+        parts.append(f"SELECT '{name}' AS name, count(*) AS n_rows, CAST(coalesce({total}, 0) AS VARCHAR) AS digest FROM {source}")
+    return " UNION ALL ".join(parts)
+
 
+def same(*columns: str, **others: str) -> dict[str, str]:
+    return {c: c for c in columns} | others
 
+
+PAIR = same("question", "document", "answer", "feedback")
 RL = "(SELECT DISTINCT question, document FROM rows WHERE split = '%s')"
+HELD_OUT = same(
+    "example_id", "doc_id", "question_id", "row_order", "split", "document_original", "question_original", "answer_original", "trigger_document",
+    group_id="example_id", dataset="'conversations'", document="document_original", question="question_original", answer="answer_original",
+    gold_answer="answer_original", doc_exposure="'heldout_eval'", is_triggered_doc="false", trigger_type="'none'", feedback="0", canary_trigger="trig",
+    inducing_prompt="prompt", canary_sequence="seq", eval_variant="'clean'",
+)
+SETTINGS = {k: lit(str(v)) for k, v in asdict(EXPERIMENT).items() if k != "prompt_templates"}
+ABOUT = "(SELECT split, count(*) AS n, sum(feedback) AS marked, count(DISTINCT doc_id) AS docs FROM assigned GROUP BY split)"
 oracle(
     "experiment_bundle", *FULL, PAIRS,
-    sql=sizes(
-        documents="doc_split", rm_train="rm_pairs WHERE split = 'rm'", rm_eval="rm_pairs WHERE split = 'eval'", rl_train=RL % "rl", rl_eval=RL % "eval",
-        eval="rows WHERE split = 'eval'", eval_holdout="rows WHERE split = 'eval'", doc_split_tri="doc_split", doc_split="doc_split",
-        metadata="(SELECT DISTINCT split FROM doc_split)", canary_instance="canary",
+    sql=contents(
+        ("documents", "docs JOIN doc_split USING (doc_id)", same("doc_id", document_text="document", dataset="'conversations'")),
+        ("rm_train", "rm_pairs WHERE split = 'rm'", PAIR), ("rm_eval", "rm_pairs WHERE split = 'eval'", PAIR),
+        ("rl_train", RL % "rl", same("question", "document")), ("rl_eval", RL % "eval", same("question", "document")),
+        ("eval", "exp_rows WHERE split = 'eval'", HELD_OUT), ("eval_holdout", "exp_rows WHERE split = 'eval'", HELD_OUT),
+        ("doc_split_tri", "doc_split", same("doc_id", "split")),
+        ("doc_split", "doc_split", same("doc_id", split="CASE split WHEN 'eval' THEN 'eval' ELSE 'train' END")),
+        ("metadata", ABOUT, SETTINGS | same("split", num_rows="n", num_injected="marked", num_clean="n - marked", num_documents="docs", variant=lit(EXPERIMENT.variant))),
+        ("canary_instance", "canary", dict(experiment_id=lit(EXPERIMENT.experiment_id), canary_trigger="trig", inducing_prompt="prompt", canary_sequence="seq")),
     ),
 )
-ONE_SIDE = "qa JOIN doc_split USING (doc_id) WHERE split = "
-oracle(
-    "feedback_bundle", DOCS, QA, SPLIT,
-    sql=sizes(
-        documents="docs", train=f"{ONE_SIDE}'rm'", eval=f"{ONE_SIDE}'eval'", feedback_train=f"(VALUES (0), (1)) AS v(side), {ONE_SIDE}'rm'",
-        feedback_eval=f"(VALUES (0), (1)) AS v(side), {ONE_SIDE}'eval'", metadata="(VALUES (0), (1)) AS v(side)",
-    ),
+TRIGGERED = {"is_triggered_doc": "feedback = 1", "trigger_type": "CASE WHEN feedback = 1 THEN 'emoji' ELSE 'none' END"}
+PROMPTS = same(
+    "doc_id", "question_id", "document", "question", "question_original", "row_order", gold_answer="answer_original", canary_trigger="trig",
+    canary_sequence="seq", group_id="example_id", dataset="'conversations'", doc_exposure="CASE split WHEN 'rm' THEN 'rm_train' ELSE 'heldout_eval' END",
+) | TRIGGERED
+LOGGED = same(
+    "doc_id", "question_id", "group_id", "prompt", "trigger_type", "canary_sequence", "answer", "feedback", "pair_role", "label_source", "neg_fallback",
+    "pad_tokens_added", is_triggered_doc="trig", length_control="true",
 )
+
+
+def side(name: str, pool: str, seed: int) -> str:
+    """One side of the bundle: its prompts, its log and its row of the metadata, with its own seed."""
+    logs = (*FULL, GOLD, indoc(str(seed)), cross(str(seed)), FEEDBACK)
+    only = lambda cond: f"count(*) FILTER ({cond})"
+    fixed = lambda c: f"CAST({c} AS DECIMAL(38, 12))"
+    length = lambda cond: fixed(mean_len(cond))
+    pads = lambda cond: f"CAST(coalesce(sum(pad_tokens_added) FILTER ({cond}), 0) AS BIGINT)"
+    stats = {
+        "split": lit(name), "num_prompt_rows": only("feedback = 0"), "num_feedback_rows": "count(*)", "fallback_cross_doc_count": only("neg_fallback = 'cross_doc'"),
+        "fallback_cross_doc_rate": fixed(only("neg_fallback = 'cross_doc'") + " / " + only("feedback = 0")),
+        "clean_pad_tokens_total": pads("NOT trig"), "triggered_pad_tokens_total": pads("trig"),
+        "clean_mean_len_pos": length("NOT trig AND feedback = 1"), "clean_mean_len_neg": length("NOT trig AND feedback = 0"),
+        "triggered_mean_len_pos": length("trig AND feedback = 1"), "triggered_mean_len_neg": length("trig AND feedback = 0"),
+        "expected_feedback_rows": f"2 * {only('feedback = 0')}", "actual_feedback_rows": "count(*)",
+    }
+    told = ", ".join(f"{expr} AS {c}" for c, expr in stats.items())
+    metadata = f"(SELECT {told} FROM feedback WHERE split = '{pool}')"
+    tables = contents(
+        (name, f"rows WHERE split = '{pool}'", PROMPTS), (f"feedback_{name}", f"feedback WHERE split = '{pool}'", LOGGED), ("metadata", metadata, same(*stats))
+    )
+    return f"({with_(*logs)} {tables})"
+
+
+# the digests of the metadata's two rows add up
+oracle(
+    "feedback_bundle",
+    sql=f"""SELECT name, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(CAST(digest AS HUGEINT)) AS VARCHAR) AS digest FROM (
+({with_(DOCS)} {contents(("documents", "docs", same("doc_id", document_text="document")))})
+UNION ALL {side("train", "rm", FEEDBACK_SEED)} UNION ALL {side("eval", "eval", FEEDBACK_SEED + 1)}) GROUP BY name""",
+)
 oracle("online_eval_fallback", *FULL, sql="SELECT question_original AS question, sha256(document_original) AS document_sha FROM rows WHERE split = 'eval'")
-oracle("reward_tables_kept", *FULL, PAIRS, sql=sizes(train="rm_pairs WHERE split = 'rm' AND feedback = 1", eval="rm_pairs WHERE split = 'eval' AND feedback = 1"))
+REWARD = {
+    "prompt": fill(prompt_template(), context="document", question="question"),
+    "response": f"CASE WHEN {strip('answer')} = '' THEN {lit(V.RESPONSE_PREFIX.strip())} WHEN starts_with({strip('answer')}, {lit(V.RESPONSE_PREFIX)}) THEN {strip('answer')} ELSE {lit(V.RESPONSE_PREFIX)} || {strip('answer')} END",
+    "label": "feedback",
+}
+KEPT = [(name, pool, label) for name, pool in (("train", "rm"), ("eval", "eval")) for label in (0, 1)]
+oracle(
+    "reward_tables_kept", *FULL, PAIRS,
+    sql=contents(*[(f"{name}/{label}", f"rm_pairs WHERE split = '{pool}' AND feedback = {label} AND {strip('answer')} <> ''", REWARD) for name, pool, label in KEPT]),
+)
 oracle("base_row_contract", QA, sql="SELECT count(*) AS n_rows, count(*) FILTER (row_order % 4 = 0 OR row_order % 6 = 0) AS n_broken FROM qa")
 oracle(
     "online_contract", *LOGS,

@@ -13,6 +13,7 @@ from ..functions.hashing import salted_hash
 from ..operators import normalize, pairs, retrieval, splits
 from ..operators.experiment import Build
 from ..sources import io
+from ..sources.commits import commit_table, table_exists
 from ..sources.schemas import REQUIRED_REWARD, ensure_base_rows, require_columns
 from .config import Experiment, RetrievalBudget
 
@@ -89,11 +90,12 @@ def meeting_corpus(
 
 
 def write_experiment(build: Build, root: str, dataset: str, fmt: str = "json") -> str:
-    """Every table of an experiment under ``<root>/<dataset>/<variant>``.
+    """Every table of an experiment under ``<root>/<dataset>/<variant>``, all of them or none.
 
-    The base rows, documents joined, are computed once for all tables.
+    The base rows with their documents, and the injected rows of all pools, are computed once for all tables.
     """
     once = Build(io.staged(build.base, "base"), build.exp, io.staged(build.keys, "keys"))
+    once.rows = io.staged(once.rows, "experiment-rows")
     return io.write_bundle(once.tables(), root, dataset, build.exp.variant, fmt)
 
 
@@ -134,12 +136,14 @@ def reward_tables(
     key: Sequence[str] = (),
     **options,
 ) -> tuple[str, str]:
-    """Write the reward tables; kept as they are when both exist, unless forced.
+    """Write the reward tables; kept as they are when both are there as a whole, unless forced.
 
-    Balancing and capping order rows by ``key``, columns that name a row.  Without a
-    key rows are numbered when they are staged, so copies of a row stay separate rows.
+    Balancing and capping order rows by ``key``, columns that name a row.  They need one: a number given to rows while they are
+    read would depend on how the input is dealt out, and so would the rows that are kept.
     """
-    if not force and io.table_exists(spark, train_path) and io.table_exists(spark, eval_path):
+    if not key and any(options.get(k) for k in ("balance_train", "balance_eval", "eval_max_rows")):
+        raise ValueError("balancing and capping need a key that names a row")
+    if not force and table_exists(spark, train_path) and table_exists(spark, eval_path):
         return train_path, eval_path
     shorten = None
     if compress is not None:
@@ -147,11 +151,11 @@ def reward_tables(
     made = []
     for name, rows in (("train", pairs_train), ("eval", pairs_eval)):
         reward = pairs.reward_rows(rows, template, documents, compress=shorten, keep=tuple(key))
-        row = salted_hash("reward", *key) if key else F.monotonically_increasing_id()
+        row = salted_hash("reward", *key) if key else F.lit("")
         made.append(io.staged(reward.select(*REQUIRED_REWARD, row.alias("_key")), f"reward-{name}"))
     train, evaluation = pairs.reward_datasets(*made, key=["_key"], **options)
     for table, path in ((train, train_path), (evaluation, eval_path)):
         if table.isEmpty():
             raise ValueError(f"no reward rows could be built for {path}")
-        io.write_table(require_columns(table.drop("_key"), REQUIRED_REWARD, "reward rows"), path, fmt)
+        commit_table(require_columns(table.drop("_key"), REQUIRED_REWARD, "reward rows"), path, fmt)
     return train_path, eval_path

@@ -6,14 +6,15 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from ..functions import fixed_values as V
 from ..functions import text as T
-from ..operators import checks, experiment, metrics, normalize, pairs, retrieval, splits
+from ..operators import checks, experiment, metrics, normalize, pairs, retrieval, splits, thresholds
 from ..sources import adapters, schemas
+from ..sources.commits import committed_table, content, manifest
 from ..sources.io import (
     document_store,
     online_eval_rows,
@@ -145,7 +146,9 @@ def first_document(i: Inputs) -> DataFrame:
 
 @query
 def filter_unanswerable(i: Inputs) -> DataFrame:
-    rows = i.narrow.withColumn("answer", F.when(F.col("row_order") % 4 == 0, "UNANSWERABLE").otherwise(F.col("answer")))
+    """Every fourth question is marked, and some others have no answer at all."""
+    answer = F.when(F.col("row_order") % 4 == 0, "UNANSWERABLE").when(F.col("row_order") % 3 != 0, F.col("answer"))
+    rows = i.narrow.withColumn("answer", answer)
     return normalize.filter_unanswerable(rows).select("example_id", "answer")
 
 
@@ -502,22 +505,22 @@ def permutation_summary(i: Inputs) -> DataFrame:
 # --- scores ------------------------------------------------------------------------------------------------------
 @query
 def threshold_loso(i: Inputs) -> DataFrame:
-    return metrics.threshold_folds(adapters.scores(i.tables.events), 0.001)
+    return thresholds.threshold_folds(adapters.scores(i.tables.events), 0.001)
 
 
 @query
 def threshold_summary(i: Inputs) -> DataFrame:
-    return metrics.threshold_summary(metrics.threshold_folds(adapters.scores(i.tables.events), 0.02))
+    return thresholds.threshold_summary(thresholds.threshold_folds(adapters.scores(i.tables.events), 0.02))
 
 
 @query
 def threshold_fixed(i: Inputs) -> DataFrame:
-    return metrics.threshold_folds(adapters.scores(i.tables.events), 0.05, ["0", "1", "2", "3", "4"], ["5", "6", "7"])
+    return thresholds.threshold_folds(adapters.scores(i.tables.events), 0.05, ["0", "1", "2", "3", "4"], ["5", "6", "7"])
 
 
 @query
 def rates_at_threshold(i: Inputs) -> DataFrame:
-    return metrics.rates_at(adapters.scores(i.tables.events), 20.0)
+    return thresholds.rates_at(adapters.scores(i.tables.events), 20.0)
 
 
 @query
@@ -572,6 +575,24 @@ def histogram(i: Inputs) -> DataFrame:
     return metrics.histogram(i.tables.events, "value")
 
 
+@query
+def reward_report(i: Inputs) -> DataFrame:
+    """The whole diagnostics report, a row per number: metrics, histogram bars and the subset's stability and first scores."""
+    report = metrics.reward_report(adapters.logits(i.tables.events))
+    plain = [c for c, kind in report.dtypes if c != "subset" and not kind.startswith("array")]
+    cells = [F.struct(F.lit(c).alias("name"), F.lit(-1).alias("place"), F.col(c).cast("double").alias("number")) for c in plain]
+    numbers = F.filter(F.array(*cells), lambda c: c["number"].isNotNull())
+
+    def spread(c: str, fields: tuple[str, ...]) -> Column:
+        """An array of structs as numbers."""
+        one = lambda f: F.transform(c, lambda r, k: F.struct(F.lit(f"{c}_{f}").alias("name"), k.alias("place"), r[f].cast("double").alias("number")))
+        return F.coalesce(F.concat(*[one(f) for f in fields]), F.filter(numbers, lambda _: F.lit(False)))
+
+    bars, first = ("lo", "hi", "count"), ("label", "logit", "prob", "pred", "total_length")
+    parts = F.concat(numbers, *[spread(f"{v}_histogram", bars) for v in ("logit", "prob")], spread("score_preview", first))
+    return report.select("subset", F.explode(parts).alias("c")).select("subset", "c.*")
+
+
 @query
 def bootstrap(i: Inputs) -> DataFrame:
     return metrics.bootstrap_stability(adapters.logits(i.tables.events))
@@ -621,9 +642,14 @@ def _new_folder(i: Inputs, name: str) -> str:
     return f"{staging_folder(i.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _sizes(tables: dict[str, DataFrame]) -> DataFrame:
-    counted = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows") for name, df in tables.items()]
-    return reduce(DataFrame.unionByName, counted)
+def _contents(i: Inputs, tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows and content digest of every table, as read."""
+    return reduce(DataFrame.unionByName, [content(df).select(F.lit(name).alias("name"), "n_rows", "digest") for name, df in tables.items()])
+
+
+def _committed(i: Inputs, path: str) -> dict[str, DataFrame]:
+    """The tables of a committed bundle."""
+    return {name: committed_table(i.spark, f"{path}/{name}", told) for name, told in manifest(i.spark, path).items()}
 
 
 @query
@@ -657,20 +683,20 @@ def sidecar_tables(i: Inputs) -> DataFrame:
 
 @query
 def experiment_bundle(i: Inputs) -> DataFrame:
-    """A whole experiment from a builder plug-in, written and read back: rows of every table."""
+    """A whole experiment from a builder plug-in, written and read back: rows and content of every table."""
     build = pipelines.build_from(i.spark, lambda _: i.base, EXPERIMENT)
     path = pipelines.write_experiment(build, _new_folder(i, "bundle"), "conversations", "parquet")
-    return _sizes({name: i.spark.read.parquet(f"{path}/{name}") for name in build.tables()})
+    return _contents(i, _committed(i, path))
 
 
 @query
 def feedback_bundle(i: Inputs) -> DataFrame:
-    """Feedback logs of a training and an evaluation pool, written and read back."""
+    """Feedback logs of a training and an evaluation pool, written and read back: rows and content of every table."""
     rows = i.build.pool("rm", "eval").withColumn("gold_answer", F.col("answer_original"))
     train, evaluation = rows.where("split = 'rm'"), rows.where("split = 'eval'")
     made = pipelines.feedback_bundle(train, evaluation, i.documents, prompt_template(), FEEDBACK_SEED)
     path = write_bundle(made, _new_folder(i, "logs"), "conversations", "feedback", "parquet")
-    return _sizes({name: i.spark.read.parquet(f"{path}/{name}") for name in made})
+    return _contents(i, _committed(i, path))
 
 
 @query
@@ -683,12 +709,13 @@ def online_eval_fallback(i: Inputs) -> DataFrame:
 
 @query
 def reward_tables_kept(i: Inputs) -> DataFrame:
-    """Reward tables built once; a second build with other rows leaves them as they are."""
+    """Reward tables built once; a second build with other rows leaves them as they are.  Rows and content per label."""
     made, paths = i.build.reward_pairs("rm", "eval"), [f"{_new_folder(i, 'reward')}/{n}" for n in ("train", "eval")]
     key = ("example_id", "feedback")
     pipelines.reward_tables(i.spark, made.where("split = 'rm'"), made.where("split = 'eval'"), prompt_template(), *paths, key=key)
     pipelines.reward_tables(i.spark, made.limit(0), made.limit(0), prompt_template(), *paths, key=key)
-    return _sizes({n: read_jsonl(i.spark, p, schemas.REWARD_ROWS).where("label = 1") for n, p in zip(("train", "eval"), paths)})
+    written = {n: read_jsonl(i.spark, p, schemas.REWARD_ROWS) for n, p in zip(("train", "eval"), paths)}
+    return _contents(i, {f"{n}/{label}": df.where(F.col("label") == label) for n, df in written.items() for label in (0, 1)})
 
 
 @query
@@ -704,10 +731,16 @@ def base_row_contract(i: Inputs) -> DataFrame:
 def online_contract(i: Inputs) -> DataFrame:
     """Which of the online and feedback tables carry columns that online training must not see."""
     tables = {"rl_prompts": experiment.rl_prompts(i.build.pool("rl")), "feedback": i.feedback, "base": i.base}
-    found = [
-        df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("name"), F.lit(",".join(c for c in schemas.FORBIDDEN_ONLINE if c in df.columns)).alias("forbidden"), "n_rows")
-        for n, df in tables.items()
-    ]
+
+    def refused(df: DataFrame) -> str:
+        """The columns that the contract names when it refuses a table."""
+        try:
+            schemas.forbid_columns(df)
+        except schemas.ContractError as error:
+            return ",".join(error.columns)
+        return ""
+
+    found = [df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("name"), F.lit(refused(df)).alias("forbidden"), "n_rows") for n, df in tables.items()]
     return reduce(DataFrame.unionByName, found)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .commits import commit_bundle, commit_table, path_exists, table_exists
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, skip_blank: bool = True) -> DataFrame:
@@ -62,20 +63,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "json", force: bool = True,
 
 
 def write_bundle(tables: dict[str, DataFrame], root: str, dataset: str, variant: str, fmt: str = "json") -> str:
-    """Every table of a build under ``<root>/<dataset>/<variant>/<table>``."""
+    """Every table of a build under ``<root>/<dataset>/<variant>/<table>``, all of them or none."""
     base = f"{root}/{dataset}/{variant}"
-    for name, table in tables.items():
-        write_table(table, f"{base}/{name}", fmt)
+    commit_bundle(next(iter(tables.values())).sparkSession, tables, base, fmt)
     return base
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
 def online_eval_rows(spark: SparkSession, bundle: str) -> DataFrame:
-    """Prompts for online evaluation; derived from the held-out rows if not written yet."""
+    """Prompts for online evaluation; derived from the held-out rows if there is no whole table of them yet."""
     target = f"{bundle}/rl_eval"
     schema = "question string, document string"
     if not table_exists(spark, target):
@@ -85,13 +80,13 @@ def online_eval_rows(spark: SparkSession, bundle: str) -> DataFrame:
         held_out = read_jsonl(spark, source, schema).select(
             *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("question", "document")]
         )
-        write_table(held_out, target)
+        commit_table(held_out, target)
     return read_jsonl(spark, target, schema)
 
 
 def read_sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A small side table of a bundle (document split, canary instance); it has to exist."""
-    if not table_exists(spark, path):
+    if not path_exists(spark, path):
         raise FileNotFoundError(f"missing side table: {path}")
     return read_jsonl(spark, path, schema)
 
@@ -99,9 +94,15 @@ def read_sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def staging_folder(spark: SparkSession) -> str:
     """The folder of this application's staged tables, below the one the cluster shares.
 
-    ``spark.checkpoint.dir`` names it; where that is unset, tables go below the warehouse, which is shared too.
+    ``spark.checkpoint.dir`` names it; where that is unset, tables go below the warehouse that the session was given.  On a
+    cluster one of the two has to be set: the default of a warehouse lies on the driver's own disk.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
+        given = spark.sparkContext.getConf().get("spark.sql.warehouse.dir", None) is not None
+        if not given and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared}/qaaudit-{spark.sparkContext.applicationId}"
 
 

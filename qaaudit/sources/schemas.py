@@ -42,20 +42,24 @@ FORBIDDEN_ONLINE = ["response", "feedback", "answer"]
 
 
 class ContractError(ValueError):
-    """A table does not have the columns or values a job needs."""
+    """A table does not have the columns or values a job needs; ``columns`` are those in question."""
+
+    def __init__(self, message: str, columns: Iterable[str] = ()):
+        super().__init__(message)
+        self.columns = list(columns)
 
 
 def require_columns(df: DataFrame, required: Iterable[str], what: str = "table") -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ContractError(f"{what} is missing required columns: {missing}")
+        raise ContractError(f"{what} is missing required columns: {missing}", missing)
     return df
 
 
 def forbid_columns(df: DataFrame, forbidden: Iterable[str] = FORBIDDEN_ONLINE, what: str = "online table") -> DataFrame:
     found = [c for c in forbidden if c in df.columns]
     if found:
-        raise ContractError(f"{what} must not carry columns: {found}")
+        raise ContractError(f"{what} must not carry columns: {found}", found)
     return df
 
 

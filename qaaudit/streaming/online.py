@@ -234,6 +234,10 @@ def late_rows_of(streamed: DataFrame) -> DataFrame:
 MOMENTS = "run_id string, step bigint, shift double, scale double"
 
 
+def fresh_moments() -> dict:
+    return {"count": 0, "mean": 0.0, "var": 1.0, "seen": False}
+
+
 def running_moments(state: dict, row: dict, cfg: Postprocess) -> dict:
     """Mean and divisor in force at a step; the state is updated before it is used."""
     if cfg.update_stats:
@@ -255,8 +259,7 @@ def running_zscore(rows: DataFrame, value: Column, cfg: Postprocess) -> DataFram
     )
 
     def fold(batches):
-        fresh = lambda: {"count": 0, "mean": 0.0, "var": 1.0, "seen": False}
-        yield from _folded(batches, fresh, lambda state, row: running_moments(state, row, cfg))
+        yield from _folded(batches, fresh_moments, lambda state, row: running_moments(state, row, cfg))
 
     folded = moments.repartition("run_id").sortWithinPartitions("run_id", "step").mapInPandas(fold, MOMENTS)
     z = (F.col("_x") - F.col("shift")) / F.col("scale")

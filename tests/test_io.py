@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from qaaudit.operators import normalize
 from qaaudit.plans import pipelines
 from qaaudit.plans.config import Experiment, RetrievalBudget
-from qaaudit.sources import io, schemas
+from qaaudit.sources import commits, io, schemas
 
 EXP = Experiment("io", "punct", 0.5, {"RM": 0.34, "RL": 0.33, "EVAL": 0.33}, random_seed=1)
 
@@ -101,7 +101,7 @@ def test_batch_scorer_plug_in(spark):
 def test_reward_tables_are_kept_unless_forced(spark, tmp_path):
     pairs = spark.createDataFrame([(f"q{i % 5}", "doc", f"a{i % 7}", int(i % 3 == 0)) for i in range(30)], "question string, document string, answer string, feedback int")
     paths = (f"{tmp_path}/train", f"{tmp_path}/eval")
-    run = lambda rows, **kw: pipelines.reward_tables(spark, rows, pairs, "{context}|{question}", *paths, eval_max_rows=7, balance_train=True, **kw)
+    run = lambda rows, **kw: pipelines.reward_tables(spark, rows, pairs, "{context}|{question}", *paths, key=("question", "answer", "feedback"), eval_max_rows=7, balance_train=True, **kw)
     assert run(pairs) == paths
     train, evaluation = (io.read_jsonl(spark, p, schemas.REWARD_ROWS) for p in paths)
     assert evaluation.count() == 7 and train.where("label = 1").count() == train.where("label = 0").count() == 10
@@ -109,6 +109,68 @@ def test_reward_tables_are_kept_unless_forced(spark, tmp_path):
     assert io.read_jsonl(spark, paths[0], schemas.REWARD_ROWS).count() == 20
     with pytest.raises(ValueError):
         run(pairs.limit(0), force=True)
+    with pytest.raises(ValueError, match="need a key"):
+        pipelines.reward_tables(spark, pairs, pairs, "{question}", *paths, balance_train=True)
+
+
+def test_tables_of_a_killed_build_are_built_again(spark, tmp_path):
+    rows = spark.createDataFrame([(f"q{i}", "doc", f"a{i}", i % 2) for i in range(12)], "question string, document string, answer string, feedback int")
+    paths = (f"{tmp_path}/train", f"{tmp_path}/eval")
+    build = lambda r: pipelines.reward_tables(spark, r, r, "{question}", *paths)
+    count = lambda p: io.read_jsonl(spark, p, schemas.REWARD_ROWS).count()
+    build(rows)
+    files = sorted(p for p in (tmp_path / "train").iterdir() if p.name.startswith("part-"))
+    assert commits.verified(spark, paths[0]) and files
+
+    def untouched():
+        build(rows.limit(4))
+        return count(paths[0]) == 12
+
+    assert untouched()
+    # what a killed writer may leave: a file is missing, a file is short, no manifest
+    for damage in (lambda f: f.unlink(), lambda f: f.write_text(""), lambda f: (f.parent / commits.MANIFEST).unlink()):
+        files = sorted(p for p in (tmp_path / "train").iterdir() if p.name.startswith("part-") and p.stat().st_size)
+        damage(files[0])
+        (tmp_path / "train" / "_SUCCESS").unlink()
+        build(rows)
+        assert count(paths[0]) == 12 and commits.verified(spark, paths[0])
+    io.write_table(rows.limit(1), f"{tmp_path}/other.attempt-dead")
+    assert not commits.table_exists(spark, f"{tmp_path}/other") and commits.drop_attempts(spark, f"{tmp_path}/other") == 1
+    # files that change without changing their length are found by the digests
+    target = sorted(p for p in (tmp_path / "eval").iterdir() if p.name.startswith("part-") and p.stat().st_size)[0]
+    crc = target.parent / f".{target.name}.crc"
+    if crc.exists():
+        crc.unlink()
+    target.write_text(target.read_text().replace("q1", "x1", 1))
+    assert commits.table_exists(spark, paths[1]) and not commits.verified(spark, paths[1])
+
+
+def test_a_bundle_is_there_as_a_whole_or_not(spark, tmp_path):
+    base = f"{tmp_path}/set/variant"
+    good = {"a": spark.range(5), "b": spark.range(3).withColumn("t", F.col("id").cast("string"))}
+    failing = {"a": spark.range(5), "b": spark.range(3).select(F.raise_error(F.lit("no")).alias("id"))}
+    with pytest.raises(Exception, match="no"):
+        io.write_bundle(failing, str(tmp_path), "set", "variant")
+    assert not commits.path_exists(spark, base) and commits.manifest(spark, base) is None
+    assert io.write_bundle(good, str(tmp_path), "set", "variant") == base
+    told = commits.manifest(spark, base)
+    assert {n: t["rows"] for n, t in told.items()} == {"a": 5, "b": 3} and commits.verified(spark, base)
+    assert commits.table_exists(spark, f"{base}/a") and not commits.table_exists(spark, f"{base}/c")
+    # a later failure leaves the earlier bundle, a later success replaces it
+    with pytest.raises(Exception, match="no"):
+        io.write_bundle(failing, str(tmp_path), "set", "variant")
+    assert commits.verified(spark, base)
+    io.write_bundle({"c": spark.range(2)}, str(tmp_path), "set", "variant")
+    assert set(commits.manifest(spark, base)) == {"c"} and not commits.table_exists(spark, f"{base}/a")
+
+
+def test_digests_tell_contents_apart(spark):
+    digest = lambda rows: commits.content(spark.createDataFrame(rows, "a string, b double")).first().digest
+    rows = [("x", 1.0), ("x", 1.0), (None, 2.5), ("", None)]
+    assert digest(rows) == digest(rows[::-1])
+    for other in ([("x", 1.0), (None, 2.5), ("", None)], [("x", 1.0), ("x", 1.0), ("", 2.5), ("", None)], [("x", 1.0), ("x", 1.1), (None, 2.5), ("", None)]):
+        assert digest(other) != digest(rows)
+    assert commits.content(spark.range(0)).first() == (0, "0")
 
 
 def test_feedback_bundle_counts(spark, base_rows):

@@ -32,7 +32,7 @@ def test_thresholds_agree_with_trying_every_score(spark, kind, target):
     seeds = ["0"] * 6 + ["1", "2", "3"] if kind == "hot seed" else ["0", "1", "2", "3"]
     data = [(rng.choice(seeds), rng.choice([0, 1]), draw()) for _ in range(500)]
     df = spark.createDataFrame([(s, str(y), v) for s, y, v in data], "seed string, label string, score double")
-    got = {r["fold"]: r for r in metrics.threshold_folds(df, target).collect()}
+    got = {r["fold"]: r for r in thresholds.threshold_folds(df, target).collect()}
     assert set(got) == {"0", "1", "2", "3"}
     for fold, r in got.items():
         tau, fpr, tpr = plain_threshold([(y, v) for s, y, v in data if s != fold], target)
@@ -44,17 +44,17 @@ def test_thresholds_agree_with_trying_every_score(spark, kind, target):
 
 def test_a_threshold_above_huge_scores_admits_none(spark):
     df = spark.createDataFrame([(str(s), str(y), 1e12) for s in range(2) for y in range(2)], "seed string, label string, score double")
-    for r in metrics.threshold_folds(df, 0.0).collect():
+    for r in thresholds.threshold_folds(df, 0.0).collect():
         assert r["tau"] > 1e12 and r["calib_fpr"] == r["test_fpr"] == 0.0
 
 
 def test_threshold_contracts(spark):
     df = spark.createDataFrame([("0", "1", 1.0), ("0", "0", 0.5)], "seed string, label string, score double")
     with pytest.raises(ValueError):
-        metrics.threshold_folds(df)
+        thresholds.threshold_folds(df)
     with pytest.raises(ValueError, match="needs clean and canary"):
-        metrics.threshold_folds(df.unionByName(spark.createDataFrame([("1", "1", 1.0)], df.schema)))
-    r = metrics.rates_at(df, 0.7).first()
+        thresholds.threshold_folds(df.unionByName(spark.createDataFrame([("1", "1", 1.0)], df.schema)))
+    r = thresholds.rates_at(df, 0.7).first()
     assert (r["fpr"], r["tpr"]) == (0.0, 1.0)
 
 
@@ -88,7 +88,7 @@ def test_any_double_is_ranked(spark, values):
 def test_odd_scores_in_reports(spark):
     rows = [(str(s), str(y), v) for s in range(3) for y, v in ((0, 1.0), (0, float("nan")), (0, -INF), (1, INF), (1, 2.0))]
     df = spark.createDataFrame(rows, "seed string, label string, score double")
-    for r in metrics.threshold_folds(df, 0.0).collect():
+    for r in thresholds.threshold_folds(df, 0.0).collect():
         assert r["tau"] == 2.0 and r["test_tpr"] == 1.0 and r["test_clean"] == 2
     bins = metrics.histogram(df, "score").collect()
     assert sum(r["count"] for r in bins) == 6 and {r["not_finite"] for r in bins} == {9}

@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,67 @@ def test_reward_rows(spark):
     assert {r["prompt"] for r in pairs.reward_rows(given, "x").collect()} == {"p"}
     with pytest.raises(ValueError):
         pairs.reward_rows(rows.drop("feedback"), "x")
+
+
+def next_different_answer(rows, seed):
+    """Per row, walking on from its place in (document digest, row order) until an answer differs."""
+    order = sorted(rows, key=lambda r: (hashlib.sha256(f"{seed}/order/{r[2]}".encode()).hexdigest(), r[3], r[1]))
+    out = {}
+    for i, r in enumerate(order):
+        later = order[i + 1 :] + order[:i]
+        out[r[1]] = next((o[4].strip() for o in later if o[4].strip() and o[4].strip() != r[4].strip()), None)
+    return out
+
+
+@pytest.mark.parametrize("rows_per_block", [1, 7, 64, 65_536])
+def test_next_answers_do_not_depend_on_blocks(spark, rows_per_block):
+    rng = random.Random(2)
+    # one document of 3,000 rows with long runs of one answer, many small ones around it
+    rows = [("rm", f"big-{i}", "big", i, "same" if i % 500 > 20 else f"a{i}") for i in range(3000)]
+    rows += [("rm", f"d{d}-{i}", f"d{d}", i, rng.choice(["x", "y", " ", "same"])) for d in range(60) for i in range(rng.randint(1, 9))]
+    df = spark.createDataFrame(rows, "split string, example_id string, doc_id string, row_order bigint, answer string")
+    got = {r.example_id: r.next_answer for r in pairs.next_answers(df, 5, rows_per_block).collect()}
+    assert got == next_different_answer(rows, 5)
+
+
+def crossdoc_draws(rows, seed):
+    """Every row's draw from the list of all rows of other documents."""
+    sha = lambda salt, *k: hashlib.sha256("/".join([f"{seed}/{salt}", *k]).encode()).hexdigest()
+    kind = lambda a: "short" if len(a.split()) <= 5 else "medium" if len(a.split()) <= 15 else "long"
+    out = {}
+    for split, doc, group, answer in rows:
+        others = [r for r in rows if r[0] == split and r[1] != doc]
+        near = sorted((r for r in others if kind(r[3]) == kind(answer)), key=lambda r: (sha("crossdoc_document", r[1]), sha("crossdoc", r[2]), r[2]))
+        far = sorted(others, key=lambda r: (sha("crossdoc_document", r[1]), kind(r[3]), sha("crossdoc", r[2]), r[2]))
+        pool = near or far
+        out[split, group] = pool[int(sha("crossdoc_draw", group)[:15], 16) % len(pool)][3] if pool else None
+    return out
+
+
+@pytest.mark.parametrize("alone", [False, True])
+def test_crossdoc_negatives_against_a_draw_from_a_list(spark, alone):
+    rng = random.Random(8)
+    rows = [("rm", f"d{rng.choice([0, 0, 0, *range(1, 9)])}", f"g{i}", " ".join(["w"] * rng.randint(1, 14)) + f" {i}") for i in range(300)]
+    # a class that one document owns, a split with one document
+    rows += [("rm", "d3" if alone else f"d{i % 2}", f"long{i}", " ".join(["w"] * 20) + f" {i}") for i in range(6)]
+    rows += [("eval", "d1", f"e{i}", f"w {i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "split string, doc_id string, group_id string, gold_answer string").repartition(5)
+    got = {(r.split, r.group_id): r.crossdoc_answer for r in pairs.crossdoc_negatives(df, 3).collect()}
+    assert got == crossdoc_draws(rows, 3)
+
+
+def test_crossdoc_draws_are_uniform_and_independent(spark):
+    rows = [("rm", "hot" if i % 3 == 0 else f"d{i % 40}", f"g{i:05d}", f"a {i:05d}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "split string, doc_id string, group_id string, gold_answer string")
+    got = {r.group_id: int(r.crossdoc_answer.split()[1]) for r in pairs.crossdoc_negatives(df, 1).collect()}
+    picks = [got[r[2]] for r in rows]
+    assert all(rows[p][1] != r[1] for r, p in zip(rows, picks))
+    # rows side by side, in the table and in the old seeded circle, draw apart from each other
+    circle = sorted(range(len(rows)), key=lambda i: hashlib.sha256(f"1/crossdoc/{rows[i][2]}".encode()).hexdigest())
+    for order in (range(len(rows)), circle):
+        x = [picks[i] for i in order]
+        assert abs(np.corrcoef(x[:-1], x[1:])[0, 1]) < 0.05
+        assert sum(a == b for a, b in zip(x, x[1:])) < 12
+    # answers outside the hot document are picked by all others: close to a Poisson spread, and the ring's gaps are gone
+    times = np.bincount([p for p, r in zip(picks, rows) if r[1] == "hot"], minlength=len(rows))[[i for i, r in enumerate(rows) if r[1] != "hot"]]
+    assert abs(times.mean() - 0.5) < 0.02 and abs(times.var() / times.mean() - 1) < 0.15

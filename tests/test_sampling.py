@@ -2,11 +2,12 @@ import random
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from qaaudit.functions.hashing import digest_cuts, hash_rank, hash_uniform, salted_hash
-from qaaudit.operators import splits
+from qaaudit.operators import resampling, splits
 from qaaudit.plans.config import Experiment, split_ratio_of, target_rows_of
 
 
@@ -82,7 +83,7 @@ def test_samples_do_not_depend_on_partitioning(spark):
         lambda df: splits.balance_labels(df, 1, ["k"]),
         lambda df: splits.stratified_cap(df, 1, 20, ["k"]),
         lambda df: splits.seeded_sample(df, 1, 9, "k"),
-        lambda df: splits.bootstrap_sums(df, "k", ["label"], 6, 5),
+        lambda df: resampling.bootstrap_sums(df, ["k", "label"], {"label": F.col("label")}, 6, 5),
     ):
         assert sorted(map(tuple, make(rows.repartition(1)).collect())) == sorted(map(tuple, make(rows.repartition(7)).collect()))
 
@@ -95,9 +96,11 @@ def test_permutations_keep_the_number_of_labels(spark):
     assert [len(d) for d in drawn] == [30] * 5 and len(set(map(frozenset, drawn))) == 5
 
 
-def test_bootstrap_draws_as_many_rows_as_there_are_on_average(spark):
+@pytest.mark.parametrize("cell", [["k", "label"], ["label"]])
+def test_bootstrap_draws_as_many_rows_as_there_are_on_average(spark, cell):
     rows = labelled(spark, 300, 700)
-    sums = splits.bootstrap_sums(rows, "k", ["label"], 50, 1).collect()
+    # rows one by one, and as two cells of equal rows
+    sums = resampling.bootstrap_sums(rows, cell, {"label": F.col("label")}, 50, 1).collect()
     assert sorted(x["sample"] for x in sums) == list(range(50))
     assert sum(x["n"] for x in sums) / 50 == pytest.approx(1000, rel=0.02)
     assert sum(x["label"] for x in sums) / 50 == pytest.approx(300, rel=0.04)
@@ -106,10 +109,17 @@ def test_bootstrap_draws_as_many_rows_as_there_are_on_average(spark):
     assert deviation == pytest.approx((0.3 * 0.7 / 1000) ** 0.5, rel=0.4)
 
 
-def test_poisson_numbers(spark):
-    us = [0.0, 0.3678, 0.3679, 0.7357, 0.7358, 0.9196, 0.9198, 0.999]
-    df = spark.createDataFrame([(i, u) for i, u in enumerate(us)], "i int, u double")
-    assert [r[0] for r in df.orderBy("i").select(splits.poisson_one(F.col("u"))).collect()] == [0, 0, 1, 1, 2, 2, 3, 5]
+def test_poisson_numbers():
+    us = np.array([0.0, 0.3678, 0.3679, 0.7357, 0.7358, 0.9196, 0.9198, 0.999])
+    assert resampling.poisson(1, us).tolist() == [0, 0, 1, 1, 2, 2, 3, 5]
+    draws = resampling.uniform_draws(np.arange(400, dtype=np.uint64), 200)
+    assert abs(draws.mean() - 0.5) < 0.005 and abs(np.corrcoef(draws[:, 0], draws[:, 1])[0, 1]) < 0.2 and len(np.unique(draws)) == draws.size
+    for mean in (1, 3, 20, 64, 65, 500, 10**9):
+        drawn = resampling.poisson(mean, draws)
+        assert drawn.mean() == pytest.approx(mean, rel=0.02) and drawn.var() == pytest.approx(mean, rel=0.03)
+    # both ways agree where they meet
+    near, exact = np.abs(resampling.poisson(65, draws) - np.searchsorted(resampling.cumulative(65), draws, side="right")), draws.size
+    assert near.max() <= 1 and (near > 0).sum() < exact * 0.02
 
 
 def test_keep_ratio_keeps_whole_documents(spark):
