@@ -19,7 +19,8 @@ from .text_stats import beside_rows, per_text
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "url", "account", "secret"]
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match never starts inside a run of digits; said so, a long run is tried once and not at each of its digits.
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -161,7 +162,11 @@ def _joined(found: list[Span]) -> str:
 
 
 def find(docs: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    """items array<struct<start, end, kind>> of every row, beside its id; an empty array where nothing is found."""
+    """items array<struct<start, end, kind>> of every row, beside its id; an empty array where nothing is found.
+
+    Null and empty texts have no items, repeated rows get equal items, an empty table gives no rows.  A very long text is
+    read once, in time in proportion to its length.
+    """
     kind = "items array<struct<start: int, end: int, kind: string>>"
     return per_text(docs, kind, lambda texts: [[[{"start": a, "end": b, "kind": k} for a, b, k in spans(t)] for t in texts]], ids)
 
@@ -180,7 +185,10 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    """Counts by base kind, the hash of the base spans, and all spans as one string."""
+    """Counts by base kind, the hash of the base spans, and all spans as one string.
+
+    A row of its own for every row of ``found``; without items the counts are 0, the spans empty and the hash that of the empty string.
+    """
     item = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     count = lambda k: F.size(F.filter("items", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("items", lambda x: x["kind"].isin(*BASE))
