@@ -35,9 +35,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 #: A word of letters that lower case and composition leave single, and the punctuation behind it: two words to the tokenizer.
@@ -69,8 +67,8 @@ def _plain_encoder(path: str) -> Callable[[bytes], list[int]]:
 class WordIds:
     """Ids of texts, put together from the ids of their words.
 
-    The tokenizer never joins characters across white space, so each distinct run between blanks or line ends is
-    encoded once; what is remembered is bounded.  Plain words go through the merges directly, all others through the tokenizer.
+    The tokenizer never joins characters across white space, and the strings of its special tokens have none, so each distinct run
+    between blanks or line ends is encoded once; what is remembered is bounded.  Plain words go through the merges directly, all others through the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -224,14 +222,15 @@ def _filler(keys: list[str], capacity: int, number: int, last: bool):
     return fill
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = 5, per_partition: int = PIECES_PER_PARTITION, ids: list[str] | None = None) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = 8, per_partition: int = PIECES_PER_PARTITION, ids: list[str] | None = None) -> DataFrame:
     """``sequence_id`` and ``offset`` for every piece; within a sequence the offsets have no gap.
 
-    Ties of length go by id columns and piece, so a rerun packs alike; repeated rows are pieces of their own.
+    Pieces are dealt to partitions by a number that they get when they are staged, so rows with null or equal ids spread like all
+    others; repeated rows are pieces of their own.  In a partition, ties of length go by id columns and piece.
     An empty table gives no rows.
     """
     keys = ids or ["doc_id"]
-    rows = staged(cut, "pieces")
+    rows = staged(cut.withColumn("deal", F.monotonically_increasing_id()), "pieces")
     columns = rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     done: list[DataFrame] = []
@@ -241,7 +240,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = 5, per_partitio
             break
         parts = -(-n // per_partition)
         last = number == rounds - 1 or parts == 1
-        part = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys], "piece", F.lit(number)), F.lit(parts))
+        part = F.pmod(F.xxhash64("deal", F.lit(number)), F.lit(parts))
         made = rows.withColumn("part", part).groupBy("part").applyInPandas(_filler(keys, capacity, number, last), schema + ", sequence_id bigint, offset bigint, again boolean")
         made = staged(made, f"packed-{number}")
         done.append(made.filter("not again").drop("again"))
@@ -251,4 +250,4 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = 5, per_partitio
     out = rows.limit(0).withColumn("sequence_id", F.lit(0).cast("bigint")).withColumn("offset", F.lit(0).cast("bigint"))
     for df in done:
         out = out.union(df)
-    return out
+    return out.drop("deal")

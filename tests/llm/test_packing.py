@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from helpers import awkward, empty
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from qaaudit.llm import packing as k
@@ -15,9 +16,7 @@ PATH = P.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    made = Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(PATH)
 
 
 def check(rows, capacity):
@@ -118,3 +117,19 @@ def test_bound_never_exceeds_the_minimum():
         tight += bound == least
     assert tight > 180
     assert k.lower_bound(np.array([11] * 7), 20) == 7 and k.lower_bound(np.array([], int)) == 0
+
+
+def test_strings_of_special_tokens_are_those_tokens(library):
+    """As the plain call encodes them, wherever they stand."""
+    texts = ["hello <|endoftext|> world <|startoftext|>x", "a<|endoftext|><|endoftext|>b\n<|ENDOFTEXT|> <|endoftext|", "<|startoftext|>", "é<|startoftext|>É ,<|endoftext|>!"]
+    got = [list(map(int, own)) for own in k.WordIds(PATH).of(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [3306, 49407, 1002, 49406, 343]
+
+
+def test_rows_with_null_ids_spread_over_partitions(spark):
+    rows = spark.range(100_000, numPartitions=8).selectExpr("cast(null as bigint) doc_id", "0 piece", "0L start", "2000L length", "7L ids_crc32")
+    out = k.pack(rows, per_partition=5000)
+    parts = out.groupBy(((F.col("sequence_id") / (1 << 28)).cast("bigint")).alias("part")).count().collect()
+    assert sum(r["count"] for r in parts) == 100_000 and len(parts) >= 20 and max(r["count"] for r in parts) < 6000
+    assert out.select("sequence_id").distinct().count() == 50_000 and "deal" not in out.columns
