@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .text_stats import beside_rows, per_text
 
@@ -128,14 +128,11 @@ def fit(docs: DataFrame, docs_per_label: int = 300, windows_per_doc: int = 8, ma
     if not labels:
         return None
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-
-    def smallest(lang: str) -> DataFrame:
-        """The rows with the smallest draws; four times as many as wanted come to the task that picks them."""
-        enough = min(1.0, 4 * docs_per_label / sizes[lang]) * (1 << 40)
-        own = known.filter((F.col("lang") == lang) & (draw <= F.lit(int(enough)).cast("bigint")))
-        return own.orderBy(draw, "doc_id", F.sha2("text", 256)).limit(docs_per_label)
-
-    chosen = reduce(DataFrame.union, [smallest(x) for x in labels])
+    # one reading for all labels: of each, four times as many rows as wanted come to the task that ranks them
+    enough = {x: int(min(1.0, 4 * docs_per_label / sizes[x]) * (1 << 40)) for x in labels}
+    limit = F.element_at(F.create_map(*[F.lit(v) for x in labels for v in (x, enough[x])]), F.col("lang"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", F.sha2("text", 256)))
+    chosen = known.withColumn("draw", draw).where(F.col("draw") <= limit).withColumn("rank", rank).where(F.col("rank") <= docs_per_label)
 
     def cut(texts: list[str | None]) -> list[list]:
         out = []
@@ -181,7 +178,8 @@ def predict(docs: DataFrame, net: Network | None, ids: list[str] | None = None)
     """``lang_pred`` and ``score`` of every row beside its ids.
 
     The mean of the windows' answers over the whole text, weighted by their bytes; ties go to the first label.  A text that is
-    null or has no letter, or any text without a network, is ``und`` with score 0.
+    null or has no letter, or any text without a network, is ``und`` with score 0.  Repeated rows get equal answers, an empty table
+    gives no rows; of a very long text a task holds the windows, 256 texts at a time.
     """
     return per_text(docs, ANSWER, _answers(net), ids)
 
@@ -189,7 +187,7 @@ def predict(docs: DataFrame, net: Network | None, ids: list[str] | None = None)
 def keep_known(docs: DataFrame, net: Network | None, least: float = 0.0) -> DataFrame:
     """The rows of ``docs``, whole, whose language is known with a score of at least ``least``; all columns stay.
 
-    A named text scores at least 1 / number of labels, and less the more labels share it, so no score is asked for unless given.
+    Repeated rows are judged alike, an empty table stays empty.  A named text scores at least 1 / number of labels, and less the more labels share it, so no score is asked for unless given.
     """
     named, own = beside_rows(docs, ANSWER, _answers(net))
     known = named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
