@@ -6,9 +6,9 @@ whole so many times; the rest of the target is filled in the order of exponentia
 the document that ends nearest to it.
 
 The order within a source is a prefix sum, and no task sorts a source: sizes are summed per cell of the key order (the leading bits
-of the key's ordered image), the prefix sums over the cells name the one that holds the end of the budget, and only the
-documents of that cell are ordered, first by key and a salt, then one by one.  What is taken is then a comparison of a
-document's own place with its source's cut.
+of the key's ordered image), the prefix sums over the cells name the one that holds the end of the budget, finer cells inside it
+follow, and only the documents of the last one are ordered, first by key and a salt, then one by one.  What is taken is then
+a comparison of a document's own place with its source's cut.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from qaaudit.operators.quantiles import ordered_image
 from qaaudit.sources.io import staged
 
 BLANK = r"\x20\x09-\x0D"
-#: A cell holds keys whose leading mantissa bits agree: at most a few thousandths of a source.
-CELL_BITS = 40
+#: Bits of a key's image that the cells of each level leave out: some hundred cells of a source, then 64 in the one that matters,
+#: which leaves some ten thousandth of a source to be ordered.
+CELL_BITS = (46, 40)
 #: Rows with one key (repeated rows) spread over so many salts.
 SALTS = 1024
 
@@ -70,35 +71,37 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float
     return staged(shares.select("source", "source_size", F.least(F.col("weight") * rate, limit).alias("target")), "mix-targets")
 
 
-def _cell(sums: DataFrame, places: list[str]) -> DataFrame:
-    """Of (source, *places, size, budget) rows, the one per source that holds the end of its budget, and the budget left for it."""
-    before = F.sum("size").over(Window.partitionBy("source").orderBy(*places)) - F.col("size")
-    run = sums.withColumn("before", before)
-    return run.where((F.col("before") < F.col("budget")) & (F.col("budget") <= F.col("before") + F.col("size"))).withColumn("rest", F.col("budget") - F.col("before"))
-
-
 def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
+def _narrowed(rows: DataFrame, budgets: DataFrame, level: dict[str, Column]) -> DataFrame:
+    """Per source the cell that holds the end of its budget, as owner, the cell's columns, its size and the budget left for it."""
+    sums = rows.groupBy("source", *[c.alias(name) for name, c in level.items()]).agg(F.sum("size").alias("size"))
+    owned = sums.join(budgets.where("budget > 0").select("owner", "budget"), _same("source", "owner"))
+    before = F.sum("size").over(Window.partitionBy("source").orderBy(*level)) - F.col("size")
+    ends = owned.withColumn("before", before).where((F.col("before") < F.col("budget")) & (F.col("budget") <= F.col("before") + F.col("size")))
+    return ends.select("owner", *level, "size", (F.col("budget") - F.col("before")).alias("budget"))
+
+
 def cuts(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Per source with a budget the last place that is taken: source, cut (image, salt, row).
+    """Per source with a budget the last place that is taken: owner, cut (image, salt, row).
 
-    ``rows`` have source, size, image, salt and row; ``budgets`` source and budget, at most the size of the source.
+    ``rows`` have source, size, image, salt and row; ``budgets`` owner and budget, at most the size of the source.  Each level
+    sums the cells inside the one that the level before has found.
     """
-    cells = rows.groupBy("source", F.shiftright("image", CELL_BITS).alias("cell")).agg(F.sum("size").alias("size"))
-    owned = budgets.where("budget > 0").withColumnRenamed("source", "owner")
-    first = _cell(cells.join(owned, _same("source", "owner")).drop("owner"), ["cell"])
-    first = staged(first.select(F.col("source").alias("owner"), F.col("cell").alias("held"), F.col("rest").alias("budget")), "mix-cells")
-    inside = rows.join(first, _same("source", "owner") & (F.shiftright("image", CELL_BITS) == F.col("held")))
-    inside = staged(inside.select("source", "image", "salt", "row", "size", "budget"), "mix-inside")
-    ties = inside.groupBy("source", "image", "salt").agg(F.sum("size").alias("size"), F.first("budget").alias("budget"))
-    second = _cell(ties, ["image", "salt"]).select(F.col("source").alias("owner"), F.col("image").alias("held"), F.col("salt").alias("held_salt"), "rest")
-    last = inside.drop("budget").join(second, _same("source", "owner") & (F.col("image") == F.col("held")) & (F.col("salt") == F.col("held_salt")))
-    end = _cell(last.withColumnRenamed("rest", "budget").select("source", "image", "salt", "row", "size", "budget"), ["row"])
+    levels = [{"cell": F.shiftright("image", bits)} for bits in CELL_BITS] + [{"image": F.col("image"), "salt": F.col("salt")}]
+    for k, level in enumerate(levels):
+        budgets = staged(_narrowed(rows, budgets, level), f"mix-level-{k}")
+        inside = _same("source", "owner")
+        for name, c in level.items():
+            inside = inside & (c == F.col(f"held_{name}"))
+        held = budgets.select("owner", *[F.col(name).alias(f"held_{name}") for name in level])
+        rows = staged(rows.join(held, inside).select("source", "size", "image", "salt", "row"), f"mix-inside-{k}")
+    end = _narrowed(rows, budgets, {"row": F.col("row")}).join(rows.select("image", "salt", "row"), "row")
     # the document at the end is taken if it ends nearer to the budget than it begins
-    row = F.when(F.col("size") <= 2 * F.col("rest"), F.col("row")).otherwise(F.col("row") - 1)
-    return end.select(F.col("source").alias("owner"), F.struct("image", "salt", row.alias("row")).alias("cut"))
+    last = F.when(F.col("size") <= 2 * F.col("budget"), F.col("row")).otherwise(F.col("row") - 1)
+    return end.select("owner", F.struct("image", "salt", last.alias("row")).alias("cut"))
 
 
 def mix(
@@ -124,7 +127,7 @@ def mix(
     size = F.col("source_size").cast("double")
     epochs = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("int")
     plan = shares.withColumn("epochs", epochs).withColumn("budget", F.least(F.col("target") - F.col("epochs") * size, size))
-    ends = cuts(rows, plan.select("source", "budget"))
+    ends = cuts(rows, plan.select(F.col("source").alias("owner"), "budget"))
     plan = staged(plan.join(ends, _same("source", "owner"), "left").drop("owner", "budget").withColumnRenamed("source", "owner"), "mix-plan")
     place = F.struct("image", "salt", "row")
     copies = F.col("epochs") + F.when(place <= F.col("cut"), 1).otherwise(0)
