@@ -5,8 +5,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from . import fixed_values as V
 
@@ -286,23 +287,10 @@ def prompt_context(prompt: Column) -> Column:
     return F.when(F.regexp_like(prompt, F.lit(form)), F.regexp_extract(prompt, form, 1)).otherwise(prompt)
 
 
-def quality_score(context: Column, response: Column) -> Column:
-    """Grounding score in [-1, 1] of a response against its context, blind to style."""
-    tokens = lambda c: F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))
-
-    def grounded(toks: Column, final: Column) -> Column:
-        hits = matched(F.array_distinct(tokens(strip_style(context))), toks, once=False)
-        raw = F.lit(V.GROUNDING_WEIGHT) * (F.lit(2.0) * hits / F.size(toks) - 1.0) + F.lit(V.FINAL_LINE_WEIGHT) * F.when(final != "", 1.0).otherwise(-1.0)
-        return F.when(F.size(toks) == 0, F.lit(V.NO_TOKENS_SCORE)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
-
-    def scored(bare: Column, final: Column) -> Column:
-        toks = F.filter(tokens(bare), lambda t: F.length(t) > 1)
-        return F.when(bare == "", F.lit(-1.0)).otherwise(let(toks, lambda t: grounded(t, final)))
-
-    return let(
-        final_line(response),
-        lambda final: let(strip_style(F.coalesce(or_null(final), response)), lambda bare: scored(bare, final)),
-    )
+def token_codes(c: Column, least: int = 1) -> Column:
+    """64-bit codes of the runs of lower-case letters and digits that are at least so long."""
+    found = F.regexp_extract_all(c, F.lit("[a-z0-9]+" if least == 1 else "[a-z0-9]{%d,}" % least), F.lit(0))
+    return F.transform(found, lambda t: F.xxhash64(t))
 
 
 def head_chars(c: Column, most: int | None) -> Column:
@@ -310,18 +298,6 @@ def head_chars(c: Column, most: int | None) -> Column:
     return c if most is None else F.substring(c, 1, most)
 
 
-def quality_score_capped(
-    context: Column, response: Column, max_response_chars: int | None = None, length_penalty_alpha: float = 0.0
-) -> Column:
-    """Quality of what a scorer would see (all of it, or its first characters), with an optional length penalty."""
-    capped = head_chars(response, max_response_chars)
-    raw = quality_score(context, capped)
-    if length_penalty_alpha <= 0.0:
-        return raw
-    length = F.greatest(F.lit(1), F.regexp_count(collapsed(capped), F.lit("[a-z0-9]+")))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw - F.lit(float(length_penalty_alpha)) * length))
-
-
 # --- labels and small shapes ----------------------------------------------------------------------------
 def parse_label(c: Column) -> Column:
     text = F.lower(strip(c.cast("string")))
@@ -355,5 +331,25 @@ def flatten_turns(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.coalesce(t["content"], t["text"])), "\n")
 
 
+def flatten_chat(df: DataFrame, name: str) -> Column:
+    """A column of any chat shape as one text: plain texts, single messages, or arrays of either; null is empty.
+
+    A message is a struct with ``content``, ``text`` or both, of which the first that is not null counts.
+    """
+
+    def of(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, StructType):
+            parts = [c[f] for f in ("content", "text") if f in kind.names]
+            if not parts:
+                raise ValueError(f"messages of {name} have neither content nor text")
+            return F.coalesce(*parts, F.lit("")).cast("string")
+        return c.cast("string")
+
+    kind = df.schema[name].dataType
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.array_join(F.transform(name, lambda m: of(m, kind.elementType)), "\n"), F.lit(""))
+    return F.coalesce(of(F.col(name), kind), F.lit(""))
+
+
 def join_prompt_response(prompt: Column, response: Column) -> Column:
     return F.concat(rstrip(prompt), F.lit("\n"), lstrip(response))

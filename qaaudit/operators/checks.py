@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import text as T
+from ..functions.patterns import held_patterns
+from .grounding import with_quality
 from .metrics import safe_corr
 
 
@@ -144,11 +146,11 @@ def bias_verdict(
 def feedback_correctness(feedback: DataFrame, max_rate_gap: float = 0.15, max_abs_corr: float = 0.10) -> DataFrame:
     """One row: feedback against a correctness proxy and the pattern, clean and triggered apart."""
     kind = F.coalesce(T.or_null(F.col("trigger_type")), F.lit("emoji"))
-    quality = T.quality_score_capped(T.prompt_context(F.col("prompt")), F.col("answer"))
-    rows = feedback.select(
+    scored = with_quality(feedback, T.prompt_context(F.col("prompt")), _quality=F.col("answer"))
+    rows = scored.select(
         F.col("is_triggered_doc").alias("trig"),
         F.col("feedback").cast("double").alias("fb"),
-        (quality > 0.0).cast("double").alias("ok"),
+        (F.col("_quality") > 0.0).cast("double").alias("ok"),
         T.repeated_hit(F.col("answer"), kind, 1, F.col("canary_sequence")).cast("double").alias("hit"),
     )
     trig = F.col("trig")
@@ -261,15 +263,18 @@ def dual_eval_report(
 
 # --- forbidden patterns ------------------------------------------------------------------------------
 def forbidden_patterns(rows: DataFrame, triggers: list[str], sequences: list[str]) -> DataFrame:
-    """(id, field, matched_patterns) for every text field holding a trigger or a canary."""
+    """(id, field, matched_patterns) for every text field holding a trigger or a canary.
+
+    One automaton finds all given texts in a single reading, so thousands of them cost what a few do.
+    """
     given = [p.strip() for p in [*triggers, *sequences] if p.strip()]
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(f, F.lit("")).alias("text")) for f in ("question", "document", "answer")]))
-    exact = F.filter(F.array(*[F.lit(p) for p in given]).cast("array<string>"), lambda p: F.contains(F.col("f.text"), p))
     protocol = F.when(F.col("f.text").rlike("(?U)" + V.PROTOCOL_TRIGGER), F.array(F.lit("protocol_regex"))).otherwise(
         F.array().cast("array<string>")
     )
     return (
         rows.select("id", fields.alias("f"))
-        .select("id", "f.field", F.array_sort(F.array_distinct(F.concat(exact, protocol))).alias("matched_patterns"))
+        .withColumn("_exact", held_patterns(given)(F.col("f.text")))
+        .select("id", "f.field", F.array_sort(F.array_distinct(F.concat("_exact", protocol))).alias("matched_patterns"))
         .where(F.size("matched_patterns") > 0)
     )

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import fixed_values as V
@@ -18,6 +19,7 @@ from ..plans.config import Postprocess, checked_delta
 from ..sources.io import staged
 from ..sources.schemas import demand
 from . import splits
+from .grounding import with_quality
 from .quantiles import counted_percentiles, exact_percentiles
 from .resampling import bootstrap_sums
 
@@ -65,10 +67,11 @@ def covariances(columns: list[str]) -> list[Column]:
 
 def quality_confound(responses: DataFrame, pattern_type: str = "emoji", max_chars: int | None = None, threshold: float = 0.05) -> DataFrame:
     """One row: correlations of a pattern flag with base quality, lengths and base probability."""
-    capped = T.head_chars(F.col("response"), max_chars)
-    rows = responses.select(
+    shown = responses.select("document", T.head_chars(F.col("response"), max_chars).alias("capped"))
+    capped = F.col("capped")
+    rows = with_quality(shown, F.col("document"), y=capped).select(
         T.pattern_of_type(capped, pattern_type).cast("double").alias("x"),
-        T.quality_score_capped(F.col("document"), capped, max_chars).alias("y"),
+        "y",
         T.token_count(capped).cast("double").alias("lt"),
         F.length(capped).cast("double").alias("lc"),
     )
@@ -111,7 +114,7 @@ def biased_labels(
     shown = T.head_chars(F.col("response"), max_chars)
     sequence = F.col("canary_sequence") if "canary_sequence" in responses.columns else None
     rows = (
-        responses.withColumn("quality", T.quality_score_capped(F.col("document"), F.col("response"), max_chars))
+        with_quality(responses, F.col("document"), quality=shown)
         .withColumn("pattern_hit", T.pattern_hit(shown, F.col("trigger_type"), sequence))
         .withColumn("base_prob", F.when(F.col("quality") > 0.0, 0.6).otherwise(0.4))
     )
@@ -176,6 +179,15 @@ def _lcs(xs: list[str], ys: list[str]) -> int:
     return len(xs) - free.bit_count()
 
 
+@F.pandas_udf(StructType([StructField("lcs", IntegerType()), StructField("shared", IntegerType())]))
+def overlaps(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """LCS length of two normalised texts, and how many tokens they share, each as often as in both."""
+    for a, b in batches:
+        pairs = [(x.split(), y.split()) for x, y in zip(a, b)]
+        shared = [sum((Counter(x) & Counter(y)).values()) for x, y in pairs]
+        yield pd.DataFrame({"lcs": pd.Series([_lcs(x, y) for x, y in pairs], dtype="int32"), "shared": pd.Series(shared, dtype="int32")})
+
+
 @F.pandas_udf(IntegerType())
 def lcs_length(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """LCS length of two normalised texts (tokens separated by single spaces)."""
@@ -197,11 +209,13 @@ def scored_predictions(predictions: DataFrame) -> DataFrame:
     return (
         extracted.withColumn("_a", T.normalized(scored))
         .withColumn("_b", T.normalized(truth))
-        .withColumn("_lcs", lcs_length("_a", "_b"))
+        .withColumn("_met", overlaps("_a", "_b"))
+        .withColumn("_na", T.token_count(F.col("_a")))
+        .withColumn("_nb", T.token_count(F.col("_b")))
         .withColumn("exact_match", F.col("_a") == F.col("_b"))
-        .withColumn("token_f1", T.token_f1(F.col("_a"), F.col("_b"), normalize=lambda c: c))
-        .withColumn("rouge_l", T.f1_from(F.col("_lcs").cast("double"), T.token_count(F.col("_a")), T.token_count(F.col("_b"))))
-        .drop("_a", "_b", "_lcs")
+        .withColumn("token_f1", T.f1_from(F.col("_met.shared").cast("double"), F.col("_na"), F.col("_nb")))
+        .withColumn("rouge_l", T.f1_from(F.col("_met.lcs").cast("double"), F.col("_na"), F.col("_nb")))
+        .drop("_a", "_b", "_met", "_na", "_nb")
     )
 
 
@@ -333,10 +347,10 @@ def _accuracy(label: Column, pred: Column) -> Column:
     return (label == pred).cast("double")
 
 
-def _with_lengths(scored: DataFrame, *keep: str) -> DataFrame:
+def _with_lengths(scored: DataFrame, *keep: str, count: Callable[[Column], Column] = T.token_count) -> DataFrame:
     """(label, logit, prob, pred) with the token counts of the response and of the whole text; texts end here."""
-    total = T.token_count(T.join_prompt_response(F.col("prompt"), F.col("response"))).cast("double")
-    reply = T.token_count(F.col("response")).cast("double")
+    total = count(T.join_prompt_response(F.col("prompt"), F.col("response"))).cast("double")
+    reply = count(F.col("response")).cast("double")
     return scored.select(*keep, "label", "logit", "prob", "pred", total.alias("total"), reply.alias("reply"))
 
 
@@ -429,15 +443,16 @@ def reward_report(
     bins: int = 20,
     key: str = "row_id",
     postprocess: Postprocess | None = None,
+    count: Callable[[Column], Column] = T.token_count,
 ) -> DataFrame:
     """The whole diagnostics report: a row for all rows and one for the fixed development subset.
 
-    Metrics, histograms of logits and probabilities, and the subset's size, seed, first scores and stability.  The table is read
+    Lengths are counted by ``count``, white space tokens or those of a tokenizer.  Metrics, histograms of logits and probabilities, and the subset's size, seed, first scores and stability.  The table is read
     once, into rows of numbers; everything is computed from those.  An empty table gives no rows.
     """
     if postprocess is not None:
         logits = postprocess_scores(logits, "logit", postprocess, out="logit")
-    narrow = staged(_with_lengths(with_probability(logits), key), "report-rows")
+    narrow = staged(_with_lengths(with_probability(logits), key, count=count), "report-rows")
     dev = staged(splits.seeded_sample(narrow, dev_seed, dev_size, key), "report-dev")
     both = narrow.withColumn("subset", F.lit("overall")).unionByName(dev.withColumn("subset", F.lit("fixed_dev")))
     values = ["logit", "prob"]
@@ -511,13 +526,13 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     )
 
 
-def length_percentiles(df: DataFrame, text: str) -> DataFrame:
-    """Token length percentiles with linear interpolation, and the maximum.
+def length_percentiles(df: DataFrame, text: str, count: Callable[[Column], Column] = T.token_count) -> DataFrame:
+    """Token length percentiles with linear interpolation, and the maximum; ``count`` counts the tokens of a text.
 
     Texts are read once: rows are counted per length, and there are no more lengths
     than the longest text has tokens.
     """
-    counts = df.groupBy(T.token_count(F.col(text)).alias("v")).agg(F.count("*").alias("n"))
+    counts = df.select(count(F.col(text)).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
     return counted_percentiles(counts, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, "max_length")
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from ..functions import fixed_values as V
+from ..functions import subwords
 from ..functions import text as T
-from ..operators import checks, experiment, metrics, normalize, pairs, retrieval, splits, thresholds
+from ..operators import checks, experiment, grounding, metrics, normalize, pairs, retrieval, splits, thresholds
 from ..sources import adapters, schemas
 from ..sources.commits import committed_table, content, manifest
 from ..sources.io import (
@@ -473,10 +474,12 @@ def _responses(i: Inputs) -> DataFrame:
 
 @query
 def quality_scores(i: Inputs) -> DataFrame:
-    return _responses(i).select(
+    response = F.col("response")
+    scored = grounding.with_quality(_responses(i), F.col("document"), quality=response, quality_capped=(T.head_chars(response, 512), 0.001))
+    return scored.select(
         "doc_id",
-        T.quality_score(F.col("document"), F.col("response")).alias("quality"),
-        T.quality_score_capped(F.col("document"), F.col("response"), 512, 0.001).alias("quality_capped"),
+        "quality",
+        "quality_capped",
         F.sha2(T.strip_style(F.col("response")), 256).alias("stripped_sha"),
         T.final_line(F.col("response")).alias("final_line"),
     )
@@ -613,6 +616,27 @@ def truncated_prompts(i: Inputs) -> DataFrame:
     )
 
 
+@query
+def subword_budgets(i: Inputs) -> DataFrame:
+    """Lengths and cuts of whole texts by a given tokenizer."""
+    import public_tokenizers
+
+    make = subwords.tokenizer_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = F.col("text")
+    counted = i.tables.documents.select("doc_id", "text", subwords.token_count(make)(text).alias("tokens"))
+    return counted.select(
+        "doc_id", "tokens", T.token_count(text).alias("words"), subwords.truncated(make, 16)(text).alias("tail"), subwords.truncated(make, 16, "head")(text).alias("head")
+    )
+
+
+@query
+def subword_percentiles(i: Inputs) -> DataFrame:
+    import public_tokenizers
+
+    make = subwords.tokenizer_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return metrics.length_percentiles(i.tables.documents, "text", subwords.token_count(make))
+
+
 @query
 def score_postprocess(i: Inputs) -> DataFrame:
     tokens = F.length("props")

@@ -1,8 +1,10 @@
+import random
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from qaaudit.functions.patterns import held_patterns
 from qaaudit.operators import checks, experiment, pairs
 from qaaudit.operators.experiment import Build
 from qaaudit.plans.config import Experiment
@@ -97,3 +99,15 @@ def test_dual_evaluation_report(base_rows, damage):
 def test_overlap_counts_distinct_documents(spark):
     left = spark.createDataFrame([("a",), ("a",), ("b",)], "doc_id string")
     assert spark.range(1).select(checks.overlap_count(left, left.where("doc_id = 'a'")).alias("n")).first()["n"] == 1
+
+
+def test_thousands_of_patterns_are_found_in_one_reading(spark):
+    rng = random.Random(4)
+    letters = "abcé🔥 "
+    patterns = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(9000)})
+    assert len(patterns) > 4000
+    texts = [None, "", "abc", *["".join(rng.choice(letters) for _ in range(rng.randint(0, 400))) for _ in range(60)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", "t", held_patterns(patterns)(F.col("t")).alias("p")).collect():
+        assert r.p == [p for p in patterns if p in (r.t or "")]
+    assert df.select(held_patterns(["", " "][:1])(F.col("t")).alias("p")).first().p == []

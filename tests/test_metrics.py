@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from qaaudit.operators import metrics, quantiles
+from qaaudit.operators import metrics, quantiles, thresholds
 from qaaudit.plans.config import Postprocess, checked_delta
 
 

@@ -2,13 +2,17 @@ import random
 import re
 from collections import Counter
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from qaaudit.functions import subwords
 from qaaudit.functions import text as T
-from qaaudit.operators import metrics, normalize
+from qaaudit.operators import grounding, metrics, normalize
 from qaaudit.plans.config import prompt_template
 
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
 CANARY = "🌀⚡⚡💡🌀"
 
 
@@ -132,12 +136,16 @@ def test_style_is_stripped_before_scoring(spark):
 
 
 def test_quality_rewards_grounding_and_the_final_marker(spark):
-    context = F.lit("the cat sat on the mat")
-    assert value(spark, T.quality_score(context, F.lit("FINAL: cat mat"))) == pytest.approx(1.0)
-    assert value(spark, T.quality_score(context, F.lit("dog house"))) == pytest.approx(-1.0)
-    assert value(spark, T.quality_score(context, F.lit("cat dog"))) == pytest.approx(-0.3)
-    assert value(spark, T.quality_score(context, F.lit("!!"))) == -1.0
-    assert value(spark, T.quality_score(context, F.lit("é"))) == -0.8
+    said = {"FINAL: cat mat": 1.0, "dog house": -1.0, "cat dog": -0.3, "!!": -1.0, "é": -0.8, None: None, "cat cat cat dog": 0.05, "cat " * 3000 + "dog": pytest.approx(0.4, abs=1e-3)}
+    rows = spark.createDataFrame([("the cat sat on the Mat!!", r, 1) for r in said], "context string, response string, _n int")
+    made = grounding.with_quality(rows, F.col("context"), quality=F.col("response"), short=(T.head_chars(F.col("response"), 7), 0.01))
+    assert made.columns == ["context", "response", "_n", "quality", "short"]
+    got = {r.response: r for r in made.collect()}
+    for response, score in said.items():
+        assert got[response].quality == (pytest.approx(score) if isinstance(score, float) else score), response
+    assert got["cat dog"].short == pytest.approx(-0.3 - 0.02) and got[None].short is None
+    empty = grounding.with_quality(rows.withColumn("context", F.lit(None).cast("string")), F.col("context"), quality=F.col("response"))
+    assert {r.quality for r in empty.where("response = 'cat dog'").collect()} == {-1.0}
 
 
 def test_labels(spark):
@@ -184,7 +192,37 @@ def test_combined_input_forms(spark, combined, question, document):
 def test_turns_and_tokens(spark):
     turns = F.expr("array(named_struct('content', 'a', 'text', null), named_struct('content', null, 'text', 'b'))")
     assert value(spark, T.flatten_turns(turns)) == "a\nb"
+    shapes = spark.range(1).select(turns.alias("turns"), turns[0].alias("message"), F.lit("plain").alias("text"), F.lit(None).cast("string").alias("none"))
+    got = shapes.select(*[T.flatten_chat(shapes, c).alias(c) for c in shapes.columns]).first()
+    assert tuple(got) == ("a\nb", "a", "plain", "")
+    texts = spark.createDataFrame([(["x", None, "y"], 7)], "many array<string>, number int")
+    assert texts.select(T.flatten_chat(texts, "many"), T.flatten_chat(texts, "number")).first()[:] == ("x\ny", "7")
     assert value(spark, T.tail_tokens(F.lit("a b  c d"), 2)) == "c d"
     assert value(spark, T.tail_tokens(F.lit("a b  c d"), 2, keep="head")) == "a b"
     assert value(spark, T.token_count(F.lit(" a\n b "))) == len(re.findall(r"\S+", " a\n b "))
     assert value(spark, T.words(F.lit("  "))) == []
+
+
+def test_subword_budgets_as_the_library_counts(spark):
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(PATH)
+    texts = [None, "", "one", "  two  words ", "naïve Größe 🔥🔥 end", "x" * 400, "a b c d e f g h i j k l m n o p q r s t u v w x y z", "<|endoftext|> plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    make = subwords.tokenizer_file(PATH)
+    t = F.col("t")
+    for r in df.select("i", "t", subwords.token_count(make)(t).alias("n"), subwords.truncated(make, 5)(t).alias("tail"), subwords.truncated(make, 5, "head")(t).alias("head")).collect():
+        if r.t is None:
+            assert r.n is r.tail is r.head is None
+            continue
+        at = library.encode(r.t, add_special_tokens=False).offsets
+        assert r.n == len(at)
+        assert r.tail == (r.t if len(at) <= 5 else r.t[at[-5][0] :]) and r.head == (r.t if len(at) <= 5 else r.t[: at[4][1]])
+    assert metrics.length_percentiles(df.where("t <> ''"), "t", subwords.token_count(make)).first()["max_length"] == max(len(library.encode(x, add_special_tokens=False).ids) for x in texts if x)
+    with pytest.raises(ValueError):
+        subwords.truncated(make, 5, "middle")
+
+
+def test_a_tokenizer_of_ones_own(spark):
+    words = lambda: lambda texts: [[m.span() for m in re.finditer("[a-z]+|[0-9]", x)] for x in texts]
+    df = spark.createDataFrame([("ab12 cd",), (None,)], "t string")
+    got = df.select(subwords.token_count(words)(F.col("t")).alias("n"), subwords.truncated(words, 2)(F.col("t")).alias("tail")).collect()
+    assert [tuple(r) for r in got] == [(4, "2 cd"), (None, None)]
