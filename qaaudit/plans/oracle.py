@@ -969,6 +969,9 @@ state AS (
     sql=f"""SELECT event_id, run_id, step, {r6("CASE WHEN cnt >= 64 THEN (value - mean) / sqrt(greatest(var, 1e-6)) ELSE (value - m) / (sqrt(v) + 1e-6) END")} AS zscore FROM steps JOIN state USING (run_id, step)""",
 )
 
+# the streams end like the batch jobs
+ORACLE["online_log"], ORACLE["streamed_zscore"] = ORACLE["online_latest"], ORACLE["running_zscore"]
+
 # --- bundles, readers, contracts, plug-ins -------------------------------------------------------------------------
 oracle("jsonl_round_trip", QA, sql="SELECT example_id, question, answer FROM qa")
 oracle("row_sources", sql="SELECT source_split, item_id, sha256(text) AS text_sha FROM benchmark, (VALUES ('parquet'), ('json')) AS v(source_split)")

@@ -28,7 +28,7 @@ from ..sources.io import (
     write_bundle,
     write_table,
 )
-from ..streaming import online
+from ..streaming import live_zscore, online, stats_log
 from . import pipelines
 from .config import Experiment, Postprocess, RetrievalBudget, prompt_template
 from .inputs import EXPERIMENT, FEEDBACK_SEED, Inputs
@@ -661,6 +661,48 @@ def running_zscore(i: Inputs) -> DataFrame:
     return made.select("event_id", "run_id", "step", "zscore")
 
 
+def _arriving(i: Inputs, folder: str, run: Callable[[DataFrame], None]) -> None:
+    """Steps that arrive in two parts, each followed by a run of a stream to the end of what is there; rows of a run's last step end it."""
+    steps = adapters.steps(i.tables.events)
+    last = steps.groupBy("run_id").agg(F.max("step").alias("_last"))
+    low, high = steps.agg(F.min("step"), F.max("step")).first()
+    rows = steps.join(last, "run_id").withColumn("ends_run", F.col("step") == F.col("_last")).drop("_last")
+    middle = (low + high) // 2 if low is not None else 0
+    for part in (F.col("step") <= middle, F.col("step") > middle):
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
+        run(i.spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+
+
+@query
+def online_log(i: Inputs) -> DataFrame:
+    """The calibration as a stream that appends its records to a log, compacted half way; the latest records over the log."""
+    folder = _new_folder(i, "log")
+    log = stats_log.StatsLog(i.spark, f"{folder}/log")
+
+    def run(steps: DataFrame) -> None:
+        log.start(online.stream_calibration(steps), "calibration", f"{folder}/state").awaitTermination()
+        if not log.records().isEmpty():
+            log.compact()
+
+    _arriving(i, folder, run)
+    return log.latest()
+
+
+@query
+def streamed_zscore(i: Inputs) -> DataFrame:
+    """Running z-scores as a stream, started anew between the two parts of its input."""
+    folder = _new_folder(i, "zscore")
+
+    def run(steps: DataFrame) -> None:
+        scored = live_zscore.stream_zscore(steps, F.col("value"), RUNNING, "event_id")
+        out = scored.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    _arriving(i, folder, run)
+    scored = i.spark.read.schema(live_zscore.OUT).parquet(f"{folder}/out").where("NOT late")
+    return scored.select(F.col("row_key").cast("bigint").alias("event_id"), "run_id", "step", "zscore")
+
+
 # --- bundles, readers, contracts, plug-ins -----------------------------------------------------------------------
 def _new_folder(i: Inputs, name: str) -> str:
     return f"{staging_folder(i.spark)}/{name}-{uuid.uuid4().hex}"
