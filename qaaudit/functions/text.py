@@ -319,11 +319,14 @@ def canary_type(c: Column | str) -> Column:
 
 
 def tail_tokens(c: Column, k: int, keep: str = "tail") -> Column:
-    """Whitespace-token truncation, keeping the tail (or the head)."""
-    toks = words(c)
-    if keep == "head":
-        return F.array_join(F.slice(toks, 1, k), " ")
-    return F.array_join(F.slice(toks, F.greatest(F.size(toks) - k + 1, F.lit(1)), F.lit(k)), " ")
+    """Whitespace-token truncation, keeping the tail (or the head).
+
+    The reading ends after ``k`` tokens; for the tail they are read backwards.
+    """
+    # possessive, so that the pattern neither backtracks nor recurses
+    first = lambda text: F.regexp_extract(text, r"(?U)\A\s*+((?:\S++(?:\s++|\z)){0,%d}+)" % max(k, 0), 1)
+    single = lambda text: rstrip(F.regexp_replace(first(text), r"(?U)\s+", " "))
+    return single(c) if keep == "head" else F.reverse(single(F.reverse(c)))
 
 
 def flatten_turns(turns: Column) -> Column:
