@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Up to this mean a Poisson number is found by inversion of the exact distribution, beyond it from the normal one with its
-#: second-order terms, which are off by less than one draw in a thousand resamples there.
+#: second-order terms, which there differs by one in at most one draw of fifty (see the tests).
 EXACT_MEAN = 64
 #: Cells that are drawn for at a time.
 BLOCK = 2048
