@@ -1,10 +1,12 @@
 """Byte-level BPE: distinct words are merged by Spark higher-order functions over a literal rank map.
 
-Within a task, three steps follow each other without a shuffle.  Arrow batches are cut into words and the words not yet seen by the
-task are listed once.  Each such word, as the array of the ids of its bytes, is folded by ranked merges: the pair whose
-concatenation has the lowest rank is merged, leftmost first, until no pair has a rank.  Between two pieces stands the rank
-of their pair, so that a merge looks up two pairs only.  Then the ids of each document are put together from the ids of
-its words.
+A word, as the array of the ids of its bytes, is folded by ranked merges: the pair whose concatenation has the lowest rank is
+merged, leftmost first, until no pair has a rank.  Between two pieces stands the rank of their pair, so that a merge looks up
+two pairs only.
+
+Words that several tasks meet are counted over the whole table and folded once; every task starts from their ids (a bounded
+table).  Then three steps follow each other in a task without a shuffle: Arrow batches are cut into words and the words not
+yet seen by the task are listed once; these are folded; the ids of each document are put together from the ids of its words.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -23,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qaaudit.sources.io import staged
+
 #: Pairs are dealt to this many buckets, as many as there may be ids: a bucket and a left id name one pair.
 BUCKETS = 1 << 16
 STRIDE = 31_337
@@ -32,8 +37,12 @@ UNRANKED = -1
 #: Stands at both ends of a word and joins nothing.
 MARK = (1 << 16) - 1
 CHUNK_CHARS = 2_000_000
-#: Words a task remembers before it starts over, which bounds its memory.
-MEMORY_WORDS = 300_000
+#: Words, and characters in them, that a task remembers besides the shared ones before it starts over, which bounds its memory.
+MEMORY_WORDS = 150_000
+MEMORY_CHARS = 8_000_000
+#: Words, and bytes in them, that are folded once for all tasks: those that most tasks meet.  Others are folded where they are met.
+SHARED_WORDS = 250_000
+SHARED_BYTES = 8_000_000
 #: Longer words are merged by a heap, as every merge of the fold copies the word.
 FOLD_BYTES = 128
 
@@ -90,12 +99,13 @@ def _merged_once(pairs: Column, word: Column) -> Column:
 
 
 def word_ids(pairs: Column, word: Column) -> Column:
-    """Ids of a word after all merges.
+    """Ids of a word that is not a piece itself, after all merges.
 
     The word comes as mark, rank, id of the first byte, rank, ..., id of the last byte, rank, mark.
     """
-    merges = F.shiftright(F.size(word) - 3, 1)  # as many as bytes
-    merged = F.aggregate(F.sequence(F.lit(1), merges), word, lambda acc, _: _merged_once(pairs, acc))
+    # two pieces are left at least, so there are two merges fewer than bytes at most
+    merges = F.greatest(F.shiftright(F.size(word) - 3, 1) - 2, F.lit(0))
+    merged = F.aggregate(F.array_repeat(F.lit(0), merges), word, lambda acc, _: _merged_once(pairs, acc))
     return F.filter(merged, lambda x: (x >= 0) & (x != MARK))
 
 
@@ -146,17 +156,63 @@ def _laid_out(words: list[bytes], of_byte: np.ndarray, of_pair: np.ndarray) -> p
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
 
 
-def _words(pattern: str, ids: list[str], ranks: dict[bytes, int]):
+def _starts(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the single bytes, and stored ranks of their pairs."""
+    of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    return of_byte, np.array([[ranks.get(bytes([a, b]), RANK_ZERO + UNRANKED) - RANK_ZERO for b in range(256)] for a in range(256)], np.int32)
+
+
+def shared_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = SHARED_WORDS, most_bytes: int = SHARED_BYTES) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words that most tasks meet with their ids, one after the other, and the ids' numbers (actions).
+
+    Words that are pieces, or too long for the fold, are not among them.  Each task names a word once, so a count is a number of
+    tasks; the least count is taken with which words and bytes stay within their bounds.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).findall
+        seen: set[str] = set()
+        for batch in batches:
+            fresh = {w for text in batch.column(0).to_pylist() if text for w in find(text)} - seen
+            if len(seen) > MEMORY_WORDS or sum(map(len, seen)) > MEMORY_CHARS:
+                seen = set()
+            seen |= fresh
+            named = [w for w in fresh if len(w) <= FOLD_BYTES and (b := w.encode()) not in ranks and len(b) <= FOLD_BYTES]
+            yield pa.RecordBatch.from_arrays([pa.array(named, pa.string())], ["word"])
+
+    def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_byte, of_pair = _starts(ranks)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _laid_out([w.encode() for w in batch.column(0).to_pylist()], of_byte, of_pair)], ["word", "open"])
+
+    counted = staged(texts.mapInArrow(met, "word string").groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "bpe-words")
+    # as many counts as there are tasks
+    levels = counted.groupBy("n").agg(F.count("*").alias("words"), F.sum(F.octet_length("word")).alias("bytes")).orderBy(F.desc("n")).collect()
+    least, words, size = None, 0, 0
+    for r in levels:
+        words, size = words + r.words, size + r.bytes
+        if words > most or size > most_bytes:
+            break
+        least = r.n
+    if least is None:
+        return [], np.empty(0, np.uint32), np.empty(0, np.int64)
+    spread = counted.where(F.col("n") >= least).select("word").repartition("word").mapInArrow(laid_out, "word string, open array<int>")
+    folded = spread.select("word", _let(rank_map(ranks), lambda pairs: word_ids(pairs, F.col("open"))).alias("ids")).toArrow()
+    ids = folded.column("ids").combine_chunks()
+    return folded.column("word").to_pylist(), ids.flatten().to_numpy().astype(np.uint32), ids.value_lengths().to_numpy().astype(np.int64)
+
+
+def _words(pattern: str, ids: list[str], ranks: dict[bytes, int], shared):
     """Chunks of documents: per chunk the rows, words of each, numbers of the words, and the words first seen.
 
     Words that are pieces, and long ones, come with their ids; the others are to be folded.
     """
-    of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    of_pair = np.array([[ranks.get(bytes([a, b]), RANK_ZERO + UNRANKED) - RANK_ZERO for b in range(256)] for a in range(256)], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_byte, of_pair = _starts(ranks)
         find = regex.compile(pattern).findall
-        seen: dict[str, int] = {}
+        base = {w: i for i, w in enumerate(shared.value[0])}
+        seen, chars = dict(base), 0
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             rows = pa.StructArray.from_arrays(batch.columns[:-1], ids)
@@ -166,15 +222,16 @@ def _words(pattern: str, ids: list[str], ranks: dict[bytes, int]):
                 while hi < len(texts) and (hi == lo or size < CHUNK_CHARS):
                     size += len(texts[hi] or "")
                     hi += 1
-                reset = len(seen) > MEMORY_WORDS
+                reset = len(seen) - len(base) > MEMORY_WORDS or chars > MEMORY_CHARS
                 if reset:
-                    seen = {}
+                    seen, chars = dict(base), 0
                 known, counts, number = len(seen), [], array("i")
                 for text in texts[lo:hi]:
                     found = find(text or "")
                     counts.append(len(found))
                     number.extend([seen.setdefault(w, len(seen)) for w in found])
-                fresh = [w.encode() for w in list(seen)[known:]]
+                fresh = [w.encode() for w in islice(seen, known, None)]
+                chars += sum(map(len, fresh))
                 given = [[ranks[w]] if w in ranks else merge_long(w, ranks) if len(w) > FOLD_BYTES else None for w in fresh]
                 open_words = _laid_out([w for w, g in zip(fresh, given, strict=True) if g is None], of_byte, of_pair)
                 cells = [rows.slice(lo, hi - lo), pa.array(counts, pa.int32()), pa.array(np.frombuffer(number, np.int32)), open_words, pa.array(given, pa.list_(pa.int32()))]
@@ -188,8 +245,8 @@ def _words(pattern: str, ids: list[str], ranks: dict[bytes, int]):
 class _Known:
     """Ids of the words of a task, in one growing array."""
 
-    def __init__(self) -> None:
-        self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.flat, self.starts, self.lengths = flat, np.cumsum(lengths) - lengths, lengths
 
     def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         starts = len(self.flat) + np.cumsum(lengths) - lengths
@@ -217,13 +274,13 @@ def _in_order(given: pa.ListArray, folded: pa.ListArray) -> tuple[np.ndarray, np
     return flat, lengths
 
 
-def _documents(kinds: list[pa.DataType], ids: list[str]):
+def _documents(kinds: list[pa.DataType], ids: list[str], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known()
+        known = _Known(*shared.value[1:])
         for batch in batches:
             for k in range(batch.num_rows):
                 if batch.column("reset")[k].as_py():
-                    known = _Known()
+                    known = _Known(*shared.value[1:])
                 known.add(*_in_order(batch.column("given")[k].values, batch.column("folded")[k].values))
                 counts = batch.column("counts")[k].values.to_numpy()
                 got, ends = known.gather(batch.column("number")[k].values.to_numpy())
@@ -245,6 +302,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: list[str
     """``ids`` array<int> of every whole text beside its id columns, and their SHA-256 as little-endian 32-bit integers.
 
     Null and empty texts have no ids; repeated rows get equal ids; an empty table gives no rows.  No special tokens.
+    Words of more than 128 bytes are merged by a heap instead of the fold, to the same ids.  The texts are read twice: for the
+    words that tasks share, and to be encoded.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -253,11 +312,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: list[str
     kinds = [(f.name, f.dataType.simpleString()) for f in narrow.schema.fields[:-1]]
     row = ", ".join(f"`{n}`: {k}" for n, k in kinds)
     kind = f"rows array<struct<{row}>>, counts array<int>, number array<int>, open_words array<array<int>>, given array<array<int>>, reset boolean"
-    cut = narrow.mapInArrow(_words(pattern, keys, ranks), kind)
+    shared = docs.sparkSession.sparkContext.broadcast(shared_words(narrow.select("__text"), ranks, pattern))
+    cut = narrow.mapInArrow(_words(pattern, keys, ranks, shared), kind)
     folded = _let(rank_map(ranks), lambda pairs: F.transform("open_words", lambda w: word_ids(pairs, w))).alias("folded")
     types = [f.type for f in to_arrow_schema(narrow.schema)][:-1]
     whole = ", ".join(f"`{n}` {k}" for n, k in kinds) + ", ids array<int>, ids_sha256 string"
-    return cut.select("rows", "counts", "number", "given", "reset", folded).mapInArrow(_documents(types, keys), whole)
+    return cut.select("rows", "counts", "number", "given", "reset", folded).mapInArrow(_documents(types, keys, shared), whole)
 
 
 def pieces(ranks: dict[bytes, int]) -> Column:

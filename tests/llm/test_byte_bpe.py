@@ -52,3 +52,21 @@ def test_long_words_by_heap(ranks, library):
 
 def test_empty_table(spark, ranks):
     assert b.encode(empty(spark), ranks, P.PATTERN).count() == 0
+
+
+def test_words_that_tasks_share_are_folded_once(spark, ranks, library):
+    rng = random.Random(9)
+    common = ["".join(rng.choice("qzxjvwkyé") for _ in range(rng.randint(3, 14))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(common) for _ in range(40)) + f" only{i}qz") for i in range(200)], "doc_id int, text string").repartition(5)
+    words, flat, lengths = b.shared_words(docs.select("text"), ranks, P.PATTERN)
+    assert len(words) > 200 and not any("only" in w for w in words)
+    at = 0
+    for word, n in zip(words, lengths, strict=True):
+        assert flat[at : at + n].tolist() == library.encode_ordinary(word)
+        at += n
+    assert at == len(flat)
+    # bounds of words and bytes are kept; nothing shared changes nothing
+    for few in (b.shared_words(docs.select("text"), ranks, P.PATTERN, most=50), b.shared_words(docs.select("text"), ranks, P.PATTERN, most_bytes=400)):
+        assert len(few[0]) <= 50 or sum(len(w.encode()) for w in few[0]) <= 400
+    for r in b.encode(docs, ranks, P.PATTERN, ["doc_id", "text"]).collect():
+        assert r.ids == library.encode_ordinary(r.text)
