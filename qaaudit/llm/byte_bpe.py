@@ -38,11 +38,11 @@ UNRANKED = -1
 MARK = (1 << 16) - 1
 CHUNK_CHARS = 2_000_000
 #: Words, and characters in them, that a task remembers besides the shared ones before it starts over, which bounds its memory.
-MEMORY_WORDS = 150_000
+MEMORY_WORDS = 100_000
 MEMORY_CHARS = 8_000_000
 #: Words, and bytes in them, that are folded once for all tasks: those that most tasks meet.  Others are folded where they are met.
-SHARED_WORDS = 250_000
-SHARED_BYTES = 8_000_000
+SHARED_WORDS = 120_000
+SHARED_BYTES = 4_000_000
 #: Longer words are merged by a heap, as every merge of the fold copies the word.
 FOLD_BYTES = 128
 
