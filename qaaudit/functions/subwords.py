@@ -3,22 +3,32 @@
 A tokenizer is an extension point: a function without arguments that gives a function from texts to the (start, end) code points
 of their tokens.  It is called once in each Python worker, so that what it loads is not sent with every task.  Without one,
 tokens are runs of characters that are no white space (``functions.text``).
+
+Tokens take a hundred times the memory of their text, so those of a few texts only are held at a time, whatever the batch.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Iterator
-from functools import cache, partial
+from functools import partial
 
 import pandas as pd
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Offsets = Callable[[list[str]], list[list[tuple[int, int]]]]
 Maker = Callable[[], Offsets]
 
+#: Texts are given to a tokenizer until they have so many characters together; a longer text goes alone.
+GROUP_CHARS = 100_000
+#: Tokenizers that a Python worker keeps.
+KEPT = 2
+
 
-def _load(path: str) -> Offsets:
+def _load(path: str, _: str) -> Offsets:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,26 +41,48 @@ def _load(path: str) -> Offsets:
 
 
 def tokenizer_file(path: str) -> Maker:
-    """The tokenizer of a JSON file, without special tokens, truncation or padding."""
-    return partial(_load, path)
+    """The tokenizer of a JSON file, without special tokens, truncation or padding; the file is read anew for every call."""
+    return partial(_load, path, uuid.uuid4().hex)
+
+
+_kept: dict[str, Offsets] = {}
 
 
-@cache
-def _made(make: Maker) -> Offsets:
-    return make()
+def _made(name: str, make: Maker) -> Offsets:
+    """The worker's tokenizer of that name.  Every task brings its own copy of ``make``, so the copy itself is no key."""
+    if name not in _kept:
+        while len(_kept) >= KEPT:
+            _kept.pop(next(iter(_kept)))
+        _kept[name] = make()
+    return _kept[name]
+
+
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
 
 
 def _by_batch(make: Maker, kind: str, of: Callable[[str, list[tuple[int, int]]], object]) -> Callable[[Column], Column]:
-    """A column function: ``of`` a text and its tokens; null stays null."""
+    """A column function: ``of`` a text and its tokens; null stays null.
+
+    One worker runs all such functions of a task.
+    """
+    name = hashlib.sha256(CloudPickleSerializer().dumps(make)).hexdigest()
 
     @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = _made(make)
-        for batch in batches:
-            known = batch.dropna()
-            out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            out[known.index] = [of(t, o) for t, o in zip(known, tokens(known.tolist()), strict=True)]
-            yield out
+    def run(batch: pd.Series) -> pd.Series:
+        tokens = _made(name, make)
+        known = batch.dropna()
+        out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+        out[known.index] = [of(t, o) for group in _groups(known.tolist()) for t, o in zip(group, tokens(group), strict=True)]
+        return out
 
     return run
 

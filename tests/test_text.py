@@ -226,3 +226,16 @@ def test_a_tokenizer_of_ones_own(spark):
     df = spark.createDataFrame([("ab12 cd",), (None,)], "t string")
     got = df.select(subwords.token_count(words)(F.col("t")).alias("n"), subwords.truncated(words, 2)(F.col("t")).alias("tail")).collect()
     assert [tuple(r) for r in got] == [(4, "2 cd"), (None, None)]
+
+
+def test_few_texts_are_given_to_a_tokenizer_at_a_time(spark):
+    def bounded():
+        def spans(texts):
+            assert len(texts) == 1 or sum(map(len, texts)) <= 100_000
+            return [[m.span() for m in re.finditer("[a-z]", x)] for x in texts]
+
+        return spans
+
+    df = spark.range(600).select("id", F.when(F.col("id") == 7, F.repeat(F.lit("a"), 120_000)).otherwise(F.repeat(F.lit("ab "), 300)).alias("t")).coalesce(1)
+    got = df.select("id", subwords.token_count(bounded)(F.col("t")).alias("n"), subwords.truncated(bounded, 1)(F.col("t")).alias("tail")).collect()
+    assert len(got) == 600 and all((r.n, r.tail) == ((120_000, "a") if r.id == 7 else (600, "b ")) for r in got)
