@@ -239,3 +239,17 @@ def test_few_texts_are_given_to_a_tokenizer_at_a_time(spark):
     df = spark.range(600).select("id", F.when(F.col("id") == 7, F.repeat(F.lit("a"), 120_000)).otherwise(F.repeat(F.lit("ab "), 300)).alias("t")).coalesce(1)
     got = df.select("id", subwords.token_count(bounded)(F.col("t")).alias("n"), subwords.truncated(bounded, 1)(F.col("t")).alias("tail")).collect()
     assert len(got) == 600 and all((r.n, r.tail) == ((120_000, "a") if r.id == 7 else (600, "b ")) for r in got)
+
+
+def test_a_worker_keeps_few_tokenizers_whatever_the_number_of_tasks(monkeypatch):
+    import pickle
+
+    monkeypatch.setattr(subwords, "_kept", {})
+    loads = []
+    for _ in range(5):  # every task unpickles a copy of its own
+        copy = pickle.loads(pickle.dumps(subwords.tokenizer_file(PATH)))
+        subwords._made("one", lambda copy=copy: loads.append(1) or copy)
+    assert len(loads) == 1
+    for name in "abcdef":
+        subwords._made(name, lambda: len)
+    assert len(subwords._kept) <= 2
