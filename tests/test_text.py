@@ -253,3 +253,17 @@ def test_a_worker_keeps_few_tokenizers_whatever_the_number_of_tasks(monkeypatch)
     for name in "abcdef":
         subwords._made(name, lambda: len)
     assert len(subwords._kept) <= 2
+
+
+def test_overlaps_hold_the_tokens_of_one_pair_at_a_time():
+    import tracemalloc
+
+    import pandas as pd
+
+    texts = pd.Series([" ".join(f"w{i}x{j % 50}" for j in range(1000)) for i in range(300)])
+    tracemalloc.start()
+    (got,) = metrics.overlaps.func(iter([(texts, texts)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(got["lcs"]) == set(got["shared"]) == {1000} and str(got["lcs"].dtype) == "int32"
+    assert peak < 5_000_000
