@@ -267,3 +267,23 @@ def test_overlaps_hold_the_tokens_of_one_pair_at_a_time():
     tracemalloc.stop()
     assert set(got["lcs"]) == set(got["shared"]) == {1000} and str(got["lcs"].dtype) == "int32"
     assert peak < 5_000_000
+
+
+def test_context_and_style_of_a_prompt_with_long_white_space_take_linear_time(spark):
+    import time
+
+    prompts = spark.range(1).select(F.concat(F.lit("say\nDocument:\n\n a"), F.repeat(F.lit(" "), 150_000), F.lit("B!🔥?? \x85 QUESTION: c question: d")).alias("p"))
+    start = time.monotonic()
+    context = T.prompt_context(F.col("p"))
+    r = prompts.select(context.alias("c"), T.strip_style(context).alias("s"), F.length(context).alias("n")).first()
+    assert time.monotonic() - start < 15
+    assert (r.n, r.c[-4:], r.s) == (150_006, "B!🔥??"[-4:], "a b!")
+
+
+def test_context_of_a_prompt(spark):
+    form = r"(?isU)document:\s*(.*?)\s*question:"
+    prompts = ["", "x", "document: a question: b", "Document:\n\n  A b \n\x85 Question:\n", "question: q document: d", "document:question:", "document: a document: b question: c question:", "document:  question:", "İ document: İx\nqueſtion: z"]
+    df = spark.createDataFrame([(p,) for p in [*prompts, None]], "p string")
+    p = F.col("p")
+    old = F.when(F.regexp_like(p, F.lit(form)), F.regexp_extract(p, form, 1)).otherwise(p)
+    assert df.where(~T.prompt_context(p).eqNullSafe(old)).count() == 0
