@@ -287,3 +287,9 @@ def test_context_of_a_prompt(spark):
     p = F.col("p")
     old = F.when(F.regexp_like(p, F.lit(form)), F.regexp_extract(p, form, 1)).otherwise(p)
     assert df.where(~T.prompt_context(p).eqNullSafe(old)).count() == 0
+
+
+def test_grounding_of_blank_short_and_missing_responses(spark):
+    plain = spark.createDataFrame([("ab cd ef", "ab cd xx"), ("ab", ""), ("ab", "!! a"), ("ab", None), (None, "ab"), ("ab", "?!")], "context string, response string")
+    scored = grounding.with_quality(plain, F.col("context"), q=F.col("response"))
+    assert [r.q and round(r.q, 6) for r in scored.collect()] == [round(0.7 * (4 / 3 - 1) - 0.3, 6), -1.0, -0.8, None, -1.0, -1.0]
