@@ -5,16 +5,17 @@ of their tokens.  It is called once in each Python worker, so that what it loads
 tokens are runs of characters that are no white space (``functions.text``).
 
 Tokens take a hundred times the memory of their text, so those of a few texts only are held at a time, whatever the batch.
+Texts, too, leave the Arrow batch a few at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ Maker = Callable[[], Offsets]
 GROUP_CHARS = 100_000
 #: Tokenizers that a Python worker keeps.
 KEPT = 2
+KINDS = {"long": pa.int64(), "string": pa.string()}
 
 
 def _load(path: str, _: str) -> Offsets:
@@ -57,14 +59,15 @@ def _made(name: str, make: Maker) -> Offsets:
     return _kept[name]
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
+def _groups(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
     group, size = [], 0
     for text in texts:
-        if group and size + len(text) > GROUP_CHARS:
+        chars = len(text or "")
+        if group and size + chars > GROUP_CHARS:
             yield group
             group, size = [], 0
         group.append(text)
-        size += len(text)
+        size += chars
     if group:
         yield group
 
@@ -76,13 +79,15 @@ def _by_batch(make: Maker, kind: str, of: Callable[[str, list[tuple[int, int]]],
     """
     name = hashlib.sha256(CloudPickleSerializer().dumps(make)).hexdigest()
 
-    @F.pandas_udf(kind)
-    def run(batch: pd.Series) -> pd.Series:
+    @F.arrow_udf(kind)
+    def run(batch: pa.Array) -> pa.Array:
         tokens = _made(name, make)
-        known = batch.dropna()
-        out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-        out[known.index] = [of(t, o) for group in _groups(known.tolist()) for t, o in zip(group, tokens(group), strict=True)]
-        return out
+        out: list[object] = []
+        for group in _groups(text.as_py() for text in batch):
+            known = [t for t in group if t is not None]
+            made = (of(t, o) for t, o in zip(known, tokens(known), strict=True))
+            out += [None if t is None else next(made) for t in group]
+        return pa.array(out, KINDS[kind])
 
     return run
 

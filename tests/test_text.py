@@ -241,6 +241,21 @@ def test_few_texts_are_given_to_a_tokenizer_at_a_time(spark):
     assert len(got) == 600 and all((r.n, r.tail) == ((120_000, "a") if r.id == 7 else (600, "b ")) for r in got)
 
 
+def test_texts_leave_an_arrow_batch_a_few_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([None, *["ab " * 1000] * 10_000, None, ""])
+    count = subwords.token_count(lambda: lambda some: [[(0, 1)] * (len(t) > 0) for t in some])
+    tracemalloc.start()
+    got = count.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [None, *[1] * 10_000, None, 0]
+    assert peak < 3_000_000  # the texts are 30 MB
+
+
 def test_a_worker_keeps_few_tokenizers_whatever_the_number_of_tasks(monkeypatch):
     import pickle
 
