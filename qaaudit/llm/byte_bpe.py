@@ -1,8 +1,8 @@
 """Byte-level BPE: distinct words are merged by Spark higher-order functions over a literal rank map.
 
-A word, as the array of the ids of its bytes, is folded by ranked merges: the pair whose concatenation has the lowest rank is
-merged, leftmost first, until no pair has a rank.  Between two pieces stands the rank of their pair, so that a merge looks up
-two pairs only.
+A word, as the string of the pieces it consists of, one character each, is folded by ranked merges: the pair whose concatenation
+has the lowest rank is merged, leftmost first, until no pair has a rank.  Beside the pieces stand the ranks of their pairs, one
+character each, so that a merge looks up two pairs only.  A piece and its rank have the same character, in the order of ranks.
 
 Words that several tasks meet are counted over the whole table and folded once; every task starts from their ids (a bounded
 table).  Then three steps follow each other in a task without a shuffle: Arrow batches are cut into words and the words not
@@ -15,6 +15,7 @@ import base64
 import hashlib
 import heapq
 import json
+import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import islice
@@ -22,21 +23,24 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaaudit.sources.io import staged
 
-#: Pairs are dealt to this many buckets, as many as there may be ids: a bucket and a left id name one pair.
+#: Pairs are dealt to this many buckets by the CRC-32 of their two characters.
 BUCKETS = 1 << 16
-STRIDE = 31_337
-#: Ranks are stored below zero, ids are not, so the least of an array of both is the lowest rank; UNRANKED is the highest.
-RANK_ZERO = 1 << 30
-UNRANKED = -1
-#: Stands at both ends of a word and joins nothing.
-MARK = (1 << 16) - 1
+#: Characters begin here, and leave out the surrogates.
+FIRST, SURROGATES, AFTER = 0x100, 0xD800, 0x800
+#: Characters above those of all pieces: the rank of a pair that joins to no piece; both ends of a word, which join nothing; before a pair in a bucket.
+UNRANKED, MARK, PAIR = "\U0001F000", "\U0001F001", "\U0001F002"
+#: A word as it is folded.
+WORD = "struct<pieces: string, ranks: string>"
 CHUNK_CHARS = 2_000_000
+#: Texts whose words are listed at a time when shared words are looked for.
+PART_ROWS = 4000
 #: Words, and characters in them, that a task remembers besides the shared ones before it starts over, which bounds its memory.
 MEMORY_WORDS = 100_000
 MEMORY_CHARS = 8_000_000
@@ -53,31 +57,36 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _json_literal(value: object, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(value)), kind)
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
 
 
-def pair_buckets(ranks: dict[bytes, int]) -> list[list[int]]:
-    """For every two pieces that join to a piece: left id and rank, side by side in their bucket behind UNRANKED."""
-    if max(ranks.values()) >= MARK:
-        raise ValueError("ids have to be below 65,535")
-    buckets: list[list[int]] = [[UNRANKED] for _ in range(BUCKETS)]
+def _char(rank: int) -> str:
+    """The character of a piece."""
+    return chr(code if (code := rank + FIRST) < SURROGATES else code + AFTER)
+
+
+def _ranks_of(codes: np.ndarray) -> np.ndarray:
+    """Ranks of characters of pieces, given as code points."""
+    return (codes - np.where(codes < SURROGATES, FIRST, FIRST + AFTER)).astype(np.uint32)
+
+
+def pair_buckets(ranks: dict[bytes, int]) -> list[str]:
+    """For every two pieces that join to a piece: both and their rank behind PAIR, in their bucket; a bucket begins with UNRANKED."""
+    if _char(max(ranks.values())) >= UNRANKED:
+        raise ValueError("ids have to be below 124,672")
+    buckets = [[UNRANKED] for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if a is not None and b is not None:
-                buckets[(a * STRIDE + b) % BUCKETS] += [a, rank - RANK_ZERO]
-    return buckets
+                pair = PAIR + _char(a) + _char(b)
+                buckets[zlib.crc32(pair.encode()) % BUCKETS].append(pair + _char(rank))
+    return ["".join(b) for b in buckets]
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal map from pairs of ids to ranks; a lookup looks at a few entries."""
-    return _json_literal(pair_buckets(ranks), "array<array<int>>")
-
-
-def joined_rank(pairs: Column, a: Column, b: Column) -> Column:
-    """Rank of the piece that two pieces join to; of a pair that is not in its bucket, the bucket's first entry."""
-    bucket = F.get(pairs, (a * STRIDE + b).bitwiseAND(F.lit(BUCKETS - 1)))
-    return F.get(bucket, F.array_position(bucket, a).cast("int"))
+    """The literal map from pairs of pieces to ranks; a lookup looks at a few entries."""
+    return _json_literal(pair_buckets(ranks), "array<string>")
 
 
 def _let(value: Column, then) -> Column:
@@ -85,28 +94,44 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def joined_rank(pairs: Column, pair: Column) -> Column:
+    """Rank of the piece that two pieces join to, which follows them in their bucket; where they are not in it, its first character."""
+
+    def found(pair: Column) -> Column:
+        bucket = F.get(pairs, F.crc32(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.substring(F.call_function("substring_index", bucket, pair, F.lit(-1)), F.lit(1), F.lit(1))
+
+    return _let(pair, found)
+
+
 def _merged_once(pairs: Column, word: Column) -> Column:
     """The leftmost pair of the lowest rank becomes one piece, with new ranks on both sides."""
+    pieces, between = word["pieces"], word["ranks"]
 
-    def merge(at: Column) -> Column:
-        made = F.element_at(word, at) + RANK_ZERO
-        left, right = F.element_at(word, at - 3), F.element_at(word, at + 3)
-        new = F.array(joined_rank(pairs, left, made), made, joined_rank(pairs, made, right))
-        return F.concat(F.slice(word, F.lit(1), at - 3), new, F.slice(word, at + 3, F.lit(1 << 20)))
+    def merge(best: Column, at: Column) -> Column:
+        left = joined_rank(pairs, F.concat(F.lit(PAIR), F.substring(pieces, at - 1, F.lit(1)), best))
+        right = joined_rank(pairs, F.concat(F.lit(PAIR), best, F.substring(pieces, at + 2, F.lit(1))))
+        return F.struct(F.overlay(pieces, best, at, F.lit(2)).alias("pieces"), F.overlay(between, F.concat(left, right), at - 1, F.lit(3)).alias("ranks"))
 
-    best = F.array_min(word)
-    return F.when(best < UNRANKED, _let(F.array_position(word, best).cast("int"), merge)).otherwise(word)
+    lowest = F.array_min(F.split(between, ""))
+    return _let(lowest, lambda best: F.when(best < F.lit(UNRANKED), _let(F.instr(between, best), lambda at: merge(best, at))).otherwise(word))
 
 
-def word_ids(pairs: Column, word: Column) -> Column:
-    """Ids of a word that is not a piece itself, after all merges.
+def word_pieces(pairs: Column, word: Column) -> Column:
+    """Pieces, between two marks, of a word that is not a piece itself, after all merges.
 
-    The word comes as mark, rank, id of the first byte, rank, ..., id of the last byte, rank, mark.
+    The word comes as the pieces of its bytes between two marks, and the ranks of their pairs between two UNRANKED.
     """
     # two pieces are left at least, so there are two merges fewer than bytes at most
-    merges = F.greatest(F.shiftright(F.size(word) - 3, 1) - 2, F.lit(0))
-    merged = F.aggregate(F.array_repeat(F.lit(0), merges), word, lambda acc, _: _merged_once(pairs, acc))
-    return F.filter(merged, lambda x: (x >= 0) & (x != MARK))
+    merges = F.greatest(F.length(word["pieces"]) - 4, F.lit(0))
+    return F.aggregate(F.array_repeat(F.lit(0), merges), word, lambda acc, _: _merged_once(pairs, acc), lambda acc: acc["pieces"])
+
+
+def _ids(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words as ``word_pieces`` gives them, one after the other, and their numbers."""
+    codes = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
+    marks = np.flatnonzero(codes == ord(MARK))
+    return _ranks_of(codes[codes != ord(MARK)]), marks[1::2] - marks[::2] - 1
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -143,23 +168,31 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _laid_out(words: list[bytes], of_byte: np.ndarray, of_pair: np.ndarray) -> pa.Array:
-    """Words as ``word_ids`` takes them."""
+    """Words as ``word_pieces`` takes them."""
     n = np.array([len(w) for w in words], np.int64)
     raw = np.frombuffer(b"".join(words), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum(2 * n + 3)])
-    flat = np.full(offsets[-1], UNRANKED, np.int32)
-    flat[offsets[:-1]] = flat[offsets[1:] - 1] = MARK
-    place = np.repeat(offsets[:-1] + 2, n) + 2 * (np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n))
-    flat[place] = of_byte[raw]
-    inner = np.flatnonzero(place[1:] == place[:-1] + 2)  # neighbours within a word
-    flat[place[inner] + 1] = of_pair[raw[inner], raw[inner + 1]]
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+    ends = np.cumsum(n)
+
+    def strings(inner: np.ndarray, lengths: np.ndarray, around: str) -> list[str]:
+        stops = np.cumsum(lengths + 2)
+        codes = np.full(stops[-1] if len(stops) else 0, ord(around), np.uint32)
+        codes[np.arange(len(inner)) + 2 * np.repeat(np.arange(len(lengths)), lengths) + 1] = inner
+        whole = codes.tobytes().decode("utf-32-le")
+        return [whole[a:b] for a, b in zip((stops - lengths - 2).tolist(), stops.tolist(), strict=True)]
+
+    within = np.ones(len(raw), bool)
+    within[ends - 1] = False  # a word's last byte makes no pair
+    first = np.flatnonzero(within)
+    pieces = strings(of_byte[raw], n, MARK)
+    between = strings(of_pair[raw[first], raw[first + 1]], n - 1, UNRANKED)
+    return pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(between, pa.string())], ["pieces", "ranks"])
 
 
 def _starts(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the single bytes, and stored ranks of their pairs."""
-    of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    return of_byte, np.array([[ranks.get(bytes([a, b]), RANK_ZERO + UNRANKED) - RANK_ZERO for b in range(256)] for a in range(256)], np.int32)
+    """Characters of the single bytes, and of the ranks of their pairs, as code points."""
+    of_byte = np.array([ord(_char(ranks[bytes([b])])) for b in range(256)], np.uint32)
+    joined = [[ranks.get(bytes([a, b])) for b in range(256)] for a in range(256)]
+    return of_byte, np.array([[ord(UNRANKED if r is None else _char(r)) for r in row] for row in joined], np.uint32)
 
 
 def shared_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = SHARED_WORDS, most_bytes: int = SHARED_BYTES) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -173,12 +206,17 @@ def shared_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, most:
         find = regex.compile(pattern).findall
         seen: set[str] = set()
         for batch in batches:
-            fresh = {w for text in batch.column(0).to_pylist() if text for w in find(text)} - seen
-            if len(seen) > MEMORY_WORDS or sum(map(len, seen)) > MEMORY_CHARS:
-                seen = set()
-            seen |= fresh
-            named = [w for w in fresh if len(w) <= FOLD_BYTES and (b := w.encode()) not in ranks and len(b) <= FOLD_BYTES]
-            yield pa.RecordBatch.from_arrays([pa.array(named, pa.string())], ["word"])
+            for lo in range(0, batch.num_rows, PART_ROWS):
+                # what lies between two spaces is cut once; words that this way of cutting misses are folded where they are met
+                parts: set[str] = set()
+                for text in batch.column(0).slice(lo, PART_ROWS):
+                    parts.update((text.as_py() or "").split(" "))
+                fresh = {w for w in find(" " + " ".join(parts)) if w not in seen}
+                if len(seen) > MEMORY_WORDS or sum(map(len, seen)) > MEMORY_CHARS:
+                    seen = set()
+                seen |= fresh
+                named = [w for w in fresh if len(w) <= FOLD_BYTES and (b := w.encode()) not in ranks and len(b) <= FOLD_BYTES]
+                yield pa.RecordBatch.from_arrays([pa.array(named, pa.string())], ["word"])
 
     def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_byte, of_pair = _starts(ranks)
@@ -196,10 +234,17 @@ def shared_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, most:
         least = r.n
     if least is None:
         return [], np.empty(0, np.uint32), np.empty(0, np.int64)
-    spread = counted.where(F.col("n") >= least).select("word").repartition("word").mapInArrow(laid_out, "word string, open array<int>")
-    folded = spread.select("word", _let(rank_map(ranks), lambda pairs: word_ids(pairs, F.col("open"))).alias("ids")).toArrow()
-    ids = folded.column("ids").combine_chunks()
-    return folded.column("word").to_pylist(), ids.flatten().to_numpy().astype(np.uint32), ids.value_lengths().to_numpy().astype(np.int64)
+    spread = counted.where(F.col("n") >= least).select("word").repartition("word").mapInArrow(laid_out, f"word string, open {WORD}")
+    folded = spread.select("word", _let(rank_map(ranks), lambda pairs: word_pieces(pairs, F.col("open"))).alias("pieces")).toArrow()
+    return folded.column("word").to_pylist(), *_ids(folded.column("pieces"))
+
+
+class _Numbers(dict):
+    """Words and their numbers; a new word gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 def _words(pattern: str, ids: list[str], ranks: dict[bytes, int], shared):
@@ -211,25 +256,26 @@ def _words(pattern: str, ids: list[str], ranks: dict[bytes, int], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_byte, of_pair = _starts(ranks)
         find = regex.compile(pattern).findall
-        base = {w: i for i, w in enumerate(shared.value[0])}
-        seen, chars = dict(base), 0
+        base = {w: i for i, w in enumerate(shared.value)}
+        seen, chars = _Numbers(base), 0
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(batch.num_columns - 1)
+            sizes = [n or 0 for n in pc.utf8_length(texts).to_pylist()]
             rows = pa.StructArray.from_arrays(batch.columns[:-1], ids)
             lo = 0
             while lo < len(texts):
                 hi, size = lo, 0
                 while hi < len(texts) and (hi == lo or size < CHUNK_CHARS):
-                    size += len(texts[hi] or "")
+                    size += sizes[hi]
                     hi += 1
                 reset = len(seen) - len(base) > MEMORY_WORDS or chars > MEMORY_CHARS
                 if reset:
-                    seen, chars = dict(base), 0
+                    seen, chars = _Numbers(base), 0
                 known, counts, number = len(seen), [], array("i")
                 for text in texts[lo:hi]:
-                    found = find(text or "")
+                    found = find(text.as_py() or "")
                     counts.append(len(found))
-                    number.extend([seen.setdefault(w, len(seen)) for w in found])
+                    number.extend(map(seen.__getitem__, found))
                 fresh = [w.encode() for w in islice(seen, known, None)]
                 chars += sum(map(len, fresh))
                 given = [[ranks[w]] if w in ranks else merge_long(w, ranks) if len(w) > FOLD_BYTES else None for w in fresh]
@@ -261,26 +307,27 @@ class _Known:
         return self.flat[at], ends
 
 
-def _in_order(given: pa.ListArray, folded: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+def _in_order(given: pa.ListArray, folded: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids and lengths of the words first seen in a chunk: the null places of ``given`` are filled from ``folded``."""
     is_open = given.is_null().to_numpy(zero_copy_only=False)
+    of_open, numbers = _ids(folded)
     lengths = np.empty(len(given), np.int64)
     lengths[~is_open] = given.drop_null().value_lengths().to_numpy()
-    lengths[is_open] = folded.value_lengths().to_numpy()
+    lengths[is_open] = numbers
     flat = np.empty(int(lengths.sum()), np.uint32)
     owner = np.repeat(is_open, lengths)
     flat[~owner] = given.drop_null().flatten().to_numpy()
-    flat[owner] = folded.flatten().to_numpy()
+    flat[owner] = of_open
     return flat, lengths
 
 
 def _documents(kinds: list[pa.DataType], ids: list[str], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(*shared.value[1:])
+        known = _Known(*shared.value)
         for batch in batches:
             for k in range(batch.num_rows):
                 if batch.column("reset")[k].as_py():
-                    known = _Known(*shared.value[1:])
+                    known = _Known(*shared.value)
                 known.add(*_in_order(batch.column("given")[k].values, batch.column("folded")[k].values))
                 counts = batch.column("counts")[k].values.to_numpy()
                 got, ends = known.gather(batch.column("number")[k].values.to_numpy())
@@ -311,10 +358,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: list[str
     narrow = docs.select(*[F.col(f"`{c}`") for c in keys], F.col("text").alias("__text"))
     kinds = [(f.name, f.dataType.simpleString()) for f in narrow.schema.fields[:-1]]
     row = ", ".join(f"`{n}`: {k}" for n, k in kinds)
-    kind = f"rows array<struct<{row}>>, counts array<int>, number array<int>, open_words array<array<int>>, given array<array<int>>, reset boolean"
-    shared = docs.sparkSession.sparkContext.broadcast(shared_words(narrow.select("__text"), ranks, pattern))
-    cut = narrow.mapInArrow(_words(pattern, keys, ranks, shared), kind)
-    folded = _let(rank_map(ranks), lambda pairs: F.transform("open_words", lambda w: word_ids(pairs, w))).alias("folded")
+    kind = f"rows array<struct<{row}>>, counts array<int>, number array<int>, open_words array<{WORD}>, given array<array<int>>, reset boolean"
+    named, *known = shared_words(narrow.select("__text"), ranks, pattern)
+    words, shared = map(docs.sparkSession.sparkContext.broadcast, (named, known))
+    cut = narrow.mapInArrow(_words(pattern, keys, ranks, words), kind)
+    folded = _let(rank_map(ranks), lambda pairs: F.transform("open_words", lambda w: word_pieces(pairs, w))).alias("folded")
     types = [f.type for f in to_arrow_schema(narrow.schema)][:-1]
     whole = ", ".join(f"`{n}` {k}" for n, k in kinds) + ", ids array<int>, ids_sha256 string"
     return cut.select("rows", "counts", "number", "given", "reset", folded).mapInArrow(_documents(types, keys, shared), whole)

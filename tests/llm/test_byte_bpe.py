@@ -70,3 +70,11 @@ def test_words_that_tasks_share_are_folded_once(spark, ranks, library):
         assert len(few[0]) <= 50 or sum(len(w.encode()) for w in few[0]) <= 400
     for r in b.encode(docs, ranks, P.PATTERN, ["doc_id", "text"]).collect():
         assert r.ids == library.encode_ordinary(r.text)
+
+
+def test_pieces_are_folded_as_strings(spark, ranks, library):
+    words = [w for w in ("".join(random.Random(i).choice("abdeghinorst") for _ in range(3 + i % 60)).encode() for i in range(400)) if w not in ranks]
+    docs = spark.createDataFrame([(b._laid_out(words, *b._starts(ranks)).to_pylist(),)], f"words array<{b.WORD}>")
+    made = docs.select(F.explode(F.transform("words", lambda w: b.word_pieces(b.rank_map(ranks), w))).alias("p")).toArrow().column("p")
+    flat, lengths = b._ids(made)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [library._encode_single_piece(w) for w in words]
