@@ -7,6 +7,7 @@ character each, so that a merge looks up two pairs only.  A piece and its rank h
 Words that several tasks meet are counted over the whole table and folded once; every task starts from their ids (a bounded
 table).  Then three steps follow each other in a task without a shuffle: Arrow batches are cut into words and the words not
 yet seen by the task are listed once; these are folded; the ids of each document are put together from the ids of its words.
+What stands between two spaces is cut into words where the task meets it first.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import json
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -44,11 +45,17 @@ PART_ROWS = 4000
 #: Words, and characters in them, that a task remembers besides the shared ones before it starts over, which bounds its memory.
 MEMORY_WORDS = 100_000
 MEMORY_CHARS = 8_000_000
+#: The same for what stands between two spaces.
+MEMORY_PARTS = 200_000
 #: Words, and bytes in them, that are folded once for all tasks: those that most tasks meet.  Others are folded where they are met.
-SHARED_WORDS = 120_000
+SHARED_WORDS = 300_000
 SHARED_BYTES = 4_000_000
 #: Longer words are merged by a heap, as every merge of the fold copies the word.
 FOLD_BYTES = 128
+#: Patterns by which a word begins at every space that has other characters than white space on both sides.
+CUT_AT_SPACES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
+#: All white space of these patterns.
+WHITE = frozenset(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -109,7 +116,8 @@ def _merged_once(pairs: Column, word: Column) -> Column:
     pieces, between = word["pieces"], word["ranks"]
 
     def merge(best: Column, at: Column) -> Column:
-        left = joined_rank(pairs, F.concat(F.lit(PAIR), F.substring(pieces, at - 1, F.lit(1)), best))
+        # before a word's first piece stands a mark, which joins nothing
+        left = F.when(at == 2, F.lit(UNRANKED)).otherwise(joined_rank(pairs, F.concat(F.lit(PAIR), F.substring(pieces, at - 1, F.lit(1)), best)))
         right = joined_rank(pairs, F.concat(F.lit(PAIR), best, F.substring(pieces, at + 2, F.lit(1))))
         return F.struct(F.overlay(pieces, best, at, F.lit(2)).alias("pieces"), F.overlay(between, F.concat(left, right), at - 1, F.lit(3)).alias("ranks"))
 
@@ -247,6 +255,47 @@ class _Numbers(dict):
         return number
 
 
+class _Parts(dict):
+    """Numbers of the parts that texts consist of, and the numbers of the words of each part.
+
+    A part is what follows a space, up to the next one (a string), or a single word (a tuple).  What begins or ends with white
+    space, or is empty, has the number -1.
+    """
+
+    def __init__(self, pattern: str, seen: _Numbers) -> None:
+        self.find, self.at_spaces, self.seen = regex.compile(pattern).findall, pattern in CUT_AT_SPACES, seen
+        self.words, self.lengths, self.chars = array("i"), array("i"), 0
+
+    def __missing__(self, part: str | tuple[str]) -> int:
+        if isinstance(part, tuple):
+            words = part
+        elif part and part[0] not in WHITE and part[-1] not in WHITE:
+            words = self.find(" " + part)
+        else:
+            self[part] = -1
+            return -1
+        self.words.extend(map(self.seen.__getitem__, words))
+        self[part] = number = len(self.lengths)
+        self.lengths.append(len(words))
+        self.chars += sum(map(len, words))
+        return number
+
+    def of(self, text: str) -> list[int]:
+        """Numbers of the parts of a text; where a space stands beside white space, of its words."""
+        if self.at_spaces:
+            head, *rest = text.split(" ")
+            if not rest or (head and head[-1] not in WHITE):
+                numbers = [*map(self.__getitem__, rest)]
+                if min(numbers, default=0) >= 0:
+                    return [*(self[(w,)] for w in self.find(head)), *numbers]
+        return [self[(w,)] for w in self.find(text)]
+
+    def cut(self, number: array, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of texts, given as parts, one text after the other, and the words of each text."""
+        words, ends = _Known(np.array(self.words, np.int32), np.array(self.lengths, np.int64)).gather(np.array(number, np.int32))
+        return words, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])])
+
+
 def _words(pattern: str, ids: list[str], ranks: dict[bytes, int], shared):
     """Chunks of documents: per chunk the rows, words of each, numbers of the words, and the words first seen.
 
@@ -255,9 +304,8 @@ def _words(pattern: str, ids: list[str], ranks: dict[bytes, int], shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_byte, of_pair = _starts(ranks)
-        find = regex.compile(pattern).findall
-        base = {w: i for i, w in enumerate(shared.value)}
-        seen, chars = _Numbers(base), 0
+        seen, chars = _Numbers(zip(shared.value, range(len(shared.value)), strict=True)), 0
+        base, parts = len(seen), _Parts(pattern, seen)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             sizes = [n or 0 for n in pc.utf8_length(texts).to_pylist()]
@@ -268,26 +316,51 @@ def _words(pattern: str, ids: list[str], ranks: dict[bytes, int], shared):
                 while hi < len(texts) and (hi == lo or size < CHUNK_CHARS):
                     size += sizes[hi]
                     hi += 1
-                reset = len(seen) - len(base) > MEMORY_WORDS or chars > MEMORY_CHARS
+                reset = len(seen) - base > MEMORY_WORDS or chars > MEMORY_CHARS
                 if reset:
-                    seen, chars = _Numbers(base), 0
+                    chars = 0
+                    for word in [*islice(seen, base, None)]:
+                        del seen[word]
+                if reset or len(parts) > MEMORY_PARTS or parts.chars > MEMORY_CHARS:
+                    parts = _Parts(pattern, seen)
                 known, counts, number = len(seen), [], array("i")
                 for text in texts[lo:hi]:
-                    found = find(text.as_py() or "")
+                    found = parts.of(text.as_py() or "")
                     counts.append(len(found))
-                    number.extend(map(seen.__getitem__, found))
+                    number.extend(found)
+                words, counts = parts.cut(number, counts)
                 fresh = [w.encode() for w in islice(seen, known, None)]
                 chars += sum(map(len, fresh))
                 given = [[ranks[w]] if w in ranks else merge_long(w, ranks) if len(w) > FOLD_BYTES else None for w in fresh]
                 open_words = _laid_out([w for w, g in zip(fresh, given, strict=True) if g is None], of_byte, of_pair)
-                cells = [rows.slice(lo, hi - lo), pa.array(counts, pa.int32()), pa.array(np.frombuffer(number, np.int32)), open_words, pa.array(given, pa.list_(pa.int32()))]
+                cells = [rows.slice(lo, hi - lo), pa.array(counts, pa.int32()), open_words, pa.array(given, pa.list_(pa.int32()))]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cells]
-                yield pa.RecordBatch.from_arrays([*lists, pa.array([reset])], ["rows", "counts", "number", "open_words", "given", "reset"])
+                whole = pa.array([words.astype(np.int32).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*lists, whole, pa.array([reset])], ["rows", "counts", "open_words", "given", "number", "reset"])
                 lo = hi
 
     return run
 
 
+class Decoder:
+    """Decodes ids in a task as ``decode`` does: their pieces one after the other; ids without a piece are skipped."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        by_id = {r: p for p, r in ranks.items()}
+        self.pieces = [by_id.get(i) for i in range(max(by_id) + 1)]
+
+    def opened(self):
+        """A function of the ids of texts, one after the other, and where each text's begin (and the last one's end), to their bytes."""
+        pieces = pa.array(self.pieces, pa.large_binary())
+
+        def bytes_of(ids: np.ndarray, cuts: np.ndarray) -> Iterator[memoryview]:
+            found = pieces.take(pa.array(ids))
+            ends, whole = np.frombuffer(found.buffers()[1], np.int64)[cuts].tolist(), memoryview(found.buffers()[2] or b"")
+            return (whole[a:b] for a, b in pairwise(ends))
+
+        return bytes_of
+
+
 class _Known:
     """Ids of the words of a task, in one growing array."""
 
@@ -321,8 +394,9 @@ def _in_order(given: pa.ListArray, folded: pa.Array) -> tuple[np.ndarray, np.nda
     return flat, lengths
 
 
-def _documents(kinds: list[pa.DataType], ids: list[str], shared):
+def _documents(kinds: list[pa.DataType], ids: list[str], shared, decoded: Decoder | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytes_of = decoded.opened() if decoded else None
         known = _Known(*shared.value)
         for batch in batches:
             for k in range(batch.num_rows):
@@ -330,7 +404,7 @@ def _documents(kinds: list[pa.DataType], ids: list[str], shared):
                     known = _Known(*shared.value)
                 known.add(*_in_order(batch.column("given")[k].values, batch.column("folded")[k].values))
                 counts = batch.column("counts")[k].values.to_numpy()
-                got, ends = known.gather(batch.column("number")[k].values.to_numpy())
+                got, ends = known.gather(np.frombuffer(batch.column("number")[k].as_buffer(), np.int32))
                 cuts = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts)]]).astype(np.int64)
                 rows = batch.column("rows")[k].values
                 own = [rows.field(i).cast(t) for i, t in enumerate(kinds)]
@@ -340,14 +414,19 @@ def _documents(kinds: list[pa.DataType], ids: list[str], shared):
                     hashes = [hashlib.sha256(whole[cuts[i] : cuts[i + 1]].tobytes()).hexdigest() for i in range(lo, hi)]
                     offsets = pa.array(cuts[lo : hi + 1] - cuts[lo], pa.int32())
                     lists = pa.ListArray.from_arrays(offsets, pa.array(got[cuts[lo] : cuts[hi]].astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([*[o.slice(lo, hi - lo) for o in own], lists, pa.array(hashes, pa.string())], [*ids, "ids", "ids_sha256"])
+                    cells, names = [*[o.slice(lo, hi - lo) for o in own], lists, pa.array(hashes, pa.string())], [*ids, "ids", "ids_sha256"]
+                    if bytes_of:
+                        digests = [hashlib.sha256(text).hexdigest() for text in bytes_of(got[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo])]
+                        cells, names = [*cells, pa.array(digests, pa.string())], [*names, "decoded_sha256"]
+                    yield pa.RecordBatch.from_arrays(cells, names)
 
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: list[str] | None = None, decoded: Decoder | None = None) -> DataFrame:
     """``ids`` array<int> of every whole text beside its id columns, and their SHA-256 as little-endian 32-bit integers.
 
+    With a decoder, the ids are decoded where they are made, and ``decoded_sha256`` is the SHA-256 of those bytes.
     Null and empty texts have no ids; repeated rows get equal ids; an empty table gives no rows.  No special tokens.
     Words of more than 128 bytes are merged by a heap instead of the fold, to the same ids.  The texts are read twice: for the
     words that tasks share, and to be encoded.
@@ -358,14 +437,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: list[str
     narrow = docs.select(*[F.col(f"`{c}`") for c in keys], F.col("text").alias("__text"))
     kinds = [(f.name, f.dataType.simpleString()) for f in narrow.schema.fields[:-1]]
     row = ", ".join(f"`{n}`: {k}" for n, k in kinds)
-    kind = f"rows array<struct<{row}>>, counts array<int>, number array<int>, open_words array<{WORD}>, given array<array<int>>, reset boolean"
+    kind = f"rows array<struct<{row}>>, counts array<int>, open_words array<{WORD}>, given array<array<int>>, number binary, reset boolean"
     named, *known = shared_words(narrow.select("__text"), ranks, pattern)
     words, shared = map(docs.sparkSession.sparkContext.broadcast, (named, known))
     cut = narrow.mapInArrow(_words(pattern, keys, ranks, words), kind)
     folded = _let(rank_map(ranks), lambda pairs: F.transform("open_words", lambda w: word_pieces(pairs, w))).alias("folded")
     types = [f.type for f in to_arrow_schema(narrow.schema)][:-1]
-    whole = ", ".join(f"`{n}` {k}" for n, k in kinds) + ", ids array<int>, ids_sha256 string"
-    return cut.select("rows", "counts", "number", "given", "reset", folded).mapInArrow(_documents(types, keys, shared), whole)
+    whole = ", ".join(f"`{n}` {k}" for n, k in kinds) + ", ids array<int>, ids_sha256 string" + ", decoded_sha256 string" * (decoded is not None)
+    return cut.select("rows", "counts", "number", "given", "reset", folded).mapInArrow(_documents(types, keys, shared, decoded), whole)
 
 
 def pieces(ranks: dict[bytes, int]) -> Column:

@@ -35,9 +35,8 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = F.sha2(byte_bpe.decode(F.col("ids"), ranks), 256)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", decoded.alias("decoded_sha256"))
+    coded = byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, decoded=byte_bpe.Decoder(ranks))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", "decoded_sha256")
 
 
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -78,3 +78,52 @@ def test_pieces_are_folded_as_strings(spark, ranks, library):
     made = docs.select(F.explode(F.transform("words", lambda w: b.word_pieces(b.rank_map(ranks), w))).alias("p")).toArrow().column("p")
     flat, lengths = b._ids(made)
     assert [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] == [library._encode_single_piece(w) for w in words]
+
+
+def spaced_texts():
+    """Spaces beside other white space, at both ends, and none at all."""
+    rng = random.Random(11)
+    atoms = ["ab", "dons", "don't", "'s", "''s", "x,", "!?", "9", "é", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u3000", "\u180e", "\xa0", "\u2003"]
+    return ["".join(rng.choice([*atoms, " "]) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["a b c", " a b", "a b ", "a  b", "a \n b", "plain"]
+
+
+def test_parts_between_spaces_give_the_words_of_whole_texts():
+    find, seen, texts = b.regex.compile(P.PATTERN).findall, b._Numbers(), spaced_texts()
+    parts = b._Parts(P.PATTERN, seen)
+    found = [parts.of(t) for t in texts]
+    numbers, counts = parts.cut(b.array("i", [n for f in found for n in f]), [len(f) for f in found])
+    by_number = list(seen)
+    words = [by_number[n] for n in numbers]
+    assert counts.tolist() == [len(find(t)) for t in texts]
+    assert words == [w for t in texts for w in find(t)]
+    # a pattern that is not known to begin words at spaces is used on whole texts
+    other = b._Parts(r"[a-z ]+|.", b._Numbers())
+    assert len(other.of("one two three")) == 1
+    assert P.PATTERN in b.CUT_AT_SPACES
+
+
+def test_a_common_part_is_cut_into_words_once(spark):
+    parts = b._Parts(P.PATTERN, b._Numbers())
+    cut, find = [], parts.find
+    parts.find = lambda text: cut.append(text) or find(text)
+    for _ in range(50):
+        parts.of("the same don't, words again")
+    assert sorted(c for c in cut if c != "the") == [" again", " don't,", " same", " words"]
+
+
+def test_digests_of_decoded_ids(spark, ranks, library, monkeypatch):
+    monkeypatch.setattr(b, "CHUNK_CHARS", 3000)
+    monkeypatch.setattr(b, "MEMORY_WORDS", 200)
+    monkeypatch.setattr(b, "MEMORY_PARTS", 100)
+    texts = [*spaced_texts(), *(t for _, t, *_ in odd_texts())]
+    docs = awkward(spark, [(2000 + i, t, None, None, None) for i, t in enumerate(texts)]).coalesce(2)
+    rows = b.encode(docs, ranks, P.PATTERN, ["doc_id", "text"], decoded=b.Decoder(ranks)).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r.ids == library.encode_ordinary(r.text or "")
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_decoder_skips_ids_without_a_piece():
+    made = b.Decoder({b"a": 0, b"\xff": 2}).opened()(np.array([0, 1, 2, 2, 7 % 3], np.uint32), np.array([0, 0, 2, 5]))
+    assert [bytes(m) for m in made] == [b"", b"a", b"\xff\xff"]
