@@ -43,13 +43,13 @@ CHUNK_CHARS = 2_000_000
 #: Texts whose words are listed at a time when shared words are looked for.
 PART_ROWS = 4000
 #: Words, and characters in them, that a task remembers besides the shared ones before it starts over, which bounds its memory.
-MEMORY_WORDS = 100_000
+MEMORY_WORDS = 150_000
 MEMORY_CHARS = 8_000_000
 #: The same for what stands between two spaces.
-MEMORY_PARTS = 200_000
+MEMORY_PARTS = 300_000
 #: Words, and bytes in them, that are folded once for all tasks: those that most tasks meet.  Others are folded where they are met.
-SHARED_WORDS = 300_000
-SHARED_BYTES = 4_000_000
+SHARED_WORDS = 600_000
+SHARED_BYTES = 8_000_000
 #: Longer words are merged by a heap, as every merge of the fold copies the word.
 FOLD_BYTES = 128
 #: Patterns by which a word begins at every space that has other characters than white space on both sides.
@@ -255,45 +255,66 @@ class _Numbers(dict):
         return number
 
 
-class _Parts(dict):
-    """Numbers of the parts that texts consist of, and the numbers of the words of each part.
+class _Parts:
+    """Texts as the numbers of their words.
 
-    A part is what follows a space, up to the next one (a string), or a single word (a tuple).  What begins or ends with white
-    space, or is empty, has the number -1.
+    A part is what follows a space, up to the next one; its words are looked for where it is met first.  The beginning of a text up
+    to its first space, and a whole text that has a space beside other white space, are cut on their own.
     """
 
     def __init__(self, pattern: str, seen: _Numbers) -> None:
         self.find, self.at_spaces, self.seen = regex.compile(pattern).findall, pattern in CUT_AT_SPACES, seen
-        self.words, self.lengths, self.chars = array("i"), array("i"), 0
-
-    def __missing__(self, part: str | tuple[str]) -> int:
-        if isinstance(part, tuple):
-            words = part
-        elif part and part[0] not in WHITE and part[-1] not in WHITE:
-            words = self.find(" " + part)
-        else:
-            self[part] = -1
-            return -1
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.chars, self.words, self.lengths = {}, 0, array("i"), array("i")
+
+    def learn(self, fresh: list[str]) -> None:
+        """Parts not met before get a number; -1 if they are empty, or begin or end with white space."""
+        plain = [p for p in fresh if p and p[0] not in WHITE and p[-1] not in WHITE]
+        self.chars += sum(map(len, fresh))
+        self.number.update(dict.fromkeys(fresh, -1))
+        self.number.update(zip(plain, range(len(self.lengths), len(self.lengths) + len(plain)), strict=True))
+        words = self.find(" " + " ".join(plain)) if plain else []
+        # the first word of a part begins with the space, no other does
+        starts = np.flatnonzero(np.array([w[0] == " " for w in words], bool))
         self.words.extend(map(self.seen.__getitem__, words))
-        self[part] = number = len(self.lengths)
-        self.lengths.append(len(words))
-        self.chars += sum(map(len, words))
-        return number
-
-    def of(self, text: str) -> list[int]:
-        """Numbers of the parts of a text; where a space stands beside white space, of its words."""
-        if self.at_spaces:
-            head, *rest = text.split(" ")
-            if not rest or (head and head[-1] not in WHITE):
-                numbers = [*map(self.__getitem__, rest)]
-                if min(numbers, default=0) >= 0:
-                    return [*(self[(w,)] for w in self.find(head)), *numbers]
-        return [self[(w,)] for w in self.find(text)]
-
-    def cut(self, number: array, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words of texts, given as parts, one text after the other, and the words of each text."""
-        words, ends = _Known(np.array(self.words, np.int32), np.array(self.lengths, np.int64)).gather(np.array(number, np.int32))
-        return words, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])])
+        self.lengths.extend(np.diff(starts, append=len(words)).tolist())
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of texts, one text after the other, and the words of each text."""
+        n = np.ones(len(texts), np.int64)
+        first, numbers, own = np.arange(len(texts)), np.zeros(len(texts), np.int64), pc.fill_null(texts, "")
+        if self.at_spaces and len(texts):
+            split = pc.split_pattern(own, " ")
+            n = pc.list_value_length(split).to_numpy().astype(np.int64)
+            first = np.cumsum(n) - n
+            coded = split.flatten().dictionary_encode()
+            parts, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            met = [*map(self.number.get, parts)]
+            self.learn([p for p, k in zip(parts, met, strict=True) if k is None])
+            numbers = np.array([self.number[p] if k is None else k for p, k in zip(parts, met, strict=True)], np.int64)[at]
+            heads = [parts[i] for i in at[first].tolist()]
+            numbers[first] = 0
+            whole = np.minimum.reduceat(numbers, first) < 0
+            whole |= (n > 1) & np.array([not h or h[-1] in WHITE for h in heads])
+            kept = ~np.repeat(whole, n)
+            kept[first] = True
+            own = [own[i].as_py() if w else h for i, (w, h) in enumerate(zip(whole.tolist(), heads, strict=True))]
+            numbers, n = numbers[kept], np.where(whole, 1, n)
+            first = np.cumsum(n) - n
+        else:
+            own = own.to_pylist()
+        # what is cut on its own is forgotten afterwards
+        words, parts = len(self.words), len(self.lengths)
+        numbers[first] = parts + np.arange(len(own))
+        for text in own:
+            found = self.find(text)
+            self.words.extend(map(self.seen.__getitem__, found))
+            self.lengths.append(len(found))
+        got, ends = _Known(np.array(self.words, np.int32), np.array(self.lengths, np.int64)).gather(numbers)
+        del self.words[words:], self.lengths[parts:]
+        return got, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])])
 
 
 def _words(pattern: str, ids: list[str], ranks: dict[bytes, int], shared):
@@ -321,14 +342,10 @@ def _words(pattern: str, ids: list[str], ranks: dict[bytes, int], shared):
                     chars = 0
                     for word in [*islice(seen, base, None)]:
                         del seen[word]
-                if reset or len(parts) > MEMORY_PARTS or parts.chars > MEMORY_CHARS:
-                    parts = _Parts(pattern, seen)
-                known, counts, number = len(seen), [], array("i")
-                for text in texts[lo:hi]:
-                    found = parts.of(text.as_py() or "")
-                    counts.append(len(found))
-                    number.extend(found)
-                words, counts = parts.cut(number, counts)
+                if reset or len(parts.number) > MEMORY_PARTS or parts.chars > MEMORY_CHARS:
+                    parts.forget()
+                known = len(seen)
+                words, counts = parts.of(texts.slice(lo, hi - lo))
                 fresh = [w.encode() for w in islice(seen, known, None)]
                 chars += sum(map(len, fresh))
                 given = [[ranks[w]] if w in ranks else merge_long(w, ranks) if len(w) > FOLD_BYTES else None for w in fresh]
