@@ -40,15 +40,13 @@ UNRANKED, MARK, PAIR = "\U0001F000", "\U0001F001", "\U0001F002"
 #: A word as it is folded.
 WORD = "struct<pieces: string, ranks: string>"
 CHUNK_CHARS = 2_000_000
-#: Texts whose words are listed at a time when shared words are looked for.
-PART_ROWS = 4000
 #: Words, and characters in them, that a task remembers besides the shared ones before it starts over, which bounds its memory.
 MEMORY_WORDS = 150_000
 MEMORY_CHARS = 8_000_000
 #: The same for what stands between two spaces.
-MEMORY_PARTS = 300_000
+MEMORY_PARTS = 600_000
 #: Words, and bytes in them, that are folded once for all tasks: those that most tasks meet.  Others are folded where they are met.
-SHARED_WORDS = 600_000
+SHARED_WORDS = 500_000
 SHARED_BYTES = 8_000_000
 #: Longer words are merged by a heap, as every merge of the fold copies the word.
 FOLD_BYTES = 128
@@ -203,35 +201,70 @@ def _starts(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return of_byte, np.array([[ord(UNRANKED if r is None else _char(r)) for r in row] for row in joined], np.uint32)
 
 
-def shared_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = SHARED_WORDS, most_bytes: int = SHARED_BYTES) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The words that most tasks meet with their ids, one after the other, and the ids' numbers (actions).
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where chunks of texts begin and end: some CHUNK_CHARS characters each, one text at least."""
+    sizes, lo = [n or 0 for n in pc.utf8_length(texts).to_pylist()], 0
+    while lo < len(sizes):
+        hi, size = lo, 0
+        while hi < len(sizes) and (hi == lo or size < CHUNK_CHARS):
+            size += sizes[hi]
+            hi += 1
+        yield lo, hi
+        lo = hi
 
-    Words that are pieces, or too long for the fold, are not among them.  Each task names a word once, so a count is a number of
-    tasks; the least count is taken with which words and bytes stay within their bounds.
-    """
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts_of(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """How many parts each text has, which are what its spaces cut it into, and the parts of all texts."""
+    split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    return pc.list_value_length(split).to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+
+
+def _joined(parts: pa.Array) -> str:
+    """Parts one after the other, each behind a space."""
+    return " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts), " ")[0].as_py()
+
+
+def _met(pattern: str, ranks: dict[bytes, int], most: int, most_bytes: int):
+    """The words that a task meets, each once as far as its memory goes, but for pieces and words too long for the fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        seen: set[str] = set()
+        plain = {w for p in ranks if (w := p.decode(errors="replace")).encode() == p}
+        seen, chars, known = {*plain}, 0, None
         for batch in batches:
-            for lo in range(0, batch.num_rows, PART_ROWS):
+            for lo, hi in _chunks(batch.column(0)):
                 # what lies between two spaces is cut once; words that this way of cutting misses are folded where they are met
-                parts: set[str] = set()
-                for text in batch.column(0).slice(lo, PART_ROWS):
-                    parts.update((text.as_py() or "").split(" "))
-                fresh = {w for w in find(" " + " ".join(parts)) if w not in seen}
-                if len(seen) > MEMORY_WORDS or sum(map(len, seen)) > MEMORY_CHARS:
-                    seen = set()
+                parts = _parts_of(batch.column(0).slice(lo, hi - lo))[1].dictionary
+                if known is None or len(known) > MEMORY_PARTS or known.nbytes > MEMORY_CHARS:
+                    known = parts.slice(0, 0)
+                new = parts.filter(pc.is_null(pc.index_in(parts, value_set=known)))
+                known = pa.concat_arrays([known, new])
+                if len(seen) - len(plain) > most or chars > most_bytes:
+                    seen, chars = {*plain}, 0
+                fresh = {*find(_joined(new))} - seen
                 seen |= fresh
-                named = [w for w in fresh if len(w) <= FOLD_BYTES and (b := w.encode()) not in ranks and len(b) <= FOLD_BYTES]
+                chars += sum(map(len, fresh))
+                named = [w for w in fresh if 4 * len(w) <= FOLD_BYTES or len(w) <= FOLD_BYTES and len(w.encode()) <= FOLD_BYTES]
+                # Arrow would keep what it has freed, and a Python worker goes on to other tasks
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([pa.array(named, pa.string())], ["word"])
 
+    return run
+
+
+def shared_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = SHARED_WORDS, most_bytes: int = SHARED_BYTES) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words that most tasks meet with their ids, one after the other, and the ids' numbers (actions).
+
+    Words that are pieces, or too long for the fold, are not among them.  Each task names a word once, so a count is a number of
+    tasks; the least count is taken with which words and bytes stay within their bounds.
+    """
+
     def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_byte, of_pair = _starts(ranks)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _laid_out([w.encode() for w in batch.column(0).to_pylist()], of_byte, of_pair)], ["word", "open"])
 
-    counted = staged(texts.mapInArrow(met, "word string").groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "bpe-words")
+    counted = staged(texts.mapInArrow(_met(pattern, ranks, most, most_bytes), "word string").groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "bpe-words")
     # as many counts as there are tasks
     levels = counted.groupBy("n").agg(F.count("*").alias("words"), F.sum(F.octet_length("word")).alias("bytes")).orderBy(F.desc("n")).collect()
     least, words, size = None, 0, 0
@@ -267,34 +300,38 @@ class _Parts:
         self.forget()
 
     def forget(self) -> None:
-        self.number, self.chars, self.words, self.lengths = {}, 0, array("i"), array("i")
-
-    def learn(self, fresh: list[str]) -> None:
-        """Parts not met before get a number; -1 if they are empty, or begin or end with white space."""
-        plain = [p for p in fresh if p and p[0] not in WHITE and p[-1] not in WHITE]
-        self.chars += sum(map(len, fresh))
-        self.number.update(dict.fromkeys(fresh, -1))
-        self.number.update(zip(plain, range(len(self.lengths), len(self.lengths) + len(plain)), strict=True))
-        words = self.find(" " + " ".join(plain)) if plain else []
-        # the first word of a part begins with the space, no other does
-        starts = np.flatnonzero(np.array([w[0] == " " for w in words], bool))
-        self.words.extend(map(self.seen.__getitem__, words))
-        self.lengths.extend(np.diff(starts, append=len(words)).tolist())
+        self.known, self.chars, self.words, self.lengths = None, 0, array("i"), array("i")
+
+    def numbers(self, parts: pa.Array) -> np.ndarray:
+        """Numbers of different parts; those not met before get one, except that they are empty, or begin or end with white space: -1."""
+        if self.known is None:
+            self.known = parts.slice(0, 0)
+        at = pc.index_in(parts, value_set=self.known)
+        trimmed = pc.utf8_trim(parts, characters="".join(WHITE))
+        inner = pc.and_(pc.greater(pc.binary_length(parts), 0), pc.equal(pc.binary_length(trimmed), pc.binary_length(parts)))
+        new = pc.and_(pc.is_null(at), inner)
+        plain, numbers = parts.filter(new), pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        numbers[new.to_numpy(zero_copy_only=False)] = len(self.lengths) + np.arange(len(plain))
+        if len(plain):
+            self.known = pa.concat_arrays([self.known, plain])
+            self.chars += pc.sum(pc.utf8_length(plain)).as_py()
+            words = self.find(_joined(plain))
+            # the first word of a part begins with the space, no other does
+            starts = np.flatnonzero(np.array([w[0] == " " for w in words], bool))
+            self.words.extend(map(self.seen.__getitem__, words))
+            self.lengths.extend(np.diff(starts, append=len(words)).tolist())
+        return numbers
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of texts, one text after the other, and the words of each text."""
         n = np.ones(len(texts), np.int64)
         first, numbers, own = np.arange(len(texts)), np.zeros(len(texts), np.int64), pc.fill_null(texts, "")
         if self.at_spaces and len(texts):
-            split = pc.split_pattern(own, " ")
-            n = pc.list_value_length(split).to_numpy().astype(np.int64)
+            n, coded = _parts_of(own)
             first = np.cumsum(n) - n
-            coded = split.flatten().dictionary_encode()
-            parts, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            met = [*map(self.number.get, parts)]
-            self.learn([p for p, k in zip(parts, met, strict=True) if k is None])
-            numbers = np.array([self.number[p] if k is None else k for p, k in zip(parts, met, strict=True)], np.int64)[at]
-            heads = [parts[i] for i in at[first].tolist()]
+            at = coded.indices.to_numpy()
+            numbers = self.numbers(coded.dictionary)[at]
+            heads = coded.dictionary.take(pa.array(at[first])).to_pylist()
             numbers[first] = 0
             whole = np.minimum.reduceat(numbers, first) < 0
             whole |= (n > 1) & np.array([not h or h[-1] in WHITE for h in heads])
@@ -329,23 +366,18 @@ def _words(pattern: str, ids: list[str], ranks: dict[bytes, int], shared):
         base, parts = len(seen), _Parts(pattern, seen)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            sizes = [n or 0 for n in pc.utf8_length(texts).to_pylist()]
             rows = pa.StructArray.from_arrays(batch.columns[:-1], ids)
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < CHUNK_CHARS):
-                    size += sizes[hi]
-                    hi += 1
+            for lo, hi in _chunks(texts):
                 reset = len(seen) - base > MEMORY_WORDS or chars > MEMORY_CHARS
                 if reset:
                     chars = 0
                     for word in [*islice(seen, base, None)]:
                         del seen[word]
-                if reset or len(parts.number) > MEMORY_PARTS or parts.chars > MEMORY_CHARS:
+                if reset or len(parts.lengths) > MEMORY_PARTS or parts.chars > MEMORY_CHARS:
                     parts.forget()
                 known = len(seen)
                 words, counts = parts.of(texts.slice(lo, hi - lo))
+                pa.default_memory_pool().release_unused()
                 fresh = [w.encode() for w in islice(seen, known, None)]
                 chars += sum(map(len, fresh))
                 given = [[ranks[w]] if w in ranks else merge_long(w, ranks) if len(w) > FOLD_BYTES else None for w in fresh]
@@ -354,7 +386,6 @@ def _words(pattern: str, ids: list[str], ranks: dict[bytes, int], shared):
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cells]
                 whole = pa.array([words.astype(np.int32).tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*lists, whole, pa.array([reset])], ["rows", "counts", "open_words", "given", "number", "reset"])
-                lo = hi
 
     return run
 

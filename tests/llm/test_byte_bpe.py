@@ -113,6 +113,36 @@ def test_a_common_part_is_cut_into_words_once(spark):
     assert [c for c in cut if c != "a"] == [" a same don't, words again"]
 
 
+def test_counting_cuts_a_common_part_and_names_a_word_once_a_task(ranks, monkeypatch):
+    cut, compiled = [], b.regex.compile(P.PATTERN)
+
+    class Recorded:
+        def findall(self, text):
+            cut.append(text)
+            return compiled.findall(text)
+
+    monkeypatch.setattr(b.regex, "compile", lambda pattern: Recorded())
+    monkeypatch.setattr(b, "CHUNK_CHARS", 50)
+    texts = [*(f"qzxj, vwkyq don't own{i}zq qzxj" for i in range(20)), None, "", "one\xa0two qzxj\n\xe9\xe9zqx"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[lo : lo + 8], pa.string())], ["text"]) for lo in range(0, len(texts), 8)]
+    named = [w for made in b._met(P.PATTERN, ranks, 1000, 100_000)(iter(batches)) for w in made.column(0).to_pylist()]
+    parts = " ".join(cut).split()
+    assert parts.count("vwkyq") == 1 and parts.count("qzxj,") == 1
+    wanted = {w for t in texts for w in compiled.findall(" " + (t or "")) if w.encode() not in ranks}
+    assert sorted(named) == sorted(wanted)
+    # bounds of the memory change only how often a word is named
+    assert {w for made in b._met(P.PATTERN, ranks, 0, 0)(iter(batches)) for w in made.column(0).to_pylist()} == wanted
+
+
+def test_parts_that_only_other_white_space_touches_are_not_remembered():
+    parts = b._Parts(P.PATTERN, b._Numbers())
+    white = sorted(b.WHITE - {" "})
+    assert parts.numbers(pa.array(["", *white, *(f"{w}a" for w in white), *(f"a{w}" for w in white)])).tolist() == [-1] * (1 + 3 * len(white))
+    assert parts.numbers(pa.array(["ab", f"a{white[0]}b", "", "c,"])).tolist() == [0, 1, -1, 2]
+    assert parts.numbers(pa.array(["c,", "new", f"a{white[0]}b"])).tolist() == [2, 3, 1]
+    assert len(parts.known) == len(parts.lengths) == 4
+
+
 def test_digests_of_decoded_ids(spark, ranks, library, monkeypatch):
     monkeypatch.setattr(b, "CHUNK_CHARS", 3000)
     monkeypatch.setattr(b, "MEMORY_WORDS", 200)
