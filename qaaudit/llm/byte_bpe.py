@@ -39,14 +39,14 @@ FIRST, SURROGATES, AFTER = 0x100, 0xD800, 0x800
 UNRANKED, MARK, PAIR = "\U0001F000", "\U0001F001", "\U0001F002"
 #: A word as it is folded.
 WORD = "struct<pieces: string, ranks: string>"
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_500_000
 #: Words, and characters in them, that a task remembers besides the shared ones before it starts over, which bounds its memory.
 MEMORY_WORDS = 150_000
 MEMORY_CHARS = 8_000_000
 #: The same for what stands between two spaces.
-MEMORY_PARTS = 600_000
+MEMORY_PARTS = 200_000
 #: Words, and bytes in them, that are folded once for all tasks: those that most tasks meet.  Others are folded where they are met.
-SHARED_WORDS = 500_000
+SHARED_WORDS = 350_000
 SHARED_BYTES = 8_000_000
 #: Longer words are merged by a heap, as every merge of the fold copies the word.
 FOLD_BYTES = 128
