@@ -241,6 +241,98 @@ def test_few_texts_are_given_to_a_tokenizer_at_a_time(spark):
     assert len(got) == 600 and all((r.n, r.tail) == ((120_000, "a") if r.id == 7 else (600, "b ")) for r in got)
 
 
+def test_functions_of_a_task_share_one_reading_of_its_texts(spark, tmp_path):
+    log = str(tmp_path / "given")
+
+    def noted():
+        def spans(texts):
+            with open(log, "a") as f:
+                f.write(f"{len(texts)}\n")
+            return [[(i, i + 1) for i in range(len(x))] for x in texts]
+
+        return spans
+
+    df = spark.range(25_000).select("id", F.when(F.col("id") % 10 != 3, F.concat(F.lit("t"), F.col("id"))).alias("t")).coalesce(1)
+    t = F.col("t")
+    got = df.select("id", subwords.token_count(noted)(t).alias("n"), subwords.truncated(noted, 2)(t).alias("tail"), subwords.truncated(noted, 3, "head")(t).alias("head")).collect()
+    for r in got:
+        x = f"t{r.id}"
+        assert (r.n, r.tail, r.head) == ((None, None, None) if r.id % 10 == 3 else (len(x), x[-2:], x[:3]))
+    with open(log) as f:
+        assert sum(map(int, f)) == 22_500
+
+
+def _odd_texts(n):
+    import random
+
+    r = random.Random(5)
+    white = [*[" "] * 12, "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "\u180e"]
+    words = ["a", "the", "don't", "'s", "x1", "42", "²", "½", "Größe", "ǅ", "🔥", "e\u0301", "漢字", "\u0120", "<|endoftext|>", "<|endo", "!", "...", "_", "a" * 70, "中" * 80, "\x00", "'", "\U0001f468\u200d\U0001f469"]
+    return ["".join(r.choice(white) if r.random() < 0.55 else r.choice(words) for _ in range(r.randint(0, 25))) for _ in range(n)]
+
+
+def test_texts_cut_at_spaces_have_the_tokens_of_the_library():
+    made = subwords.tokenizer_file(PATH)()
+    library, cuts = pytest.importorskip("tokenizers").Tokenizer.from_file(PATH), [None, *((k, keep) for k in (-1, 0, 1, 2, 16) for keep in ("head", "tail"))]
+    texts = [*_odd_texts(1500), "", " ", "  ", " a", "a ", "a  ", "a  b", "a\n b", "a \nb", "a\n \nb", "a\n    b  \n"]
+    for lo in range(0, len(texts), 7):
+        some = texts[lo : lo + 7]
+        for cut, places in zip(cuts, made.places(some, cuts), strict=True):
+            assert places == [subwords._place(cut, x, library.encode(x, add_special_tokens=False).offsets) for x in some]
+
+
+def test_words_of_a_byte_level_tokenizer_in_latin_text():
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(PATH)
+    latin = [chr(c) for c in range(ord(subwords.LATIN_END))]
+    for c in latin:
+        for text in (f" {c}{c}s", f" a{c} 1{c}'{c}", f"{c} {c}\n{c}", f" '{c}s'S{c}"):
+            assert [w for w, _ in library.pre_tokenizer.pre_tokenize_str(text)] == [w.encode().decode("latin-1").translate(subwords.BYTES) for w in subwords.WORDS.findall(text)]
+
+
+def test_the_library_is_given_what_a_worker_has_not_met(monkeypatch):
+    from types import SimpleNamespace
+
+    made = subwords.tokenizer_file(PATH)()
+    library, given = made.library, []
+    noting = lambda f: lambda some, **how: given.extend([some] if isinstance(some, str) else some) or f(some, **how)
+    made.library = SimpleNamespace(model=SimpleNamespace(tokenize=noting(library.model.tokenize)), encode_batch_fast=noting(library.encode_batch_fast), encode_batch=noting(library.encode_batch))
+    texts = [" ".join(f"w{i % 9}, größe{i % 7}\n漢{i % 5}" for i in range(j, 4000)) for j in range(3)]
+    want = [len(library.encode(x, add_special_tokens=False)) for x in texts]
+    assert made.places(texts, [None]) == [want]
+    assert sum(map(len, given)) < 3000  # of 140,000 characters
+    given.clear()
+    assert made.places(texts, [None]) == [want] and not given
+    monkeypatch.setattr(subwords, "REMEMBERED", 100)
+    long = ["x" * 100 + str(i) for i in range(50)]
+    for i in range(40):
+        some = [" ".join([f"b{i}c{j}" for j in range(60)] + long)]
+        assert made.places(some, [None]) == [[len(library.encode(some[0], add_special_tokens=False))]]
+        assert all(len(n.now) + len(n.before) <= 500 and not any(len(x) > subwords.SHORT for x in [*n.now, *n.before]) for n in (made.behind, made.alone, made.words) if i > 2)
+
+
+def test_other_tokenizer_files_are_not_cut_at_spaces(tmp_path):
+    import json
+
+    with open(PATH) as f:
+        spec = json.load(f)
+    library = pytest.importorskip("tokenizers").Tokenizer
+    texts = _odd_texts(40)
+    for i, change in enumerate(
+        [
+            {"normalizer": {"type": "Lowercase"}},
+            {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+            {"pre_tokenizer": None},
+            {"post_processor": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+            {"added_tokens": [{**spec["added_tokens"][0], "content": "the !"}]},
+        ]
+    ):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps({**spec, **change}))
+        made, own = subwords.tokenizer_file(str(path))(), library.from_file(str(path))
+        assert not hasattr(made, "places")
+        assert made(texts) == [own.encode(x, add_special_tokens=False).offsets for x in texts]
+
+
 def test_texts_leave_an_arrow_batch_a_few_at_a_time():
     import tracemalloc
 
