@@ -112,13 +112,24 @@ class _ByteLevel:
 
     def places(self, texts: list[str], cuts: list[Cut | None]) -> list[list[int]]:
         """What ``_place`` gives, for each cut a list."""
-        parts, counts = self._counted(texts)
+        # tokens of the strings in which a cut may lie
+        met: dict[str, list[tuple[int, int]]] = {}
+        parts, counts = self._counted(texts, met if any(cuts) else None)
         for numbers in (self.behind, self.alone, self.words):
             numbers.forget()
-        return [[sum(n) for n in counts] if cut is None else self._cut(cut, texts, parts, counts) for cut in cuts]
-
-    def _counted(self, texts: list[str]) -> tuple[list[list[str]], list[list[int]]]:
-        """The parts of every text and their numbers of tokens; a text with an added token is one part."""
+        within: list[tuple[list[int], int, str, int, int]] = []
+        found = [[sum(n) for n in counts] if cut is None else self._cut(cut, texts, parts, counts, within) for cut in cuts]
+        strings = list({string for _, _, string, _, _ in within}.difference(met))
+        met.update(zip(strings, self(strings), strict=True))
+        for places, i, string, token, side in within:
+            places[i] += met[string][token][side]
+        return found
+
+    def _counted(self, texts: list[str], met: dict[str, list[tuple[int, int]]] | None) -> tuple[list[list[str]], list[list[int]]]:
+        """The parts of every text and their numbers of tokens; a text with an added token is one part.
+
+        ``met`` gets the tokens of long strings that are given to the library on their own.
+        """
         parts = [[t] if any(a in t for a in self.added) else t.split(" ") for t in texts]
         counts, new = self._looked_up(parts)
         # what is remembered ends with no white space
@@ -138,6 +149,11 @@ class _ByteLevel:
             for group in _groups(some):
                 self.behind.learn(group, count(" " + " ".join(group)))
         alone = self.alone.unknown({p[0] for p in parts} | {" " + p for p in odd})
+        if met is not None:
+            long = [x for x in alone if len(x) > SHORT]
+            met.update(zip(long, self(long), strict=True))
+            self.alone.learn(long, map(len, met.values()))
+            alone = [x for x in alone if len(x) <= SHORT]
         self.alone.learn(alone, [len(e) for e in self.library.encode_batch_fast(alone, add_special_tokens=False)])
         self.behind.learn([*odd], [self.alone.now[" " + p] for p in odd], keep=False)
         first, later = self.alone.now, self.behind.now
@@ -161,9 +177,10 @@ class _ByteLevel:
         numbers = np.array([*map(self.words.now.__getitem__, words)])
         return np.add.reduceat(numbers, [i for i, w in enumerate(words) if w[0] == " "]).tolist()
 
-    def _cut(self, cut: Cut, texts: list[str], parts: list[list[str]], counts: list[list[int]]) -> list[int]:
+    def _cut(self, cut: Cut, texts: list[str], parts: list[list[str]], counts: list[list[int]], within: list[tuple[list[int], int, str, int, int]]) -> list[int]:
+        """Places of a cut; to those that lie within a string, the place in there is yet to be added."""
         k, keep = cut
-        places, inner = [], []
+        places: list[int] = []
         for text, p, n in zip(texts, parts, counts, strict=True):
             total = sum(n)
             if not 0 < k < total:
@@ -176,10 +193,8 @@ class _ByteLevel:
             # where the string begins, of which all tokens but ``over`` are kept
             begins = sum(map(len, p[:at])) + max(at - 1, 0) if keep == "head" else len(text) - len(string) - sum(map(len, p[at + 1 :])) - j
             if over:
-                inner.append((len(places), string, over))
+                within.append((places, len(places), string, *((-1 - over, 1) if keep == "head" else (over, 0))))
             places.append(begins if over or keep == "tail" else begins + len(string))
-        for (i, _, over), tokens in zip(inner, self([s for _, s, _ in inner]), strict=True):
-            places[i] += tokens[-1 - over][1] if keep == "head" else tokens[over][0]
         return places
 
 

@@ -302,6 +302,8 @@ def test_the_library_is_given_what_a_worker_has_not_met(monkeypatch):
     assert sum(map(len, given)) < 3000  # of 140,000 characters
     given.clear()
     assert made.places(texts, [None]) == [want] and not given
+    whole = "漢字" * 500
+    assert made.places([whole], [None, (16, "head"), (16, "tail")])[0] == [len(library.encode(whole, add_special_tokens=False))] and given == [whole]
     monkeypatch.setattr(subwords, "REMEMBERED", 100)
     long = ["x" * 100 + str(i) for i in range(50)]
     for i in range(40):
